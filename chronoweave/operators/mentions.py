@@ -21,9 +21,10 @@ PLAIN_YEAR = r"\b\d{3,4}\b"
 def _located(text: Column, pattern: str) -> Column:
     """``array<struct<start,end,hit>>`` of all matches."""
     flags = "(?isU)"
-    # Lazy gap, then the match; the pieces are contiguous from the start of the text.
-    scan = f"{flags}(.*?)({pattern})"
-    return let(
+    # Lazy gap, then the match; the pieces are contiguous from the start of the text.  The end of
+    # the text is an alternative, so the tail is read once instead of once per character.
+    scan = f"{flags}(.*?)(?:({pattern})|\\z)"
+    located = let(
         find_all(text, scan, 1),
         lambda gaps: let(
             find_all(text, scan, 2),
@@ -40,6 +41,7 @@ def _located(text: Column, pattern: str) -> Column:
             ),
         ),
     )
+    return F.filter(located, lambda m: m["hit"] != "")
 
 
 def time_mention_array(text: Column) -> Column:

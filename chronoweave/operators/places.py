@@ -58,7 +58,7 @@ def place_dimension(places: DataFrame, order: list[str]) -> DataFrame:
 
 def _chunks(text: Column) -> Column:
     """Text cut into gap+word pieces, so that piece lengths give word positions."""
-    return find_all(text, r"(?U)\W*\w+")
+    return find_all(text, r"(?U)\W*+(?:\w++|\z)")
 
 
 def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "text") -> DataFrame:
