@@ -123,7 +123,7 @@ def map_concepts(concepts: DataFrame, entities: DataFrame) -> DataFrame:
         "episode_id", F.trim("name").alias("name"), F.coalesce("kind", F.lit("unknown")).alias("kind")
     ).distinct()
     return mentions.join(broadcast_if_small(concepts), ["name", "kind"]).select(
-        "episode_id", "concept_id", F.col("avg_confidence").alias("score")
+        "episode_id", "concept_id", F.col("avg_confidence").alias("score"), "entity_count", "name"
     )
 
 
@@ -153,9 +153,11 @@ def enrich(
     order = [F.col("entity_count"), F.col("avg_confidence"), F.col("name")]
     ranked = batch.withColumn("_order", F.struct((-order[0]).alias("a"), (-order[1]).alias("b"), order[2].alias("c")))
     merged = upsert_coalesce(concepts, ranked, ["qid"], ["_order"], ["url", "description"])
-    named = batch.select(F.xxhash64("qid").alias("concept_id"), "name", "kind", "avg_confidence")
+    named = batch.select(F.xxhash64("qid").alias("concept_id"), "name", "kind", "avg_confidence", "entity_count")
     links = map_concepts(named, entities)
-    new_bridge = insert_ignore(bridge, links, ["episode_id", "concept_id"], ["score"])
+    # the most frequent candidate is written first and keeps its score
+    first = [-F.col("entity_count"), -F.col("score"), F.col("name")]
+    new_bridge = insert_ignore(bridge, links, ["episode_id", "concept_id"], first)
     rows = claim_rows(found.select(F.xxhash64("qid").alias("concept_id"), "doc"), "concept_id")
     new_claims = claims.unionByName(rows).distinct()
     counts = candidates.agg(F.count(F.lit(1)).alias("candidates")).select(
