@@ -55,8 +55,8 @@ def episode_out(flat: DataFrame) -> DataFrame:
     """Nested API shape; the location is NULL unless both coordinates are known."""
     here = F.col("primary_location_lat").isNotNull() & F.col("primary_location_lon").isNotNull()
     place = F.struct(
-        F.coalesce("primary_location_name", F.lit("")).alias("name"),
-        F.coalesce("primary_location_country", F.lit("")).alias("country"),
+        F.col("primary_location_name").alias("name"),
+        F.col("primary_location_country").alias("country"),
         F.col("primary_location_lat").alias("lat"),
         F.col("primary_location_lon").alias("lon"),
     )
