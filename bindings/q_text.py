@@ -1 +1,621 @@
-from .registry import query  # noqa
+"""Scalar text, date and number functions, and text-to-table extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from chronoweave.functions import classify, dates, numeric, text
+from chronoweave.functions.columns import find_all
+from chronoweave.operators import keyphrases as kp
+from chronoweave.operators import mentions, people, places, quality, relational, spans
+from chronoweave.plans.export_dataset import join_place_names
+from chronoweave.sources import gazetteers, pages
+from chronoweave.sources.pages import PagePatterns
+
+from .registry import query
+
+
+def unescaped(c: str) -> str:
+    """The references that occur in the page table, resolved in DuckDB."""
+    for ref, char in (("&middot;", "·"), ("&copy;", "©"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">")):
+        c = f"replace({c}, '{ref}', '{char}')"
+    return f"regexp_replace({c}, '&amp;?', '&', 'g')"
+
+
+def trimmed(c: str) -> str:
+    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+
+
+def h2t(c: str) -> str:
+    t = f"regexp_replace({unescaped(c)}, '<\\s*br\\s*/?\\s*>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '</p\\s*>', chr(10), 'gi')"
+    t = f"regexp_replace({t}, '<[^>]+>', '', 'g')"
+    t = f"regexp_replace({t}, '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return trimmed(f"regexp_replace({t}, '[ \\t]{{2,}}', ' ', 'g')")
+
+
+def one_line(c: str) -> str:
+    inner = unescaped(f"regexp_replace({c}, '<[^>]+>', ' ', 'g')")
+    return trimmed(f"regexp_replace({inner}, '\\s+', ' ', 'g')")
+
+
+@query("html_to_text", f"SELECT page_id, {h2t('html')} AS body FROM {{pages}}")
+def html_to_text(d):
+    return d.pages.select("page_id", text.html_to_text(F.col("html")).alias("body"))
+
+
+@query("strip_tags", f"SELECT page_id, {one_line('html')} AS body FROM {{pages}}")
+def strip_tags(d):
+    return d.pages.select("page_id", text.strip_tags(F.col("html")).alias("body"))
+
+
+@query("sanitize_html", f"SELECT page_id, {trimmed('regexp_replace(' + unescaped('html') + ', ' + chr(39) + '<[^>]+>' + chr(39) + ', ' + chr(39) * 2 + ', ' + chr(39) + 'g' + chr(39) + ')')} AS body FROM {{pages}}")
+def sanitize_html(d):
+    return d.pages.select("page_id", text.sanitize_description(F.col("html")).alias("body"))
+
+
+CLEAN_SRC = """SELECT doc_id, concat(replace(text, 'License', 'Werbung'), chr(10), ' ', chr(10), 'Und noch mehr ++',
+    CASE WHEN doc_id % 3 = 0 THEN '++++ ad' WHEN doc_id % 3 = 1 THEN '*********** ad' ELSE '' END) AS raw FROM {documents}"""
+
+
+@query("clean_text", f"""
+    WITH s AS ({CLEAN_SRC}), t AS (SELECT doc_id, {h2t('raw')} AS body FROM s),
+    c AS (SELECT doc_id, split_part(split_part(body, '+++++', 1), '**********', 1) AS body FROM t)
+    SELECT doc_id, array_to_string(list_filter(list_transform(string_split(body, chr(10)), lambda x: {trimmed('x')}),
+      lambda x: x <> '' AND NOT regexp_matches(lower(x),
+        'instagram|tiktok|facebook|wenn euch|abonniert|noch mehr|deutschlandfunk app|campfire|werbepartner|werbung')), chr(10)) AS body
+    FROM c""")
+def clean_text(d):
+    src = d.spark.sql(CLEAN_SRC, documents=d.documents)
+    return src.select("doc_id", text.clean_description(F.col("raw")).alias("body"))
+
+
+SEG_SRC = """SELECT episode_id, text FROM {txt}
+    UNION ALL SELECT 10000000 + doc_id, replace(text, chr(10), concat(chr(10), ' ', chr(10))) FROM {documents}"""
+
+
+@query("segments", f"""
+    WITH s AS ({SEG_SRC}), b AS (SELECT episode_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'),
+        lambda x: {trimmed('x')}), lambda x: x <> '')) AS seg,
+        generate_subscripts(list_filter(list_transform(regexp_split_to_array(text, '\\n\\s*\\n'), lambda x: {trimmed('x')}), lambda x: x <> ''), 1) - 1 AS seg_pos FROM s)
+    SELECT episode_id, cast(seg_pos AS int) AS seg_pos, seg AS text,
+      CASE WHEN lower(seg) LIKE '%folgenbild%' AND lower(seg) LIKE '%zeigt%' THEN 'caption'
+           WHEN starts_with(lower(seg), 'das erwartet') OR starts_with(lower(seg), 'ihr hört') THEN 'outline' ELSE 'main' END AS section FROM b""")
+def segments(d):
+    src = d.spark.sql(SEG_SRC, txt=d.txt, documents=d.documents)
+    return src.select("episode_id", F.posexplode(text.segments(F.col("text"))).alias("seg_pos", "s")).select(
+        "episode_id", "seg_pos", "s.text", "s.section"
+    )
+
+
+DUR_SRC = """SELECT event_id, CASE event_id % 6 WHEN 0 THEN cast(k AS string) WHEN 1 THEN concat(' ', cast(k AS string), ':0', cast(k % 10 AS string))
+    WHEN 2 THEN concat('01:', cast(10 + k % 50 AS string), ':', cast(k AS string)) WHEN 3 THEN 'n/a' WHEN 4 THEN concat('1:x', cast(k AS string)) ELSE '' END AS raw FROM {fac_k}"""
+
+
+@query("duration_sec", f"""
+    WITH s AS ({DUR_SRC}), t AS (SELECT event_id, trim(raw) AS r, list_transform(string_split(trim(raw), ':'), lambda p: try_cast(p AS bigint)) AS p FROM s)
+    SELECT event_id, CASE WHEN regexp_full_match(r, '\\d+') THEN cast(r AS bigint) WHEN len(p) = 3 THEN p[1] * 3600 + p[2] * 60 + p[3]
+      WHEN len(p) = 2 THEN p[1] * 60 + p[2] END AS seconds FROM t""")
+def duration_sec(d):
+    src = d.spark.sql(DUR_SRC, fac_k=d.fac_k)
+    return src.select("event_id", dates.duration_seconds(F.col("raw")).alias("seconds"))
+
+
+@query("pub_date", """
+    SELECT event_id, CASE event_id % 4 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - interval 2 hour
+      WHEN 2 THEN cast(cast(ts AS date) AS timestamp) END AS published FROM {events}""")
+def pub_date(d):
+    zone = F.when(F.col("event_id") % 4 == 0, "GMT").otherwise("+0200")
+    rfc = F.concat(F.date_format("ts", "EEE, dd MMM yyyy HH:mm:ss "), zone)
+    raw = (
+        F.when(F.col("event_id") % 4 < 2, rfc)
+        .when(F.col("event_id") % 4 == 2, F.date_format("ts", "yyyy-MM-dd"))
+        .otherwise("some day")
+    )
+    return d.events.select("event_id", dates.pub_timestamp(raw).cast("timestamp_ntz").alias("published"))
+
+
+@query("mid_year", """
+    WITH m AS (SELECT span_id, start_date + cast(floor((end_date - start_date) / 2.0) AS int) AS m FROM {span} WHERE end_date IS NOT NULL)
+    SELECT span_id, round(year(m) + dayofyear(m) / 366.0::double, 9)::double AS mid_year FROM m""")
+def mid_year(d):
+    y = dates.mid_year(F.col("start_date"), F.col("end_date"))
+    return d.span.filter("end_date IS NOT NULL").select("span_id", F.round(y, 9).alias("mid_year"))
+
+
+@query("mid_year_month", """
+    WITH m AS (SELECT span_id, make_timestamp((epoch_us(start_date::timestamp) + epoch_us(end_date::timestamp)) >> 1) AS m FROM {span} WHERE end_date IS NOT NULL)
+    SELECT span_id, round(year(m) + (month(m) - 1) / 12.0::double, 9)::double AS mid_year FROM m""")
+def mid_year_month(d):
+    y = dates.mid_year_by_month(F.col("start_date"), F.col("end_date"))
+    return d.span.filter("end_date IS NOT NULL").select("span_id", F.round(y, 9).alias("mid_year"))
+
+
+@query("span_normalize", """
+    SELECT span_id, cast(least(start_date, end_date) AS varchar) AS lo, cast(greatest(start_date, end_date) AS varchar) AS hi
+    FROM {span} WHERE start_date IS NOT NULL AND end_date IS NOT NULL""")
+def span_normalize(d):
+    lo, hi = dates.ordered_pair(F.col("start_date"), F.col("end_date"))
+    return d.span.select("span_id", lo.cast("string").alias("lo"), hi.cast("string").alias("hi")).filter("lo IS NOT NULL")
+
+
+@query("year_of_iso", "SELECT span_id, year(start_date)::int AS y FROM {span}")
+def year_of_iso(d):
+    return d.span.select("span_id", dates.year_of_iso(F.col("start_date").cast("string")).alias("y"))
+
+
+@query("norm_key", f"""
+    WITH s AS (SELECT doc_id, substr(text, 1, 200) AS t FROM {{documents}} UNION ALL SELECT c_custkey + 10000000, concat(' ', c_name, '/', c_mktsegment, ' - x__y ') FROM {{customer}})
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower({trimmed('t')}), '[\\s\\-_/]+', ' ', 'g'), '[^a-z0-9äöüß ]+', '', 'g'), '\\s{{{{2,}}}}', ' ', 'g') AS norm_key FROM s""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
+def norm_key(d):
+    rows = d.documents.select("doc_id", F.substring("text", 1, 200).alias("t")).union(
+        d.customer.select(F.col("c_custkey") + 10000000, F.concat(F.lit(" "), "c_name", F.lit("/"), "c_mktsegment", F.lit(" - x__y ")))
+    )
+    return rows.select("doc_id", text.norm_key(F.col("t")).alias("norm_key"))
+
+
+KIND_SRC = """SELECT event_id, concat(CASE event_id % 7 WHEN 0 THEN 'HB 12: GAG' WHEN 1 THEN 'Bonus' WHEN 2 THEN 'LIVE aus' WHEN 3 THEN 'Trailer'
+    WHEN 4 THEN 'Ankündigung' WHEN 5 THEN 'Hinweis' ELSE 'Folge' END, ' ', event_type) AS title FROM {events}"""
+
+
+@query("classify_kind", f"""
+    SELECT event_id, CASE WHEN lower(title) LIKE '%hb%' AND lower(title) LIKE '%gag%' THEN 'book'
+      WHEN regexp_matches(lower(title), 'bonus|live|spezial|special') THEN 'special'
+      WHEN regexp_matches(lower(title), 'ankündigung|update|meta|hinweis') THEN 'meta' ELSE 'regular' END AS kind FROM ({KIND_SRC})""")
+def classify_kind(d):
+    return d.spark.sql(KIND_SRC, events=d.events).select("event_id", classify.episode_kind(F.col("title")).alias("kind"))
+
+
+@query("classify_kind_merge", f"""
+    SELECT event_id, CASE WHEN regexp_matches(lower(title), 'spezial|special|bonus|trailer') THEN 'special'
+      WHEN regexp_matches(lower(title), 'meta|update|ankündigung') THEN 'meta' ELSE 'regular' END AS kind FROM ({KIND_SRC})""")
+def classify_kind_merge(d):
+    return d.spark.sql(KIND_SRC, events=d.events).select("event_id", classify.merged_episode_kind(F.col("title")).alias("kind"))
+
+
+INCIDENT = """CASE WHEN regexp_matches(lower(t), 'schlacht|battle|verdun') THEN 'battle' WHEN regexp_matches(lower(t), 'attentat|assassination|mord') THEN 'assassination'
+      WHEN regexp_matches(lower(t), 'sturmflut|katastrophe|disaster|flut|hurricane|earthquake') THEN 'disaster'
+      WHEN regexp_matches(lower(t), 'revolution|proteste|aufstand|frühling') THEN 'revolution'
+      WHEN regexp_matches(lower(t), 'mauerfall|wiedervereinigung') THEN 'political_change'
+      WHEN regexp_matches(lower(t), 'konflikt|krieg|streit|invasion|besatzung') THEN 'conflict'
+      WHEN regexp_matches(lower(t), 'politik|regierung|parlament') THEN 'politics' ELSE 'other' END"""
+
+
+@query("incident_type", f"""
+    SELECT id, {INCIDENT} AS incident_type FROM (SELECT episode_id AS id, text AS t FROM {{txt}} UNION ALL SELECT 10000000 + doc_id, text FROM {{documents}})""")
+def incident_type(d):
+    rows = d.txt.select(F.col("episode_id").alias("id"), "text").union(d.documents.select(F.col("doc_id") + 10000000, "text"))
+    return rows.select("id", classify.incident_type(F.col("text")).alias("incident_type"))
+
+
+@query("narrator", """
+    WITH s AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(t, '(?i)\\b(Richard|Daniel)\\s+liest\\b', 1),
+        lambda x: upper(x[1:1]) || lower(x[2:])))) AS names FROM (SELECT episode_id, author,
+        concat(description, ' daniel  liest. ', CASE WHEN episode_id % 2 = 0 THEN 'RICHARD liest, Daniel liest' ELSE 'Richard liestX' END) AS t FROM {ep}))
+    SELECT episode_id, coalesce(nullif(trim(author), ''), nullif(array_to_string(names, ', '), '')) AS narrator FROM s""")
+def narrator(d):
+    extra = F.when(F.col("episode_id") % 2 == 0, "RICHARD liest, Daniel liest").otherwise("Richard liestX")
+    t = F.concat("description", F.lit(" daniel  liest. "), extra)
+    return d.ep.select("episode_id", classify.narrator(F.col("author"), t).alias("narrator"))
+
+
+@query("extract_links", """
+    SELECT episode_id, array_to_string(regexp_extract_all(text, 'https?://[^\\s\\])<>"'']+'), ' ') AS plain,
+      array_to_string(list_transform(regexp_extract_all(text, 'https?://\\S+'), lambda u: rtrim(u, '.,);"')), ' ') AS trimmed FROM {txt}""")
+def extract_links(d):
+    t = F.col("text")
+    return d.txt.select(
+        "episode_id", F.array_join(classify.plain_links(t), " ").alias("plain"), F.array_join(classify.trimmed_links(t), " ").alias("trimmed")
+    )
+
+
+@query("link_types", """
+    WITH u AS (SELECT episode_id, page_url, unnest(list_transform(regexp_extract_all(text, 'https?://\\S+'), lambda u: rtrim(u, '.,);"'))) AS url FROM {txt})
+    SELECT episode_id, url, CASE WHEN regexp_matches(lower(url), 'instagram|tiktok|facebook|linktr|seven\\.one|ardsoundsfestival') THEN 'advert'
+      WHEN contains(url, regexp_extract(page_url, '^https?://([^/]+)/', 1)) THEN 'internal' ELSE 'external' END AS link_type FROM u""")
+def link_types(d):
+    urls = d.txt.select("episode_id", "page_url", F.explode(classify.trimmed_links(F.col("text"))).alias("url"))
+    return urls.select("episode_id", "url", classify.link_type(F.col("url"), F.col("page_url")).alias("link_type"))
+
+
+@query("url_guid", """
+    SELECT url, 'podcastde:' || CASE WHEN regexp_matches(url, '/episode/\\d+/') THEN regexp_extract(url, '/episode/(\\d+)/', 1) ELSE substr(sha1(url), 1, 12) END AS guid
+    FROM (SELECT page_url AS url FROM {txt} UNION ALL SELECT url FROM {pages})""")
+def url_guid(d):
+    urls = d.txt.select(F.col("page_url").alias("url")).union(d.pages.select("url"))
+    return urls.select("url", classify.guid_of_url(F.col("url")).alias("guid"))
+
+
+@query("recency_weight", """
+    SELECT guid, round(CASE WHEN primary_time_year IS NULL THEN 0.85 ELSE 0.15 + 0.85 * exp(-pow(primary_time_year - 1200.0::double, 2) / 3200.0::double) END, 9)::double AS weight,
+      round(CASE WHEN k = 0 THEN 1.0 ELSE greatest(0.15, 1 - 0.18 * k) END, 9)::double AS rank_weight
+    FROM (SELECT *, cast(substr(podcast_id, 2) AS int) AS k FROM {fac})""")
+def recency_weight(d):
+    rank = F.substring("podcast_id", 2, 5).cast("int") + 1
+    return d.fac.select(
+        "guid",
+        F.round(numeric.recency_weight(F.col("primary_time_year"), F.lit(1200.0)), 9).alias("weight"),
+        F.round(numeric.rank_weight(rank), 9).alias("rank_weight"),
+    )
+
+
+@query("minmax_scale", """
+    WITH b AS (SELECT podcast_id, min(pv) AS lo, max(pv) AS hi FROM (SELECT podcast_id, lat AS pv FROM {fac}) GROUP BY 1)
+    SELECT f.guid, round((f.lat - b.lo) / CASE WHEN b.hi = b.lo THEN 1.0 ELSE b.hi - b.lo END, 9)::double AS scaled,
+      round(CASE WHEN b.hi = b.lo THEN 0.5 ELSE (f.lat - b.lo) / (b.hi - b.lo) END, 9)::double AS weight FROM {fac} f JOIN b USING (podcast_id)""")
+def minmax_scale(d):
+    bounds = d.fac.groupBy("podcast_id").agg(F.min("lat").alias("lo"), F.max("lat").alias("hi"))
+    rows = relational.lookup(d.fac, bounds, ["podcast_id"])
+    lat, lo, hi = F.col("lat"), F.col("lo"), F.col("hi")
+    return rows.select(
+        "guid",
+        F.round(numeric.unit_scale(lat, lo, hi), 9).alias("scaled"),
+        F.round(numeric.unit_scale(lat, lo, hi, F.lit(0.5)), 9).alias("weight"),
+    )
+
+
+@query("k_for_n", """
+    SELECT user_id, n, CASE WHEN n <= 0 THEN 0 ELSE greatest(4, least(16, cast(round_even(sqrt(n), 0) AS int))) END AS k
+    FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY 1)""")
+def k_for_n(d):
+    n = d.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    return n.select("user_id", "n", numeric.cluster_count(F.col("n")).alias("k"))
+
+
+@query("row_fingerprint", """
+    SELECT span_id, sha256('{"end_iso":' || coalesce('"' || cast(end_date AS varchar) || '"', 'null') || ',"episode_id":' || cast(episode_id AS varchar)
+      || ',"id":"' || span_id || '","precision":"year","qualifier":"' || qualifier || '","score":' || format('{:.6f}', score)
+      || ',"start_iso":"' || cast(start_date AS varchar) || '"}') AS row_fingerprint FROM {span}""")
+def row_fingerprint(d):
+    rows = d.span.select(
+        F.col("span_id").alias("id"), "episode_id", F.col("start_date").cast("string").alias("start_iso"),
+        F.col("end_date").cast("string").alias("end_iso"), F.lit("year").alias("precision"), "qualifier", "score",
+    )
+    return rows.select(F.col("id").alias("span_id"), quality.row_fingerprint(rows, quality.FINGERPRINT_FIELDS["spans"]).alias("row_fingerprint"))
+
+
+SPAN_SRC = """SELECT episode_id, text, lower(text) AS low, CASE WHEN lower(text) LIKE '%folgenbild%' AND lower(text) LIKE '%zeigt%' THEN 'caption'
+    WHEN lower(text) LIKE 'das erwartet%' THEN 'outline' ELSE 'main' END AS section FROM {txt}"""
+SPAN_DUCK = f"""s AS (SELECT *, CASE WHEN regexp_matches(low, 'im jahr|im jahre|während|zur zeit|zu dieser zeit') THEN 1.35::double ELSE 1.0::double END
+      * CASE WHEN regexp_matches(low, 'im (november|dezember|februar|mai|juni|juli|august|september|oktober|märz|april)') THEN 1.1::double ELSE 1.0::double END
+      * CASE WHEN section = 'caption' THEN 0.18::double * CASE WHEN low LIKE '%folgenbild%' AND low LIKE '%zeigt%' THEN 0.35::double ELSE 1 END
+          * CASE WHEN low LIKE '%portr%' AND low LIKE '%jahr%' THEN 0.22::double ELSE 1 END ELSE 1.0::double END AS f,
+      CASE WHEN section <> 'caption' THEN NULL WHEN low LIKE '%portr%' AND low LIKE '%jahr%' THEN 'caption-portrait-year'
+           WHEN low LIKE '%folgenbild%' AND low LIKE '%zeigt%' THEN 'caption-folgenbild' END AS flag FROM ({SPAN_SRC})),
+    m AS (SELECT episode_id, section, f, flag, unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\s+(\\d{{1,2}}:\\d{{2}})\\b', 1)) AS d,
+        unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\s+(\\d{{1,2}}:\\d{{2}})\\b', 2)) AS mo,
+        unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\s+(\\d{{1,2}}:\\d{{2}})\\b', 3)) AS y,
+        unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\s+(\\d{{1,2}}:\\d{{2}})\\b', 4)) AS hm,
+        generate_subscripts(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\s+(\\d{{1,2}}:\\d{{2}})\\b'), 1) AS p FROM s),
+    g AS (SELECT episode_id, section, f, flag, unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\b', 1)) AS d,
+        unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\b', 2)) AS mo, unnest(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\b', 3)) AS y,
+        generate_subscripts(regexp_extract_all(text, '\\b(\\d{{1,2}})\\.(\\d{{1,2}})\\.(\\d{{4}})\\b'), 1) AS p FROM s),
+    r AS (SELECT episode_id, section, f, flag, unnest(regexp_extract_all(text, '\\b(\\d{{3,4}})\\s*[–-]\\s*(\\d{{2,4}})\\b', 1)) AS a,
+        unnest(regexp_extract_all(text, '\\b(\\d{{3,4}})\\s*[–-]\\s*(\\d{{2,4}})\\b', 2)) AS b,
+        generate_subscripts(regexp_extract_all(text, '\\b(\\d{{3,4}})\\s*[–-]\\s*(\\d{{2,4}})\\b'), 1) AS p FROM s),
+    r2 AS (SELECT *, cast(a AS int) AS sy, cast(CASE WHEN length(b) = 4 THEN b ELSE substr(cast(cast(a AS int) AS varchar), 1, 2) || b END AS int) AS ey FROM r),
+    c AS (SELECT episode_id, section, f, flag, unnest(regexp_extract_all(text, '(?i)\\b(\\d{{1,2}})\\.\\s*Jahrhundert\\b', 1)) AS n,
+        generate_subscripts(regexp_extract_all(text, '(?i)\\b(\\d{{1,2}})\\.\\s*Jahrhundert\\b'), 1) AS p FROM s),
+    y AS (SELECT episode_id, section, f, flag, unnest(regexp_extract_all(text, '\\b(1\\d{{3}}|20\\d{{2}})\\b', 1)) AS y,
+        generate_subscripts(regexp_extract_all(text, '\\b(1\\d{{3}}|20\\d{{2}})\\b'), 1) AS p FROM s),
+    u AS (SELECT episode_id, section, try_cast(printf('%04d-%02d-%02d', y::int, mo::int, d::int) AS date) AS a,
+            try_cast(printf('%04d-%02d-%02d', y::int, mo::int, d::int) AS date) AS b, 'minute' AS precision, 'exact' AS qualifier,
+            d || '.' || mo || '.' || y || ' ' || hm AS source_text, 10.0::double * f AS score, flag, 1 AS fam, p FROM m
+      UNION ALL SELECT episode_id, section, try_cast(printf('%04d-%02d-%02d', y::int, mo::int, d::int) AS date), try_cast(printf('%04d-%02d-%02d', y::int, mo::int, d::int) AS date),
+            'day', 'exact', d || '.' || mo || '.' || y, 9.0::double * f, flag, 2, p FROM g
+      UNION ALL SELECT episode_id, section, CASE WHEN sy BETWEEN 1 AND 9999 THEN make_date(sy, 1, 1) END, CASE WHEN ey BETWEEN 1 AND 9999 THEN make_date(ey, 12, 31) END,
+            'year', 'range', a || '-' || b, 7.0::double * f, flag, 3, p FROM r2
+      UNION ALL SELECT episode_id, section, make_date((n::int - 1) * 100 + 1, 1, 1), make_date(n::int * 100, 12, 31), 'century', 'range', n || '. Jahrhundert', 5.0::double * f, flag, 4, p FROM c
+      UNION ALL SELECT episode_id, section, make_date(y::int, 1, 1), make_date(y::int, 12, 31), 'year', 'year', y,
+            6.0::double * CASE WHEN section = 'caption' THEN 0.25::double ELSE 1 END * f, flag, 5, p FROM y),
+    spans AS (SELECT episode_id, section, cast(a AS varchar) AS start_iso, cast(b AS varchar) AS end_iso, precision, qualifier, source_text,
+        round(max(score), 6)::double AS score, flag AS review_flag, fam, min(p) AS p FROM u WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL)"""
+SPAN_COLS = "episode_id, start_iso, end_iso, precision, qualifier, source_text, score, review_flag"
+
+
+def span_table(d):
+    src = d.spark.sql(SPAN_SRC, txt=d.txt)
+    found = spans.extract_spans(src, ["episode_id"])
+    return found.withColumns(
+        {"start_iso": F.col("start_date").cast("string"), "end_iso": F.col("end_date").cast("string"), "score": F.round("score", 6)}
+    )
+
+
+@query("time_spans", f"WITH {SPAN_DUCK} SELECT {SPAN_COLS} FROM spans")
+def time_spans(d):
+    return span_table(d).select(*SPAN_COLS.split(", "))
+
+
+@query("span_scores", f"""WITH {SPAN_DUCK} SELECT section, precision, qualifier, review_flag, score, count(*) AS n FROM spans GROUP BY ALL""")
+def span_scores(d):
+    keys = ["precision", "qualifier", "review_flag", "score"]
+    return span_table(d).groupBy(F.col("source_section").alias("section"), *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("span_dedupe", f"""WITH {SPAN_DUCK} SELECT episode_id, precision, qualifier, source_text,
+    cast(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, fam, p) - 1 AS int) AS span_pos FROM spans""")
+def span_dedupe(d):
+    return span_table(d).select("episode_id", "precision", "qualifier", "source_text", "span_pos")
+
+
+@query("best_span", f"""WITH {SPAN_DUCK} SELECT {SPAN_COLS} FROM spans QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, fam, p) = 1""")
+def best_span(d):
+    return spans.best_span(span_table(d), "episode_id", ["span_pos"]).select(*SPAN_COLS.split(", "))
+
+
+# DuckDB's word boundary knows ASCII only: umlauts become digits and every other letter an underscore first.
+CODED = "regexp_replace(translate(regexp_replace({t}, '[0-9]', '_', 'g'), 'äöüßÄÖÜ', '1234567'), '[À-ÿ]', '_', 'g')"
+
+
+def decoded(c: str) -> str:
+    return f"translate({c}, '1234567', 'äöüßÄÖÜ')"
+
+
+def coded(c: str) -> str:
+    return CODED.replace("{t}", c)
+
+
+@query("place_candidates", f"""
+    WITH s AS (SELECT doc_id, concat('Er kam aus Überlingen-Süd nach Dorf_, bei Überlingen-Süd. ', text) AS raw FROM {{documents}}), k AS (SELECT doc_id, {coded('raw')} AS t FROM s),
+    c AS (SELECT doc_id, regexp_extract_all(t, '\\b(in|bei|nach|aus|von|auf)\\s+([A-Z567][\\w\\-]+)', 2) AS h, regexp_extract_all(t, '\\b[A-Z567][a-z1-4]{{3,}}\\b') AS w FROM k),
+    f AS (SELECT doc_id, list_filter(w, lambda x, i: list_position(w, x) = i AND NOT list_contains(h, x)) AS w, h FROM c)
+    SELECT doc_id, {decoded("array_to_string(list_concat(h, w)[1:30], ' ')")} AS candidates FROM f""")
+def place_candidates(d):
+    raw = F.concat(F.lit("Er kam aus Überlingen-Süd nach Dorf_, bei Überlingen-Süd. "), "text")
+    # words with letters outside the German alphabet appear with underscores on both sides of the check
+    shown = F.regexp_replace(F.array_join(places.place_candidates(raw), " "), "[^ A-Za-zÄÖÜäöüß\\-]", "_")
+    return d.documents.select("doc_id", shown.alias("candidates"))
+
+
+GAZ_DUCK = """ge AS (SELECT entry_pos, trim(name) AS canonical_name, coalesce(nullif(trim(kind), ''), 'unknown') AS place_kind,
+      coalesce(cast(nullif(lat, '') AS double), 0) AS lat, coalesce(cast(nullif(lon, '') AS double), 0) AS lon,
+      coalesce(cast(nullif(radius_km, '') AS double), 50) AS radius_km, list_concat([trim(name)], list_filter(string_split(aliases, '|'), lambda a: trim(a) <> '')) AS forms
+      FROM {gaz_pipe} WHERE trim(name) <> ''),
+    gf AS (SELECT *, unnest(forms) AS form, generate_subscripts(forms, 1) AS form_pos FROM ge),
+    gk AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(trim(form)), '[\\s\\-_/]+', ' ', 'g'), '[^a-z0-9äöüß ]+', '', 'g'), '\\s{2,}', ' ', 'g') AS norm_key FROM gf),
+    gd AS (SELECT norm_key, canonical_name, place_kind, lat, lon, radius_km FROM gk QUALIFY row_number() OVER (PARTITION BY norm_key ORDER BY entry_pos DESC, form_pos DESC) = 1)"""
+
+
+@query("gazetteer_load", f"""WITH {GAZ_DUCK} SELECT 'pipe' AS source, canonical_name AS name, place_kind AS kind, '' AS country, lat, lon, radius_km, len(forms) - 1 AS n_aliases FROM ge
+    UNION ALL SELECT 'comma', name, coalesce(nullif(kind, ''), 'unknown'), country, cast(lat AS double), cast(lon AS double), NULL,
+      len(list_filter(string_split(aliases, ','), lambda a: trim(a) <> '')) FROM {{gaz_comma}}""".replace("{{", "{").replace("}}", "}"))
+def gazetteer_load(d):
+    pipe = gazetteers.pipe_gazetteer(d.gaz_pipe)
+    n = F.size(F.filter("aliases", lambda a: F.trim(a) != "")).cast("bigint")
+    a = pipe.select(
+        F.lit("pipe").alias("source"), F.col("canonical_name").alias("name"), F.col("place_kind").alias("kind"), F.lit("").alias("country"),
+        "lat", "lon", "radius_km", n.alias("n_aliases"),
+    )
+    b = gazetteers.comma_gazetteer(d.gaz_comma)
+    return a.union(b.select(F.lit("comma"), "name", "kind", "country", "lat", "lon", F.lit(None).cast("double"), F.size("aliases").cast("bigint")))
+
+
+@query("gazetteer_dict", f"WITH {GAZ_DUCK} SELECT * FROM gd")
+def gazetteer_dict(d):
+    return gazetteers.alias_dictionary(gazetteers.pipe_gazetteer(d.gaz_pipe))
+
+
+GEO_DUCK = f"""{GAZ_DUCK}, gh AS (SELECT episode_id, regexp_extract_all(t, '\\b(in|bei|nach|aus|von|auf)\\s+([A-Z567][\\w\\-]+)', 2) AS h,
+      regexp_extract_all(t, '\\b[A-Z567][a-z1-4]{{{{3,}}}}\\b') AS w FROM (SELECT episode_id, translate(text, 'äöüßÄÖÜ', '1234567') AS t FROM (SELECT episode_id, text FROM {{{{txt}}}}))),
+    gc AS (SELECT episode_id, list_concat(h, list_filter(w, lambda x, i: list_position(w, x) = i AND NOT list_contains(h, x)))[1:30] AS c FROM gh),
+    gx AS (SELECT episode_id, unnest(c) AS cand, generate_subscripts(c, 1) - 1 AS pos FROM gc),
+    gj AS (SELECT g.*, x.episode_id, x.pos FROM gx x JOIN gd g ON g.norm_key = regexp_replace(regexp_replace(lower(trim(x.cand)), '[\\s\\-_/]+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g')),
+    geo AS (SELECT episode_id, cast(pos AS int) AS pos, canonical_name, place_kind, lat, lon, radius_km FROM gj
+      QUALIFY row_number() OVER (PARTITION BY episode_id, canonical_name ORDER BY pos) = 1)""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}")
+
+
+def geo_table(d):
+    alias = gazetteers.alias_dictionary(gazetteers.pipe_gazetteer(d.gaz_pipe))
+    return places.geocode(d.txt, ["episode_id"], alias)
+
+
+@query("geocode", f"WITH {GEO_DUCK} SELECT * FROM geo")
+def geocode(d):
+    return geo_table(d)
+
+
+@query("best_place", f"WITH {GEO_DUCK} SELECT episode_id, canonical_name, lat, lon FROM geo QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY pos) = 1")
+def best_place(d):
+    return places.first_place(geo_table(d), "episode_id", ["pos"]).select("episode_id", "canonical_name", "lat", "lon")
+
+
+@query("place_dim", f"""WITH {GEO_DUCK}, k AS (SELECT *, regexp_replace(lower(canonical_name), '[\\s\\-_/]+', ' ', 'g') AS norm_key FROM geo)
+    SELECT norm_key, canonical_name, place_kind FROM k QUALIFY row_number() OVER (PARTITION BY norm_key ORDER BY episode_id, pos) = 1""")
+def place_dim(d):
+    return places.place_dimension(geo_table(d), ["episode_id", "pos"]).select("norm_key", "canonical_name", "place_kind")
+
+
+TM_DUCK = """t0 AS (SELECT episode_id, text FROM {txt} UNION ALL SELECT 10000000 + doc_id, text FROM {documents}),
+    -- walk matches by cutting the text behind each of them
+    rr AS (SELECT episode_id, text, regexp_extract_all(text, '\\d{3,4}\\s*[\\-–—]\\s*\\d{2,4}') AS hits FROM t0),
+    rs AS (SELECT episode_id, text, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i, hits FROM rr),
+    masked AS (SELECT episode_id, text, regexp_replace(text, '\\d{3,4}\\s*[\\-–—]\\s*\\d{2,4}', chr(1), 'g') AS cut, hits FROM rr),
+    rp AS (SELECT episode_id, 'range_year' AS kind, hit, string_split(cut, chr(1)) AS gaps, m.hits, i FROM rs r JOIN masked m USING (episode_id)),
+    ranges AS (SELECT episode_id, kind, hit, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0) AS int) AS st FROM rp),
+    blank AS (SELECT t.episode_id, coalesce(list_reduce(list_prepend(t.text, list(r.hit) FILTER (r.hit IS NOT NULL)), lambda a, h: a), t.text) AS text FROM t0 t LEFT JOIN ranges r USING (episode_id) GROUP BY t.episode_id, t.text),
+    bh AS (SELECT episode_id, text, regexp_extract_all(text, '(?i)\\b\\d{1,4}\\s*(?:v\\.?\\s*Chr\\.?|BC|BCE)\\b') AS hits, string_split(regexp_replace(text, '(?i)\\b\\d{1,4}\\s*(?:v\\.?\\s*Chr\\.?|BC|BCE)\\b', chr(1), 'g'), chr(1)) AS gaps FROM t0),
+    bp AS (SELECT episode_id, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i, hits, gaps FROM bh),
+    ph AS (SELECT episode_id, text, regexp_extract_all(text, '\\b\\d{3,4}\\b') AS hits, string_split(regexp_replace(text, '\\b\\d{3,4}\\b', chr(1), 'g'), chr(1)) AS gaps FROM t0),
+    pp AS (SELECT episode_id, unnest(hits) AS hit, generate_subscripts(hits, 1) AS i, hits, gaps FROM ph),
+    yr AS (SELECT episode_id, 'year' AS kind, hit, -1 AS sign, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0) AS int) AS st FROM bp
+      UNION ALL SELECT episode_id, 'year', hit, 1, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i-1], lambda g: length(g))), 0) AS int) FROM pp),
+    mentions AS (SELECT episode_id, kind, NULL::int AS year, cast(regexp_extract(hit, '^\\d+') AS int) AS start_year,
+        CASE WHEN cast(regexp_extract(hit, '\\d+$') AS int) < 100 THEN (cast(regexp_extract(hit, '^\\d+') AS int) // 100) * 100 + cast(regexp_extract(hit, '\\d+$') AS int)
+             ELSE cast(regexp_extract(hit, '\\d+$') AS int) END AS end_year, st AS "start", cast(st + length(hit) AS int) AS "end" FROM ranges
+      UNION ALL SELECT y.episode_id, y.kind, sign * cast(regexp_extract(y.hit, '\\d+') AS int), NULL, NULL, y.st, cast(y.st + length(y.hit) AS int) FROM yr y
+        WHERE NOT EXISTS (SELECT 1 FROM ranges r WHERE r.episode_id = y.episode_id AND r.st <= y.st AND y.st < r.st + length(r.hit)))"""
+TM_DUCK = TM_DUCK.replace("    -- walk matches by cutting the text behind each of them\n", "")
+
+
+def mention_source(d):
+    return d.txt.select("episode_id", "text").union(d.documents.select(F.col("doc_id") + 10000000, "text"))
+
+
+@query("time_mentions", f"""WITH {TM_DUCK} SELECT episode_id, kind, year, start_year, end_year, "start", "end" FROM mentions""")
+def time_mentions(d):
+    return mentions.extract_time_mentions(mention_source(d), ["episode_id"]).drop("mention_pos")
+
+
+@query("primary_time", f"""WITH {TM_DUCK}, f AS (SELECT * FROM mentions QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY kind DESC, "start", "end", kind) = 1)
+    SELECT t0.episode_id, CASE f.kind WHEN 'year' THEN 'point' WHEN 'range_year' THEN 'range' ELSE 'unknown' END AS kind, year, start_year, end_year FROM t0 LEFT JOIN f USING (episode_id)""")
+def primary_time(d):
+    return mention_source(d).select("episode_id", mentions.primary_time(F.col("text")).alias("t")).select("episode_id", "t.*")
+
+
+@query("persons", f"""
+    WITH k AS (SELECT doc_id, regexp_replace({coded('text')}, '(?i)\\b(Personen|Person|Guests|Guest|Mitwirkende)\\b\\s*:?', ' ', 'g') AS t
+               FROM (SELECT doc_id, concat('Gast: Jörg von Bülow-X. Personen: Änne Öl Über Politik. ', text) AS text FROM {{documents}})),
+    n AS (SELECT doc_id, regexp_extract_all(t, '\\b([A-Z567][a-z1-4]+\\s+(?:(?:von|van|de|del|der|den|da|di)\\s+)?[A-Z567][a-z1-4]+(?:\\s+[A-Z567][a-z1-4]+){{0,2}})\\b', 1) AS h FROM k),
+    f AS (SELECT doc_id, list_filter(h, lambda x, i: list_position(h, x) = i AND NOT list_has_any(regexp_split_to_array(x, '\\s+'),
+      ['Ort','Zeit','Thema','Personen','Kontext','Mehr','Folge','Jahr','Krieg','Revolution','Politik','Frankreich','Deutschland'])) AS h FROM n)
+    SELECT doc_id, {decoded("array_to_string(h, '; ')")} AS persons FROM f""")
+def persons(d):
+    raw = F.concat(F.lit("Gast: Jörg von Bülow-X. Personen: Änne Öl Über Politik. "), "text")
+    return d.documents.select("doc_id", F.array_join(people.person_names(raw), "; ").alias("persons"))
+
+
+@query("entities", """
+    WITH s AS (SELECT episode_id, translate(text, 'äöüßÄÖÜ', '1234567') AS t FROM (SELECT episode_id, regexp_replace(text, '[0-9]', '_', 'g') AS text FROM {txt})),
+    a AS (SELECT episode_id, 'event' AS kind, 0.85::double AS confidence, unnest(regexp_extract_all(t, '\\b(Schlacht\\s+von\\s+[A-Z567][\\w\\-]+|Revolution\\s+[A-Z567][\\w\\-]+|Gr3ndung\\s+der\\s+[A-Z567][\\w\\-]+|Attentat\\s+auf\\s+[A-Z567][\\w\\-]+|Parteitag\\s+der\\s+[A-Z567][\\w\\-]+)\\b', 1)) AS name FROM s
+      UNION ALL SELECT episode_id, 'org', 0.80, regexp_replace(unnest(regexp_extract_all(t, '\\b([A-Z567][\\w\\- ]{2,}\\b(?:GmbH|AG|Universit1t|University|Institut|Stiftung|Bundestag|KPdSU|CDU|CSU|NSDAP|KPD|SPD))\\b', 1)), '\\s+', ' ', 'g') FROM s
+      UNION ALL SELECT episode_id, 'person', 0.65, regexp_replace(unnest(regexp_extract_all(t, '\\b([A-Z567][a-z1-4]+(?:\\s+(?:von|der|de|del|da|di))?\\s+[A-Z567][a-z1-4]+)\\b', 1)), '\\s+', ' ', 'g') FROM s)
+    SELECT DISTINCT episode_id, kind, confidence, translate(name, '1234567', 'äöüßÄÖÜ') AS name FROM a
+    WHERE kind <> 'person' OR NOT regexp_matches(name, 'Universit1t|University|Institut|Stiftung')""")
+def entities(d):
+    found = people.extract_entities(d.txt.withColumn("text", F.regexp_replace("text", "[0-9]", "_")), ["episode_id"])
+    return found.select("episode_id", "kind", "confidence", "name")
+
+
+RAKE_DUCK = """tok AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(lower(text), '[^A-Za-zÄÖÜäöüß0-9]+'), [''])) AS w,
+      generate_subscripts(list_concat(regexp_split_to_array(lower(text), '[^A-Za-zÄÖÜäöüß0-9]+'), ['']), 1) AS i FROM {documents}),
+    brk AS (SELECT *, length(w) <= 2 OR w IN ('der','die','das','und','oder','aber','wenn','weil','dass','ist','sind','war','waren','eine','ein','einer','eines','einem',
+      'im','in','am','an','auf','aus','bei','mit','von','zu','für','über','um','als','auch','noch','mehr','nicht','wir','ihr','euch','uns','diese','dieser','dieses') AS b FROM tok),
+    runs AS (SELECT *, sum(b::int) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM brk),
+    kept AS (SELECT doc_id, run, w, i, count(*) OVER (PARTITION BY doc_id, run) AS len FROM runs WHERE NOT b),
+    wrd AS (SELECT doc_id, w, sum(len) / count(*) AS sc FROM kept GROUP BY 1, 2),
+    ph AS (SELECT doc_id, run, min(i) AS pos, string_agg(w, ' ' ORDER BY i) AS phrase, sum(sc) AS score FROM kept JOIN wrd USING (doc_id, w) WHERE len <= 5 GROUP BY 1, 2),
+    pu AS (SELECT doc_id, phrase, round(max(score), 9)::double AS score, min(pos) AS pos FROM ph GROUP BY 1, 2),
+    rake AS (SELECT doc_id, phrase, round(score, 6)::double AS score, cast(row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS int) AS rank FROM pu QUALIFY rank <= 25)"""
+
+
+@query("rake", f"WITH {RAKE_DUCK} SELECT * FROM rake")
+def rake(d):
+    return kp.keyphrases(d.documents, "doc_id").withColumn("score", F.round("score", 6))
+
+
+@query("keyword_dim", f"WITH {RAKE_DUCK} SELECT phrase, count(DISTINCT doc_id) AS episodes, round(sum(score), 3)::double AS total FROM rake GROUP BY 1")
+def keyword_dim(d):
+    scored = kp.keyphrases(d.documents, "doc_id").withColumn("score", F.round("score", 6))
+    bridge = kp.keyword_bridge(scored, "doc_id", "rank")
+    dim = kp.keyword_dimension(bridge)
+    return dim.join(bridge, "phrase").groupBy("phrase").agg(
+        F.count_distinct("doc_id").alias("episodes"), F.round(F.sum("score"), 3).alias("total")
+    )
+
+
+PAGE_PATTERNS = PagePatterns(
+    block=r"(?isU)<article[^>]*>(.*?)</article>", minutes=r"(?iU)/fr/(\d{1,3})", episode_url=r'(?iU)href="(/[^\s"\'>]+)"',
+    next_url=r'(?iU)<a[^>]+href="(/[^"]+)"', audio=r'(?iU)href="(/q[^"]+)"',
+)
+
+
+@query("page_fields", f"""
+    WITH s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN replace(html, '<article>', '<section>') ELSE html END || CASE page_id % 3 WHEN 0 THEN
+      '<meta property="og:title" content=" T' || page_id || ' "><a href="https://podcast-mp3.dradio.de/podcast/2019/03/' || lpad(cast(1 + page_id % 40 AS varchar), 2, '0') || '/a.mp3?x=1">45 Minuten</a>'
+      WHEN 1 THEN '<div>05.11.2020</div>' ELSE '<meta name="d" property="og:description" content=" D&amp; ">' END AS html FROM {{pages}}),
+    f AS (SELECT page_id, html, regexp_extract(html, '(?i)https://podcast-mp3\\.dradio\\.de/[^\\s"''>]+?\\.mp3(?:\\?[^\\s"''>]+)?') AS a FROM s)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'T' || page_id ELSE {one_line("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1)")} END AS title,
+      CASE WHEN page_id % 2 = 1 THEN {one_line("regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1)")}
+           WHEN page_id % 3 = 2 THEN 'D&amp;' ELSE substr({one_line('html')}, 1, 2000) END AS description,
+      nullif(a, '') AS audio_url, CASE WHEN page_id % 3 = 0 THEN 2700 END AS duration_seconds,
+      CASE page_id % 3 WHEN 1 THEN '2020-11-05' WHEN 0 THEN cast(try_cast('2019-03-' || lpad(cast(1 + page_id % 40 AS varchar), 2, '0') AS date) AS varchar) END AS published_date FROM f""")
+def page_fields(d):
+    n = F.col("page_id")
+    day = F.lpad((1 + n % 40).cast("string"), 2, "0")
+    head = F.concat(
+        F.lit('<meta property="og:title" content=" T'), n.cast("string"),
+        F.lit(' "><a href="https://podcast-mp3.dradio.de/podcast/2019/03/'), day, F.lit('/a.mp3?x=1">45 Minuten</a>'),
+    )
+    tail = F.when(n % 3 == 0, head).when(n % 3 == 1, "<div>05.11.2020</div>").otherwise(
+        '<meta name="d" property="og:description" content=" D&amp; ">'
+    )
+    body = F.when(n % 2 == 0, F.replace("html", F.lit("<article>"), F.lit("<section>"))).otherwise(F.col("html"))
+    patterns = PagePatterns(block=r"(?isU)<article[^>]*>(.*?)</article>")
+    out = pages.page_fields(d.pages.select("page_id", F.concat(body, tail).alias("html")), ["page_id"], patterns=patterns)
+    return out.withColumn("published_date", F.col("published_date").cast("string"))
+
+
+@query("page_links", """
+    SELECT page_id, array_to_string(list_sort(list_distinct(regexp_extract_all(html, '(?i)href="(/[^\\s"''>]+)"', 1))), ' ') AS urls,
+      nullif(regexp_extract(html, '(?i)<a[^>]+href="(/[^"]+)"', 1), '') AS next_page_url FROM {pages}""")
+def page_links(d):
+    out = pages.page_links(d.pages, ["page_id"], patterns=PAGE_PATTERNS, group=1)
+    return out.select("page_id", F.array_join("episode_urls", " ").alias("urls"), "next_page_url")
+
+
+@query("frontier_cap", """
+    WITH p AS (SELECT page_id % 10 AS archive, page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)href="(/[^\\s"''>]+)"', 1))) AS u,
+        row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS pr FROM {pages} QUALIFY pr <= 10),
+    x AS (SELECT archive, pr, unnest(u) AS url, generate_subscripts(u, 1) AS pos FROM p),
+    f AS (SELECT archive, url, min((pr, pos)) AS first_seen FROM x GROUP BY 1, 2)
+    SELECT archive, url, cast(row_number() OVER (PARTITION BY archive ORDER BY first_seen) AS int) AS rank FROM f QUALIFY rank <= 40""")
+def frontier_cap(d):
+    links = pages.page_links(d.pages.withColumn("archive", F.col("page_id") % 10), ["archive", "page_id"], patterns=PAGE_PATTERNS, group=1)
+    return pages.frontier(links, "archive", "page_id", max_pages=10, max_episodes=40)
+
+
+@query("ordered_distinct", """
+    WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+')) AS word, generate_subscripts(regexp_extract_all(text, '[A-Z][a-z]+'), 1) - 1 AS pos FROM {documents})
+    SELECT doc_id, word, cast(min(pos) AS int) AS pos FROM w GROUP BY 1, 2""")
+def ordered_distinct(d):
+    words = d.documents.select("doc_id", F.posexplode(find_all(F.col("text"), "[A-Z][a-z]+")).alias("pos", "word"))
+    return relational.ordered_distinct(words, ["doc_id"], "word", "pos")
+
+
+NAMES_DUCK = """nm AS (SELECT entry_pos, name, coalesce(nullif(kind, ''), 'unknown') AS kind, country, cast(lat AS double) AS lat, cast(lon AS double) AS lon,
+      unnest(list_concat([name], list_filter(list_transform(string_split(aliases, ','), lambda a: trim(a)), lambda a: a <> ''))) AS surface FROM {gaz_comma})"""
+
+
+@query("dict_hits", f"""WITH {NAMES_DUCK} SELECT t.episode_id, n.name, count(*) AS hits FROM {{txt}} t, nm n
+    WHERE regexp_matches(t.text, '(?i)\\b' || n.surface || '\\b') GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
+def dict_hits(d):
+    names = gazetteers.surface_forms(gazetteers.comma_gazetteer(d.gaz_comma))
+    hits = places.dictionary_hits(d.txt, "episode_id", names)
+    # surface forms found per text; repeats of one form in a text count once on both sides
+    return hits.select("episode_id", "name", "name_pos").distinct().groupBy("episode_id", "name").agg(F.count(F.lit(1)).alias("hits"))
+
+
+# Overlaps resolved by the rules of the fixed name list: the longest form at a position wins.
+LOC_DUCK = f"""{NAMES_DUCK}, h0 AS (SELECT t.episode_id, n.*, length(n.surface) AS size,
+      string_split(regexp_replace(t.text, '(?i)\\b' || n.surface || '\\b', chr(1), 'g'), chr(1)) AS gaps FROM {{txt}} t JOIN nm n ON regexp_matches(t.text, '(?i)\\b' || n.surface || '\\b')),
+    h1 AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM h0),
+    h AS (SELECT *, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS int) + (i - 1) * size AS st FROM h1),
+    loc AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.episode_id = a.episode_id AND b.st < a.st + a.size AND a.st < b.st + b.size
+      AND (b.size > a.size OR (b.size = a.size AND b.entry_pos < a.entry_pos))))""".replace("{{", "{").replace("}}", "}")
+
+
+@query("dict_locations", f"""WITH {LOC_DUCK} SELECT episode_id, name, kind, country, lat, lon, st::int AS "start", (st + size)::int AS "end" FROM loc""")
+def dict_locations(d):
+    names = gazetteers.surface_forms(gazetteers.comma_gazetteer(d.gaz_comma))
+    return places.dictionary_locations(d.txt, "episode_id", names)
+
+
+@query("primary_location", f"""WITH {LOC_DUCK} SELECT episode_id, name, lat, lon FROM loc QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY st, size) = 1""")
+def primary_location(d):
+    names = gazetteers.surface_forms(gazetteers.comma_gazetteer(d.gaz_comma))
+    return places.primary_location(places.dictionary_locations(d.txt, "episode_id", names), "episode_id").select("episode_id", "name", "lat", "lon")
+
+
+@query("join_places", """
+    WITH n AS (SELECT n_nationkey AS id, lower(replace(n_name, '_', ' ')) AS norm_key, concat('The ', n_name) AS canonical_name,
+        CASE WHEN n_nationkey % 4 = 1 THEN NULL ELSE 'country' END AS place_kind FROM {nation} WHERE n_nationkey % 5 <> 0)
+    SELECT p.place_id, p.episode_id, coalesce(n.canonical_name, p.canonical_name) AS canonical_name, coalesce(n.norm_key, lower(p.canonical_name)) AS norm_key,
+      coalesce(nullif(coalesce(n.place_kind, p.place_kind), ''), 'unknown') AS place_kind, p.lat, p.lon
+    FROM {place} p LEFT JOIN n ON n.id = cast(split_part(p.canonical_name, '_', 2) AS int)""")
+def join_places(d):
+    dim = d.nation.filter("n_nationkey % 5 <> 0").select(
+        F.col("n_nationkey").alias("place_norm_id"), F.lower(F.replace("n_name", F.lit("_"), F.lit(" "))).alias("norm_key"),
+        F.concat(F.lit("The "), "n_name").alias("canonical_name"), F.when(F.col("n_nationkey") % 4 != 1, "country").alias("place_kind"),
+    )
+    raw = d.place.withColumn("place_norm_id", F.split_part("canonical_name", F.lit("_"), F.lit(2)).cast("int")).withColumnRenamed("canonical_name", "name_raw")
+    return join_place_names(raw, dim)

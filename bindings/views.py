@@ -143,7 +143,7 @@ _SQL = {
 
 
 def _deps(body: str) -> list[str]:
-    return list(dict.fromkeys(re.findall(r"\{(\w+)\}", body)))
+    return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", body)))
 
 
 VIEWS = {name: (_deps(body), body) for name, body in _SQL.items()}
@@ -159,11 +159,11 @@ def oracle(sql: str) -> str:
                 need(dep)
             ordered.append(name)
 
-    for name in re.findall(r"\{(\w+)\}", sql):
+    for name in re.findall(r"\{([a-z]\w*)\}", sql):
         need(name)
-    plain = {n: re.sub(r"\{(\w+)\}", r"\1", VIEWS[n][1]) for n in ordered}
+    plain = {n: re.sub(r"\{([a-z]\w*)\}", r"\1", VIEWS[n][1]) for n in ordered}
     ctes = [f"{n} AS ({body})" for n, body in plain.items()]
-    body = re.sub(r"\{(\w+)\}", r"\1", sql).strip()
+    body = re.sub(r"\{([a-z]\w*)\}", r"\1", sql).strip()
     if body[:5].upper() == "WITH ":
         rest = body[5:]
         recursive = rest[:10].upper() == "RECURSIVE "

@@ -44,11 +44,11 @@ def _code_point(n: Column) -> Column:
         code: bytes([code]).decode("cp1252", errors="ignore") or chr(code)
         for code in range(0x80, 0xA0)
     }
-    c1_map = F.from_json(F.lit(json.dumps(c1)), "map<int,string>")
+    c1_map = F.from_json(F.lit(json.dumps(c1)), "map<string,string>")
     bad = (n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF)
     return (
         F.when(bad, F.lit("�"))
-        .when(n.between(0x80, 0x9F), F.element_at(c1_map, n.cast("int")))
+        .when(n.between(0x80, 0x9F), F.element_at(c1_map, n.cast("string")))
         .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32"))
     )
 

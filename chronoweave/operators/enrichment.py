@@ -66,7 +66,7 @@ def claim_value(v: Column) -> Column:
     items = F.try_variant_get(v, "$", "array<variant>")
     as_list = F.concat(
         F.lit("["),
-        F.array_join(F.transform(F.slice(items, 1, MAX_LIST_ITEMS), F.to_json), ","),
+        F.array_join(F.transform(F.slice(items, 1, MAX_LIST_ITEMS), lambda i: F.to_json(i)), ","),
         F.lit("]"),
     )
     scalar = F.try_variant_get(v, "$", "string")

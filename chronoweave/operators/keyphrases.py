@@ -26,7 +26,7 @@ def phrase_array(text: Column) -> Column:
     marked = F.transform(
         tokens, lambda t: F.when((F.length(t) <= 2) | F.array_contains(stop, t), "|").otherwise(t)
     )
-    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), F.trim)
+    runs = F.transform(F.split(F.array_join(marked, " "), r"\|"), lambda p: F.trim(p))
     return F.filter(runs, lambda p: p != "")
 
 
