@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronoweave.session import spread
+
 from .views import VIEWS, oracle
 
+TEXT_TABLES = ("documents", "pages")
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -25,9 +29,13 @@ class Data:
         if name not in self._made:
             if name in VIEWS:
                 deps, body = VIEWS[name]
-                self._made[name] = self.spark.sql(body, **{d: getattr(self, d) for d in deps})
+                inputs = {d: getattr(self, d) for d in deps}
+                if name == "txt_parts":
+                    inputs["orders"] = spread(inputs["orders"])
+                self._made[name] = self.spark.sql(body, **inputs)
             else:
-                self._made[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._made[name] = spread(table) if name in TEXT_TABLES else table
         return self._made[name]
 
 

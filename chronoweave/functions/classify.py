@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .columns import blank_to_null, contains_any, find_all, first_match
+from .columns import blank_to_null, contains_any, find_all, first_match, let
 
 # Ordered keyword groups.
 INCIDENT_LADDER = (
@@ -55,12 +55,15 @@ def merged_episode_kind(title: Column) -> Column:
 
 def incident_type(text: Column) -> Column:
     """First group of the ladder with a hit, else ``other``."""
-    t = F.lower(text)
-    (label, words), *rest = INCIDENT_LADDER
-    ladder = F.when(contains_any(t, words), label)
-    for label, words in rest:
-        ladder = ladder.when(contains_any(t, words), label)
-    return ladder.otherwise("other")
+
+    def ladder(t: Column) -> Column:
+        (label, words), *rest = INCIDENT_LADDER
+        steps = F.when(contains_any(t, words), label)
+        for label, words in rest:
+            steps = steps.when(contains_any(t, words), label)
+        return steps.otherwise("other")
+
+    return let(F.lower(text), ladder)
 
 
 def narrator(author: Column, description: Column) -> Column:

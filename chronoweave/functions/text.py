@@ -116,7 +116,9 @@ def clean_description(c: Column) -> Column:
     for mark in AD_SEPARATORS:
         t = F.substring_index(t, mark, 1)
     lines = F.transform(F.split(t, LINE_BREAK), strip)
-    kept = F.filter(lines, lambda s: (s != "") & ~contains_any(F.lower(s), FOOTER_MARKERS))
+    kept = F.filter(
+        lines, lambda s: (s != "") & ~let(F.lower(s), lambda low: contains_any(low, FOOTER_MARKERS))
+    )
     return F.array_join(kept, "\n")
 
 
@@ -124,7 +126,9 @@ def segments(c: Column) -> Column:
     """Blank-line blocks as ``array<struct<section,text>>``."""
 
     def block(b: Column) -> Column:
-        low = F.lower(b)
+        return let(F.lower(b), lambda low: tagged(b, low))
+
+    def tagged(b: Column, low: Column) -> Column:
         section = (
             F.when(low.contains("folgenbild") & low.contains("zeigt"), "caption")
             .when(low.startswith("das erwartet") | low.startswith("ihr hört"), "outline")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import mid_year
 from ..functions.numeric import cluster_count, unit_scale
-from ..session import broadcast_if_small, cut_lineage
+from ..session import BROADCAST_ROW_BOUND, broadcast_if_small, cut_lineage, spread
 from .relational import number_rows
 
 MIN_POINTS = 4
@@ -38,8 +38,9 @@ def cluster_points(best: DataFrame) -> DataFrame:
     points = best.select(
         "podcast_id", "episode_id", mid_year(F.col("start_date"), F.col("end_date")).alias("mid_year"), "lat", "lon"
     ).filter("mid_year IS NOT NULL")
+    points = cut_lineage(points)
     enough = points.groupBy("podcast_id").count().filter(F.col("count") >= MIN_POINTS).select("podcast_id")
-    return points.join(broadcast_if_small(enough), "podcast_id", "left_semi")
+    return points.join(broadcast_if_small(enough, computed=True), "podcast_id", "left_semi")
 
 
 def scale_points(points: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def scale_points(points: DataFrame) -> DataFrame:
     scaled = [
         F.round(unit_scale(F.col(a), F.col(f"{a}_lo"), F.col(f"{a}_hi")), DIGITS).alias(f"s_{a}") for a in AXES
     ]
-    return points.join(broadcast_if_small(bounds), "podcast_id").select(
+    return points.join(broadcast_if_small(bounds, computed=True), "podcast_id").select(
         *points.columns, "n", k.alias("k"), *scaled
     )
 
@@ -68,7 +69,7 @@ def seed_centroids(numbered: DataFrame) -> DataFrame:
     ).select("j", (F.col("first_no") + F.rint(F.col("j") * F.col("step")).cast("bigint")).alias("row_no"))
     vector = F.struct(*[F.col(f"s_{a}").alias(a) for a in AXES])
     return (
-        numbered.join(broadcast_if_small(seeds), "row_no")
+        numbered.join(broadcast_if_small(seeds, computed=True), "row_no")
         .groupBy("podcast_id")
         .agg(F.array_sort(F.collect_list(F.struct("j", vector.alias("v")))).alias("seeds"))
         .select("podcast_id", F.transform("seeds", lambda s: s["v"]).alias("centroids"))
@@ -79,43 +80,56 @@ def nearest(centroids: Column) -> Column:
     """Index of the nearest centroid, lowest index on ties."""
 
     def distance(c: Column) -> Column:
-        parts = [F.pow(F.col(f"s_{a}") - c[a], 2) for a in AXES]
-        return F.round(parts[0] + parts[1] + parts[2], DIGITS)
+        gaps = [F.col(f"s_{a}") - c[a] for a in AXES]
+        # in units of the last kept digit, which is cheaper than decimal rounding
+        return F.rint((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) * F.lit(10.0**DIGITS))
 
     best = F.array_min(F.transform(centroids, lambda c, i: F.struct(distance(c).alias("d"), i.alias("j"))))
     return best["j"]
 
 
 def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Next centroids; a centroid without points stays where it is."""
+    """Next centroids and whether they moved; a centroid without points stays where it is."""
     means = (
-        points.join(broadcast_if_small(centroids), "podcast_id")
-        .select("podcast_id", nearest(F.col("centroids")).alias("j"), *[f"s_{a}" for a in AXES])
+        points.join(centroids.select("podcast_id", "centroids"), "podcast_id")
+        .select("podcast_id", "centroids", nearest(F.col("centroids")).alias("j"), *[f"s_{a}" for a in AXES])
         .groupBy("podcast_id", "j")
-        .agg(*[F.round(F.avg(f"s_{a}"), DIGITS).alias(a) for a in AXES])
+        .agg(
+            *[F.round(F.avg(f"s_{a}"), DIGITS).alias(a) for a in AXES],
+            F.first("centroids").alias("centroids"),
+        )
         .groupBy("podcast_id")
-        .agg(F.map_from_entries(F.collect_list(F.struct("j", F.struct(*AXES)))).alias("means"))
+        .agg(
+            F.map_from_entries(F.collect_list(F.struct("j", F.struct(*AXES)))).alias("means"),
+            F.first("centroids").alias("old"),
+        )
     )
-    moved = F.transform("centroids", lambda c, i: F.coalesce(F.try_element_at("means", i), c))
-    return centroids.join(means, "podcast_id").select("podcast_id", moved.alias("centroids"))
+    moved = F.transform("old", lambda c, i: F.coalesce(F.try_element_at("means", i), c))
+    out = means.select("podcast_id", "old", moved.alias("centroids"))
+    return out.select("podcast_id", "centroids", (F.col("centroids") != F.col("old")).alias("moved"))
 
 
 def kmeans(points: DataFrame, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Points with their cluster index ``j`` and label ``C1..Ck``.
 
-    Unchanged centroids mean that no assignment can change any more, which ends the loop.
+    Unchanged centroids mean that no assignment can change any more, which ends the loop.  The
+    centroid table keeps its size, so whether it may be broadcast is decided once.
     """
-    numbered = number_rows(scale_points(points), ["podcast_id", "s_mid_year", "episode_id"])
-    numbered = cut_lineage(numbered)
+    numbered = cut_lineage(number_rows(scale_points(points), ["podcast_id", "s_mid_year", "episode_id"]))
+    parallel = spread(numbered)
+    if parallel is not numbered:
+        numbered = cut_lineage(parallel)
     centroids = cut_lineage(seed_centroids(numbered))
+    small = centroids.limit(BROADCAST_ROW_BOUND + 1).count() <= BROADCAST_ROW_BOUND
+
+    def side(c: DataFrame) -> DataFrame:
+        return F.broadcast(c) if small else c
+
     for _ in range(iterations - 1):
-        moved = cut_lineage(kmeans_step(numbered, centroids))
-        same = moved.withColumnRenamed("centroids", "moved").join(centroids, "podcast_id")
-        done = same.filter(F.col("moved") != F.col("centroids")).isEmpty()
-        centroids = moved
-        if done:
+        centroids = cut_lineage(kmeans_step(numbered, side(centroids)))
+        if centroids.filter("moved").isEmpty():
             break
-    assigned = numbered.join(broadcast_if_small(centroids), "podcast_id")
+    assigned = numbered.join(side(centroids.select("podcast_id", "centroids")), "podcast_id")
     return assigned.select(*points.columns, "k", nearest(F.col("centroids")).alias("j")).withColumn(
         "label", F.concat(F.lit("C"), (F.col("j") + 1).cast("string"))
     )

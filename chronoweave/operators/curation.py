@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 
 @dataclass
@@ -46,6 +46,7 @@ def delete_episode_spans(
         "episode_id", "span_id", state.alias("state")
     )
     gone = decisions.filter("state = 'deleted'").select("episode_id", "span_id")
+    gone = cut_lineage(gone)
     gone_ids = broadcast_if_small(gone.select("span_id"))
 
     def purge(links):

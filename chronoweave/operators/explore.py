@@ -192,7 +192,7 @@ def term_graph(sorted_terms: DataFrame, episode_terms: DataFrame, nodes: int = 1
         .select("cluster_id", F.lower("term").alias("term"))
         .distinct()
     )
-    used = episode_terms.withColumn("term", F.lower("term")).join(broadcast_if_small(node), ["cluster_id", "term"])
+    used = episode_terms.withColumn("term", F.lower("term")).join(broadcast_if_small(node, computed=True), ["cluster_id", "term"])
     counted = cooccurrence_pairs(used).groupBy("cluster_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return top_n(counted, ["cluster_id"], [F.desc("weight"), "a", "b"], edges)
 

@@ -1,7 +1,7 @@
 """Year and year-range mentions with signed years, and the primary time of a text.
 
-Positions come from one scan that captures the gap before every match, so the arrays are as long
-as the number of mentions, not as the text.
+Matches and the gaps between them come from two plain scans, so the arrays are as long as the number
+of mentions, not as the text.
 """
 
 from __future__ import annotations
@@ -19,17 +19,14 @@ PLAIN_YEAR = r"\b\d{3,4}\b"
 
 
 def _located(text: Column, pattern: str) -> Column:
-    """``array<struct<start,end,hit>>`` of all matches."""
-    flags = "(?isU)"
-    # Lazy gap, then the match; the pieces are contiguous from the start of the text.  The end of
-    # the text is an alternative, so the tail is read once instead of once per character.
-    scan = f"{flags}(.*?)(?:({pattern})|\\z)"
-    located = let(
-        find_all(text, scan, 1),
-        lambda gaps: let(
-            find_all(text, scan, 2),
-            lambda hits: let(
-                running_offsets(F.transform(gaps, lambda g, i: F.length(g) + F.length(F.get(hits, i)))),
+    """``array<struct<start,end,hit>>`` of all matches; the text between them gives the offsets."""
+    pattern = f"(?iU){pattern}"
+
+    def place(hits: Column) -> Column:
+        return let(
+            F.split(text, pattern, -1),
+            lambda gaps: let(
+                running_offsets(F.transform(hits, lambda h, i: F.length(F.get(gaps, i)) + F.length(h))),
                 lambda at: F.transform(
                     hits,
                     lambda h, i: F.struct(
@@ -39,9 +36,14 @@ def _located(text: Column, pattern: str) -> Column:
                     ),
                 ),
             ),
+        )
+
+    return let(
+        find_all(text, pattern),
+        lambda hits: F.when(F.size(hits) > 0, place(hits)).otherwise(
+            F.array().cast("array<struct<start:int,end:int,hit:string>>")
         ),
     )
-    return F.filter(located, lambda m: m["hit"] != "")
 
 
 def time_mention_array(text: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
-from ..session import broadcast_if_small
 from .relational import salted_pairs, top_n
 
 TOP_TERMS, TOP_NAMES, BRIDGE_TERMS = 25, 50, 5
@@ -171,7 +170,7 @@ def term_metrics(x: ClusterInputs, vectors: DataFrame) -> DataFrame:
     rows = (
         vectors.join(support, ["cluster_id", "term"], "left")
         .join(everywhere, "term", "left")
-        .join(broadcast_if_small(sizes), "cluster_id", "left")
+        .join(sizes, "cluster_id", "left")
         .withColumn("total", total)
         .fillna(0, ["support", "global_support", "episode_count"])
     )
@@ -195,7 +194,7 @@ def _lift(membership: DataFrame, facts: DataFrame, names: list[str], n: int) ->
     everywhere = facts.groupBy(*names).agg(F.count(F.lit(1)).alias("in_all"))
     top = top_n(counted, ["cluster_id"], [F.desc("count"), *[F.asc(c) for c in names]], n, "_r").drop("_r")
     rows = (
-        top.join(broadcast_if_small(sizes), "cluster_id")
+        top.join(sizes, "cluster_id")
         .join(everywhere, names)
         .withColumn("total", total_rows(facts))
     )
@@ -248,7 +247,7 @@ def pair_cosine(vectors: DataFrame) -> DataFrame:
     dots = pair_terms(vectors).groupBy("cluster_a", "cluster_b").agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("dot"))
     na = norms.select(F.col("cluster_id").alias("cluster_a"), F.col("norm").alias("na"))
     nb = norms.select(F.col("cluster_id").alias("cluster_b"), F.col("norm").alias("nb"))
-    rows = dots.join(broadcast_if_small(na), "cluster_a").join(broadcast_if_small(nb), "cluster_b")
+    rows = dots.join(na, "cluster_a").join(nb, "cluster_b")
     return rows.select("cluster_a", "cluster_b", safe_div(F.col("dot"), F.col("na") * F.col("nb")).alias("cosine"))
 
 
@@ -263,7 +262,7 @@ def pair_jaccard(membership: DataFrame) -> DataFrame:
     )
     na = sizes.select(F.col("cluster_id").alias("cluster_a"), F.col("n").alias("na"))
     nb = sizes.select(F.col("cluster_id").alias("cluster_b"), F.col("n").alias("nb"))
-    rows = shared.join(broadcast_if_small(na), "cluster_a").join(broadcast_if_small(nb), "cluster_b")
+    rows = shared.join(na, "cluster_a").join(nb, "cluster_b")
     ratio = safe_div(F.col("shared"), F.col("na") + F.col("nb") - F.col("shared"))
     return rows.select("cluster_a", "cluster_b", ratio.alias("jaccard"))
 

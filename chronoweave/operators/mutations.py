@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 from .relational import first_per, last_per
 
 
 def upsert_replace(base: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of the batch replace those of the base; the last batch row per key wins."""
-    newest = last_per(batch, keys, order).select(*base.columns)
+    newest = cut_lineage(last_per(batch, keys, order).select(*base.columns))
     kept = base.join(broadcast_if_small(newest.select(*keys)), keys, "left_anti")
     return kept.select(*base.columns).unionByName(newest)
 
@@ -24,7 +24,7 @@ def upsert_coalesce(
     base: DataFrame, batch: DataFrame, keys: list[str], order: list[str], keep_when_null: list[str]
 ) -> DataFrame:
     """Upsert that overwrites every column except ``keep_when_null``, which never turn NULL."""
-    newest = last_per(batch, keys, order).select(*base.columns)
+    newest = cut_lineage(last_per(batch, keys, order).select(*base.columns))
     values = [c for c in base.columns if c not in keys]
     renamed = newest.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values], F.lit(True).alias("hit"))
     merged = base.join(broadcast_if_small(renamed), keys, "left")
@@ -45,7 +45,7 @@ def missing_rows(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFram
 
 def insert_ignore(base: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Adds batch rows with a new key; the first batch row per key wins."""
-    first = first_per(batch, keys, order).select(*base.columns)
+    first = cut_lineage(first_per(batch, keys, order).select(*base.columns))
     return base.unionByName(missing_rows(base, first, keys))
 
 

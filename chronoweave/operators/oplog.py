@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, cut_lineage
 
 # Table of each entity type, columns of a relation.
 TABLES = {
@@ -101,13 +101,14 @@ def apply_row_ops(ops: DataFrame, table: str, base: DataFrame) -> DataFrame:
     """Table after the log: ``base`` has an ``id`` column; values are cast to its column types."""
     mine = ops.filter(target_table() == table)
     changes = fold_row_ops(mine, base)
+    folded = cut_lineage(changes.fields)
     values = [c for c in base.columns if c != "id"]
     types = dict(base.dtypes)
-    per_id = changes.fields.groupBy("id").agg(
+    per_id = folded.groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("set"), F.max("fresh").alias("fresh")
     )
     keyed = base.withColumn("_id", F.col("id").cast("string"))
-    gone = broadcast_if_small(changes.deleted.select(F.col("id").alias("_id")))
+    gone = broadcast_if_small(changes.deleted.select(F.col("id").alias("_id")), computed=True)
     change = broadcast_if_small(per_id.withColumnRenamed("id", "_id"))
 
     def written(c):
@@ -142,6 +143,7 @@ def apply_link_ops(ops: DataFrame, table: str, base: DataFrame, left: str = "epi
         .groupBy(left, right)
         .agg(F.max_by("linked", "seq").alias("linked"))
     )
+    last = cut_lineage(last)
     untouched = base.join(broadcast_if_small(last.select(left, right)), [left, right], "left_anti")
     # a relation already present stays one row, as with an insert that ignores duplicates
     present = base.join(broadcast_if_small(last.filter("linked").select(left, right)), [left, right], "left_semi")

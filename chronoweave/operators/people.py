@@ -40,6 +40,22 @@ EVENT_PATTERN = (
     r"|Gründung\s+der\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+|Attentat\s+auf\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+"
     r"|Parteitag\s+der\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+)\b"
 )
+EVENT_WORDS = ("Schlacht", "Revolution", "Gründung", "Attentat", "Parteitag")
+ORG_WORDS = (
+    "GmbH",
+    "AG",
+    "Universität",
+    "University",
+    "Institut",
+    "Stiftung",
+    "Bundestag",
+    "KPdSU",
+    "CDU",
+    "CSU",
+    "NSDAP",
+    "KPD",
+    "SPD",
+)
 INSTITUTION_WORDS = ("Universität", "University", "Institut", "Stiftung")
 EVENT_CONFIDENCE, ORG_CONFIDENCE, PERSON_CONFIDENCE = 0.85, 0.80, 0.65
 
@@ -67,8 +83,13 @@ def entity_array(segment: Column) -> Column:
             ),
         )
 
-    events = find_all(segment, EVENT_PATTERN, 1)
-    orgs = F.transform(find_all(segment, ORG_PATTERN, 1), squeeze)
+    def scan_if(words, pattern: str) -> Column:
+        """Backtracking patterns run only on text that holds one of their fixed words."""
+        none = F.array().cast("array<string>")
+        return F.when(contains_any(segment, words), find_all(segment, pattern, 1)).otherwise(none)
+
+    events = scan_if(EVENT_WORDS, EVENT_PATTERN)
+    orgs = F.transform(scan_if(ORG_WORDS, ORG_PATTERN), squeeze)
     persons = F.filter(
         F.transform(find_all(segment, PERSON_PATTERN, 1), squeeze),
         lambda n: ~contains_any(n, INSTITUTION_WORDS),

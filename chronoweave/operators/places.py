@@ -80,13 +80,12 @@ def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "te
                 running_offsets(F.transform(pieces, F.length)),
                 lambda offsets: F.transform(
                     pieces,
-                    lambda p, i: F.struct(
-                        F.lower(F.regexp_extract(p, r"(?U)\w+$", 0)).alias("anchor"),
-                        (
-                            F.get(offsets, i)
-                            + F.length(p)
-                            - F.length(F.regexp_extract(p, r"(?U)\w+$", 0))
-                        ).alias("at"),
+                    lambda p, i: let(
+                        F.regexp_replace(p, r"(?U)^\W+", ""),
+                        lambda word: F.struct(
+                            F.lower(word).alias("anchor"),
+                            (F.get(offsets, i) + F.length(p) - F.length(word)).alias("at"),
+                        ),
                     ),
                 ),
             ),

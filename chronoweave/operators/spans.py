@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import contains_any, find_all
+from ..functions.columns import contains_any, find_all, let
 from ..functions.dates import make_day
 
 # Cue words, scores and weights of the span families.
@@ -63,91 +63,95 @@ def span_array(text: Column, section: Column) -> Column:
     Scores are constant per family within one segment, so ordering by score is a choice between
     two fixed family orders and needs no sort.
     """
-    low = F.lower(text)
-    boost = cue_boost(low)
-    weight, flag = section_rules(low, section)
-
-    def span(start, end, precision, qualifier, source, base):
-        return F.struct(
-            start.alias("start_date"),
-            end.alias("end_date"),
-            F.lit(precision).alias("precision"),
-            F.lit(qualifier).alias("qualifier"),
-            source.alias("source_text"),
-            (base * boost * weight).alias("score"),
-            flag.alias("review_flag"),
+    def segment_rules(low: Column) -> Column:
+        weight, flag = section_rules(low, section)
+        return F.struct(cue_boost(low).alias("boost"), weight.alias("weight"), flag.alias("flag"))
+
+    def build(rules: Column) -> Column:
+        def span(start, end, precision, qualifier, source, base):
+            return F.struct(
+                start.alias("start_date"),
+                end.alias("end_date"),
+                F.lit(precision).alias("precision"),
+                F.lit(qualifier).alias("qualifier"),
+                source.alias("source_text"),
+                (base * rules["boost"] * rules["weight"]).alias("score"),
+                rules["flag"].alias("review_flag"),
+            )
+
+        def num(parts, i):
+            return F.get(parts, i).cast("int")
+
+        def day_of(match):
+            p = F.split(match, r"\.")
+            return make_day(num(p, 2), num(p, 1), num(p, 0))
+
+        def minute(match):
+            pieces = F.split(match, r"(?U)\s+")
+            day = day_of(F.get(pieces, 0))
+            return span(day, day, "minute", "exact", F.array_join(pieces, " "), F.lit(MINUTE_SCORE))
+
+        def exact_day(match):
+            day = day_of(match)
+            return span(day, day, "day", "exact", match, F.lit(DAY_SCORE))
+
+        def year_range(match):
+            p = F.split(match, r"(?U)\s*[–-]\s*")
+            first, last = F.get(p, 0), F.get(p, 1)
+            start_year = first.cast("int")
+            end_year = (
+                F.when(F.length(last) == 4, last)
+                .otherwise(F.concat(F.substring(start_year.cast("string"), 1, 2), last))
+                .cast("int")
+            )
+            return span(
+                make_day(start_year, F.lit(1), F.lit(1)),
+                make_day(end_year, F.lit(12), F.lit(31)),
+                "year",
+                "range",
+                F.concat(first, F.lit("-"), last),
+                F.lit(RANGE_SCORE),
+            )
+
+        def century(number):
+            n = number.cast("int")
+            return span(
+                make_day((n - 1) * 100 + 1, F.lit(1), F.lit(1)),
+                make_day(n * 100, F.lit(12), F.lit(31)),
+                "century",
+                "range",
+                F.concat(number, F.lit(". Jahrhundert")),
+                F.lit(CENTURY_SCORE),
+            )
+
+        def single_year(match):
+            year = match.cast("int")
+            base = F.lit(YEAR_SCORE) * F.when(section == "caption", CAPTION_YEAR_WEIGHT).otherwise(1.0)
+            return span(
+                make_day(year, F.lit(1), F.lit(1)),
+                make_day(year, F.lit(12), F.lit(31)),
+                "year",
+                "year",
+                match,
+                base,
+            )
+
+        def family(pattern, build, group=0):
+            found = F.transform(F.array_distinct(find_all(text, pattern, group)), build)
+            return F.filter(found, lambda s: s["start_date"].isNotNull() & s["end_date"].isNotNull())
+
+        exact = F.concat(family(DAY_TIME_PATTERN, minute), family(DAY_PATTERN, exact_day))
+        ranges = family(RANGE_PATTERN, year_range)
+        centuries = family(CENTURY_PATTERN, century, 1)
+        years = family(YEAR_PATTERN, single_year)
+        return F.array_distinct(
+            F.when(section == "caption", F.concat(exact, ranges, centuries, years)).otherwise(
+                F.concat(exact, ranges, years, centuries)
+            )
         )
 
-    def num(parts, i):
-        return F.get(parts, i).cast("int")
-
-    def day_of(match):
-        p = F.split(match, r"\.")
-        return make_day(num(p, 2), num(p, 1), num(p, 0))
-
-    def minute(match):
-        pieces = F.split(match, r"(?U)\s+")
-        day = day_of(F.get(pieces, 0))
-        return span(day, day, "minute", "exact", F.array_join(pieces, " "), F.lit(MINUTE_SCORE))
-
-    def exact_day(match):
-        day = day_of(match)
-        return span(day, day, "day", "exact", match, F.lit(DAY_SCORE))
-
-    def year_range(match):
-        p = F.split(match, r"(?U)\s*[–-]\s*")
-        first, last = F.get(p, 0), F.get(p, 1)
-        start_year = first.cast("int")
-        end_year = (
-            F.when(F.length(last) == 4, last)
-            .otherwise(F.concat(F.substring(start_year.cast("string"), 1, 2), last))
-            .cast("int")
-        )
-        return span(
-            make_day(start_year, F.lit(1), F.lit(1)),
-            make_day(end_year, F.lit(12), F.lit(31)),
-            "year",
-            "range",
-            F.concat(first, F.lit("-"), last),
-            F.lit(RANGE_SCORE),
-        )
-
-    def century(number):
-        n = number.cast("int")
-        return span(
-            make_day((n - 1) * 100 + 1, F.lit(1), F.lit(1)),
-            make_day(n * 100, F.lit(12), F.lit(31)),
-            "century",
-            "range",
-            F.concat(number, F.lit(". Jahrhundert")),
-            F.lit(CENTURY_SCORE),
-        )
-
-    def single_year(match):
-        year = match.cast("int")
-        base = F.lit(YEAR_SCORE) * F.when(section == "caption", CAPTION_YEAR_WEIGHT).otherwise(1.0)
-        return span(
-            make_day(year, F.lit(1), F.lit(1)),
-            make_day(year, F.lit(12), F.lit(31)),
-            "year",
-            "year",
-            match,
-            base,
-        )
-
-    def family(pattern, build, group=0):
-        found = F.transform(F.array_distinct(find_all(text, pattern, group)), build)
-        return F.filter(found, lambda s: s["start_date"].isNotNull() & s["end_date"].isNotNull())
-
-    exact = F.concat(family(DAY_TIME_PATTERN, minute), family(DAY_PATTERN, exact_day))
-    ranges = family(RANGE_PATTERN, year_range)
-    centuries = family(CENTURY_PATTERN, century, 1)
-    years = family(YEAR_PATTERN, single_year)
-    return F.array_distinct(
-        F.when(section == "caption", F.concat(exact, ranges, centuries, years)).otherwise(
-            F.concat(exact, ranges, years, centuries)
-        )
-    )
+    # the lower-cased text and the rule values are computed once per segment, not once per span
+    return let(let(F.lower(text), segment_rules), build)
 
 
 def extract_spans(segments: DataFrame, keys: list[str], text: str = "text", section: str = "section") -> DataFrame:

@@ -46,12 +46,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND) -> DataFrame:
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a scan of few files one partition per core before row-wise text work.
+
+    A large input already has more splits than cores and stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND, computed: bool = False) -> DataFrame:
     """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
 
     The count stops at ``max_rows + 1``.  A larger side comes back unhinted, so the join falls
-    to a shuffled one that AQE may split on skew.
+    to a shuffled one that AQE may split on skew.  A side that is itself the result of heavy work
+    (``computed``) is materialised first, so the check does not run that work a second time.
     """
+    if computed:
+        df = cut_lineage(df)
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
