@@ -63,8 +63,17 @@ def mid_year_by_month(start: Column, end: Column) -> Column:
 
 def make_day(year: Column, month: Column, day: Column) -> Column:
     """Date of the parts, NULL for impossible ones or years outside 1..9999."""
-    ok = year.between(1, 9999)
-    return F.when(ok, F.try_to_date(F.format_string("%04d-%02d-%02d", year, month, day), "yyyy-MM-dd"))
+    parts_ok = year.between(1, 9999) & month.between(1, 12) & (day >= 1)
+    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(parts_ok, F.when(day <= last, F.make_date(year, month, day)))
+
+
+def year_start(year: Column) -> Column:
+    return F.when(year.between(1, 9999), F.make_date(year, F.lit(1), F.lit(1)))
+
+
+def year_end(year: Column) -> Column:
+    return F.when(year.between(1, 9999), F.make_date(year, F.lit(12), F.lit(31)))
 
 
 def ordered_pair(a: Column, b: Column) -> tuple[Column, Column]:

@@ -14,8 +14,8 @@ from ..functions.numeric import expand_end_by_century
 
 # Mention patterns.
 RANGE = r"\d{3,4}\s*[\-–—]\s*\d{2,4}"
-BC_YEAR = r"\b\d{1,4}\s*(?:v\.?\s*Chr\.?|BC|BCE)\b"
-PLAIN_YEAR = r"\b\d{3,4}\b"
+BC_YEAR = r"(?=\d)\b\d{1,4}\s*(?:v\.?\s*Chr\.?|BC|BCE)\b"
+PLAIN_YEAR = r"(?=\d)\b\d{3,4}\b"
 
 
 def _located(text: Column, pattern: str) -> Column:
@@ -51,15 +51,19 @@ def time_mention_array(text: Column) -> Column:
     no_year = F.lit(None).cast("int")
 
     def as_range(m: Column) -> Column:
-        parts = F.split(m["hit"], r"(?U)\s*[\-–—]\s*")
-        first, last = F.get(parts, 0).cast("int"), F.get(parts, 1).cast("int")
-        return F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.lit("range_year").alias("kind"),
-            no_year.alias("year"),
-            first.alias("start_year"),
-            expand_end_by_century(first, last).cast("int").alias("end_year"),
+        def ends(parts: Column) -> Column:
+            return F.struct(F.get(parts, 0).cast("int").alias("first"), F.get(parts, 1).cast("int").alias("last"))
+
+        return let(
+            let(F.split(m["hit"], r"(?U)\s*[\-–—]\s*"), ends),
+            lambda e: F.struct(
+                m["start"].alias("start"),
+                m["end"].alias("end"),
+                F.lit("range_year").alias("kind"),
+                no_year.alias("year"),
+                e["first"].alias("start_year"),
+                expand_end_by_century(e["first"], e["last"]).cast("int").alias("end_year"),
+            ),
         )
 
     def as_year(m: Column, sign: int) -> Column:
@@ -92,9 +96,14 @@ def extract_time_mentions(docs: DataFrame, keys: list[str], text: str = "text")
 def primary_time(text: Column) -> Column:
     """``struct<kind,year,start_year,end_year>``: first year, else first range, else unknown."""
 
-    def pick(mentions: Column) -> Column:
-        year = F.get(F.filter(mentions, lambda m: m["kind"] == "year"), 0)
-        span = F.get(F.filter(mentions, lambda m: m["kind"] == "range_year"), 0)
+    def first_of(mentions: Column) -> Column:
+        def first(kind: str) -> Column:
+            return F.get(F.filter(mentions, lambda m: m["kind"] == kind), 0)
+
+        return F.struct(first("year").alias("point"), first("range_year").alias("range"))
+
+    def pick(found: Column) -> Column:
+        year, span = found["point"], found["range"]
         is_range = year.isNull() & span.isNotNull()
         return F.struct(
             F.when(year.isNotNull(), "point").when(is_range, "range").otherwise("unknown").alias("kind"),
@@ -103,4 +112,4 @@ def primary_time(text: Column) -> Column:
             F.when(is_range, span["end_year"]).alias("end_year"),
         )
 
-    return let(time_mention_array(text), pick)
+    return let(let(time_mention_array(text), first_of), pick)

@@ -10,7 +10,7 @@ from ..functions.columns import contains_any, find_all
 # Patterns, stop words and confidences.
 LABEL_PATTERN = r"(?iU)\b(Personen|Person|Guests|Guest|Mitwirkende)\b\s*:?"
 NAME_PATTERN = (
-    r"(?U)\b([A-ZÄÖÜ][a-zäöüß]+\s+(?:(?:von|van|de|del|der|den|da|di)\s+)?"
+    r"(?U)(?=[A-ZÄÖÜ])\b([A-ZÄÖÜ][a-zäöüß]+\s+(?:(?:von|van|de|del|der|den|da|di)\s+)?"
     r"[A-ZÄÖÜ][a-zäöüß]+(?:\s+[A-ZÄÖÜ][a-zäöüß]+){0,2})\b"
 )
 NAME_STOP = (
@@ -29,14 +29,14 @@ NAME_STOP = (
     "Deutschland",
 )
 PERSON_PATTERN = (
-    r"(?U)\b([A-ZÄÖÜ][a-zäöüß]+(?:\s+(?:von|der|de|del|da|di))?\s+[A-ZÄÖÜ][a-zäöüß]+)\b"
+    r"(?U)(?=[A-ZÄÖÜ])\b([A-ZÄÖÜ][a-zäöüß]+(?:\s+(?:von|der|de|del|da|di))?\s+[A-ZÄÖÜ][a-zäöüß]+)\b"
 )
 ORG_PATTERN = (
-    r"(?U)\b([A-ZÄÖÜ][\wÄÖÜäöüß\- ]{2,}\b"
+    r"(?U)(?=[A-ZÄÖÜ])\b([A-ZÄÖÜ][\wÄÖÜäöüß\- ]{2,}\b"
     r"(?:GmbH|AG|Universität|University|Institut|Stiftung|Bundestag|KPdSU|CDU|CSU|NSDAP|KPD|SPD))\b"
 )
 EVENT_PATTERN = (
-    r"(?U)\b(Schlacht\s+von\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+|Revolution\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+"
+    r"(?U)(?=[SRGAP])\b(Schlacht\s+von\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+|Revolution\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+"
     r"|Gründung\s+der\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+|Attentat\s+auf\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+"
     r"|Parteitag\s+der\s+[A-ZÄÖÜ][\wÄÖÜäöüß\-]+)\b"
 )

@@ -10,8 +10,8 @@ from ..functions.text import norm_key
 from ..session import broadcast_if_small
 
 # Patterns of place hints and capitalised words, candidate cap per segment.
-HINT_PATTERN = r"(?U)\b(in|bei|nach|aus|von|auf)\s+([A-ZÄÖÜ][\wÄÖÜäöüß\-]+)"
-WORD_PATTERN = r"(?U)\b[A-ZÄÖÜ][a-zäöüß]{3,}\b"
+HINT_PATTERN = r"(?U)(?=[ibnav])\b(in|bei|nach|aus|von|auf)\s+([A-ZÄÖÜ][\wÄÖÜäöüß\-]+)"
+WORD_PATTERN = r"(?U)(?=[A-ZÄÖÜ])\b[A-ZÄÖÜ][a-zäöüß]{3,}\b"
 MAX_CANDIDATES = 30
 
 
@@ -65,43 +65,34 @@ def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "te
     """All case-insensitive whole-word occurrences of dictionary names.
 
     ``names(name_pos, surface, name, kind, country, lat, lon)``.  The text is scanned once for
-    words; a word equal to the first word of a surface form (equi join) is checked against a
-    window of the text no longer than the longest surface form.
+    words; a word equal to the first word of a surface form (equi join) is checked against the few
+    words around it, as many as the longest surface form has.
     """
     anchored = names.withColumn("anchor", F.lower(F.regexp_extract("surface", r"(?U)\w+", 0))).withColumn(
         "lead", F.length(F.regexp_extract("surface", r"(?U)^\W*", 0))
     ).filter("anchor <> ''")
-    longest = anchored.agg(F.coalesce(F.max(F.length("surface")), F.lit(0))).first()[0]
-
-    def words(t: Column) -> Column:
-        return let(
-            _chunks(t),
-            lambda pieces: let(
-                running_offsets(F.transform(pieces, F.length)),
-                lambda offsets: F.transform(
-                    pieces,
-                    lambda p, i: let(
-                        F.regexp_replace(p, r"(?U)^\W+", ""),
-                        lambda word: F.struct(
-                            F.lower(word).alias("anchor"),
-                            (F.get(offsets, i) + F.length(p) - F.length(word)).alias("at"),
-                        ),
+    n_words = F.size(find_all(F.col("surface"), r"(?U)\w+"))
+    longest = anchored.agg(F.coalesce(F.max(n_words), F.lit(0))).first()[0]
+
+    def words(pieces: Column) -> Column:
+        def located(offsets: Column) -> Column:
+            def token(piece: Column, i: Column) -> Column:
+                before = F.length(F.coalesce(F.get(pieces, i - 1), F.lit("")))
+                return let(
+                    F.regexp_replace(piece, r"(?U)^\W+", ""),
+                    lambda word: F.struct(
+                        F.lower(word).alias("anchor"),
+                        (F.get(offsets, i) + F.length(piece) - F.length(word)).alias("at"),
+                        (before + F.length(piece) - F.length(word)).alias("shift"),
+                        F.array_join(F.slice(pieces, F.greatest(i, F.lit(1)), F.lit(longest + 2)), "").alias("window"),
                     ),
-                ),
-            ),
-        )
+                )
 
-    t = F.col(text)
-    tokens = docs.select(key, t.alias("_t"), F.explode(words(t)).alias("w")).select(
-        key,
-        "w.anchor",
-        "w.at",
-        # one character before and after decides about the word boundary
-        F.substr("_t", F.greatest(F.col("w.at") - longest, F.lit(0)) + 1, F.lit(2 * longest + 2)).alias(
-            "window"
-        ),
-        F.least(F.col("w.at"), F.lit(longest)).alias("shift"),
-    )
+            return F.transform(pieces, token)
+
+        return let(running_offsets(F.transform(pieces, F.length)), located)
+
+    tokens = docs.select(key, F.explode(let(_chunks(F.col(text)), words)).alias("w")).select(key, "w.*")
     joined = tokens.join(broadcast_if_small(anchored), "anchor").filter(F.col("shift") >= F.col("lead"))
     begin = F.col("shift") - F.col("lead")
     size = F.length("surface")

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import contains_any, find_all, let
-from ..functions.dates import make_day
+from ..functions.dates import make_day, year_end, year_start
 
-# Cue words, scores and weights of the span families.
+# Cue words, scores, weights and patterns of the span families.  The look-ahead in front of
+# a word boundary changes no match; it skips the costly Unicode boundary test at most positions.
 STRONG_CUES = ("im jahr", "im jahre", "während", "zur zeit", "zu dieser zeit")
 MONTH_CUES = (
     "im november",
@@ -30,11 +31,11 @@ MONTH_CUES = (
 STRONG_BOOST, MONTH_BOOST = 1.35, 1.10
 CAPTION_WEIGHT, PICTURE_WEIGHT, PORTRAIT_WEIGHT, CAPTION_YEAR_WEIGHT = 0.18, 0.35, 0.22, 0.25
 MINUTE_SCORE, DAY_SCORE, RANGE_SCORE, CENTURY_SCORE, YEAR_SCORE = 10.0, 9.0, 7.0, 5.0, 6.0
-DAY_TIME_PATTERN = r"(?U)\b\d{1,2}\.\d{1,2}\.\d{4}\s+\d{1,2}:\d{2}\b"
-DAY_PATTERN = r"(?U)\b\d{1,2}\.\d{1,2}\.\d{4}\b"
-RANGE_PATTERN = r"(?U)\b\d{3,4}\s*[–-]\s*\d{2,4}\b"
-CENTURY_PATTERN = r"(?iU)\b(\d{1,2})\.\s*Jahrhundert\b"
-YEAR_PATTERN = r"(?U)\b(?:1\d{3}|20\d{2})\b"
+DAY_TIME_PATTERN = r"(?U)(?=\d)\b\d{1,2}\.\d{1,2}\.\d{4}\s+\d{1,2}:\d{2}\b"
+DAY_PATTERN = r"(?U)(?=\d)\b\d{1,2}\.\d{1,2}\.\d{4}\b"
+RANGE_PATTERN = r"(?U)(?=\d)\b\d{3,4}\s*[–-]\s*\d{2,4}\b"
+CENTURY_PATTERN = r"(?iU)(?=\d)\b(\d{1,2})\.\s*Jahrhundert\b"
+YEAR_PATTERN = r"(?U)(?=[12])\b(?:1\d{3}|20\d{2})\b"
 CONTEXT_CHARS = 500
 
 
@@ -79,45 +80,53 @@ def span_array(text: Column, section: Column) -> Column:
                 rules["flag"].alias("review_flag"),
             )
 
-        def num(parts, i):
-            return F.get(parts, i).cast("int")
+        def day_of(match, then):
+            """Bind the parsed parts once, then the date, then build the span from it."""
 
-        def day_of(match):
-            p = F.split(match, r"\.")
-            return make_day(num(p, 2), num(p, 1), num(p, 0))
+            def parts(p):
+                return F.struct(*[F.get(p, i).cast("int").alias(n) for i, n in enumerate("dmy")])
+
+            return let(
+                let(F.split(match, "\\."), parts),
+                lambda p: let(make_day(p["y"], p["m"], p["d"]), then),
+            )
 
         def minute(match):
-            pieces = F.split(match, r"(?U)\s+")
-            day = day_of(F.get(pieces, 0))
-            return span(day, day, "minute", "exact", F.array_join(pieces, " "), F.lit(MINUTE_SCORE))
+            def with_time(pieces):
+                source = F.array_join(pieces, " ")
+                return day_of(
+                    F.get(pieces, 0),
+                    lambda day: span(day, day, "minute", "exact", source, F.lit(MINUTE_SCORE)),
+                )
+
+            return let(F.split(match, r"(?U)\s+"), with_time)
 
         def exact_day(match):
-            day = day_of(match)
-            return span(day, day, "day", "exact", match, F.lit(DAY_SCORE))
+            return day_of(match, lambda day: span(day, day, "day", "exact", match, F.lit(DAY_SCORE)))
 
         def year_range(match):
-            p = F.split(match, r"(?U)\s*[–-]\s*")
-            first, last = F.get(p, 0), F.get(p, 1)
-            start_year = first.cast("int")
-            end_year = (
-                F.when(F.length(last) == 4, last)
-                .otherwise(F.concat(F.substring(start_year.cast("string"), 1, 2), last))
-                .cast("int")
-            )
-            return span(
-                make_day(start_year, F.lit(1), F.lit(1)),
-                make_day(end_year, F.lit(12), F.lit(31)),
-                "year",
-                "range",
-                F.concat(first, F.lit("-"), last),
-                F.lit(RANGE_SCORE),
+            def years(p):
+                first, last = F.get(p, 0), F.get(p, 1)
+                head = F.substring(first.cast("int").cast("string"), 1, 2)
+                end_year = F.when(F.length(last) == 4, last).otherwise(F.concat(head, last)).cast("int")
+                return F.struct(
+                    first.cast("int").alias("start"),
+                    end_year.alias("end"),
+                    F.concat(first, F.lit("-"), last).alias("source"),
+                )
+
+            return let(
+                let(F.split(match, r"(?U)\s*[–-]\s*"), years),
+                lambda y: span(
+                    year_start(y["start"]), year_end(y["end"]), "year", "range", y["source"], F.lit(RANGE_SCORE)
+                ),
             )
 
         def century(number):
             n = number.cast("int")
             return span(
-                make_day((n - 1) * 100 + 1, F.lit(1), F.lit(1)),
-                make_day(n * 100, F.lit(12), F.lit(31)),
+                year_start((n - 1) * 100 + 1),
+                year_end(n * 100),
                 "century",
                 "range",
                 F.concat(number, F.lit(". Jahrhundert")),
@@ -128,8 +137,8 @@ def span_array(text: Column, section: Column) -> Column:
             year = match.cast("int")
             base = F.lit(YEAR_SCORE) * F.when(section == "caption", CAPTION_YEAR_WEIGHT).otherwise(1.0)
             return span(
-                make_day(year, F.lit(1), F.lit(1)),
-                make_day(year, F.lit(12), F.lit(31)),
+                year_start(year),
+                year_end(year),
                 "year",
                 "year",
                 match,
