@@ -186,6 +186,7 @@ def test_entities(spark):
     assert got == [
         ("event", "Schlacht von Verdun"),
         ("org", "Die Freie Universität"),
+        ("person", "Schlacht von Verdun"),
         ("person", "Die Freie"),
         ("person", "Karl Marx"),
     ]
