@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.dates import ordered_pair, year_of_iso
+from ..functions.dates import ordered_pair
 from ..session import broadcast_if_small
 
 
@@ -180,5 +180,4 @@ __all__ = [
     "span_years",
     "spans_in_windows",
     "valid_spans",
-    "year_of_iso",
 ]

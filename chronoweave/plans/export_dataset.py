@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_key
 from ..operators.metrics import ClusterInputs, cluster_metric_bundle, member_counts
 from ..operators.quality import FINGERPRINT_FIELDS, row_fingerprint
 from ..operators.relational import last_per, top_n
@@ -108,4 +107,4 @@ def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["export_meta", "export_sections", "join_keyword_phrases", "join_place_names", "nested_keywords", "norm_key", "section_counts"]
+__all__ = ["export_meta", "export_sections", "join_keyword_phrases", "join_place_names", "nested_keywords", "section_counts"]
