@@ -152,6 +152,11 @@ def enrich(
     # several names may lead to one item: the least frequent candidate comes last and wins
     order = [F.col("entity_count"), F.col("avg_confidence"), F.col("name")]
     ranked = batch.withColumn("_order", F.struct((-order[0]).alias("a"), (-order[1]).alias("b"), order[2].alias("c")))
+    # a description seen under any name stays, as when the names are written one after the other
+    told = ranked.groupBy("qid").agg(
+        F.max_by("description", F.when(F.col("description").isNotNull(), F.col("_order"))).alias("told")
+    )
+    ranked = ranked.join(told, "qid").withColumn("description", F.coalesce("description", "told")).drop("told")
     merged = upsert_coalesce(concepts, ranked, ["qid"], ["_order"], ["url", "description"])
     named = batch.select(F.xxhash64("qid").alias("concept_id"), "name", "kind", "avg_confidence", "entity_count")
     links = map_concepts(named, entities)

@@ -304,3 +304,21 @@ def test_cooccurrence_uses_eight_terms_per_episode(spark):
     rows = [(1, 1, f"t{i}", i) for i in range(12)]
     df = spark.createDataFrame(rows, "cluster_id int, episode_id int, term string, pos int")
     assert explore.cooccurrence_pairs(df).count() == 28
+
+
+def test_enrichment_keeps_a_description_of_any_name(spark):
+    make = spark.createDataFrame
+    rows = [(1, "Marx", "person", 0.9)] * 3 + [(2, "Karl Marx", "person", 0.9)] * 2
+    entities = make(rows, "episode_id long, name string, kind string, confidence double")
+    hits = make(
+        [("Marx", "de", 0, "Q1", "Philosoph"), ("Karl Marx", "de", 0, "x", None), ("Karl Marx", "en", 0, "Q1", None)],
+        "name string, language string, rank int, id string, description string",
+    )
+    docs = make([("Q1", "{}")], "qid string, t string").select("qid", F.parse_json("t").alias("doc"))
+    concepts = make([], "qid string, name string, kind string, url string, description string, entity_count bigint, avg_confidence double")
+    bridge = make([], "episode_id bigint, concept_id bigint, score double")
+    claims = make([], "concept_id bigint, property string, value string")
+    out = enrichment.enrich(entities, hits, docs, concepts, bridge, claims)
+    row = out["concepts"].first()
+    assert (row["qid"], row["name"], row["description"]) == ("Q1", "Karl Marx", "Philosoph")
+    assert out["episode_concepts"].count() == 2
