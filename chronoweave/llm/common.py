@@ -98,6 +98,24 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+_numbered = {"task": -1, "rows": 0}
+
+
+def row_number_base(n: int) -> np.ndarray:
+    """Numbers for the next ``n`` rows of this task, unlike those of any other task of the stage.
+
+    They hold within one run only, so a result that carries them is stored before it is used twice.
+    """
+    from pyspark import TaskContext
+
+    context = TaskContext.get()
+    if _numbered["task"] != context.taskAttemptId():
+        _numbered.update(task=context.taskAttemptId(), rows=0)
+    first = (context.partitionId() << 36) + _numbered["rows"]
+    _numbered["rows"] += n
+    return np.arange(first, first + n, dtype=np.int64)
+
+
 # -- bounded sieves ---------------------------------------------------------------------------
 
 

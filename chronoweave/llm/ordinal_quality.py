@@ -103,8 +103,8 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds:
     if not len(rows) or (counts > 0).sum() < 2:  # nothing to tell apart: every text gets the priors
         share = np.clip(counts.cumsum()[:-1] / max(1, len(rows)), 1e-6, 1 - 1e-6)
         return OrdinalModel(weights, np.log(share / (1 - share)))
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    flat = np.concatenate(rows).astype(np.int32)
+    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     there = np.maximum(np.bincount(flat, minlength=len(weights)), 1)
     worse = np.bincount(flat, weights=(grades < n_grades - 1)[doc], minlength=len(weights)) / there
     known = (chi_square(flat, doc, grades, counts) >= CHI_SQUARE) & (worse >= LIFT * (1 - counts[-1] / len(rows)))
@@ -184,11 +184,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     def run(c: dict):
         return {"grade": c["_grade"], "slots": [features(t).astype(np.int32).tobytes() for t in texts_of(c["text"])]}
 
-    got = map_rows(rows.select("text", "_grade"), run, "grade int, slots binary").toArrow()
-    grades = got["grade"].to_numpy().astype(np.int64)
-    order = sorted(range(len(grades)), key=lambda i: (grades[i], got["slots"][i].as_py()))  # the same fit for any row order
-    slots = [np.frombuffer(got["slots"][i].as_py(), np.int32).astype(np.int64) for i in order]
-    return fit_rows(slots, grades[order], 3)
+    got = map_rows(rows.select("text", "_grade"), run, "grade int, slots binary").toArrow().to_pylist()
+    got.sort(key=lambda r: (r["grade"], r["slots"]))  # the same fit for any row order
+    grades = np.array([r["grade"] for r in got], dtype=np.int64)
+    return fit_rows([np.frombuffer(r["slots"], np.int32) for r in got], grades, 3)
 
 
 def classify(docs: DataFrame, model: OrdinalModel, least: int = 2, probability: float = 0.8) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import golay_dedup, ordinal_quality, vector_packing
+from . import anchor_pii, crf_secrets, golay_dedup, ordinal_quality, vector_packing, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,6 +37,47 @@ def golay_simhash(spark, sf_dir):
     return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op5_anchor_pii")
+def anchor(spark, sf_dir):
+    return anchor_pii.report(table(spark, sf_dir, "documents"))
+
+
+WINDOWS_SQL = """
+WITH low AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t,
+    row_number() OVER () AS rid FROM documents),
+d AS (SELECT rid, doc_id, regexp_extract_all(t, '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM low),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS g
+  FROM b, LATERAL (SELECT unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i) WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (
+  SELECT rid, n, i, array_to_string(w[i : i + n - 1], ' ') AS g
+  FROM d, sizes, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS i)),
+hit AS (SELECT dw.rid, dw.n, dw.i, bw.item_id FROM dw JOIN bw USING (n, g)),
+words AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM hit) GROUP BY rid),
+items AS (
+  SELECT rid, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM hit WHERE item_id IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+"""
+
+
+@query("op6_winnowing", WINDOWS_SQL)
+def winnow(spark, sf_dir):
+    return winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op7_crf_secrets")
+def crf(spark, sf_dir):
+    return crf_secrets.scan(table(spark, sf_dir, "documents"))
+
+
 @query("op9_vector_best_fit")
 def vector_best_fit(spark, sf_dir):
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
