@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchor_pii, crf_secrets, golay_dedup, ordinal_quality, vector_packing, winnowing
+from . import anchor_pii, arrow_tokens, crf_secrets, golay_dedup, ordinal_quality, perplexity, vector_packing, warc_index, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,11 +32,38 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_kneser_ney_perplexity")
+def kneser_ney(spark, sf_dir):
+    return perplexity.rules(table(spark, sf_dir, "documents"))
+
+
 @query("op2_golay_simhash")
 def golay_simhash(spark, sf_dir):
     return golay_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op3_arrow_tokens")
+def arrow(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return arrow_tokens.read(arrow_tokens.write(docs, tokenizer("word_bpe_49k.json")))
+
+
+REVISITS_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+d AS (SELECT page_id, octet_length(encode(payload)) AS n, sha256(payload) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first FROM d WHERE n >= 100 GROUP BY digest)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d.digest AS payload_digest,
+  CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f ON d.digest = f.digest AND n >= 100
+"""
+
+
+@query("op4_warc_index", REVISITS_SQL)
+def warc(spark, sf_dir):
+    return warc_index.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op5_anchor_pii")
 def anchor(spark, sf_dir):
     return anchor_pii.report(table(spark, sf_dir, "documents"))
