@@ -211,7 +211,8 @@ def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     merged = member.groupBy("root").agg(F.min("least").alias("joint"))
     joint = member.join(merged, "root").select("fp", "joint")
     named = distinct.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "th", "fp", "component_id")
+    # stored, so that both sides of the join are plain shuffles and hot fingerprints can be split
+    return fps.join(stored(named, "classes"), "fp").select("doc_id", "th", "fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:

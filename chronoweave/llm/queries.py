@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchor_pii, arrow_tokens, crf_secrets, golay_dedup, ordinal_quality, perplexity, vector_packing, warc_index, winnowing
+from . import anchor_pii, arrow_tokens, crf_secrets, golay_dedup, ordinal_quality, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -105,6 +105,11 @@ def crf(spark, sf_dir):
     return crf_secrets.scan(table(spark, sf_dir, "documents"))
 
 
+@query("op8_suffix_dedup")
+def suffix(spark, sf_dir):
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 @query("op9_vector_best_fit")
 def vector_best_fit(spark, sf_dir):
     return vector_packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
