@@ -23,8 +23,8 @@ WORD_CUTS = re.compile(rf"[{_LETTERS}]+(?={_MARKS})|[^\t-\r ]+")
 # Where no mark may compose with a letter, small and capital ASCII letters encode alike.
 _COMPOSING = re.compile("[̀-ͯ]")
 
-# Cuts kept before the cache starts anew; bounds a worker's memory, not the results.
-CACHE_CUTS = 800_000
+# Cuts in each of two generations of the cache; bounds a worker's memory, not the results.
+CACHE_CUTS = 700_000
 
 _encoders: dict[tuple[str, str], Encoder] = {}
 
@@ -38,7 +38,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cuts, self.small, self.cache = cuts, small, {}
+        self.cuts, self.small, self.cache, self.older = cuts, small, {}, {}
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
@@ -48,8 +48,12 @@ class Encoder:
         new = [c for c in set(cuts) if c not in cache]
         if new:
             if len(cache) + len(new) > CACHE_CUTS:
-                cache.clear()
-                new = list(set(cuts))
+                self.cache, self.older = {}, cache
+                cache, new = self.cache, list(set(cuts))
+            for c in new:
+                if c in self.older:
+                    cache[c] = self.older[c]
+            new = [c for c in new if c not in cache]
             for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 cache[c] = np.array(e.ids, dtype="<u4").tobytes()
         return np.frombuffer(b"".join([cache[c] for c in cuts]), dtype="<u4")

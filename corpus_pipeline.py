@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from chronoweave.llm import golay_dedup, ordinal_quality, vector_packing
+from chronoweave.llm import anchor_pii, golay_dedup, ordinal_quality, vector_packing, winnowing
 from chronoweave.llm.common import stored
 from chronoweave.llm.queries import table, tokenizer
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is probably the best one; the model is fitted on the ratings of the
@@ -24,6 +21,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return golay_dedup.keep_one(docs)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of words with a benchmark item."""
+    return winnowing.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by the name of its kind."""
+    return anchor_pii.redact(docs)
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the remaining documents with their places in training sequences."""
     return vector_packing.pack_documents(docs, tokenizer("byte_bpe_50k.json"))
@@ -32,6 +39,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality_classifier", quality),
     ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontaminate),
+    ("pii_redaction", redact_pii),
     ("best_fit_packing", packing),
 ]
 
