@@ -73,7 +73,7 @@ def context(words: list[bytes], at: int, k: int, low: int, high: int) -> tuple[i
     """Words around a gram that a window with it can reach, and how many stand before it."""
     side = SIDE if k == K else 0
     first = max(low, at - side)
-    return at - first, b" ".join(words[first : min(high, at + k + side)]).decode()
+    return at - first, b" ".join(words[first : min(high, at + abs(k) + side)]).decode()
 
 
 def item_prints(items: DataFrame) -> DataFrame:
