@@ -303,7 +303,8 @@ def score(docs: DataFrame, model: HashArrays) -> DataFrame:
 def bands(scored: DataFrame, width: float = BAND) -> DataFrame:
     """(lang, low, high): median of the documents that pass the base rules, minus and plus the spread."""
     fine = scored.where("NOT base_failed AND log_perplexity IS NOT NULL").select(F.coalesce("lang", F.lit("")).alias("lang"), "log_perplexity")
-    middle = fine.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 100_000).alias("middle"))
+    # stored, so that the size of this table, a row per language, is known and decides on a broadcast
+    middle = stored(fine.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 100_000).alias("middle")), "medians")
     away = fine.join(middle, "lang").groupBy("lang", "middle").agg(
         F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 100_000).alias("spread")
     )
@@ -318,7 +319,7 @@ def rules(docs: DataFrame, width: float = BAND) -> DataFrame:
     of zero keeps exactly its median.  Other columns are not read.
     """
     scored = stored(score(docs, arrays(smooth(count(docs)))), "scored")
-    b = bands(scored, width).withColumnRenamed("lang", "_lang")
+    b = stored(bands(scored, width).withColumnRenamed("lang", "_lang"), "bands")
     out = scored.join(b, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low") - 1e-9, F.col("high") + 1e-9), F.lit(False))
     return out.select(
