@@ -570,7 +570,14 @@ def adaptive_select(d):
 
 @query("dataset_digest", """
     WITH f AS (SELECT sha256('{"confidence":' || format('{:.6f}', confidence) || ',"episode_id":' || episode_id || ',"id":"' || entity_id || '","kind":' || coalesce('"' || kind || '"', 'null') || ',"name":"' || name || '"}') AS h FROM {ent})
-    SELECT count(*) AS row_count, cast(sum(cast('0x' || substr(h, 1, 12) AS bigint)) AS varchar) AS digest FROM f""")
+    SELECT count(*) AS row_count, concat_ws('-', cast(sum(cast('0x' || substr(h, 1, 16) AS ubigint)) AS varchar),
+      cast(sum(cast('0x' || substr(h, 17, 16) AS ubigint)) AS varchar),
+      cast(sum(cast('0x' || substr(h, 33, 16) AS ubigint)) AS varchar),
+      cast(sum(cast('0x' || substr(h, 49, 16) AS ubigint)) AS varchar),
+      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 1, 16) AS ubigint)))), 16, '0'),
+      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 17, 16) AS ubigint)))), 16, '0'),
+      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 33, 16) AS ubigint)))), 16, '0'),
+      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 49, 16) AS ubigint)))), 16, '0')) AS digest FROM f""")
 def dataset_digest(d):
     rows = d.ent.withColumnRenamed("entity_id", "id")
     return quality.dataset_digest(export_dataset.with_fingerprint(rows, "entities"))

@@ -33,6 +33,19 @@ def filter_like(d):
     return EpisodeFilter(q="CLICK by user_7").apply(d.fac).select("guid", "title", "description")
 
 
+@query("filter_like_marks", """
+    SELECT doc_id AS guid FROM {documents}
+    WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%de\\1_d%'
+       OR translate(concat(lang, chr(92), substr(source, 4), '_', lang), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%de\\1_d%'
+    UNION ALL SELECT doc_id FROM {documents}
+    WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%Ü%ung %'""")
+def filter_like_marks(d):
+    marked = F.concat("lang", F.lit("\\"), F.substring("source", 4, 9), F.lit("_"), "lang")
+    rows = d.documents.select(F.col("doc_id").alias("guid"), F.col("text").alias("title"), marked.alias("description"))
+    plain = rows.withColumn("description", F.lit(""))
+    return EpisodeFilter(q="DE\\1_D").apply(rows).select("guid").unionByName(EpisodeFilter(q="Ü%UNG ").apply(plain).select("guid"))
+
+
 @query("filter_dates", """
     SELECT guid, published_at FROM {fac}
     WHERE cast(published_at AS date) >= date '2024-01-10' AND cast(published_at AS date) <= date '2024-01-12'""")
@@ -133,10 +146,10 @@ def facet_type(d):
 
 @query("facet_location", """
     SELECT * FROM (SELECT name, country, lat, lon, count(*) AS count FROM {fac} WHERE lat IS NOT NULL AND lon IS NOT NULL
-      GROUP BY ALL ORDER BY count DESC, name, country LIMIT 20)
+      GROUP BY ALL ORDER BY count DESC, name, country, lat, lon LIMIT 200)
     UNION ALL SELECT NULL, NULL, NULL, NULL, count(*) FROM {fac} WHERE lat IS NULL OR lon IS NULL HAVING count(*) > 0""")
 def facet_location(d):
-    return facets.facet_location(d.fac, 20)
+    return facets.facet_location(d.fac)
 
 
 @query("facet_decade", """
@@ -151,22 +164,21 @@ def facet_decade(d):
     SELECT 'total' AS facet, NULL AS incident_type, NULL AS name, NULL AS country, NULL AS lat, NULL AS lon, NULL AS decade, count(*) AS count FROM f
     UNION ALL SELECT 'type', coalesce(incident_type, 'other'), NULL, NULL, NULL, NULL, NULL, count(*) FROM f GROUP BY 2
     UNION ALL SELECT * FROM (SELECT 'location', NULL, name, country, lat, lon, NULL, count(*) AS c FROM f WHERE lat IS NOT NULL
-        GROUP BY 3, 4, 5, 6 ORDER BY c DESC, name, country LIMIT 10)
+        GROUP BY 3, 4, 5, 6 ORDER BY c DESC, name, country, lat, lon LIMIT 200)
     UNION ALL SELECT 'decade', NULL, NULL, NULL, NULL, NULL,
         (coalesce(primary_time_year, primary_time_start_year, primary_time_end_year) // 10) * 10, count(*) FROM f GROUP BY 7""")
 def facets_all(d):
-    return facets.facets_all(FILTERED.apply(d.fac), 10)
+    return facets.facets_all(FILTERED.apply(d.fac))
 
 
 @query("meta_bounds", """
-    SELECT cast(cast(min(published_at) AS date) AS varchar) AS min_date, cast(cast(max(published_at) AS date) AS varchar) AS max_date,
-      string_agg(DISTINCT incident_type, ',' ORDER BY incident_type) AS incident_types,
-      string_agg(DISTINCT podcast_id, ',' ORDER BY podcast_id) AS podcasts FROM {fac}""")
+    WITH r AS (SELECT 'all' AS kind, CAST(NULL AS varchar) AS value, published_at FROM {fac}
+      UNION ALL SELECT 'incident_type', incident_type, published_at FROM {fac} WHERE incident_type IS NOT NULL
+      UNION ALL SELECT 'podcast', podcast_id, published_at FROM {fac})
+    SELECT kind, value, cast(cast(min(published_at) AS date) AS varchar) AS min_date, cast(cast(max(published_at) AS date) AS varchar) AS max_date
+    FROM r GROUP BY kind, value""")
 def meta_bounds(d):
-    return facets.meta_bounds(d.fac).select(
-        F.col("min_date").cast("string"), F.col("max_date").cast("string"),
-        F.array_join("incident_types", ",").alias("incident_types"), F.array_join("podcasts", ",").alias("podcasts"),
-    )
+    return facets.meta_bounds(d.fac).select("kind", "value", F.col("min_date").cast("string"), F.col("max_date").cast("string"))
 
 
 BOUNDS = """SELECT e.podcast_id, min(least(year(start_date), year(end_date))) AS min_year, max(greatest(year(start_date), year(end_date))) AS max_year

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoweave.session import spread
-
 from .views import VIEWS, oracle
 
 TEXT_TABLES = ("documents", "pages")
@@ -16,6 +14,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """One partition per core: the given tables are single files of one row group."""
+    return scan.repartition(scan.sparkSession.sparkContext.defaultParallelism)
+
+
 class Data:
     """Tables of one scale-factor folder and the views over them."""
 

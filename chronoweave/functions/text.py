@@ -55,14 +55,18 @@ def _code_point(n: Column) -> Column:
 
 def unescape_html(c: Column) -> Column:
     """Resolve character references in a single pass, so ``&amp;lt;`` becomes ``&lt;``."""
-    numeric = r"^#([0-9]{1,9}|[xX][0-9a-fA-F]{1,8});?"
+    numeric = r"^#([0-9]+|[xX][0-9a-fA-F]+);?"
 
     def piece(seg: Column) -> Column:
         raw = F.regexp_extract(seg, numeric, 0)
         digits = F.regexp_extract(seg, numeric, 1)
-        code = F.when(
-            F.lower(digits).startswith("x"), F.conv(F.substr(digits, F.lit(2)), 16, 10)
-        ).otherwise(digits).cast("bigint")
+        short = F.regexp_replace(digits, "^[xX]?0*", "")
+        is_hex = F.lower(digits).startswith("x")
+        # more digits than any code point has read as number 0, which is a bad one
+        fits = (short != "") & (F.length(short) <= F.when(is_hex, 6).otherwise(7))
+        code = (
+            F.when(~fits, "0").when(is_hex, F.conv(short, 16, 10)).otherwise(short).try_cast("bigint")
+        )
         name = F.regexp_extract(seg, r"^([A-Za-z][A-Za-z0-9]{0,31});", 1)
         known = F.try_element_at(_named_entities(), name)
         open_name = F.regexp_extract(seg, _unclosed_entities(), 1)

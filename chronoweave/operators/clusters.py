@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import mid_year
 from ..functions.numeric import cluster_count, unit_scale
-from ..session import BROADCAST_ROW_BOUND, broadcast_if_small, cut_lineage, spread
+from ..session import cut_lineage
 from .relational import number_rows
 
 MIN_POINTS = 4
@@ -40,7 +40,7 @@ def cluster_points(best: DataFrame) -> DataFrame:
     ).filter("mid_year IS NOT NULL")
     points = cut_lineage(points)
     enough = points.groupBy("podcast_id").count().filter(F.col("count") >= MIN_POINTS).select("podcast_id")
-    return points.join(broadcast_if_small(enough, computed=True), "podcast_id", "left_semi")
+    return points.join(enough, "podcast_id", "left_semi")
 
 
 def scale_points(points: DataFrame) -> DataFrame:
@@ -53,7 +53,7 @@ def scale_points(points: DataFrame) -> DataFrame:
     scaled = [
         F.round(unit_scale(F.col(a), F.col(f"{a}_lo"), F.col(f"{a}_hi")), DIGITS).alias(f"s_{a}") for a in AXES
     ]
-    return points.join(broadcast_if_small(bounds, computed=True), "podcast_id").select(
+    return points.join(bounds, "podcast_id").select(
         *points.columns, "n", k.alias("k"), *scaled
     )
 
@@ -69,7 +69,7 @@ def seed_centroids(numbered: DataFrame) -> DataFrame:
     ).select("j", (F.col("first_no") + F.rint(F.col("j") * F.col("step")).cast("bigint")).alias("row_no"))
     vector = F.struct(*[F.col(f"s_{a}").alias(a) for a in AXES])
     return (
-        numbered.join(broadcast_if_small(seeds, computed=True), "row_no")
+        numbered.join(seeds, "row_no")
         .groupBy("podcast_id")
         .agg(F.array_sort(F.collect_list(F.struct("j", vector.alias("v")))).alias("seeds"))
         .select("podcast_id", F.transform("seeds", lambda s: s["v"]).alias("centroids"))
@@ -112,24 +112,16 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
 def kmeans(points: DataFrame, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Points with their cluster index ``j`` and label ``C1..Ck``.
 
-    Unchanged centroids mean that no assignment can change any more, which ends the loop.  The
-    centroid table keeps its size, so whether it may be broadcast is decided once.
+    Unchanged centroids mean that no assignment can change any more, which ends the loop.  Each
+    round's centroids are a written table, so its size decides whether it is broadcast.
     """
     numbered = cut_lineage(number_rows(scale_points(points), ["podcast_id", "s_mid_year", "episode_id"]))
-    parallel = spread(numbered)
-    if parallel is not numbered:
-        numbered = cut_lineage(parallel)
     centroids = cut_lineage(seed_centroids(numbered))
-    small = centroids.limit(BROADCAST_ROW_BOUND + 1).count() <= BROADCAST_ROW_BOUND
-
-    def side(c: DataFrame) -> DataFrame:
-        return F.broadcast(c) if small else c
-
     for _ in range(iterations - 1):
-        centroids = cut_lineage(kmeans_step(numbered, side(centroids)))
+        centroids = cut_lineage(kmeans_step(numbered, centroids))
         if centroids.filter("moved").isEmpty():
             break
-    assigned = numbered.join(side(centroids.select("podcast_id", "centroids")), "podcast_id")
+    assigned = numbered.join(centroids.select("podcast_id", "centroids"), "podcast_id")
     return assigned.select(*points.columns, "k", nearest(F.col("centroids")).alias("j")).withColumn(
         "label", F.concat(F.lit("C"), (F.col("j") + 1).cast("string"))
     )

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 
 @dataclass
@@ -37,7 +37,7 @@ def delete_episode_spans(
     asked = requests.select("episode_id").distinct()
     wanted = keep.select("episode_id", "span_id").distinct().withColumn("asked", F.lit(True))
     present = (
-        spans.join(broadcast_if_small(asked), "episode_id", "left_semi")
+        spans.join(asked, "episode_id", "left_semi")
         .select("episode_id", "span_id")
         .withColumn("here", F.lit(True))
     )
@@ -47,7 +47,7 @@ def delete_episode_spans(
     )
     gone = decisions.filter("state = 'deleted'").select("episode_id", "span_id")
     gone = cut_lineage(gone)
-    gone_ids = broadcast_if_small(gone.select("span_id"))
+    gone_ids = gone.select("span_id")
 
     def purge(links):
         return None if links is None else links.join(gone_ids, "span_id", "left_anti").select(*links.columns)
@@ -58,7 +58,7 @@ def delete_episode_spans(
         return links.join(gone, "span_id").groupBy("episode_id").agg(F.count(F.lit(1)).alias(name))
 
     cleared = gone.select("episode_id", F.col("span_id").alias("best_span_id")).withColumn("cleared", F.lit(True))
-    marked = episodes.join(broadcast_if_small(cleared), ["episode_id", "best_span_id"], "left")
+    marked = episodes.join(cleared, ["episode_id", "best_span_id"], "left")
     new_best = F.when(F.col("cleared").isNull(), F.col("best_span_id"))
     counts = decisions.groupBy("episode_id").agg(
         F.count_if(F.col("state") == "deleted").alias("deleted_span_count"),

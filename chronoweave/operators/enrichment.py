@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 from .mutations import insert_ignore, upsert_coalesce
 from .relational import first_per
 
@@ -122,7 +121,7 @@ def map_concepts(concepts: DataFrame, entities: DataFrame) -> DataFrame:
     mentions = entities.select(
         "episode_id", F.trim("name").alias("name"), F.coalesce("kind", F.lit("unknown")).alias("kind")
     ).distinct()
-    return mentions.join(broadcast_if_small(concepts), ["name", "kind"]).select(
+    return mentions.join(concepts, ["name", "kind"]).select(
         "episode_id", "concept_id", F.col("avg_confidence").alias("score"), "entity_count", "name"
     )
 

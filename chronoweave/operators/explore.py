@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import mid_year_by_month, ordered_pair
-from ..session import broadcast_if_small
 from .relational import first_per, number_rows, top_n
 
 TOP_SPANS, TOP_ENTITIES, TOP_KEYWORDS = 20, 40, 30
@@ -58,7 +57,7 @@ def stack_rows(podcasts: DataFrame, episodes: DataFrame, spans: DataFrame, membe
         "episode_id", "span_id", lo.alias("start_date"), hi.alias("end_date"), "score"
     )
     return (
-        episodes.join(broadcast_if_small(podcasts), "podcast_id")
+        episodes.join(podcasts, "podcast_id")
         .join(membership, "episode_id", "left")
         .join(usable, "episode_id", "left")
     )
@@ -192,7 +191,7 @@ def term_graph(sorted_terms: DataFrame, episode_terms: DataFrame, nodes: int = 1
         .select("cluster_id", F.lower("term").alias("term"))
         .distinct()
     )
-    used = episode_terms.withColumn("term", F.lower("term")).join(broadcast_if_small(node, computed=True), ["cluster_id", "term"])
+    used = episode_terms.withColumn("term", F.lower("term")).join(node, ["cluster_id", "term"])
     counted = cooccurrence_pairs(used).groupBy("cluster_id", "a", "b").agg(F.count(F.lit(1)).alias("weight"))
     return top_n(counted, ["cluster_id"], [F.desc("weight"), "a", "b"], edges)
 
@@ -201,7 +200,7 @@ def podcast_series(episodes: DataFrame) -> DataFrame:
     """Type series with the zero-based position of the podcast in id order."""
     index = number_rows(episodes.select("podcast_id").distinct(), ["podcast_id"], "podcast_index", 0)
     kind = F.coalesce(F.nullif("incident_type", F.lit("")), F.lit("other"))
-    return episodes.withColumn("incident_type", kind).join(broadcast_if_small(index), "podcast_id")
+    return episodes.withColumn("incident_type", kind).join(index, "podcast_id")
 
 
 def concept_drilldown(bridge: DataFrame, concepts: DataFrame, claims: DataFrame) -> DataFrame:

@@ -28,10 +28,12 @@ def facet_type(episodes: DataFrame) -> DataFrame:
     )
 
 
-def facet_location(episodes: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame:
-    """Top locations with coordinates, plus one all-NULL bucket when rows lack coordinates.
+def facet_location(episodes: DataFrame, limit: int | None = MAX_LOCATIONS) -> DataFrame:
+    """Top locations with coordinates (all for ``limit=None``), plus one all-NULL bucket when rows
+    lack coordinates.
 
-    Both come from one aggregation: rows without coordinates fall into a single flagged group.
+    Both come from one aggregation over one scan: rows without coordinates fall into a single
+    flagged group, which is first of its kind.
     """
     known = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     keyed = episodes.select(
@@ -39,9 +41,16 @@ def facet_location(episodes: DataFrame, limit: int = MAX_LOCATIONS) -> DataFrame
         *[F.when(known, F.col(c)).alias(c) for c in ("name", "country", "lat", "lon")],
     )
     counts = keyed.groupBy("known", "name", "country", "lat", "lon").agg(F.count(F.lit(1)).alias("count"))
+    return first_of(counts, ["known"], limit).drop("known")
+
+
+def first_of(counts: DataFrame, group: list, limit: int | None) -> DataFrame:
+    """The ``limit`` most frequent rows of each group; the rank limit runs in every task first."""
+    if limit is None:
+        return counts
     order = [F.desc("count"), F.asc("name"), F.asc("country"), F.asc("lat"), F.asc("lon")]
-    top = counts.filter("known").orderBy(*order).limit(limit)
-    return top.unionByName(counts.filter("NOT known")).drop("known")
+    ranked = counts.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+    return ranked.filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def facet_decade(episodes: DataFrame) -> DataFrame:
@@ -52,7 +61,7 @@ def facet_decade(episodes: DataFrame) -> DataFrame:
     )
 
 
-def facets_all(episodes: DataFrame, location_limit: int = MAX_LOCATIONS) -> DataFrame:
+def facets_all(episodes: DataFrame, location_limit: int | None = MAX_LOCATIONS) -> DataFrame:
     """Total, types, locations and decades in one scan by grouping sets.
 
     Output ``facet`` is total | type | location | unknown_location | decade.
@@ -81,19 +90,26 @@ def facets_all(episodes: DataFrame, location_limit: int = MAX_LOCATIONS) -> Data
         .otherwise("unknown_location")
     )
     flat = grouped.select(facet.alias("facet"), "incident_type", *place[1:], "decade", "count")
-    order = [F.desc("count"), F.asc("name"), F.asc("country"), F.asc("lat"), F.asc("lon")]
-    top = flat.filter("facet = 'location'").orderBy(*order).limit(location_limit)
-    return flat.filter("facet <> 'location'").unionByName(top)
+    # every other row is alone in its group, so one rank limit serves all facets
+    alone = F.when(F.col("facet") != "location", F.concat_ws(" ", "incident_type", F.col("decade").cast("string")))
+    return first_of(flat, ["facet", alone], location_limit)
 
 
 def meta_bounds(episodes: DataFrame) -> DataFrame:
-    """First and last publication day with the sorted distinct types and podcasts."""
-    return episodes.agg(
-        F.min("published_at").cast("date").alias("min_date"),
-        F.max("published_at").cast("date").alias("max_date"),
-        F.array_sort(F.collect_set("incident_type")).alias("incident_types"),
-        F.array_sort(F.collect_set("podcast_id")).alias("podcasts"),
+    """(kind, value, min_date, max_date): one row ``all``, one per incident type, one per podcast.
+
+    Each has its first and last publication day; the distinct values are rows, so a store with many
+    podcasts fills no single cell.  One scan by grouping sets.
+    """
+    keys = [F.col("incident_type"), F.col("podcast_id")]
+    grouped = episodes.select("incident_type", "podcast_id", "published_at").groupingSets([[], keys[:1], keys[1:]], *keys)
+    rows = grouped.agg(
+        F.min("published_at").cast("date").alias("min_date"), F.max("published_at").cast("date").alias("max_date"),
+        F.grouping("incident_type").alias("_t"), F.grouping("podcast_id").alias("_p"),
     )
+    kind = F.when(F.col("_t") == 0, "incident_type").when(F.col("_p") == 0, "podcast").otherwise("all")
+    out = rows.select(kind.alias("kind"), F.coalesce("incident_type", "podcast_id").alias("value"), "min_date", "max_date")
+    return out.filter("kind = 'all' OR value IS NOT NULL")
 
 
 def year_bounds(spans: DataFrame, *keys: str) -> DataFrame:

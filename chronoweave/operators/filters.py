@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import ordered_pair
-from ..session import broadcast_if_small
+
+
+def ascii_lower(text: str) -> str:
+    return text.translate(str.maketrans(ascii_uppercase, ascii_lowercase))
 
 
 @dataclass(frozen=True)
 class EpisodeFilter:
     """Conjunction of optional criteria; an unset criterion keeps every row.
 
-    ``q`` is matched case-insensitively inside title or description, with ``%`` and ``_`` acting as
+    ``q`` is matched, ASCII letters in either case, inside title or description, with ``%`` and ``_`` acting as
     wildcards.  Dates compare the UTC day and are inclusive; ``bbox`` is
     (min_lon, min_lat, max_lon, max_lat), inclusive, and drops rows without coordinates.
     """
@@ -33,8 +37,10 @@ class EpisodeFilter:
         if self.podcast_id:
             tests.append(F.col("podcast_id") == self.podcast_id)
         if self.q:
-            like = f"%{self.q}%"
-            tests.append(F.col("title").ilike(like) | F.col("description").ilike(like))
+            # only % and _ are special, and only ASCII letters match in either case
+            like = "%" + ascii_lower(self.q).replace("\\", "\\\\") + "%"
+            folded = [F.translate(c, ascii_uppercase, ascii_lowercase) for c in ("title", "description")]
+            tests.append(folded[0].like(like) | folded[1].like(like))
         # comparing the raw timestamp to day bounds keeps the test pushable to the scan
         if self.date_start:
             tests.append(F.col("published_at") >= F.lit(self.date_start).cast("timestamp_ntz"))
@@ -118,7 +124,7 @@ def filter_by_year_range(episodes: DataFrame, spans: DataFrame, min_year: int, m
 
 def spans_in_windows(spans: DataFrame, windows: DataFrame, on: str) -> DataFrame:
     """Range join: spans overlapping the ``[min_year, max_year]`` window of their group."""
-    joined = span_years(spans).join(broadcast_if_small(windows), on)
+    joined = span_years(spans).join(windows, on)
     return joined.filter((F.col("hi") >= F.col("min_year")) & (F.col("lo") <= F.col("max_year")))
 
 

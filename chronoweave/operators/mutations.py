@@ -1,7 +1,7 @@
 """Key-based merges of a large base table with a batch.
 
-The batch is reduced to one row per key first.  The base is then only probed: while the batch is
-small enough to broadcast, the base never moves.
+The batch is reduced to one row per key and stored first.  Spark knows its size then: while it is
+small enough to broadcast, the base is only probed and never moves.
 """
 
 from __future__ import annotations
@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 from .relational import first_per, last_per
 
 
 def upsert_replace(base: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Rows of the batch replace those of the base; the last batch row per key wins."""
     newest = cut_lineage(last_per(batch, keys, order).select(*base.columns))
-    kept = base.join(broadcast_if_small(newest.select(*keys)), keys, "left_anti")
+    kept = base.join(newest.select(*keys), keys, "left_anti")
     return kept.select(*base.columns).unionByName(newest)
 
 
@@ -27,7 +27,7 @@ def upsert_coalesce(
     newest = cut_lineage(last_per(batch, keys, order).select(*base.columns))
     values = [c for c in base.columns if c not in keys]
     renamed = newest.select(*keys, *[F.col(c).alias(f"new_{c}") for c in values], F.lit(True).alias("hit"))
-    merged = base.join(broadcast_if_small(renamed), keys, "left")
+    merged = base.join(renamed, keys, "left")
 
     def value(c: str):
         fresh = F.coalesce(f"new_{c}", c) if c in keep_when_null else F.col(f"new_{c}")
@@ -39,8 +39,7 @@ def upsert_coalesce(
 
 def missing_rows(base: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
     """Batch rows whose key is not in the base."""
-    present = base.select(*keys).join(broadcast_if_small(batch.select(*keys)), keys, "left_semi")
-    return batch.join(present, keys, "left_anti").select(*batch.columns)
+    return batch.join(base.select(*keys), keys, "left_anti").select(*batch.columns)
 
 
 def insert_ignore(base: DataFrame, batch: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

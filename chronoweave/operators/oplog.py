@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 # Table of each entity type, columns of a relation.
 TABLES = {
@@ -74,7 +74,7 @@ def fold_row_ops(ops: DataFrame, base_ids: DataFrame) -> RowChanges:
     )
     touched = row_ops.select("id").distinct()
     existing = base_ids.select(F.col("id").cast("string").alias("id")).join(
-        broadcast_if_small(touched), "id", "left_semi"
+        touched, "id", "left_semi"
     )
     life = (
         row_ops.filter("kind <> 'update'")
@@ -108,8 +108,8 @@ def apply_row_ops(ops: DataFrame, table: str, base: DataFrame) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("set"), F.max("fresh").alias("fresh")
     )
     keyed = base.withColumn("_id", F.col("id").cast("string"))
-    gone = broadcast_if_small(changes.deleted.select(F.col("id").alias("_id")), computed=True)
-    change = broadcast_if_small(per_id.withColumnRenamed("id", "_id"))
+    gone = changes.deleted.select(F.col("id").alias("_id"))
+    change = per_id.withColumnRenamed("id", "_id")
 
     def written(c):
         return F.try_element_at("set", F.lit(c)).try_cast(types[c])
@@ -144,9 +144,9 @@ def apply_link_ops(ops: DataFrame, table: str, base: DataFrame, left: str = "epi
         .agg(F.max_by("linked", "seq").alias("linked"))
     )
     last = cut_lineage(last)
-    untouched = base.join(broadcast_if_small(last.select(left, right)), [left, right], "left_anti")
+    untouched = base.join(last.select(left, right), [left, right], "left_anti")
     # a relation already present stays one row, as with an insert that ignores duplicates
-    present = base.join(broadcast_if_small(last.filter("linked").select(left, right)), [left, right], "left_semi")
+    present = base.join(last.filter("linked").select(left, right), [left, right], "left_semi")
     added = last.filter("linked").select(left, right).join(present.select(left, right), [left, right], "left_anti")
     return untouched.unionByName(present).unionByName(added, allowMissingColumns=True)
 
@@ -191,7 +191,7 @@ def reconcile(ops: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def cancel_ops(ops: DataFrame, op_ids: DataFrame) -> DataFrame:
-    hit = broadcast_if_small(op_ids.select("op_id").distinct().withColumn("hit", F.lit(True)))
+    hit = op_ids.select("op_id").distinct().withColumn("hit", F.lit(True))
     out = ops.join(hit, "op_id", "left")
     return out.withColumns(
         {
@@ -202,7 +202,7 @@ def cancel_ops(ops: DataFrame, op_ids: DataFrame) -> DataFrame:
 
 
 def remove_ops(ops: DataFrame, op_ids: DataFrame) -> DataFrame:
-    return ops.join(broadcast_if_small(op_ids.select("op_id").distinct()), "op_id", "left_anti").select(*ops.columns)
+    return ops.join(op_ids.select("op_id").distinct(), "op_id", "left_anti").select(*ops.columns)
 
 
 def cleanup_ops(ops: DataFrame) -> DataFrame:

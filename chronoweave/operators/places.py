@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import find_all, let, running_offsets
 from ..functions.text import norm_key
-from ..session import broadcast_if_small
 
 # Patterns of place hints and capitalised words, candidate cap per segment.
 HINT_PATTERN = r"(?U)(?=[ibnav])\b(in|bei|nach|aus|von|auf)\s+([A-ZÄÖÜ][\wÄÖÜäöüß\-]+)"
@@ -31,7 +30,7 @@ def geocode(segments: DataFrame, keys: list[str], alias_dict: DataFrame, text: s
     hits = (
         segments.select(*keys, F.posexplode(place_candidates(F.col(text))).alias("pos", "candidate"))
         .select(*keys, "pos", norm_key(F.col("candidate")).alias("norm_key"))
-        .join(broadcast_if_small(alias_dict), "norm_key")
+        .join(alias_dict, "norm_key")
     )
     found = F.struct("place_kind", "lat", "lon", "radius_km")
     return (
@@ -93,7 +92,7 @@ def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "te
         return let(running_offsets(F.transform(pieces, F.length)), located)
 
     tokens = docs.select(key, F.explode(let(_chunks(F.col(text)), words)).alias("w")).select(key, "w.*")
-    joined = tokens.join(broadcast_if_small(anchored), "anchor").filter(F.col("shift") >= F.col("lead"))
+    joined = tokens.join(anchored, "anchor").filter(F.col("shift") >= F.col("lead"))
     begin = F.col("shift") - F.col("lead")
     size = F.length("surface")
     found = F.substr("window", begin + 1, size)

@@ -145,9 +145,8 @@ def canonical_json(*fields: str, types: dict[str, str]) -> Column:
         elif kind in ("bigint", "int", "smallint", "tinyint", "boolean"):
             value = c.cast("string")
         else:
-            text = F.regexp_replace(c.cast("string"), r'(["\\])', r"\\$1")
-            text = F.replace(F.replace(text, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-            value = F.concat(F.lit('"'), text, F.lit('"'))
+            quoted = F.to_json(F.struct(c.cast("string").alias("x")))  # {"x":"..."}, control characters escaped
+            value = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
         parts.append(F.concat(F.lit(f'"{name}":'), F.when(c.isNull(), "null").otherwise(value)))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
@@ -157,9 +156,10 @@ def row_fingerprint(df: DataFrame, fields: tuple[str, ...]) -> Column:
 
 
 def dataset_digest(df: DataFrame, fingerprint: str = "row_fingerprint") -> DataFrame:
-    """Order-free digest: row count and the sum of 48-bit prefixes of the row fingerprints."""
-    prefix = F.conv(F.substring(fingerprint, 1, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.coalesce(F.sum(prefix), F.lit(0)).cast("string").alias("digest"),
-    )
+    """Order-free digest: row count, and the sums and exclusive ors of the four 64-bit words of the
+    row fingerprints."""
+    words = [F.substring(fingerprint, 1 + 16 * i, 16) for i in range(4)]
+    sums = [F.coalesce(F.sum(F.conv(w, 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for w in words]
+    # a negative base reads the word as a signed number
+    ors = [F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(F.conv(w, 16, -10).cast("bigint")), F.lit(0)))), 16, "0") for w in words]
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums, *ors).alias("digest"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 
 def first_per(df: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -90,5 +90,5 @@ def salted_pairs(df: DataFrame, key: str, item: str, payload: list[str], chunk:
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
-    """Join to a dimension, broadcast only after its size is checked."""
-    return df.join(broadcast_if_small(dim), on, how)
+    """Join to a dimension; Spark broadcasts it when its measured size allows."""
+    return df.join(dim, on, how)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.metrics import ClusterInputs, cluster_metric_bundle, member_counts
 from ..operators.quality import FINGERPRINT_FIELDS, row_fingerprint
 from ..operators.relational import last_per, top_n
-from ..session import broadcast_if_small
 
 SCHEMA_VERSION = "2026-02-27"
 
@@ -25,7 +24,7 @@ def join_place_names(places: DataFrame, places_norm: DataFrame) -> DataFrame:
         F.col("norm_key").alias("n_key"),
         F.col("place_kind").alias("n_kind"),
     )
-    joined = places.join(broadcast_if_small(dim), "place_norm_id", "left")
+    joined = places.join(dim, "place_norm_id", "left")
     kind = F.coalesce(F.nullif(F.coalesce("n_kind", "place_kind"), F.lit("")), F.lit("unknown"))
     return joined.select(
         "place_id",
@@ -41,7 +40,7 @@ def join_place_names(places: DataFrame, places_norm: DataFrame) -> DataFrame:
 def join_keyword_phrases(bridge: DataFrame, keywords: DataFrame) -> DataFrame:
     """Bridge rows with their phrase; rows without one drop out."""
     dim = keywords.filter("phrase IS NOT NULL AND phrase <> ''")
-    return bridge.join(broadcast_if_small(dim), "keyword_id").select("episode_id", "phrase", "score")
+    return bridge.join(dim, "keyword_id").select("episode_id", "phrase", "score")
 
 
 def nested_keywords(bridge: DataFrame) -> DataFrame:

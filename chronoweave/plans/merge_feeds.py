@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.mutations import new_by_guid
 from ..operators.relational import first_per, number_rows
-from ..session import broadcast_if_small, cut_lineage
+from ..session import cut_lineage
 
 
 def podcast_keys(podcasts: DataFrame) -> DataFrame:
@@ -28,7 +28,7 @@ def feed_keys(feeds: DataFrame) -> DataFrame:
 
 def resolve_podcast(feeds: DataFrame, podcasts: DataFrame) -> DataFrame:
     """(feed_pos, podcast_id) against the store; NULL where no key is known."""
-    hits = feed_keys(feeds).join(broadcast_if_small(podcast_keys(podcasts)), "key")
+    hits = feed_keys(feeds).join(podcast_keys(podcasts), "key")
     best = hits.groupBy("feed_pos").agg(F.min_by("podcast_id", "slot").alias("podcast_id"))
     return feeds.select("feed_pos").join(best, "feed_pos", "left")
 
@@ -105,7 +105,7 @@ def merge_feeds(podcasts: DataFrame, episodes: DataFrame, feeds: DataFrame, item
     owner = assigned.join(ids, "leader", "left").select(
         "feed_pos", F.coalesce("podcast_id", "new_id").alias("podcast_id")
     )
-    fresh = new_by_guid(items, episodes, ["feed_pos", "item_pos"]).join(broadcast_if_small(owner), "feed_pos")
+    fresh = new_by_guid(items, episodes, ["feed_pos", "item_pos"]).join(owner, "feed_pos")
     top_episode = F.coalesce(episodes.agg(F.max("id")).scalar(), F.lit(0))
     placed = number_rows(fresh, ["feed_pos", "item_pos"], "no").withColumn("id", F.col("no") + top_episode)
     titled = placed.withColumn(

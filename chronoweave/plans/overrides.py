@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import broadcast_if_small
 
 LOCATION = ("name", "country", "lat", "lon")
 
@@ -19,8 +18,8 @@ def apply_overrides(episodes: DataFrame, overrides: DataFrame, gazetteer: DataFr
     """
     patch = overrides.select("guid", *[F.col(c).alias(f"o_{c}") for c in overrides.columns if c != "guid"])
     known = gazetteer.select("lookup", *[F.col(c).alias(f"g_{c}") for c in LOCATION])
-    joined = episodes.join(broadcast_if_small(patch), "guid", "left")
-    joined = joined.withColumn("lookup", F.lower("o_primary_location.name")).join(broadcast_if_small(known), "lookup", "left")
+    joined = episodes.join(patch, "guid", "left")
+    joined = joined.withColumn("lookup", F.lower("o_primary_location.name")).join(known, "lookup", "left")
 
     def has(key):
         return F.coalesce(F.array_contains("o_keys", key), F.lit(False))

@@ -1,11 +1,11 @@
-"""Session defaults, lineage cutting and size-checked broadcasting."""
+"""Session defaults and lineage cutting."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
@@ -13,12 +13,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
-# Rows a lookup side may hold before it stops being broadcast.
-BROADCAST_ROW_BOUND = 200_000
-
-
 def build_session(app_name: str = "chronoweave", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -28,42 +25,30 @@ def build_session(app_name: str = "chronoweave", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the reliable checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """Checkpoint folder of the session, which the driver and all executors share.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  A temporary one is made
-    only when nothing is set and the master is local (tests); a cluster without the setting fails.
+    It is the one the cluster names in ``spark.checkpoint.dir``.  A temporary one is made only when
+    nothing is set and the master is local (tests); a cluster without the setting fails.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured:
             sc.setCheckpointDir(configured)
         elif sc.master.startswith("local"):
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         else:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    return df.checkpoint(eager=True)
-
+    return sc.getCheckpointDir()
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Give a scan of few files one partition per core before row-wise text work.
 
-    A large input already has more splits than cores and stays as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_BOUND, computed: bool = False) -> DataFrame:
-    """Hint a broadcast only after counting that ``df`` has at most ``max_rows`` rows.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    The count stops at ``max_rows + 1``.  A larger side comes back unhinted, so the join falls
-    to a shuffled one that AQE may split on skew.  A side that is itself the result of heavy work
-    (``computed``) is materialised first, so the check does not run that work a second time.
+    The work is done once and survives lost executors.  Later joins know the table's size in bytes,
+    so Spark itself decides whether a side is small enough to broadcast.
     """
-    if computed:
-        df = cut_lineage(df)
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
