@@ -576,8 +576,17 @@ NAMES_DUCK = """nm AS (SELECT entry_pos, name, coalesce(nullif(kind, ''), 'unkno
       unnest(list_concat([name], list_filter(list_transform(string_split(aliases, ','), lambda a: trim(a)), lambda a: a <> ''))) AS surface FROM {gaz_comma})"""
 
 
-@query("dict_hits", f"""WITH {NAMES_DUCK} SELECT t.episode_id, n.name, count(*) AS hits FROM {{txt}} t, nm n
-    WHERE regexp_matches(t.text, '(?i)\\b' || n.surface || '\\b') GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"))
+# Every place of a form in a lower-cased text, kept where no word character touches it.
+HIT_DUCK = f"""{NAMES_DUCK}, nn AS (SELECT *, row_number() OVER () AS np FROM nm),
+    h0 AS (SELECT t.episode_id, n.*, length(n.surface) AS size, lower(t.text) AS low, string_split(lower(t.text), lower(n.surface)) AS gaps
+      FROM {{txt}} t JOIN nn n ON contains(lower(t.text), lower(n.surface))),
+    h1 AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM h0),
+    h2 AS (SELECT *, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS int) + (i - 1) * size AS st FROM h1),
+    h AS (SELECT * EXCLUDE (low, gaps) FROM h2
+      WHERE NOT regexp_matches(CASE WHEN st > 0 THEN substr(low, st, 1) ELSE '' END, '\\w') AND NOT regexp_matches(substr(low, st + size + 1, 1), '\\w'))"""
+
+
+@query("dict_hits", f"""WITH {HIT_DUCK} SELECT episode_id, name, count(DISTINCT np) AS hits FROM h GROUP BY 1, 2""")
 def dict_hits(d):
     names = gazetteers.surface_forms(gazetteers.comma_gazetteer(d.gaz_comma))
     hits = places.dictionary_hits(d.txt, "episode_id", names)
@@ -586,12 +595,9 @@ def dict_hits(d):
 
 
 # Overlaps resolved by the rules of the fixed name list: the longest form at a position wins.
-LOC_DUCK = f"""{NAMES_DUCK}, h0 AS (SELECT t.episode_id, n.*, length(n.surface) AS size,
-      string_split(regexp_replace(t.text, '(?i)\\b' || n.surface || '\\b', chr(1), 'g'), chr(1)) AS gaps FROM {{txt}} t JOIN nm n ON regexp_matches(t.text, '(?i)\\b' || n.surface || '\\b')),
-    h1 AS (SELECT *, unnest(range(1, len(gaps))) AS i FROM h0),
-    h AS (SELECT *, cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) AS int) + (i - 1) * size AS st FROM h1),
+LOC_DUCK = f"""{HIT_DUCK},
     loc AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.episode_id = a.episode_id AND b.st < a.st + a.size AND a.st < b.st + b.size
-      AND (b.size > a.size OR (b.size = a.size AND b.entry_pos < a.entry_pos))))""".replace("{{", "{").replace("}}", "}")
+      AND (b.size > a.size OR (b.size = a.size AND b.entry_pos < a.entry_pos))))"""
 
 
 @query("dict_locations", f"""WITH {LOC_DUCK} SELECT episode_id, name, kind, country, lat, lon, st::int AS "start", (st + size)::int AS "end" FROM loc""")

@@ -63,46 +63,51 @@ def _chunks(text: Column) -> Column:
 def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "text") -> DataFrame:
     """All case-insensitive whole-word occurrences of dictionary names.
 
-    ``names(name_pos, surface, name, kind, country, lat, lon)``.  The text is scanned once for
-    words; a word equal to the first word of a surface form (equi join) is checked against the few
-    words around it, as many as the longest surface form has.
+    ``names(name_pos, surface, name, kind, country, lat, lon)``.  The text is cut into words once;
+    runs of as many words as surface forms have meet the forms in one equi join on the whole folded
+    run, so a frequent first word is no hot key.  Marks around a form's words are compared after it.
     """
-    anchored = names.withColumn("anchor", F.lower(F.regexp_extract("surface", r"(?U)\w+", 0))).withColumn(
-        "lead", F.length(F.regexp_extract("surface", r"(?U)^\W*", 0))
-    ).filter("anchor <> ''")
+    core = F.regexp_extract("surface", r"(?U)(?s)\w(?:.*\w)?", 0)
+    lead = F.length(F.regexp_extract("surface", r"(?U)^\W*", 0))
+    forms = names.withColumn("core", F.lower(core)).withColumn("lead", lead).filter("core <> ''")
+    forms = forms.withColumn("tail", F.length("surface") - F.col("lead") - F.length(core))
     n_words = F.size(find_all(F.col("surface"), r"(?U)\w+"))
-    longest = anchored.agg(F.coalesce(F.max(n_words), F.lit(0))).first()[0]
+    counts = forms.agg(F.array_sort(F.collect_set(n_words))).scalar()  # a form's word counts: a short list
 
-    def words(pieces: Column) -> Column:
+    def runs(pieces: Column) -> Column:
         def located(offsets: Column) -> Column:
-            def token(piece: Column, i: Column) -> Column:
-                before = F.length(F.coalesce(F.get(pieces, i - 1), F.lit("")))
-                return let(
-                    F.regexp_replace(piece, r"(?U)^\W+", ""),
-                    lambda word: F.struct(
-                        F.lower(word).alias("anchor"),
-                        (F.get(offsets, i) + F.length(piece) - F.length(word)).alias("at"),
-                        (before + F.length(piece) - F.length(word)).alias("shift"),
-                        F.array_join(F.slice(pieces, F.greatest(i, F.lit(1)), F.lit(longest + 2)), "").alias("window"),
-                    ),
+            def at(piece: Column, i: Column) -> Column:
+                word = F.regexp_replace(piece, r"(?U)^\W+", "")
+                ahead = F.concat(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.regexp_extract(piece, r"(?U)^\W*", 0))
+                start = F.get(offsets, i) + F.length(piece) - F.length(word)
+
+                def run(m: Column) -> Column:
+                    rest = F.array_join(F.slice(pieces, i + 2, m - 1), "")
+                    behind = F.coalesce(F.get(pieces, i + m), F.lit(""))
+                    return F.struct(F.concat(word, rest).alias("run"), start.alias("at"), ahead.alias("ahead"), behind.alias("behind"))
+
+                return F.when(
+                    word != "", F.transform(F.filter("_counts", lambda m: i + m <= F.size(pieces)), run)
                 )
 
-            return F.transform(pieces, token)
+            return F.flatten(F.filter(F.transform(pieces, at), lambda r: r.isNotNull()))
 
         return let(running_offsets(F.transform(pieces, F.length)), located)
 
-    tokens = docs.select(key, F.explode(let(_chunks(F.col(text)), words)).alias("w")).select(key, "w.*")
-    joined = tokens.join(anchored, "anchor").filter(F.col("shift") >= F.col("lead"))
-    begin = F.col("shift") - F.col("lead")
-    size = F.length("surface")
-    found = F.substr("window", begin + 1, size)
-    before = F.when(begin > 0, F.substr("window", begin, F.lit(1))).otherwise("")
-    after = F.substr("window", begin + size + 1, F.lit(1))
+    counted = docs.select(key, text).withColumn("_counts", F.coalesce(counts, F.array().cast("array<int>")))
+    tokens = counted.select(key, F.explode(let(_chunks(F.col(text)), runs)).alias("w")).select(key, "w.*")
+    joined = tokens.withColumn("core", F.lower("run")).join(forms, "core").filter(F.length("ahead") >= F.col("lead"))
+    before_form = F.substr("ahead", F.length("ahead") - F.col("lead") + 1, F.col("lead"))
+    behind_form = F.substr("behind", F.lit(1), F.col("tail"))
+    found = F.concat(before_form, "run", behind_form)
+    before = F.when(F.length("ahead") > F.col("lead"), F.substr("ahead", F.length("ahead") - F.col("lead"), F.lit(1))).otherwise("")
+    after = F.substr("behind", F.col("tail") + 1, F.lit(1))
 
     def is_word(ch: Column) -> Column:
         return ch.rlike(r"(?U)^\w")
 
-    boundary = (is_word(before) != is_word(found)) & (is_word(after) != is_word(F.substr(found, size)))
+    size = F.length("surface")
+    boundary = (is_word(before) != is_word(found)) & (is_word(after) != is_word(F.substr(found, F.length(found))))
     start = F.col("at") - F.col("lead")
     return joined.filter((F.lower(found) == F.lower("surface")) & boundary).select(
         key,
