@@ -203,7 +203,7 @@ def rejected_ops(d):
     return oplog.rejected_ops(ops_table(d)).select("op_id", "reason")
 
 
-REC_DUCK = """ec AS (SELECT cast(c_custkey AS varchar) AS id, 'T' || (c_custkey % 100) AS title, cast(c_custkey % 100 AS varchar) AS score FROM {customer} WHERE c_acctbal > 2000),
+REC_DUCK = """ec AS (SELECT cast(c_custkey AS varchar) AS id, 'T' || (c_custkey % 100) AS title, cast(c_custkey % 100 AS varchar) AS score FROM {customer}),
     j AS (SELECT o.*, CASE WHEN entity_type = 'relation' THEN r.episode_id IS NOT NULL ELSE entity_type = 'episode' AND e.id IS NOT NULL END AS here,
       entity_type = 'episode' AND e.title = p_title AND (p_score IS NULL OR p_score = e.score) AS same
       FROM {op} o LEFT JOIN ec e ON e.id = o.entity_id LEFT JOIN {rel} r ON cast(r.episode_id AS varchar) = o.entity_id),
@@ -217,7 +217,7 @@ REC_DUCK = """ec AS (SELECT cast(c_custkey AS varchar) AS id, 'T' || (c_custkey
 
 def reconciled(d):
     ident = F.col("c_custkey").cast("string")
-    records = d.customer.filter("c_acctbal > 2000").select(
+    records = d.customer.select(
         F.lit("episode").alias("entity_type"), ident.alias("entity_id"),
         F.create_map(F.lit("title"), F.concat(F.lit("T"), (F.col("c_custkey") % 100).cast("string")), F.lit("score"), (F.col("c_custkey") % 100).cast("string")).alias("fields"),
     )
@@ -394,7 +394,7 @@ def keep_diff(d):
 OV_SQL = """SELECT concat('ev-', cast(event_id AS string)) AS guid, CASE event_id % 8 WHEN 0 THEN '{{"incident_type":"battle","persons":null}}' WHEN 1 THEN '{{"persons":["Ada","Bo"],"links":[]}}'
     WHEN 2 THEN '{{"primary_time":{{"kind":"point","year":-44}}}}' WHEN 3 THEN '{{"primary_time":{{"kind":"range","start_year":1914,"end_year":"x"}}}}'
     WHEN 4 THEN '{{"primary_location":{{"name":"nation_3"}}}}' WHEN 5 THEN '{{"primary_location":{{"name":"Atlantis"}}}}' ELSE '{{"primary_time":{{"kind":"unknown"}}}}' END AS value
-    FROM {events} WHERE event_type <> 'view'"""
+    FROM {events} UNION ALL SELECT 'ev-none', '{{"incident_type":"battle"}}' FROM {events} WHERE event_id = 1"""
 
 
 @query("override_patch", """
@@ -402,7 +402,7 @@ OV_SQL = """SELECT concat('ev-', cast(event_id AS string)) AS guid, CASE event_i
       CASE m WHEN 2 THEN 'point' WHEN 3 THEN 'range' ELSE primary_time_kind END AS kind, CASE m WHEN 2 THEN -44 WHEN 3 THEN NULL ELSE primary_time_year END AS year,
       CASE m WHEN 2 THEN NULL WHEN 3 THEN 1914 ELSE primary_time_start_year END AS start_year, CASE m WHEN 2 THEN NULL WHEN 3 THEN 0 ELSE primary_time_end_year END AS end_year,
       CASE m WHEN 4 THEN 'NATION_3' ELSE name END AS place, CASE m WHEN 4 THEN -39.0::double ELSE lat END AS lat
-    FROM (SELECT *, CASE WHEN incident_type = 'view' THEN -1 ELSE event_id % 8 END AS m FROM {fac})""")
+    FROM (SELECT *, event_id % 8 AS m FROM {fac})""")
 def override_patch(d):
     records = documents.parse_overrides(d.spark.sql(OV_SQL, events=d.events))
     names = gazetteers.lower_dictionary(gazetteers.comma_gazetteer(d.gaz_comma))
@@ -490,12 +490,12 @@ def claim_rows(d):
 
 
 CAND_DUCK = """cd AS (SELECT trim(name) AS name, coalesce(kind, 'unknown') AS kind, count(*) AS entity_count, round(avg(coalesce(confidence, 0)), 9)::double AS avg_confidence FROM {ent}
-      WHERE trim(name) <> '' GROUP BY 1, 2 HAVING count(*) >= 5 AND avg_confidence >= 0.94 ORDER BY entity_count DESC, avg_confidence DESC, name, kind LIMIT 60)"""
+      WHERE trim(name) <> '' GROUP BY 1, 2 HAVING count(*) >= 2 AND avg_confidence >= 0.6 ORDER BY entity_count DESC, avg_confidence DESC, name, kind LIMIT 400)"""
 
 
 @query("entity_candidates", f"WITH {CAND_DUCK} SELECT name, kind, entity_count, round(avg_confidence, 6)::double AS avg_confidence FROM cd")
 def entity_candidates(d):
-    return enrichment.entity_candidates(d.ent, 5, 0.94, 60).withColumn("avg_confidence", F.round("avg_confidence", 6))
+    return enrichment.entity_candidates(d.ent).withColumn("avg_confidence", F.round("avg_confidence", 6))
 
 
 RES_DUCK = f"""{CAND_DUCK}, nm AS ({duck_of(NAME_SQL)}), rs AS (SELECT cd.*, nm.k, CASE WHEN nm.k % 5 <> 0 AND nm.k % 4 <> 0 THEN 'Q' || (nm.k + 100000) WHEN nm.k % 5 = 0 THEN 'Q999999' WHEN nm.k % 3 <> 0 THEN 'Q' || nm.k END AS qid FROM cd JOIN nm USING (name))"""
@@ -503,7 +503,7 @@ RES_DUCK = f"""{CAND_DUCK}, nm AS ({duck_of(NAME_SQL)}), rs AS (SELECT cd.*, nm.
 
 def resolved(d):
     hits = d.spark.sql(HIT_SQL, names=names(d))
-    return enrichment.resolve_concepts(enrichment.entity_candidates(d.ent, 5, 0.94, 60), hits)
+    return enrichment.resolve_concepts(enrichment.entity_candidates(d.ent), hits)
 
 
 @query("resolve_concepts", f"WITH {RES_DUCK} SELECT name, kind, qid FROM rs WHERE qid IS NOT NULL")
@@ -513,7 +513,7 @@ def resolve_concepts(d):
 
 @query("map_concepts", f"WITH {CAND_DUCK} SELECT DISTINCT e.episode_id, cd.name, cd.kind, round(cd.avg_confidence, 6)::double AS score FROM {{ent}} e JOIN cd ON trim(e.name) = cd.name AND coalesce(e.kind, 'unknown') = cd.kind".replace("{{", "{").replace("}}", "}"))
 def map_concepts(d):
-    concepts = enrichment.entity_candidates(d.ent, 5, 0.94, 60).withColumn("concept_id", F.struct("name", "kind"))
+    concepts = enrichment.entity_candidates(d.ent).withColumn("concept_id", F.struct("name", "kind"))
     return enrichment.map_concepts(concepts, d.ent).select("episode_id", "concept_id.name", "concept_id.kind", F.round("score", 6).alias("score"))
 
 
@@ -528,7 +528,7 @@ def enriched(d):
     bridge = run.createDataFrame([], "episode_id bigint, concept_id bigint, score double")
     claims = run.createDataFrame([], "concept_id bigint, property string, value string")
     hits = d.spark.sql(HIT_SQL, names=names(d))
-    return enrichment.enrich(d.ent, hits, docs, concepts, bridge, claims, min_count=5, min_confidence=0.94, limit=60)
+    return enrichment.enrich(d.ent, hits, docs, concepts, bridge, claims)
 
 
 @query("enrich_concepts", f"""WITH {ENRICH_DUCK} SELECT (SELECT count(*) FROM cd) AS candidates, (SELECT count(*) FROM ok) AS concepts_upserted,

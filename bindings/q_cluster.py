@@ -100,12 +100,13 @@ def kmeans_step(d):
 
 @query("join_keywords", """
     SELECT l.l_orderkey AS episode_id, p.p_brand AS phrase, l.l_quantity AS score FROM {lineitem} l JOIN {part} p ON p.p_partkey = l.l_partkey
-    WHERE p.p_partkey % 7 <> 0 AND p.p_partkey % 11 <> 0""")
+    WHERE p.p_partkey % 7 <> 0""")
 def join_keywords(d):
-    dim = d.part.filter("p_partkey % 11 <> 0").select(
+    dim = d.part.select(
         F.col("p_partkey").alias("keyword_id"), F.when(F.col("p_partkey") % 7 != 0, F.col("p_brand")).otherwise("").alias("phrase")
     )
     bridge = d.lineitem.select(F.col("l_orderkey").alias("episode_id"), F.col("l_partkey").alias("keyword_id"), F.col("l_quantity").alias("score"))
+    bridge = bridge.unionByName(bridge.withColumn("keyword_id", -F.col("keyword_id") - 1))  # ids that no keyword has
     return export_dataset.join_keyword_phrases(bridge, dim)
 
 
@@ -116,10 +117,10 @@ def semi_members(d):
 
 @query("pair_join", """
     WITH v AS (SELECT cluster_id, phrase AS term, sum(score) AS weight FROM {multi} JOIN {kw} USING (episode_id) GROUP BY 1, 2),
-    t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) <= 8)
+    t AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) <= 25)
     SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, a.term FROM t a JOIN t b ON a.term = b.term AND a.cluster_id < b.cluster_id""")
 def pair_join(d):
-    return metrics.pair_terms(vectors_multi(d, 8)).select("cluster_a", "cluster_b", "term")
+    return metrics.pair_terms(vectors_multi(d)).select("cluster_a", "cluster_b", "term")
 
 
 def vectors_multi(d, n=25):
@@ -129,7 +130,7 @@ def vectors_multi(d, n=25):
 
 VEC_DUCK = """v0 AS (SELECT cluster_id, phrase AS term, round(sum(score), 6)::double AS weight FROM {clu} JOIN {kw} USING (episode_id) GROUP BY 1, 2),
     v AS (SELECT * FROM v0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) <= 25)"""
-MVEC_DUCK = VEC_DUCK.replace("{clu}", "{multi}").replace("<= 25", "<= 8")
+MVEC_DUCK = VEC_DUCK.replace("{clu}", "{multi}")
 
 
 @query("cluster_keywords", f"WITH {VEC_DUCK} SELECT cluster_id, term AS phrase, weight AS score, cast(row_number() OVER (PARTITION BY cluster_id ORDER BY weight DESC, term) AS int) AS rank FROM v")
@@ -230,7 +231,7 @@ def pair_jaccard(d):
 
 @query("pair_cosine", f"WITH {COS_DUCK} SELECT cluster_a, cluster_b, round(c, 6)::double AS cosine FROM cosine")
 def pair_cosine(d):
-    return metrics.pair_cosine(vectors_multi(d, 8)).withColumn("cosine", F.round("cosine", 6))
+    return metrics.pair_cosine(vectors_multi(d)).withColumn("cosine", F.round("cosine", 6))
 
 
 BRIDGE_DUCK = """br AS (SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluster_b, array_to_string(list(a.term ORDER BY a.weight + b.weight DESC, a.term)[1:5], ',') AS bridge_terms
@@ -239,14 +240,14 @@ BRIDGE_DUCK = """br AS (SELECT a.cluster_id AS cluster_a, b.cluster_id AS cluste
 
 @query("bridge_terms", f"WITH {MVEC_DUCK}, {BRIDGE_DUCK} SELECT * FROM br")
 def bridge_terms(d):
-    return metrics.bridge_terms(vectors_multi(d, 8)).withColumn("bridge_terms", F.array_join("bridge_terms", ","))
+    return metrics.bridge_terms(vectors_multi(d)).withColumn("bridge_terms", F.array_join("bridge_terms", ","))
 
 
 @query("cluster_correlations", f"""WITH {JAC_DUCK}, {COS_DUCK}, {BRIDGE_DUCK}
     SELECT cluster_a, cluster_b, round(coalesce(j, 0), 6)::double AS jaccard_episode_overlap, round(coalesce(c, 0), 6)::double AS cosine_term_similarity, coalesce(bridge_terms, '') AS bridge_terms
     FROM jac FULL JOIN cosine USING (cluster_a, cluster_b) LEFT JOIN br USING (cluster_a, cluster_b)""")
 def cluster_correlations(d):
-    return metrics.cluster_correlations(d.multi, vectors_multi(d, 8)).withColumn("bridge_terms", F.array_join("bridge_terms", ","))
+    return metrics.cluster_correlations(d.multi, vectors_multi(d)).withColumn("bridge_terms", F.array_join("bridge_terms", ","))
 
 
 @query("next_steps", f"""WITH {TERM_DUCK}, b AS (SELECT * FROM tms QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY lift DESC, tfidf DESC, term) = 1)
@@ -320,18 +321,18 @@ def first_place(d):
 
 
 @query("episode_topk", """
-    SELECT * FROM (SELECT episode_id, 'span' AS section, span_id AS item, score AS value, cast(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, span_id) AS int) AS rank FROM {span}) WHERE rank <= 4
-    UNION ALL SELECT * FROM (SELECT episode_id, 'entity', entity_id, round(confidence, 6)::double, cast(row_number() OVER (PARTITION BY episode_id ORDER BY confidence DESC, entity_id) AS int) AS rank FROM {ent}) WHERE rank <= 3
-    UNION ALL SELECT * FROM (SELECT episode_id, 'keyword', phrase, score, cast(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, phrase) AS int) AS rank FROM {kw}) WHERE rank <= 2""")
+    SELECT * FROM (SELECT episode_id, 'span' AS section, span_id AS item, score AS value, cast(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, span_id) AS int) AS rank FROM {span}) WHERE rank <= 20
+    UNION ALL SELECT * FROM (SELECT episode_id, 'entity', entity_id, round(confidence, 6)::double, cast(row_number() OVER (PARTITION BY episode_id ORDER BY confidence DESC, entity_id) AS int) AS rank FROM {ent}) WHERE rank <= 40
+    UNION ALL SELECT * FROM (SELECT episode_id, 'keyword', phrase, score, cast(row_number() OVER (PARTITION BY episode_id ORDER BY score DESC, phrase) AS int) AS rank FROM {kw}) WHERE rank <= 30""")
 def episode_topk(d):
     def part(df, section, item, value, n):
         top = relational.top_n(df, ["episode_id"], [F.desc(value), F.asc(item)], n)
         return top.select("episode_id", F.lit(section).alias("section"), F.col(item).alias("item"), F.round(value, 6).alias("value"), "rank")
 
     return (
-        part(d.span, "span", "span_id", "score", 4)
-        .unionByName(part(d.ent, "entity", "entity_id", "confidence", 3))
-        .unionByName(part(d.kw, "keyword", "phrase", "score", 2))
+        part(d.span, "span", "span_id", "score", explore.TOP_SPANS)
+        .unionByName(part(d.ent, "entity", "entity_id", "confidence", explore.TOP_ENTITIES))
+        .unionByName(part(d.kw, "keyword", "phrase", "score", explore.TOP_KEYWORDS))
     )
 
 
@@ -379,28 +380,29 @@ def cluster_neighbors(d):
 
 @query("cluster_summary", """
     WITH k AS (SELECT cluster_id, phrase, sum(score) AS s FROM {clu} JOIN {kw} USING (episode_id) GROUP BY 1, 2), e AS (SELECT cluster_id, name, kind, count(*) AS n FROM {clu} JOIN {ent} USING (episode_id) GROUP BY 1, 2, 3)
-    SELECT m.cluster_id, m.n_members, (SELECT array_to_string(list(phrase ORDER BY s DESC, phrase)[1:5], ',') FROM k WHERE k.cluster_id = m.cluster_id) AS keywords,
-      (SELECT array_to_string(list(name || '/' || coalesce(kind, '-') ORDER BY n DESC, name, kind NULLS FIRST)[1:5], ',') FROM e WHERE e.cluster_id = m.cluster_id) AS entities
+    SELECT m.cluster_id, m.n_members, (SELECT array_to_string(list(phrase ORDER BY s DESC, phrase)[1:25], ',') FROM k WHERE k.cluster_id = m.cluster_id) AS keywords,
+      (SELECT array_to_string(list(name || '/' || coalesce(kind, '-') ORDER BY n DESC, name, kind NULLS FIRST)[1:25], ',') FROM e WHERE e.cluster_id = m.cluster_id) AS entities
     FROM (SELECT cluster_id, count(*) AS n_members FROM {clu} GROUP BY 1) m""")
 def cluster_summary(d):
     clusters = d.clu.select("cluster_id").distinct()
     kw = metrics.cluster_keywords(d.clu, d.kw).drop("rank")
     en = metrics.cluster_entities(d.clu, d.ent).drop("rank")
-    out = export_dataset.cluster_summaries(clusters, d.clu, kw, en, 5)
+    out = export_dataset.cluster_summaries(clusters, d.clu, kw, en)
     names = F.transform("top_entities", lambda e: F.concat(e["name"], F.lit("/"), F.coalesce(e["kind"], F.lit("-"))))
     return out.select(
         "cluster_id", "n_members", F.array_join(F.transform("top_keywords", lambda k: k["phrase"]), ",").alias("keywords"), F.array_join(names, ",").alias("entities")
     )
 
 
-STACK_DUCK = """pod AS (SELECT DISTINCT c_mktsegment AS podcast_id, 'The ' || c_mktsegment AS podcast_title FROM {customer} WHERE c_mktsegment <> 'MACHINERY'),
+STACK_DUCK = """pod AS (SELECT DISTINCT c_mktsegment AS podcast_id, 'The ' || c_mktsegment AS podcast_title FROM {customer}),
     st AS (SELECT e.podcast_id, pod.podcast_title, e.episode_id, e.title, e.pub_date, c.cluster_id, s.span_id, least(s.start_date, s.end_date) AS a, greatest(s.start_date, s.end_date) AS b
       FROM {cep} e JOIN pod USING (podcast_id) LEFT JOIN {clu} c USING (episode_id)
       LEFT JOIN (SELECT * FROM {span} WHERE start_date IS NOT NULL AND end_date IS NOT NULL) s USING (episode_id))"""
 
 
 def stack(d):
-    pods = d.customer.select(F.col("c_mktsegment").alias("podcast_id")).distinct().filter("podcast_id <> 'MACHINERY'")
+    pods = d.customer.select(F.col("c_mktsegment").alias("podcast_id")).distinct()
+    pods = pods.union(d.region.select("r_name"))  # podcasts without an episode
     pods = pods.withColumn("podcast_title", F.concat(F.lit("The "), "podcast_id"))
     return explore.stack_rows(pods, d.cep.select("episode_id", "podcast_id", "title", "pub_date"), d.span, d.clu)
 

@@ -116,19 +116,19 @@ def pub_date(d):
 
 
 @query("mid_year", """
-    WITH m AS (SELECT span_id, start_date + cast(floor((end_date - start_date) / 2.0) AS int) AS m FROM {span} WHERE end_date IS NOT NULL)
+    WITH m AS (SELECT span_id, start_date + cast(floor((end_date - start_date) / 2.0) AS int) AS m FROM {span})
     SELECT span_id, round(year(m) + dayofyear(m) / 366.0::double, 9)::double AS mid_year FROM m""")
 def mid_year(d):
     y = dates.mid_year(F.col("start_date"), F.col("end_date"))
-    return d.span.filter("end_date IS NOT NULL").select("span_id", F.round(y, 9).alias("mid_year"))
+    return d.span.select("span_id", F.round(y, 9).alias("mid_year"))
 
 
 @query("mid_year_month", """
-    WITH m AS (SELECT span_id, make_timestamp((epoch_us(start_date::timestamp) + epoch_us(end_date::timestamp)) >> 1) AS m FROM {span} WHERE end_date IS NOT NULL)
+    WITH m AS (SELECT span_id, make_timestamp((epoch_us(start_date::timestamp) + epoch_us(end_date::timestamp)) >> 1) AS m FROM {span})
     SELECT span_id, round(year(m) + (month(m) - 1) / 12.0::double, 9)::double AS mid_year FROM m""")
 def mid_year_month(d):
     y = dates.mid_year_by_month(F.col("start_date"), F.col("end_date"))
-    return d.span.filter("end_date IS NOT NULL").select("span_id", F.round(y, 9).alias("mid_year"))
+    return d.span.select("span_id", F.round(y, 9).alias("mid_year"))
 
 
 @query("span_normalize", """
@@ -145,10 +145,10 @@ def year_of_iso(d):
 
 
 @query("norm_key", f"""
-    WITH s AS (SELECT doc_id, substr(text, 1, 200) AS t FROM {{documents}} UNION ALL SELECT c_custkey + 10000000, concat(' ', c_name, '/', c_mktsegment, ' - x__y ') FROM {{customer}})
+    WITH s AS (SELECT doc_id, text AS t FROM {{documents}} UNION ALL SELECT c_custkey + 10000000, concat(' ', c_name, '/', c_mktsegment, ' - x__y ') FROM {{customer}})
     SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(lower({trimmed('t')}), '[\\s\\-_/]+', ' ', 'g'), '[^a-z0-9äöüß ]+', '', 'g'), '\\s{{{{2,}}}}', ' ', 'g') AS norm_key FROM s""".replace("{{{{", "{").replace("}}}}", "}").replace("{{", "{").replace("}}", "}"))
 def norm_key(d):
-    rows = d.documents.select("doc_id", F.substring("text", 1, 200).alias("t")).union(
+    rows = d.documents.select("doc_id", F.col("text").alias("t")).union(
         d.customer.select(F.col("c_custkey") + 10000000, F.concat(F.lit(" "), "c_name", F.lit("/"), "c_mktsegment", F.lit(" - x__y ")))
     )
     return rows.select("doc_id", text.norm_key(F.col("t")).alias("norm_key"))

@@ -11,7 +11,7 @@ _SQL = {
     # episodes with long texts
     "ep": """
         SELECT d.doc_id AS episode_id, d.source AS podcast_id, concat('doc-', cast(d.doc_id AS string)) AS guid,
-               substr(split_part(d.text, chr(10), 1), 1, 60) AS title, o.o_orderdate AS pub_date,
+               split_part(d.text, chr(10), 1) AS title, o.o_orderdate AS pub_date,
                d.text AS description, d.lang AS lang,
                CASE d.lang WHEN 'de' THEN 'Richard Wolf' WHEN 'fr' THEN 'Daniel Roy' END AS author
         FROM {documents} d LEFT JOIN {orders} o ON o.o_orderkey = d.doc_id""",

@@ -152,8 +152,9 @@ def norm_key(c: Column) -> Column:
     return F.regexp_replace(t, r"\s{2,}", " ")
 
 
-def first_line(c: Column, width: int) -> Column:
-    return F.substring(F.regexp_extract(c, r"^[^\n]*", 0), 1, width)
+def first_line(c: Column, width: int | None = None) -> Column:
+    line = F.regexp_extract(c, r"^[^\n]*", 0)
+    return line if width is None else F.substring(line, 1, width)
 
 
 def word_tokens(c: Column) -> Column:

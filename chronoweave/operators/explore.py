@@ -27,16 +27,19 @@ def first_geocoded_place(places: DataFrame, order: list[str]) -> DataFrame:
     return first_per(located, ["episode_id"], order)
 
 
-def episode_summary(spans: DataFrame, entities: DataFrame, span_tie: list[str], entity_tie: list[str]) -> DataFrame:
-    """Coverage years and mean score of the best 20 spans, mean confidence of the best 40 entities."""
-    best = top_n(spans, ["episode_id"], [F.desc("score"), *span_tie], TOP_SPANS)
+def episode_summary(
+    spans: DataFrame, entities: DataFrame, span_tie: list[str], entity_tie: list[str],
+    n_spans: int | None = TOP_SPANS, n_entities: int | None = TOP_ENTITIES,
+) -> DataFrame:
+    """Coverage years and mean score of the best spans, mean confidence of the best entities; None: of all."""
+    best = spans if n_spans is None else top_n(spans, ["episode_id"], [F.desc("score"), *span_tie], n_spans)
     a, b = F.year("start_date"), F.year("end_date")
     cover = best.groupBy("episode_id").agg(
         F.min(F.least(a, b)).alias("cover_min"),
         F.max(F.greatest(a, b)).alias("cover_max"),
         F.avg("score").alias("avg_span_score"),
     )
-    sure = top_n(entities, ["episode_id"], [F.desc("confidence"), *entity_tie], TOP_ENTITIES)
+    sure = entities if n_entities is None else top_n(entities, ["episode_id"], [F.desc("confidence"), *entity_tie], n_entities)
     trust = sure.groupBy("episode_id").agg(F.avg("confidence").alias("avg_entity_confidence"))
     return cover.join(trust, "episode_id", "full").select(
         "episode_id",
@@ -96,12 +99,14 @@ CLUSTER_ORDERS = {
 }
 
 
-def ranked_terms(metrics: DataFrame, sort_by: str = "tfidf", n: int = 40) -> DataFrame:
+def ranked_terms(metrics: DataFrame, sort_by: str = "tfidf", n: int = 40, heaviest: int | None = 40) -> DataFrame:
     """Cluster terms by weight, lift or drop impact with a rank.
 
-    The 40 heaviest terms are taken first; the chosen order then applies to those.
+    The ``heaviest`` terms (None: all) are taken first; the chosen order then applies to those.
     """
-    heavy = top_n(metrics, ["cluster_id"], [F.desc("tfidf"), "term"], 40, "_r").drop("_r")
+    heavy = metrics
+    if heaviest is not None:
+        heavy = top_n(metrics, ["cluster_id"], [F.desc("tfidf"), "term"], heaviest, "_r").drop("_r")
     order = [F.desc(sort_by), F.desc(TERM_ORDERS[sort_by]), F.asc("term")]
     return top_n(heavy, ["cluster_id"], order, n)
 

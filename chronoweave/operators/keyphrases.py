@@ -30,8 +30,10 @@ def phrase_array(text: Column) -> Column:
     return F.filter(runs, lambda p: p != "")
 
 
-def keyphrases(docs: DataFrame, key: str, text: str = "text", max_phrases: int = MAX_PHRASES) -> DataFrame:
-    """Top phrases per document with score and rank; ties go to the first occurrence."""
+def keyphrases(
+    docs: DataFrame, key: str, text: str = "text", max_phrases: int | None = MAX_PHRASES, max_words: int | None = MAX_PHRASE_WORDS
+) -> DataFrame:
+    """Top phrases per document with score and rank, None: all; ties go to the first occurrence."""
     by_doc = docs.select(key, F.col(text).alias("_text")).repartition(key)
     phrases = by_doc.select(key, F.posexplode(phrase_array(F.col("_text"))).alias("at", "phrase"))
     words = phrases.withColumn("words", F.split("phrase", " ")).select(
@@ -43,7 +45,7 @@ def keyphrases(docs: DataFrame, key: str, text: str = "text", max_phrases: int =
         "w", F.sum("n_words").over(per_word) / F.count(F.lit(1)).over(per_word)
     )
     scored = (
-        weighed.filter(F.col("n_words") <= MAX_PHRASE_WORDS)
+        weighed.filter(F.lit(True) if max_words is None else F.col("n_words") <= max_words)
         .groupBy(key, "phrase", "at")
         .agg(F.sum("w").alias("score"))
         .groupBy(key, "phrase")
@@ -52,7 +54,7 @@ def keyphrases(docs: DataFrame, key: str, text: str = "text", max_phrases: int =
     order = Window.partitionBy(key).orderBy(F.desc("score"), "at")
     return (
         scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= max_phrases)
+        .filter(F.lit(True) if max_phrases is None else F.col("rank") <= max_phrases)
         .select(key, "phrase", "score", "rank")
     )
 

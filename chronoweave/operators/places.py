@@ -14,11 +14,12 @@ WORD_PATTERN = r"(?U)(?=[A-ZÄÖÜ])\b[A-ZÄÖÜ][a-zäöüß]{3,}\b"
 MAX_CANDIDATES = 30
 
 
-def place_candidates(text: Column) -> Column:
-    """Hinted names first (repeats kept), then other capitalised words, at most 30."""
+def place_candidates(text: Column, limit: int | None = MAX_CANDIDATES) -> Column:
+    """Hinted names first (repeats kept), then other capitalised words, at most ``limit``; None: all."""
     hints = find_all(text, HINT_PATTERN, 2)
     words = F.array_except(find_all(text, WORD_PATTERN), hints)
-    return F.slice(F.concat(hints, words), 1, MAX_CANDIDATES)
+    found = F.concat(hints, words)
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def geocode(segments: DataFrame, keys: list[str], alias_dict: DataFrame, text: str = "text") -> DataFrame:

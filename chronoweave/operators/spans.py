@@ -163,13 +163,16 @@ def span_array(text: Column, section: Column) -> Column:
     return let(let(F.lower(text), segment_rules), build)
 
 
-def extract_spans(segments: DataFrame, keys: list[str], text: str = "text", section: str = "section") -> DataFrame:
-    """One row per distinct span of every segment with its rank ``span_pos`` (best first)."""
+def extract_spans(
+    segments: DataFrame, keys: list[str], text: str = "text", section: str = "section", context: int | None = CONTEXT_CHARS
+) -> DataFrame:
+    """One row per distinct span of every segment with its rank ``span_pos`` (best first) and the first
+    ``context`` characters of the segment; None: all of it."""
     c = F.col(text)
     found = segments.select(
         *keys,
         F.col(section).alias("source_section"),
-        F.substring(c, 1, CONTEXT_CHARS).alias("source_context"),
+        (c if context is None else F.substring(c, 1, context)).alias("source_context"),
         F.posexplode(span_array(c, F.col(section))).alias("span_pos", "span"),
     )
     return found.select(*keys, "span_pos", "span.*", "source_section", "source_context")

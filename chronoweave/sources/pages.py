@@ -31,8 +31,11 @@ class PagePatterns:
 FALLBACK_CHARS = 2000
 
 
-def page_fields(pages: DataFrame, keys: list[str], html: str = "html", patterns: PagePatterns = PagePatterns()) -> DataFrame:
-    """Title, description, audio link, duration and date with their fallbacks."""
+def page_fields(
+    pages: DataFrame, keys: list[str], html: str = "html", patterns: PagePatterns = PagePatterns(), fallback: int | None = FALLBACK_CHARS
+) -> DataFrame:
+    """Title, description, audio link, duration and date with their fallbacks; the page text stands in
+    for a description up to ``fallback`` characters, None: whole."""
     h = F.col(html)
     audio = first_match(h, patterns.audio, 0)
     day = F.split(first_match(h, patterns.day, 0), r"\.")
@@ -51,7 +54,7 @@ def page_fields(pages: DataFrame, keys: list[str], html: str = "html", patterns:
         F.coalesce(
             strip_tags(first_match(h, patterns.block)),
             strip(first_match(h, patterns.og_description)),
-            F.substring(strip_tags(h), 1, FALLBACK_CHARS),
+            strip_tags(h) if fallback is None else F.substring(strip_tags(h), 1, fallback),
         ).alias("description"),
         audio.alias("audio_url"),
         (first_match(h, patterns.minutes).cast("int") * 60).alias("duration_seconds"),
