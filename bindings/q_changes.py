@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronoweave.operators import curation, enrichment, explore, metrics, mutations, oplog, quality
 from chronoweave.plans import build_all as build
 from chronoweave.plans import export_dataset, ingest_flat as flat, merge_feeds as mf, overrides
+from chronoweave.session import shared_folder
 from chronoweave.sources import documents, feeds, gazetteers, sinks
 
 from .q_cluster import PLACE_ORDER, VEC_DUCK, inputs
@@ -525,8 +528,8 @@ def enriched(d):
     docs = documents.parse_entity_documents(entity_docs(d).withColumn("qid", F.concat(F.lit("Q"), (F.col("k") + 100000).cast("string"))))
     run = d.spark
     concepts = run.createDataFrame([], "qid string, name string, kind string, url string, description string, entity_count bigint, avg_confidence double")
-    bridge = run.createDataFrame([], "episode_id bigint, concept_id bigint, score double")
-    claims = run.createDataFrame([], "concept_id bigint, property string, value string")
+    bridge = run.createDataFrame([], "episode_id bigint, concept_id string, score double")
+    claims = run.createDataFrame([], "concept_id string, property string, value string")
     hits = d.spark.sql(HIT_SQL, names=names(d))
     return enrichment.enrich(d.ent, hits, docs, concepts, bridge, claims)
 
@@ -562,6 +565,39 @@ def validate_rows(d):
     return quality.violation_counts(rows, "entities")
 
 
+@query("validate_metrics", f"""WITH {VEC_DUCK}, e AS (SELECT cluster_id, name, kind, count(*) AS n FROM {{clu}} JOIN {{ent}} USING (episode_id) GROUP BY 1, 2, 3
+      QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name, kind NULLS FIRST) <= 25)
+    SELECT 'cluster_keywords' AS section, count(*) AS valid_rows, CAST(0 AS bigint) AS bad_rows FROM v
+    UNION ALL SELECT 'cluster_entity_stats', count(*) FILTER (kind IS NOT NULL), count(*) FILTER (kind IS NULL) FROM e""".replace("{{", "{").replace("}}", "}"))
+def validate_metrics(d):
+    words = metrics.cluster_keywords(d.clu, d.kw)
+    people = metrics.cluster_entities(d.clu, d.ent).withColumn("lift", F.lit(1.0))
+    out = None
+    for section, model, df in (("cluster_keywords", "keywords", words), ("cluster_entity_stats", "cluster_entity_stats", people)):
+        good, bad = quality.validate(df, model)
+        one = good.agg(F.count(F.lit(1)).alias("valid_rows")).select(F.lit(section).alias("section"), "valid_rows", bad.agg(F.count(F.lit(1))).scalar().alias("bad_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("sink_json", "SELECT entity_id AS id, episode_id, name, kind, round(confidence, 6)::double AS confidence FROM {ent}")
+def sink_json(d):
+    """The entity section written as JSON lines and read back."""
+    section = d.ent.select(F.col("entity_id").alias("id"), "episode_id", "name", "kind", F.round("confidence", 6).alias("confidence"))
+    folder = f"{shared_folder(d.spark)}/sections-{uuid.uuid4().hex}"
+    sinks.write_sections({"entities": section}, folder)
+    return d.spark.read.schema(section.schema).json(f"{folder}/entities")
+
+
+@query("sink_table", "SELECT guid, podcast_id, title, published_at FROM {fac}")
+def sink_table(d):
+    """The flat episodes written as a table partitioned by podcast and read back."""
+    rows = d.fac.select("guid", "podcast_id", "title", "published_at")
+    folder = f"{shared_folder(d.spark)}/store-{uuid.uuid4().hex}"
+    sinks.write_snapshot(rows, folder, "podcast_id")
+    return d.spark.read.parquet(folder).select(*rows.columns)
+
+
 @query("adaptive_select", """SELECT event_id AS id, podcast_id, guid, title, published_at AS pub_date, incident_type AS kind, description AS description_pure, NULL AS page_url FROM {fac}""")
 def adaptive_select(d):
     out = quality.adaptive_episodes(d.fac.withColumnRenamed("event_id", "id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chronoweave.operators import clusters as km
 from chronoweave.operators import explore, metrics, relational
 from chronoweave.operators.metrics import ClusterInputs
-from chronoweave.plans import export_dataset
+from chronoweave.plans import build_all, export_dataset
 
 from .registry import query
 
@@ -29,13 +29,17 @@ BEST_DUCK = """bs AS (SELECT episode_id, span_id AS best_span_id FROM {span} QUA
     pts AS (SELECT * FROM pts0 WHERE podcast_id IN (SELECT podcast_id FROM pts0 GROUP BY 1 HAVING count(*) >= 4))"""
 
 
-def best_rows(d):
+def best_episodes(d):
     spans = relational.first_per(d.span.select("episode_id", "span_id", "score"), ["episode_id"], [-F.col("score"), "span_id"])
     places = relational.first_per(d.place.select("episode_id", "place_id", "line_no"), ["episode_id"], PLACE_ORDER)
     ep = d.cep.join(spans.select("episode_id", F.col("span_id").alias("best_span_id")), "episode_id").join(
         places.select("episode_id", F.col("place_id").alias("best_place_id")), "episode_id"
     )
-    return km.join_best(ep, d.span.select("span_id", "start_date", "end_date"), d.place.select("place_id", "lat", "lon"))
+    return ep
+
+
+def best_rows(d):
+    return km.join_best(best_episodes(d), d.span.select("span_id", "start_date", "end_date"), d.place.select("place_id", "lat", "lon"))
 
 
 @query("join_best", f"WITH {BEST_DUCK} SELECT podcast_id, episode_id, cast(start_date AS varchar) AS s, cast(end_date AS varchar) AS e, lat, lon FROM best")
@@ -89,6 +93,26 @@ def kmeans_centroids(d):
     return table.withColumns({f"centroid_{a}": F.round(f"centroid_{a}", 6) for a in km.AXES})
 
 
+@query("recompute_clusters", f"""WITH {kmeans_duck()}, m AS (SELECT episode_id, md5(podcast_id || chr(31) || j) AS cluster_id FROM fin), g AS (SELECT podcast_id, any_value(k) AS k FROM fin GROUP BY 1),
+    kc AS (SELECT cluster_id, phrase, round(sum(score), 6)::double AS s FROM m JOIN {{kw}} USING (episode_id) GROUP BY 1, 2), ec AS (SELECT cluster_id, name, kind, count(*) AS n FROM m JOIN {{ent}} USING (episode_id) GROUP BY 1, 2, 3)
+    SELECT 'cluster' AS section, md5(g.podcast_id || chr(31) || t.j) AS cluster_id, 'C' || (t.j + 1) AS item, count(f.episode_id)::double AS value
+      FROM g JOIN range(0, 16) t(j) ON t.j < g.k LEFT JOIN fin f ON f.podcast_id = g.podcast_id AND f.j = t.j GROUP BY ALL
+    UNION ALL SELECT 'member', cluster_id, cast(episode_id AS varchar), 1.0::double FROM m
+    UNION ALL SELECT 'keyword', cluster_id, phrase, s FROM kc QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, phrase) <= 25
+    UNION ALL SELECT 'entity', cluster_id, name || '/' || coalesce(kind, '-'), n::double FROM ec QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name, kind NULLS FIRST) <= 25""".replace("{{", "{").replace("}}", "}"))
+def recompute_clusters(d):
+    tables = {"episodes": best_episodes(d), "time_spans": d.span.select("span_id", "start_date", "end_date"), "places": d.place.select("place_id", "lat", "lon"), "episode_keywords": d.kw, "entities": d.ent}
+    made = build_all.recompute_clusters(tables)
+    rows = (
+        made["clusters"].select("cluster_id", F.lit("cluster").alias("section"), F.col("label").alias("item"), F.col("n_members").cast("double").alias("value")),
+        made["episode_clusters"].select("cluster_id", F.lit("member"), F.col("episode_id").cast("string"), F.lit(1.0)),
+        made["cluster_keywords"].select("cluster_id", F.lit("keyword"), "phrase", F.round("score", 6)),
+        made["cluster_entities"].select("cluster_id", F.lit("entity"), F.concat("name", F.lit("/"), F.coalesce("kind", F.lit("-"))), F.col("count").cast("double")),
+    )
+    out = rows[0].union(rows[1]).union(rows[2]).union(rows[3])
+    return out.select("section", "cluster_id", "item", "value")
+
+
 @query("kmeans_step", f"""WITH {kmeans_duck(2)} SELECT podcast_id, j, round(sy, 9)::double AS sy, round(sa, 9)::double AS sa, round(so, 9)::double AS so FROM c1""")
 def kmeans_step(d):
     numbered = relational.number_rows(km.scale_points(km.cluster_points(best_rows(d))), ["podcast_id", "s_mid_year", "episode_id"])

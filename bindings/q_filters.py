@@ -238,6 +238,13 @@ def query_episodes(d):
     return FILTERED.apply(d.fac).orderBy("published_at", "guid").limit(2000).select("guid", "published_at")
 
 
+@query("table_profile_types", """
+    SELECT 'episodes' AS table_name, coalesce(incident_type, 'other') AS type, count(*) AS row_count FROM {fac} GROUP BY 2
+    UNION ALL SELECT 'orders', o_orderstatus, count(*) FROM {orders} GROUP BY 2""")
+def table_profile_types(d):
+    return facets.type_profile("episodes", d.fac).unionByName(facets.type_profile("orders", d.orders, "o_orderstatus"))
+
+
 @query("table_profile", """
     SELECT 'episodes' AS table_name, count(*) AS row_count, cast(min(published_at) AS varchar) AS min_date, cast(max(published_at) AS varchar) AS max_date FROM {fac}
     UNION ALL SELECT 'orders', count(*), cast(cast(min(o_orderdate) AS date) AS varchar), cast(cast(max(o_orderdate) AS date) AS varchar) FROM {orders}

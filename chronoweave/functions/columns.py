@@ -13,6 +13,12 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def stable_id(*parts) -> Column:
+    """128-bit id of a key's parts as hex text; NULL parts differ from empty ones."""
+    texts = [F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("\x00")) for p in parts]
+    return F.md5(F.concat_ws("\x1f", *texts))
+
+
 def blank_to_null(c: Column) -> Column:
     """Trimmed text, NULL when nothing is left."""
     return F.nullif(strip(c), F.lit(""))

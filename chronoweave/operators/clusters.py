@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import stable_id
 from ..functions.dates import mid_year
 from ..functions.numeric import cluster_count, unit_scale
 from ..session import cut_lineage
@@ -136,7 +137,7 @@ def cluster_table(assigned: DataFrame) -> DataFrame:
     )
     zero = {f"centroid_{a}": 0.0 for a in AXES} | {"n_members": 0}
     return slots.join(means, ["podcast_id", "j"], "left").fillna(zero).select(
-        F.xxhash64("podcast_id", "j").alias("cluster_id"),
+        stable_id("podcast_id", "j").alias("cluster_id"),
         "podcast_id",
         "k",
         "j",
@@ -147,4 +148,4 @@ def cluster_table(assigned: DataFrame) -> DataFrame:
 
 
 def cluster_membership(assigned: DataFrame) -> DataFrame:
-    return assigned.select("episode_id", F.xxhash64("podcast_id", "j").alias("cluster_id"))
+    return assigned.select("episode_id", stable_id("podcast_id", "j").alias("cluster_id"))

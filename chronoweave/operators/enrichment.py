@@ -139,7 +139,7 @@ def enrich(
     """Concept, bridge and claim tables after enrichment, plus one row of counts.
 
     ``documents(qid, doc variant)``; ``concepts(qid, name, kind, url, description, entity_count,
-    avg_confidence)`` is keyed by ``qid``, whose hash is the concept id.
+    avg_confidence)`` is keyed by ``qid``, which is the concept id.
     """
     if overwrite:
         concepts, bridge, claims = (t.limit(0) for t in (concepts, bridge, claims))
@@ -157,12 +157,12 @@ def enrich(
     )
     ranked = ranked.join(told, "qid").withColumn("description", F.coalesce("description", "told")).drop("told")
     merged = upsert_coalesce(concepts, ranked, ["qid"], ["_order"], ["url", "description"])
-    named = batch.select(F.xxhash64("qid").alias("concept_id"), "name", "kind", "avg_confidence", "entity_count")
+    named = batch.select(F.col("qid").alias("concept_id"), "name", "kind", "avg_confidence", "entity_count")
     links = map_concepts(named, entities)
     # the most frequent candidate is written first and keeps its score
     first = [-F.col("entity_count"), -F.col("score"), F.col("name")]
     new_bridge = insert_ignore(bridge, links, ["episode_id", "concept_id"], first)
-    rows = claim_rows(found.select(F.xxhash64("qid").alias("concept_id"), "doc"), "concept_id")
+    rows = claim_rows(found.select(F.col("qid").alias("concept_id"), "doc"), "concept_id")
     new_claims = claims.unionByName(rows).distinct()
     counts = candidates.agg(F.count(F.lit(1)).alias("candidates")).select(
         "candidates",

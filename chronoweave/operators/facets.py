@@ -172,6 +172,12 @@ def category_counts(episodes: DataFrame) -> DataFrame:
     return episodes.groupBy(kind.alias("incident_type")).agg(F.count(F.lit(1)).alias("count"))
 
 
+def type_profile(name: str, df: DataFrame, column: str = "incident_type") -> DataFrame:
+    """Row count of one table for each type; a missing type counts as ``other``."""
+    kind = F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit("other")).alias("type")
+    return df.groupBy(kind).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "type", "row_count")
+
+
 def table_profile(name: str, df: DataFrame, date_column: str | None = None) -> DataFrame:
     """Row count and date bounds of one table."""
     if date_column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import stable_id
+
 # Stop words and limits.
 STOP_WORDS = (
     "der die das und oder aber wenn weil dass ist sind war waren eine ein einer eines einem im in "
@@ -61,7 +63,7 @@ def keyphrases(
 
 def keyword_dimension(episode_keywords: DataFrame) -> DataFrame:
     """Distinct phrases with a stable id."""
-    return episode_keywords.select("phrase").distinct().withColumn("keyword_id", F.xxhash64("phrase"))
+    return episode_keywords.select("phrase").distinct().withColumn("keyword_id", stable_id("phrase"))
 
 
 def keyword_bridge(scored: DataFrame, key: str, order: str) -> DataFrame:

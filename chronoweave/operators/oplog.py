@@ -130,13 +130,24 @@ def apply_row_ops(ops: DataFrame, table: str, base: DataFrame) -> DataFrame:
 
 
 def apply_link_ops(ops: DataFrame, table: str, base: DataFrame, left: str = "episode_id", right: str = "cluster_id") -> DataFrame:
-    """Relation after the log: the last link or unlink of a pair decides."""
+    """Relation after the log: the last link or unlink of a pair decides.
+
+    A payload may name its own columns in ``left_col`` and ``right_col``, so the sides may be
+    swapped; an operation that does not name both columns of this relation is left out.
+    """
     kind = F.lower("op_type")
+    sides = [F.coalesce(F.nullif(F.try_element_at("payload", F.lit(f"{s}_col")), F.lit("")), F.lit(c)) for s, c in (("left", left), ("right", right))]
+    ids = [F.try_element_at("payload", F.lit(f"{s}_id")) for s in ("left", "right")]
+
+    def side(c: str):
+        return F.when(sides[0] == c, ids[0]).when(sides[1] == c, ids[1]).try_cast(dict(base.dtypes)[c]).alias(c)
+
+    named = ((sides[0] == left) & (sides[1] == right)) | ((sides[0] == right) & (sides[1] == left))
     last = (
-        ops.filter(kind.isin(*LINK_OPS) & (target_table() == table))
+        ops.filter(kind.isin(*LINK_OPS) & (target_table() == table) & named)
         .select(
-            F.try_element_at("payload", F.lit("left_id")).try_cast(dict(base.dtypes)[left]).alias(left),
-            F.try_element_at("payload", F.lit("right_id")).try_cast(dict(base.dtypes)[right]).alias(right),
+            side(left),
+            side(right),
             "seq",
             (kind == "link").alias("linked"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import find_all, let, running_offsets
+from ..functions.columns import find_all, let, running_offsets, stable_id
 from ..functions.text import norm_key
 
 # Patterns of place hints and capitalised words, candidate cap per segment.
@@ -52,7 +52,7 @@ def place_dimension(places: DataFrame, order: list[str]) -> DataFrame:
     keyed = places.withColumn("norm_key", norm_key(F.col("canonical_name")))
     first = F.min_by(F.struct("canonical_name", "place_kind"), F.struct(*order))
     return keyed.groupBy("norm_key").agg(first.alias("p")).select("norm_key", "p.*").withColumn(
-        "place_norm_id", F.xxhash64("norm_key")
+        "place_norm_id", stable_id("norm_key")
     )
 
 

@@ -61,6 +61,29 @@ MODELS = {
         "id:bigint! podcast_id:bigint! k:bigint! centroid_mid_year:double! centroid_lat:double! "
         "centroid_lon:double! n_members:bigint! label:string"
     ),
+    "cluster_summaries": _fields("cluster_id:bigint! n_members:bigint!"),
+    "cluster_stats": _fields(
+        "cluster_id:bigint! episode_count:bigint! unique_podcast_count:bigint! dominant_podcast_share:double! "
+        "median_pub_year:bigint temporal_span_years:bigint mean_span_confidence:double geo_dispersion:double "
+        "cohesion_proxy:double"
+    ),
+    "cluster_term_metrics": _fields(
+        "cluster_id:bigint! term:string! tfidf:double! support:bigint! global_support:bigint! lift:double! "
+        "drop_impact:double!"
+    ),
+    "cluster_correlations": _fields(
+        "cluster_a:bigint! cluster_b:bigint! jaccard_episode_overlap:double! cosine_term_similarity:double!"
+    ),
+    "cluster_timeline_histogram": _fields("cluster_id:bigint! start_year:bigint! end_year:bigint! count:bigint!"),
+    "cluster_entity_stats": _fields("cluster_id:bigint! name:string! kind:string! count:bigint! lift:double!"),
+    "cluster_place_stats": _fields(
+        "cluster_id:bigint! canonical_name:string! count:bigint! lift:double! lat:double lon:double"
+    ),
+    "cluster_next_steps": _fields("cluster_id:bigint! title:string! rationale:string! action_type:string!"),
+    "meta": _fields(
+        "schema_version:string! generated_at_iso:string! source_db:string! dataset_revision:string! "
+        "wiki_enriched:boolean! wikidata_enriched:boolean!"
+    ),
 }
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.classify import episode_kind, link_type, narrator, trimmed_links
+from ..functions.columns import stable_id
 from ..functions.text import clean_description, segments
 from ..operators.clusters import cluster_membership, cluster_points, cluster_table, join_best, kmeans
 from ..operators.keyphrases import keyphrases, keyword_bridge, keyword_dimension
@@ -28,7 +29,7 @@ def new_episodes(items: DataFrame, known: DataFrame, limit: int = 0) -> DataFram
     if limit:
         fresh = top_n(fresh, ["podcast_id"], [F.asc("item_pos")], limit, "_r").drop("_r")
     return (
-        fresh.withColumn("episode_id", F.xxhash64("guid"))
+        fresh.withColumn("episode_id", stable_id("guid"))
         .withColumn("kind", episode_kind(F.col("title")))
         .withColumn("description_pure", clean_description(F.col("description_raw")))
         .withColumn("narrator", narrator(F.col("author"), F.col("description_pure")))
@@ -48,9 +49,9 @@ def extraction_tables(episodes: DataFrame, gazetteer: DataFrame) -> dict[str, Da
     segs = episodes.select(
         "episode_id", F.posexplode(segments(F.col("description_pure"))).alias("seg_pos", "s")
     ).select("episode_id", "seg_pos", "s.section", "s.text")
-    spans = extract_spans(segs, keys).withColumn("span_id", F.xxhash64("episode_id", "seg_pos", "span_pos"))
+    spans = extract_spans(segs, keys).withColumn("span_id", stable_id("episode_id", "seg_pos", "span_pos"))
     places = geocode(segs, keys, alias_dictionary(gazetteer)).withColumn(
-        "place_id", F.xxhash64("episode_id", "seg_pos", "canonical_name")
+        "place_id", stable_id("episode_id", "seg_pos", "canonical_name")
     )
     main = segs.filter("section = 'main'").withColumn("segment", F.struct("episode_id", "seg_pos"))
     scored = keyphrases(main.select("segment", "text"), "segment").select(

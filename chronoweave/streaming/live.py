@@ -1,8 +1,8 @@
 """Live mode: feeds dropped into a folder are merged batch by batch.
 
 The file source remembers what it has read in the query's checkpoint, so only new files reach the
-merge.  Each batch writes a new snapshot folder; a batch replayed after a failure rewrites the same
-folder from the same previous snapshot, which makes it safe to run twice.
+merge.  Each batch adds a folder with its new items only; a batch replayed after a failure rewrites
+its own folder from the same earlier ones, which makes it safe to run twice.
 """
 
 from __future__ import annotations
@@ -23,16 +23,12 @@ def item_stream(spark: SparkSession, folder: str) -> DataFrame:
 def watch_feeds(spark: SparkSession, folder: str, store: str, checkpoint: str, once: bool = True):
     """Keep ``store`` up to date with the feeds in ``folder``; returns the running query."""
 
-    def snapshot(batch_id: int) -> str:
-        return f"{store}/snapshot={batch_id}"
-
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch_id == 0:
-            known = batch.limit(0)
-        else:
-            known = spark.read.parquet(snapshot(batch_id - 1))
-        fresh = new_by_guid(batch, known, ["feed_path", "guid"]).select(*known.columns)
-        known.unionByName(fresh).write.mode("overwrite").parquet(snapshot(batch_id))
+        known = batch.limit(0)
+        if batch_id:
+            known = spark.read.parquet(store).filter(F.col("batch") < batch_id)
+        fresh = new_by_guid(batch, known, ["feed_path", "guid"]).select(*batch.columns)
+        fresh.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
 
     writer = item_stream(spark, folder).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -1,6 +1,7 @@
 """Joins, clustering, metrics, merges, change log, curation, enrichment and search on small fixtures."""
 
 import datetime as dt
+import json
 import math
 import random
 
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from chronoweave.operators import clusters, curation, enrichment, explore, facets, metrics, mutations, oplog, quality, relational, search
 from chronoweave.operators.filters import EpisodeFilter
 from chronoweave.plans import merge_feeds as mf
-from chronoweave.session import broadcast_if_small, cut_lineage, spread
+from chronoweave.functions.columns import stable_id
+from chronoweave.functions.text import unescape_html
+from chronoweave.session import cut_lineage
 
 
 def test_number_rows_is_total_and_ordered(spark):
@@ -36,17 +39,11 @@ def test_first_last_and_top(spark):
     assert {(r["k"], r["v"], r["rank"]) for r in top} == {(1, "c", 1), (1, "b", 2), (2, "z", 1)}
 
 
-def test_broadcast_only_below_the_bound(spark):
-    small, large = spark.range(10), spark.range(100)
-    plan = lambda side: spark.range(1000).join(side, "id")._jdf.queryExecution().optimizedPlan().toString()
-    assert "strategy=broadcast" in plan(broadcast_if_small(small, 50))
-    assert "strategy=broadcast" not in plan(broadcast_if_small(large, 50))
-
-
-def test_spread_leaves_large_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_written_tables_are_broadcast_by_their_size(spark):
+    small = cut_lineage(spark.range(10))
+    plan = spark.range(1000).join(small, "id")._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan
+    assert sorted(r.id for r in small.collect()) == list(range(10))
 
 
 def python_kmeans(points, iterations=25):
@@ -316,9 +313,48 @@ def test_enrichment_keeps_a_description_of_any_name(spark):
     )
     docs = make([("Q1", "{}")], "qid string, t string").select("qid", F.parse_json("t").alias("doc"))
     concepts = make([], "qid string, name string, kind string, url string, description string, entity_count bigint, avg_confidence double")
-    bridge = make([], "episode_id bigint, concept_id bigint, score double")
-    claims = make([], "concept_id bigint, property string, value string")
+    bridge = make([], "episode_id bigint, concept_id string, score double")
+    claims = make([], "concept_id string, property string, value string")
     out = enrichment.enrich(entities, hits, docs, concepts, bridge, claims)
     row = out["concepts"].first()
     assert (row["qid"], row["name"], row["description"]) == ("Q1", "Karl Marx", "Philosoph")
     assert out["episode_concepts"].count() == 2
+
+
+def test_link_operations_may_name_their_columns(spark):
+    base = spark.createDataFrame([(1, 10), (2, 20)], "episode_id long, cluster_id long")
+    def op(seq, kind, **payload):
+        return (seq, kind, "relation", {k: str(v) for k, v in payload.items()} | {"table": "members"})
+    rows = [
+        op(1, "link", left_id=30, right_id=3, left_col="cluster_id", right_col="episode_id"),
+        op(2, "unlink", left_id=1, right_id=10),
+        op(3, "link", left_id=9, right_id=9, left_col="span_id", right_col="place_id"),
+        op(4, "link", left_id=4, right_id=40, left_col="", right_col="cluster_id"),
+    ]
+    ops = spark.createDataFrame(rows, "seq long, op_type string, entity_type string, payload map<string,string>")
+    out = oplog.apply_link_ops(ops, "members", base)
+    assert sorted(map(tuple, out.collect())) == [(2, 20), (3, 30), (4, 40)]
+
+
+def test_stable_ids_tell_null_from_empty(spark):
+    df = spark.createDataFrame([(None, "b"), ("", "b"), ("b", None)], "a string, b string")
+    assert df.select(stable_id("a", "b").alias("i")).distinct().count() == 3
+
+
+def test_numeric_references_of_any_length(spark):
+    texts = ["&#0000000000065;", "&#x000000041;", "&#99999999999999999999;", "&#x0;", "&#x110000;", "&#1114111;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(unescape_html(F.col("t")).alias("u")).collect()
+    assert [r.u for r in got] == ["A", "A", "\ufffd", "\ufffd", "\ufffd", chr(1114111)]
+
+
+def test_like_marks_and_ascii_folding(spark):
+    df = spark.createDataFrame([("A\\b", "x"), ("Überfall", "x"), ("ÜBERFALL", "x"), ("end\\", "x")], "title string, description string")
+    find = lambda q: sorted(r.title for r in EpisodeFilter(q=q).apply(df).collect())
+    assert find("a\\B") == ["A\\b"] and find("end\\") == ["end\\"]
+    assert find("überfall") == [] and find("ÜBER_ALL") == ["ÜBERFALL", "Überfall"]
+
+
+def test_fingerprints_escape_control_characters(spark):
+    df = spark.createDataFrame([("a\r\u0001\"\\b", 1)], "name string, id int")
+    text = df.select(quality.canonical_json("name", "id", types={"name": "string", "id": "int"}).alias("j")).first().j
+    assert json.loads(text) == {"id": 1, "name": "a\r\u0001\"\\b"}
