@@ -163,9 +163,10 @@ def gram_hashes(data: bytes) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the rightmost least gram of every window of LENGTH bytes."""
-    where, what = [], []
+def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the rightmost least gram of every window of LENGTH bytes, and the starts
+    of the first and last window that each of them is the anchor of."""
+    parts = []
     for low in range(0, max(1, len(data) - LENGTH + 1), _PART - LENGTH + 1):
         part = data[low : low + _PART]
         if len(part) < LENGTH:
@@ -177,20 +178,20 @@ def anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         n = len(h) - REACH
         least = np.minimum(behind[:n], ahead[REACH : REACH + n])
-        least = least[np.concatenate([[True], least[1:] != least[:-1]])]
-        at = (np.uint64(0xFFFFFF) - (least & np.uint64(0xFFFFFF))).astype(np.int64)
-        where.append(at + low)
-        what.append(h[at])
-    if not where:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    at, first = np.unique(np.concatenate(where), return_index=True)
-    return at, np.concatenate(what)[first]
+        first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+        last = np.concatenate([first[1:], [n]]) - 1
+        at = (np.uint64(0xFFFFFF) - (least[first] & np.uint64(0xFFFFFF))).astype(np.int64)
+        parts.append((at + low, h[at], first + low, last + low))
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    at, hashes, first, last = (np.concatenate(p) for p in zip(*parts, strict=True))
+    new = np.concatenate([[True], at[1:] != at[:-1]])  # an anchor may go on in the next part
+    return at[new], hashes[new], first[new], last[np.concatenate([new[1:], [True]])]
 
 
-def around(data: bytes, at: int) -> tuple[int, bytes]:
-    """Bytes that windows with this anchor can reach, and how many stand before it."""
-    low = max(0, at - REACH)
-    return at - low, data[low : at + LENGTH]
+def around(data: bytes, at: int, first: int, last: int) -> tuple[int, bytes]:
+    """The windows of an anchor, and how many bytes stand before it."""
+    return at - first, data[first : last + LENGTH]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -200,9 +201,9 @@ def scan(docs: DataFrame) -> DataFrame:
         out: dict[str, list] = {n: [] for n in ("doc_id", "th", "pos", "before", "size", "anchor", "whole")}
         for doc, th, text in zip(c["doc_id"].to_pylist(), c["th"].to_pylist(), texts_of(c["text"]), strict=True):
             data = text.encode()
-            at, hashes = anchors(data)
-            for p, h in zip(at.tolist(), hashes.view(np.int64).tolist(), strict=True):
-                before, near = around(data, p)
+            at, hashes, first, last = anchors(data)
+            for p, h, a, b in zip(at.tolist(), hashes.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True):
+                before, near = around(data, p, a, b)
                 whole = xxhash.xxh3_64_intdigest(near, before)
                 for n, v in zip(out, (doc, th, p, before, len(near), h, whole - (whole >> 63 << 64)), strict=True):
                     out[n].append(v)
@@ -286,7 +287,8 @@ def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
     found = stored(scan(docs), "anchors")
-    twice = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # stored, so that both sides of the next join are plain and a hot anchor can be split
+    twice = stored(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "twice")
     shared = stored(found.join(twice, "anchor", "left_semi"), "shared")
     first = F.min(F.struct("th", "pos"))
     classes = stored(shared.groupBy("anchor", "whole").agg(F.count("*").alias("n"), first.alias("at")), "classes")
@@ -308,14 +310,14 @@ def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
         picks, apart = wanted.value, routes.value
         for doc, th, text in zip(c["doc_id"].to_pylist(), c["th"].to_pylist(), texts_of(c["text"]), strict=True):
             data = text.encode()
-            at, hashes = anchors(data)
+            at, hashes, first, last = anchors(data)
             if not len(at):
                 continue
             chosen = picks.maybe(place_key(np.full(len(at), th, np.int64), at))
             at, hashes = at[chosen], hashes[chosen]
             if not len(at):
                 continue
-            near = [around(data, p) for p in at.tolist()]
+            near = [around(data, *x) for x in zip(at.tolist(), first[chosen].tolist(), last[chosen].tolist(), strict=True)]
             n = len(at)
             yield {
                 "doc_id": [doc] * n, "th": [th] * n, "pos": at, "before": [x[0] for x in near], "anchor": hashes.view(np.int64),
