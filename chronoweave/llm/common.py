@@ -10,22 +10,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.session import cut_lineage
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that the driver and all executors share: the session's checkpoint folder.
-
-    ``cut_lineage`` on an empty frame sets the folder the cluster names in
-    ``spark.checkpoint.dir``, or a temporary one when nothing is set and the master is local.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        cut_lineage(spark.range(0))
-    return sc.getCheckpointDir()
+from chronoweave.session import shared_folder
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -38,6 +26,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def row_key(text: Column) -> Column:
     """64-bit hash of the whole text; with the document's id it names a row.
 

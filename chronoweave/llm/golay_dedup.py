@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, in_arrow, map_rows, row_key, stored
+from .common import components, in_arrow, map_rows, row_key, stored, unused
 
 LINK_BITS = 4
 SEGMENTS = ((42, 22), (21, 21), (0, 21))  # shift and length
@@ -228,7 +228,8 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """
     best = classes(docs, bucket).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("w"))
     winners = best.select(F.col("w.doc_id").alias("_id"), F.col("w.th").alias("_th")).distinct()
-    keyed = docs.withColumn("_row", row_key(F.col("text")))
-    chosen = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["_id"]) & (keyed["_row"] == winners["_th"]), "left_semi")
-    first = Window.partitionBy("doc_id", "_row").orderBy("_row")
-    return chosen.withColumn("_copy", F.row_number().over(first)).where("_copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    row, copy = unused(docs, "_row"), unused(docs, "_copy")
+    keyed = docs.withColumn(row, row_key(F.col("text")))
+    chosen = keyed.join(winners, keyed["doc_id"].eqNullSafe(winners["_id"]) & (keyed[row] == winners["_th"]), "left_semi")
+    first = Window.partitionBy("doc_id", row).orderBy(row)
+    return chosen.withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

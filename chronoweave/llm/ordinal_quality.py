@@ -11,6 +11,7 @@ import zlib
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -214,6 +215,20 @@ def classify(docs: DataFrame, model: OrdinalModel, least: int = 2, probability:
     return map_rows(docs, run, f"{kinds}, score double, expected_grade double, p_grade_1 double, p_grade_2 double, kept boolean")
 
 
+def keep(docs: DataFrame, model: OrdinalModel, least: int = 2, probability: float = 0.8) -> DataFrame:
+    """Rows of ``docs`` with P(grade >= least) >= probability, all columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.thresholds))
+
+    def run(c: dict):
+        local = OrdinalModel(*shared.value)
+        tails = local.tails(np.array([local.score(t) for t in texts_of(c["text"])]))
+        good = pa.array(tails[:, least - 1] >= probability)
+        return {n: a.filter(good) for n, a in c.items()}
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return map_rows(docs, run, kinds)
+
+
 def select(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fit on the labels and classify every document."""
     return classify(docs, fit(docs, labels))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, map_rows, row_key, row_number_base, sieve, stored
+from .common import Sieve, map_rows, row_key, row_number_base, sieve, stored, unused
 
 WINDOW = 10
 K = 5
@@ -232,9 +232,10 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows are told apart by doc_id and text, so rows that repeat both go or stay together.
     """
-    keyed = docs.withColumn("_row", row_key(F.col("text")))
-    rows, found, _ = spans(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), items)
+    row = unused(docs, "_row")
+    keyed = docs.withColumn(row, row_key(F.col("text")))
+    rows, found, _ = spans(keyed.select(F.struct("doc_id", F.col(row).alias("_row")).alias("doc_id"), "text"), items)
     bad = rows.join(found.select("rid").distinct(), "rid", "left_semi").select("doc_id.*").distinct()
     bad = bad.select(F.col("doc_id").alias("_id"), F.col("_row").alias("_bad"))
-    kept = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_row"] == bad["_bad"]), "left_anti")
+    kept = keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed[row] == bad["_bad"]), "left_anti")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -13,7 +13,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade is probably the best one; the model is fitted on the ratings of the
     documents at hand."""
     model = ordinal_quality.fit(docs, table(spark, sf_dir, "labels"))
-    return ordinal_quality.classify(docs, model).where("kept").select(*docs.columns)
+    return ordinal_quality.keep(docs, model)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

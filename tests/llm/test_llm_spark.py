@@ -327,4 +327,54 @@ def test_classifier_on_awkward_tables(spark, docs, empty):
     out = ordinal_quality.classify(docs, model)
     assert out.count() == docs.count() and len(out.columns) == len({c.lower() for c in out.columns})
     assert ordinal_quality.select(spark, empty, labels).count() == 0
+    same = ordinal_quality.keep(docs, model)
+    assert same.dtypes == docs.dtypes and same.count() == out.where("kept").count()
     assert ordinal_quality.select(spark, docs, labels.limit(0)).count() == docs.count()
+
+
+def test_stages_keep_columns_of_clashing_names(spark):
+    rng = random.Random(23)
+    rows = [(i, sentence(rng, 40), "en", "s", 1, i * 7, f"c{i}", 0.5, "x") for i in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _row long, _copy string, score double, kept string")
+    bench = spark.createDataFrame([(1, rows[3][1])], "item_id long, text string")
+    want = {r[0]: r for r in rows}
+    model = ordinal_quality.fit_rows([], np.empty(0, np.int64), 3)
+    for out, n in ((golay_dedup.keep_one(df), 20), (winnowing.clean(df, bench), 19), (anchor_pii.redact(df), 20), (ordinal_quality.keep(df, model, probability=0.0), 20)):
+        got = [tuple(r) for r in out.collect()]
+        assert out.columns == df.columns and len(got) == n and all(r == want[r[0]] for r in got)
+
+
+def test_pipeline_equals_its_operators(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(29)
+    passage = sentence(rng, 25)
+    clean = [(i, sentence(rng, 80), "en", "src0", 1) for i in range(0, 150)]
+    copies = [(200 + i, clean[i][1], "en", "src1", 1) for i in range(10)]
+    leaks = [(300 + i, f"{sentence(rng, 40)} {passage}", "en", "src1", 1) for i in range(5)]
+    toxic = [(400 + i, f"{sentence(rng, 60)} vileword", "en", "src1", 1) for i in range(60)]
+    private = [(500 + i, f"{sentence(rng, 60)} call +49 30 1234567{i}", "en", "src1", 1) for i in range(5)]
+    spark.createDataFrame(clean + copies + leaks + toxic + private, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(i, 1, 0) for i, *_ in clean + leaks + private] + [(i, 1, 1) for i, *_ in toxic]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stored(stage(spark, docs, str(tmp_path)), name)
+        seen[name] = docs
+    for name, _ in corpus_pipeline.STAGES[:-1]:
+        assert seen[name].columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ")
+    ids = {n: {r[0] for r in d.select("doc_id").collect()} for n, d in seen.items()}
+    first = ids["quality_classifier"]
+    assert not first & {r[0] for r in toxic} and {r[0] for r in clean} <= first
+    assert not ids["simhash_near_dedup"] & {r[0] for r in copies} and {r[0] for r in clean + leaks + private} <= ids["simhash_near_dedup"]
+    assert ids["benchmark_decontamination"] == ids["simhash_near_dedup"] - {r[0] for r in leaks}
+    masked = {r.doc_id: r.text for r in seen["pii_redaction"].collect()}
+    assert all(masked[r[0]].endswith("call <phone>") for r in private)
+    assert all(masked[i] == t for i, t, *_ in clean)
+    assert ids["best_fit_packing"] == set(masked)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    fields = ("doc_id", "piece", "start", "length", "ids_crc32")
+    rows = lambda d: sorted(tuple(r[f] for f in fields) for r in d.collect())
+    assert rows(whole) == rows(seen["best_fit_packing"])
