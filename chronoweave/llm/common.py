@@ -94,6 +94,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+# Look-up tables that a Python worker keeps from task to task, by operator.
+_caches: dict[str, dict] = {}
+
+
+def worker_cache(name: str) -> dict:
+    """The worker's own cache for one operator.
+
+    Workers outlive stages, so a cache of another operator is dropped when the next one starts:
+    together they would take more memory than a worker has.
+    """
+    for other in [n for n in _caches if n != name]:
+        del _caches[other]
+    return _caches.setdefault(name, {})
+
+
 _numbered = {"task": -1, "rows": 0}
 
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, texts_of
+from .common import map_rows, texts_of, worker_cache
 
 # Labelled rows the model is fitted on: those with the least hash of their id, so any larger set of
 # labels gives a spread sample of this size.
@@ -27,11 +27,9 @@ CHI_SQUARE = 30.0
 # ... and if documents with it miss the best grade so many times as often as all do.  Words that
 # good texts merely have more of are left out: their sum would grow with the length of a text.
 LIFT = 2.0
-_CACHE = 400_000
+_CACHE = 200_000
 _UPPER, _MARKS = bytes(range(65, 91)), b"#*$%&<>|!"
 
-_features: dict[bytes, tuple[int, ...]] = {}
-
 
 def _slot(text: bytes) -> int:
     return zlib.crc32(text) >> (32 - HASH_BITS)
@@ -50,13 +48,14 @@ def features(text: str) -> np.ndarray:
     words = raw.lower().split()
     n = max(1, len(words))
     distinct = set(words)
-    if len(_features) > _CACHE:
-        _features.clear()
+    known = worker_cache("word features")
+    if len(known) > _CACHE:
+        known.clear()
     found: set[int] = set()
     for w in distinct:
-        f = _features.get(w)
+        f = known.get(w)
         if f is None:
-            f = _features[w] = _of_word(w)
+            f = known[w] = _of_word(w)
         found.update(f)
     capitals = (len(raw) - len(raw.translate(None, _UPPER))) / max(1, len(raw))
     marks = (len(raw) - len(raw.translate(None, _MARKS))) / n

@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from .common import worker_cache
+
 # White space as the tokenizers' patterns know it.
 _SPACE = "\t-\r \x85\xa0  -     　"
 # Letters before a plain mark end a piece in both patterns, so the word is known without its mark.
@@ -24,9 +26,7 @@ WORD_CUTS = re.compile(rf"[{_LETTERS}]+(?={_MARKS})|[^\t-\r ]+")
 _COMPOSING = re.compile("[̀-ͯ]")
 
 # Cuts in each of two generations of the cache; bounds a worker's memory, not the results.
-CACHE_CUTS = 700_000
-
-_encoders: dict[tuple[str, str], Encoder] = {}
+CACHE_CUTS = 400_000
 
 
 class Encoder:
@@ -61,7 +61,7 @@ class Encoder:
 
 def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a tokenizer file; ``kind`` is ``byte`` or ``word``."""
-    key = (path, kind)
-    if key not in _encoders:
-        _encoders[key] = Encoder(path, *{"byte": (BYTE_CUTS,), "word": (WORD_CUTS, True)}[kind])
-    return _encoders[key]
+    encoders = worker_cache(f"tokens {path} {kind}")
+    if not encoders:
+        encoders["encoder"] = Encoder(path, *{"byte": (BYTE_CUTS,), "word": (WORD_CUTS, True)}[kind])
+    return encoders["encoder"]

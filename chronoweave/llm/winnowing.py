@@ -13,18 +13,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Sieve, map_rows, row_key, row_number_base, sieve, stored, unused
+from .common import Sieve, map_rows, row_key, row_number_base, sieve, stored, unused, worker_cache
 
 WINDOW = 10
 K = 5
 SIDE = WINDOW - K  # words a window has beside its fingerprint
 _CHUNK_WORDS = 250_000
-_CACHE = 600_000
+_CACHE = 400_000
 _WORD_BYTES = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-_hashes: dict[bytes, int] = {}
-
 
 def words_of(text: str | None) -> list[bytes]:
     """Words of lower-cased A-Z text: digits, a-z and everything beyond ASCII."""
@@ -32,14 +30,15 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > _CACHE:
-        _hashes.clear()
-    get, h = _hashes.get, xxhash.xxh64_intdigest
+    known = worker_cache("word hashes")
+    if len(known) > _CACHE:
+        known.clear()
+    get, h = known.get, xxhash.xxh64_intdigest
     out = []
     for w in words:
         v = get(w)
         if v is None:
-            v = _hashes[w] = h(w)
+            v = known[w] = h(w)
         out.append(v)
     return np.array(out, dtype=np.uint64)
 
