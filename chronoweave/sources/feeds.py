@@ -19,7 +19,7 @@ ITEM_SCHEMA = (
     "description string, `content:encoded` string, "
     "enclosure struct<_VALUE:string,_url:string,_length:string,_type:string>, "
     "`media:content` struct<_VALUE:string,_url:string,_type:string>, `itunes:duration` string, "
-    "`itunes:episodeType` string, `itunes:author` string"
+    "`itunes:episodeType` string, `itunes:author` string, `podcast:guid` string"
 )
 CHANNEL_SCHEMA = (
     "title string, link string, description string, language string, image struct<url:string>, "
@@ -116,7 +116,8 @@ def strict_items(raw: DataFrame, keys: list[str], fail_fast: bool = False) -> Da
 
 
 def merge_items(raw: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge reading: audio only from audio media types; guid falls back to link and title joined."""
+    """Merge reading: audio only from audio media types; guid falls back to the one of the podcast
+    namespace, then to link and title joined."""
 
     def audio(c: Column) -> Column:
         return F.when(c["_type"].startswith("audio/"), F.nullif(c["_url"], F.lit("")))
@@ -126,7 +127,7 @@ def merge_items(raw: DataFrame, keys: list[str]) -> DataFrame:
     description = F.coalesce("description", F.lit(""))
     return raw.select(
         *keys,
-        F.coalesce(guid, joined).alias("guid"),
+        F.coalesce(guid, _col("podcast:guid"), joined).alias("guid"),
         F.col("link").alias("page_url"),
         F.nullif("title", F.lit("")).alias("title"),
         pub_timestamp(F.col("pubDate")).alias("pub_date"),

@@ -149,3 +149,12 @@ def test_live_mode_merges_only_new_files(spark, feed, tmp_path):
         "g9",
         "https://zeit.example/2Bonus zwei",
     }
+
+
+def test_merge_reading_takes_a_namespaced_guid(spark, tmp_path):
+    item = "<item><title>T</title><link>L</link>{}</item>"
+    xml = '<rss xmlns:podcast="https://podcastindex.org/namespace/1.0"><channel>{}</channel></rss>'
+    guids = ("<guid>a</guid><podcast:guid>b</podcast:guid>", "<podcast:guid>b</podcast:guid>", "")
+    (tmp_path / "f.xml").write_text(xml.format("".join(item.format(g) for g in guids)), encoding="utf-8")
+    out = feeds.merge_items(feeds.read_items(spark, str(tmp_path / "f.xml")), ["item_pos"])
+    assert [r.guid for r in out.orderBy("item_pos").collect()] == ["a", "b", "LT"]
