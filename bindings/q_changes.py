@@ -89,7 +89,7 @@ def rss_items_audio(d):
 
 @query("list_ordered", "SELECT guid, published_at FROM {fac}")
 def list_ordered(d):
-    return d.fac.orderBy("published_at", "guid").select("guid", "published_at")
+    return sinks.ordered_list(d.fac.select("guid", "published_at"), "published_at", "guid")
 
 
 @query("point_lookup", "SELECT guid, title, podcast_id FROM {fac} WHERE guid = 'ev-77'")

@@ -136,7 +136,7 @@ def join_keywords(d):
 
 @query("semi_members", "SELECT c.cluster_id, e.name, count(*) AS n FROM {ent} e JOIN {clu} c USING (episode_id) GROUP BY 1, 2")
 def semi_members(d):
-    return d.ent.join(d.clu, "episode_id").groupBy("cluster_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.member_facts(d.clu, d.ent, "name")
 
 
 @query("pair_join", """

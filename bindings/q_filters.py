@@ -136,7 +136,7 @@ def range_join(d):
 
 @query("facet_total", f"SELECT count(*) AS total_count FROM {{fac}} {WHERE}")
 def facet_total(d):
-    return FILTERED.apply(d.fac).agg(F.count(F.lit(1)).alias("total_count"))
+    return facets.facet_total(FILTERED.apply(d.fac))
 
 
 @query("facet_type", f"SELECT coalesce(incident_type, 'other') AS incident_type, count(*) AS count FROM {{fac}} {WHERE} GROUP BY 1")
@@ -235,7 +235,7 @@ def category_series(d):
 
 @query("query_episodes", f"SELECT guid, published_at FROM {{fac}} {WHERE} ORDER BY published_at, guid LIMIT 2000")
 def query_episodes(d):
-    return FILTERED.apply(d.fac).orderBy("published_at", "guid").limit(2000).select("guid", "published_at")
+    return filters.query_episodes(d.fac, FILTERED).select("guid", "published_at")
 
 
 @query("table_profile_types", """

@@ -19,6 +19,10 @@ def representative_year() -> Column:
     return F.coalesce("primary_time_year", "primary_time_start_year", "primary_time_end_year")
 
 
+def facet_total(episodes: DataFrame) -> DataFrame:
+    return episodes.agg(F.count(F.lit(1)).alias("total_count"))
+
+
 def facet_type(episodes: DataFrame) -> DataFrame:
     kind = F.coalesce("incident_type", F.lit("other")).alias("incident_type")
     return (

@@ -61,6 +61,15 @@ class EpisodeFilter:
         return episodes.filter(self.predicate())
 
 
+DEFAULT_EPISODES = 2000
+
+
+def query_episodes(episodes: DataFrame, criteria: EpisodeFilter, limit: int | None = DEFAULT_EPISODES) -> DataFrame:
+    """Matching episodes by publication time, the first ``limit`` of them (None: all)."""
+    found = criteria.apply(episodes).orderBy("published_at", "guid")
+    return found if limit is None else found.limit(limit)
+
+
 # Saved filter bundles.
 PRESETS = {
     "all": {},

@@ -13,10 +13,11 @@ from ..functions.columns import stable_id
 
 # Stop words and limits.
 STOP_WORDS = (
-    "der die das und oder aber wenn weil dass ist sind war waren eine ein einer eines einem im in "
-    "am an auf aus bei mit von zu für über um als auch noch mehr nicht wir ihr euch uns diese "
-    "dieser dieses"
-).split()
+    "der", "die", "das", "und", "oder", "aber", "wenn", "weil", "dass", "ist", "sind", "war", "waren", "eine",
+    "ein", "einer", "eines", "einem", "im", "in", "am", "an", "auf", "aus", "bei", "mit", "von", "zu", "für",
+    "über", "um", "als", "auch", "noch", "mehr", "nicht", "wir", "ihr", "euch", "uns", "diese", "dieser",
+    "dieses",
+)
 MAX_PHRASE_WORDS = 5
 MAX_PHRASES = 25
 

@@ -56,6 +56,11 @@ def cluster_entities(membership: DataFrame, entities: DataFrame, n: int = TOP_TE
     return top_n(counted, ["cluster_id"], [F.desc("count"), F.asc("name"), F.asc("kind")], n)
 
 
+def member_facts(membership: DataFrame, facts: DataFrame, *names: str) -> DataFrame:
+    """How often each fact occurs in the episodes of a cluster."""
+    return facts.join(membership, "episode_id").groupBy("cluster_id", *names).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _counts(membership: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
     per_episode = facts.groupBy("episode_id", *names).agg(F.count(F.lit(1)).alias("n"))
     return (

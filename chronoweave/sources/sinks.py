@@ -64,6 +64,11 @@ def review_block() -> Column:
     )
 
 
+def ordered_list(df: DataFrame, *order: str) -> DataFrame:
+    """A list section in its fixed order."""
+    return df.orderBy(*order)
+
+
 def point_lookup(df: DataFrame, guid: str) -> DataFrame:
     return df.filter(F.col("guid") == guid)
 
