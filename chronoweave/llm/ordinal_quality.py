@@ -83,15 +83,23 @@ class OrdinalModel:
         return float(self.weights[features(text)].sum())
 
 
-def chi_square(flat: np.ndarray, doc: np.ndarray, grades: np.ndarray, counts: np.ndarray) -> np.ndarray:
+def presence(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, chunk: int = 500) -> np.ndarray:
+    """(grades, slots): in how many texts of a grade each slot occurs; a few texts are held at a time."""
+    seen = np.zeros((n_grades, 1 << HASH_BITS), dtype=np.int32)
+    for g in range(n_grades):
+        mine = np.flatnonzero(grades == g)
+        for at in range(0, len(mine), chunk):
+            seen[g] += np.bincount(np.concatenate([rows[i] for i in mine[at : at + chunk]]), minlength=1 << HASH_BITS).astype(np.int32)
+    return seen
+
+
+def chi_square(seen: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Dependence of each slot's presence on the grade."""
-    n, size = counts.sum(), 1 << HASH_BITS
-    there = np.bincount(flat, minlength=size)
-    total = np.zeros(size)
+    n, there = counts.sum(), seen.sum(axis=0)
+    total = np.zeros(seen.shape[1])
     for g, m in enumerate(counts):
         if m:
-            seen = np.bincount(flat[grades[doc] == g], minlength=size)
-            total += (seen - there * (m / n)) ** 2 / m
+            total += (seen[g] - there * (m / n)) ** 2 / m
     share = there / n
     return total / np.maximum(share * (1 - share), 1e-12)
 
@@ -103,12 +111,12 @@ def fit_rows(rows: list[np.ndarray], grades: np.ndarray, n_grades: int, rounds:
     if not len(rows) or (counts > 0).sum() < 2:  # nothing to tell apart: every text gets the priors
         share = np.clip(counts.cumsum()[:-1] / max(1, len(rows)), 1e-6, 1 - 1e-6)
         return OrdinalModel(weights, np.log(share / (1 - share)))
-    flat = np.concatenate(rows).astype(np.int32)
-    doc = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    there = np.maximum(np.bincount(flat, minlength=len(weights)), 1)
-    worse = np.bincount(flat, weights=(grades < n_grades - 1)[doc], minlength=len(weights)) / there
-    known = (chi_square(flat, doc, grades, counts) >= CHI_SQUARE) & (worse >= LIFT * (1 - counts[-1] / len(rows)))
-    doc, flat = doc[known[flat]], flat[known[flat]]
+    seen = presence(rows, grades, n_grades)
+    there = np.maximum(seen.sum(axis=0), 1)
+    worse = 1 - seen[-1] / there
+    known = (chi_square(seen, counts) >= CHI_SQUARE) & (worse >= LIFT * (1 - counts[-1] / len(rows)))
+    rows = [r[known[r]] for r in rows]
+    flat, doc = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     used, flat = np.unique(flat, return_inverse=True)
     n, k, m = len(rows), n_grades - 1, len(used)
     share = np.clip(counts.cumsum()[:-1] / n, 1e-3, 1 - 1e-3)
@@ -184,10 +192,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> O
     def run(c: dict):
         return {"grade": c["_grade"], "slots": [features(t).astype(np.int32).tobytes() for t in texts_of(c["text"])]}
 
-    got = map_rows(rows.select("text", "_grade"), run, "grade int, slots binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["grade"], r["slots"]))  # the same fit for any row order
-    grades = np.array([r["grade"] for r in got], dtype=np.int64)
-    return fit_rows([np.frombuffer(r["slots"], np.int32) for r in got], grades, 3)
+    table = map_rows(rows.select("text", "_grade"), run, "grade int, slots binary").toArrow()
+    got = sorted(zip(table["grade"].to_pylist(), table["slots"].to_pylist(), strict=True))  # the same fit for any row order
+    del table
+    return fit_rows([np.frombuffer(s, np.int32) for _, s in got], np.array([g for g, _ in got], dtype=np.int64), 3)
 
 
 def classify(docs: DataFrame, model: OrdinalModel, least: int = 2, probability: float = 0.8) -> DataFrame:
