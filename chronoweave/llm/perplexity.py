@@ -2,8 +2,10 @@
 
 Character 5-grams of all texts are counted by Spark, language by language.  Discounts and backoff
 weights of modified Kneser-Ney smoothing come from those counts by aggregations and equi joins; no
-count is cut off.  For scoring, the model is laid out as sorted hash arrays.  Each language gets a
-lower and an upper bound on the log perplexity from the spread of its own documents.
+count is cut off and no gram shares its place with another.  For scoring, texts are gathered into
+chunks, and the distinct grams of each chunk meet their probabilities by an equi join, so the model
+stays spread over Spark's partitions and grows with the corpus.  Each language gets a lower and an
+upper bound on the log perplexity from the spread of its own documents.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,11 @@ from pyspark.sql import functions as F
 from .common import in_arrow, map_rows, stored, texts_of
 
 ORDER = 5
-CHAR_BITS = 12  # of a character in a packed gram; five fit into a long
-# Hash slots of the scoring arrays.  They hold at most 2**SLOT_BITS entries of eight bytes whatever
-# the corpus, so they may be broadcast; entries of one slot share their mean.
-SLOT_BITS = 24
+CHAR_BITS = 12  # low bits of a character in a packed gram; five fit into a long
+HIGH_BITS = 9  # the other bits of a code point, packed into a second long
+# Characters of the texts that are scored together; bounds a worker's memory, not the results.
+CHUNK = 1 << 23
+SLOT_BITS = 24  # of HashArrays
 # A language's bounds: its median plus and minus so many median absolute deviations.
 BAND = 8.0
 _CHUNK = 1 << 20
@@ -35,30 +39,63 @@ _GRAM, _CONTEXT = 1, 2
 # -- grams ------------------------------------------------------------------------------------
 
 
+def points(text: str) -> np.ndarray:
+    """Code points of the lower-cased text, white space as one blank, digits as one."""
+    out = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return np.where((out >= 48) & (out <= 57), np.uint32(48), out).astype(np.int64)
+
+
 def characters(text: str) -> np.ndarray:
-    """Codes of the lower-cased text, white space as one blank, digits as one; 1 to 4095."""
-    points = np.frombuffer(" ".join(text.lower().split()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    points = np.where((points >= 48) & (points <= 57), np.uint32(48), points)
-    return np.where(points < 4096, points, (points * np.uint32(2654435761) >> np.uint32(20)) | np.uint32(1)).astype(np.int64)
+    """The low CHAR_BITS of the code points."""
+    return points(text) & _MASK
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed 5-gram that ends at each character, and the number of characters of each text.
+def wide_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed 5-gram that ends at each character, as low and high bits, and the number of characters
+    of each text.
 
     A text begins behind four boundary codes, which are 0.
     """
-    codes = [characters(t) for t in texts]
+    codes = [points(t) for t in texts]
     sizes = np.array([len(c) for c in codes], dtype=np.int64)
     gap = np.zeros(ORDER - 1, np.int64)
     line = np.concatenate([x for c in codes for x in (gap, c)] or [gap])
-    key = line[ORDER - 1 :].copy()
-    for back in range(1, ORDER):
-        key |= line[ORDER - 1 - back : len(line) - back] << (CHAR_BITS * back)
-    real = np.ones(len(key), dtype=bool)
+    real = np.ones(len(line) - ORDER + 1, dtype=bool)
     ends = np.cumsum(sizes + ORDER - 1) - (ORDER - 1)
     for i in range(ORDER - 1):
         real[(ends[:-1] + i)] = False
-    return key[real], sizes
+
+    def packed(part: np.ndarray, bits: int) -> np.ndarray:
+        key = part[ORDER - 1 :].copy()
+        for back in range(1, ORDER):
+            key |= part[ORDER - 1 - back : len(part) - back] << (bits * back)
+        return key[real]
+
+    key, high = packed(line & _MASK, CHAR_BITS), line >> CHAR_BITS
+    return key, packed(high, HIGH_BITS) if high.any() else np.zeros(len(key), np.int64), sizes
+
+
+def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Low bits of the packed 5-grams, and the number of characters of each text."""
+    return wide_grams(texts)[::2]
+
+
+def sort_order(key: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return np.lexsort((key, high)) if high.any() else np.argsort(key, kind="stable")
+
+
+def distinct(key: np.ndarray, high: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different grams in order, and the sum of ``counts`` (without them, the number) of each."""
+    if not len(key):
+        return key, high, key
+    if counts is None and not high.any():
+        key, counts = np.unique(key, return_counts=True)
+        return key, np.zeros(len(key), np.int64), counts
+    order = sort_order(key, high)
+    key, high = key[order], high[order]
+    first = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (high[1:] != high[:-1])) + 1])
+    counts = np.add.reduceat(np.ones(len(key), np.int64) if counts is None else counts[order], first)
+    return key[first], high[first], counts
 
 
 def by_language(langs: list, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
@@ -76,33 +113,27 @@ def by_language(langs: list, texts: list[str]) -> Iterator[tuple[str, list[int]]
 
 
 def count(docs: DataFrame) -> DataFrame:
-    """(lang, key, c): how often each 5-gram occurs in the texts of a language; no language is ''."""
+    """(lang, high, key, c0): how often each 5-gram occurs in the texts of a language; no language is ''."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        sums: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray]:
+        def merged(lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             parts = sums.pop(lang)
-            if len(parts) == 1:
-                return parts[0]
-            keys, counts = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            first = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1])
-            return keys[first], np.add.reduceat(counts, first)
-
-        def rows(lang: str, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for at in range(0, len(keys), 100_000):
-                k, c = keys[at : at + 100_000], counts[at : at + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k)), pa.array(k), pa.array(c)], ["lang", "key", "c"])
+            return parts[0] if len(parts) == 1 else distinct(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+
+        def rows(lang: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(columns[0]), 100_000):
+                key, high, c = (x[at : at + 100_000] for x in columns)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(high), pa.array(key), pa.array(c)], ["lang", "high", "key", "c"])
 
         for batch in batches:
             texts = texts_of(batch.column(1))
             for lang, chosen in by_language(batch.column(0).to_pylist(), texts):
-                keys, counts = np.unique(grams([texts[i] for i in chosen])[0], return_counts=True)
-                if not len(keys):
+                found = distinct(*wide_grams([texts[i] for i in chosen])[:2])
+                if not len(found[0]):
                     continue
-                sums.setdefault(lang, []).append((keys, counts))
+                sums.setdefault(lang, []).append(found)
                 if len(sums[lang]) >= 8:
                     sums[lang] = [merged(lang)]
                     if len(sums[lang][0][0]) > 2_000_000:
@@ -110,65 +141,91 @@ def count(docs: DataFrame) -> DataFrame:
         for lang in list(sums):
             yield from rows(lang, *merged(lang))
 
-    partial = in_arrow(docs.select("lang", "text"), run, "lang string, key long, c long")
-    return partial.groupBy("lang", "key").agg(F.sum("c").alias("c"))
+    partial = in_arrow(docs.select("lang", "text"), run, "lang string, high long, key long, c long")
+    return partial.groupBy("lang", "high", "key").agg(F.sum("c").alias("c0"))
 
 
 # -- modified Kneser-Ney ----------------------------------------------------------------------
 
 
-def discounts(counts: DataFrame) -> DataFrame:
-    """(lang, d1, d2, d3) from how many grams occur once to four times.
+def discounts(counts: DataFrame, models: range) -> DataFrame:
+    """(lang, d1_i, d2_i, d3_i) for each model i from how many grams occur once to four times in it.
 
     Where such a number is zero the estimate isn't defined and 0.5, 1 and 1.5 stand in.
     """
-    n = [F.sum((F.col("c") == i).cast("long")).cast("double").alias(f"n{i}") for i in range(1, 5)]
-    fine = (F.col("n1") > 0) & (F.col("n2") > 0) & (F.col("n3") > 0) & (F.col("n4") > 0)
-    bound = lambda v, top, other: F.when(fine, F.least(F.greatest(v, F.lit(0.0)), F.lit(top))).otherwise(F.lit(other))
-    ratio = lambda a, b: F.try_divide(F.col(b), F.col(a))
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    return counts.groupBy("lang").agg(*n).select(
-        "lang", bound(1 - 2 * y * ratio("n1", "n2"), 1.0, 0.5).alias("d1"), bound(2 - 3 * y * ratio("n2", "n3"), 2.0, 1.0).alias("d2"),
-        bound(3 - 4 * y * ratio("n3", "n4"), 3.0, 1.5).alias("d3"),
-    )
+    n = [F.sum((F.col(f"c{m}") == i).cast("long")).cast("double").alias(f"n{i}_{m}") for m in models for i in range(1, 5)]
+    out = []
+    for m in models:
+        n1, n2, n3, n4 = (F.col(f"n{i}_{m}") for i in range(1, 5))
+        fine = (n1 > 0) & (n2 > 0) & (n3 > 0) & (n4 > 0)
+        bound = lambda v, top, other: F.when(fine, F.least(F.greatest(v, F.lit(0.0)), F.lit(top))).otherwise(F.lit(other))  # noqa: B023, E731
+        y = F.try_divide(n1, n1 + 2 * n2)
+        out += [bound(1 - 2 * y * F.try_divide(n2, n1), 1.0, 0.5).alias(f"d1_{m}"), bound(2 - 3 * y * F.try_divide(n3, n2), 2.0, 1.0).alias(f"d2_{m}")]
+        out += [bound(3 - 4 * y * F.try_divide(n4, n3), 3.0, 1.5).alias(f"d3_{m}")]
+    return counts.groupBy("lang").agg(*n).select("lang", *out)
 
 
-def discount(c: Column) -> Column:
-    return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+def discount(c: Column, m: int) -> Column:
+    return F.when(c == 1, F.col(f"d1_{m}")).when(c == 2, F.col(f"d2_{m}")).otherwise(F.col(f"d3_{m}"))
 
 
-def smooth(counts: DataFrame) -> DataFrame:
-    """(lang, n, key, p, gamma, weight) of every seen n-gram: its interpolated probability, and the
-    backoff weight of its first n - 1 characters.
+def orders(counts: DataFrame, whole: bool = False) -> list[DataFrame]:
+    """For each order n (lang, high, key, p0, p1 ...): every n-gram's interpolated probability in each
+    model; ``whole`` adds n, the counts and the backoff weights of the first n - 1 characters.
 
-    Below the highest order a gram counts by how many characters it follows.
+    ``counts`` has a column c0, c1 ... for each model.  A gram that a model hasn't seen counts 0
+    there and gets what backing off gives.  Below the highest order a gram counts by how many
+    characters it follows.
     """
+    models = range(sum(c[0] == "c" for c in counts.columns))
     tables = {ORDER: stored(counts, "grams")}
+
+    def tail(n: int) -> list[Column]:
+        """Key of the last n characters."""
+        return [F.col(c).bitwiseAND(F.lit((1 << (bits * n)) - 1)) for c, bits in (("high", HIGH_BITS), ("key", CHAR_BITS))]
+
     for n in range(ORDER - 1, 0, -1):
-        mask = (1 << (CHAR_BITS * n)) - 1
-        tables[n] = stored(tables[n + 1].select("lang", F.col("key").bitwiseAND(F.lit(mask)).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("c")), f"grams{n}")
-    size = tables[1].groupBy("lang").agg((F.count("*") + 1).alias("v"))
-    lower, out = None, None
+        high, key = tail(n)
+        cut = tables[n + 1].select("lang", high.alias("high"), key.alias("key"), *[(F.col(f"c{m}") > 0).cast("long").alias(f"c{m}") for m in models])
+        tables[n] = stored(cut.groupBy("lang", "high", "key").agg(*[F.sum(f"c{m}").alias(f"c{m}") for m in models]), f"grams{n}")
+    # a language has one row here; stored, so that its size is known and decides on a broadcast
+    size = stored(tables[1].groupBy("lang").agg((F.count("*") + 1).alias("v")), "sizes")
+    out: list[DataFrame] = []
     for n in range(1, ORDER + 1):
-        mine = tables[n].withColumn("ctx", F.shiftright("key", CHAR_BITS))
-        # a language has one row here: broadcast is decided by its measured size
-        d = discounts(tables[n])
-        near = lambda i: F.sum((F.col("c") == i).cast("long"))
-        ctx = mine.groupBy("lang", "ctx").agg(F.sum("c").alias("total"), near(1).alias("n1"), near(2).alias("n2"), F.sum((F.col("c") > 2).cast("long")).alias("n3"))
-        ctx = ctx.join(d, "lang").withColumn("gamma", (F.col("d1") * F.col("n1") + F.col("d2") * F.col("n2") + F.col("d3") * F.col("n3")) / F.col("total"))
-        rows = mine.join(ctx, ["lang", "ctx"])
+        mine = tables[n].withColumn("chigh", F.shiftright("high", HIGH_BITS)).withColumn("ctx", F.shiftright("key", CHAR_BITS))
+        d = stored(discounts(tables[n], models), "discounts")
+        sums = []
+        for m in models:
+            c = F.col(f"c{m}")
+            sums += [F.sum(c).alias(f"total{m}"), *[F.sum(x.cast("long")).alias(f"n{i}_{m}") for i, x in ((1, c == 1), (2, c == 2), (3, c > 2))]]
+        ctx = mine.groupBy("lang", "chigh", "ctx").agg(*sums).join(d, "lang")
+        for m in models:
+            freed = sum(F.col(f"d{i}_{m}") * F.col(f"n{i}_{m}") for i in (1, 2, 3))
+            # a context that a model hasn't seen leaves all to the shorter one
+            ctx = ctx.withColumn(f"gamma{m}", F.coalesce(F.try_divide(freed, F.col(f"total{m}")), F.lit(1.0)))
+        rows = mine.join(ctx, ["lang", "chigh", "ctx"])
         if n == 1:
-            rows = rows.join(size, "lang").withColumn("below", 1 / F.col("v"))
+            rows = rows.join(size, "lang").select("*", *[(1 / F.col("v")).alias(f"below{m}") for m in models])
         else:
-            suffix = F.col("key").bitwiseAND(F.lit((1 << (CHAR_BITS * (n - 1))) - 1))
-            rows = rows.withColumn("tail", suffix).join(lower.select("lang", F.col("key").alias("tail"), F.col("p").alias("below")), ["lang", "tail"])
-        p = F.greatest(F.col("c") - discount(F.col("c")), F.lit(0.0)) / F.col("total") + F.col("gamma") * F.col("below")
-        rows = stored(rows.select("lang", F.lit(n).alias("n"), "key", p.alias("p"), "gamma", F.col("c").alias("weight")), f"order{n}")
-        lower, out = rows, rows if out is None else out.union(rows)
+            high, key = tail(n - 1)
+            lower = out[-1].select("lang", F.col("high").alias("thigh"), F.col("key").alias("tail"), *[F.col(f"p{m}").alias(f"below{m}") for m in models])
+            rows = rows.withColumn("thigh", high).withColumn("tail", key).join(lower, ["lang", "thigh", "tail"])
+        p = []
+        for m in models:
+            c = F.col(f"c{m}")
+            own = F.coalesce(F.try_divide(F.greatest(c - discount(c, m), F.lit(0.0)), F.col(f"total{m}")), F.lit(0.0))
+            p.append((own + F.col(f"gamma{m}") * F.col(f"below{m}")).alias(f"p{m}"))
+        extra = [F.lit(n).alias("n"), *[F.col(f"{x}{m}") for x in ("c", "gamma") for m in models]] if whole else []
+        out.append(stored(rows.select("lang", "high", "key", *p, *extra), f"order{n}"))
     return out
 
 
-# -- sorted hash arrays -----------------------------------------------------------------------
+def smooth(counts: DataFrame) -> DataFrame:
+    """(lang, n, key, p, gamma, weight) of every seen n-gram of one model."""
+    return reduce(DataFrame.union, orders(counts, whole=True)).selectExpr("lang", "n", "key", "p0 AS p", "gamma0 AS gamma", "c0 AS weight")
+
+
+# -- sorted hash arrays, for small models in one place ----------------------------------------
 
 
 def slot(lang: str, kind: int, n: int, key: np.ndarray) -> np.ndarray:
@@ -181,7 +238,9 @@ def slot(lang: str, kind: int, n: int, key: np.ndarray) -> np.ndarray:
 
 
 class HashArrays:
-    """Log values by sorted slots.  A missing gram backs off to shorter ones."""
+    """Log values by sorted slots, for looking into small models; grams of one slot share their mean
+    and characters go by their low bits.  ``rules`` doesn't use it.  A missing gram backs off to
+    shorter ones."""
 
     def __init__(self, slots: np.ndarray, logs: np.ndarray):
         self.slots, self.logs = slots, logs
@@ -273,29 +332,138 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), dup, repeat
 
 
-def score(docs: DataFrame, model: HashArrays) -> DataFrame:
+def chunked(docs: DataFrame) -> DataFrame:
+    """(chunk, doc_id, lang, text, the base counts) of every row; a chunk has about CHUNK characters."""
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    held = {"chunk": -1, "task": -1, "size": 0}
+
+    def run(c: dict):
+        from pyspark import TaskContext
+
+        context, texts, chunks = TaskContext.get(), texts_of(c["text"]), []
+        if held["task"] != context.taskAttemptId():
+            held.update(task=context.taskAttemptId(), chunk=context.partitionId() << 36, size=0)
+        for t in texts:
+            if held["size"] >= CHUNK:
+                held.update(chunk=held["chunk"] + 1, size=0)
+            held["size"] += len(t)
+            chunks.append(held["chunk"])
+        counts = list(zip(*(base_counts(t) for t in texts), strict=True))
+        return {"chunk": chunks, "doc_id": c["doc_id"], "lang": c["lang"], "text": c["text"]} | dict(zip(names, counts, strict=True))
+
+    kinds = ", ".join(f"{n} long" for n in names)
+    return map_rows(docs.select("doc_id", "lang", "text"), run, f"chunk long, doc_id {dict(docs.dtypes)['doc_id']}, lang string, text string, {kinds}")
+
+
+def chunk_grams(texts: DataFrame) -> DataFrame:
+    """(chunk, lang, high, key): the different grams of the texts of each chunk and language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, found = None, {}
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for lang, parts in found.items():
+                key, high, _ = distinct(*(np.concatenate(p) for p in list(zip(*parts, strict=True))[:2])) if len(parts) > 1 else parts[0]
+                for at in range(0, len(key), 100_000):
+                    k, h = key[at : at + 100_000], high[at : at + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array([lang] * len(k)), pa.array(h), pa.array(k)], ["chunk", "lang", "high", "key"])
+
+        for batch in batches:
+            for number, part in runs(batch):
+                if number != chunk:
+                    yield from rows()
+                    chunk, found = number, {}
+                texts = texts_of(part.column("text"))
+                for lang, chosen in by_language(part.column("lang").to_pylist(), texts):
+                    found.setdefault(lang, []).append(distinct(*wide_grams([texts[i] for i in chosen])[:2]))
+        yield from rows()
+
+    # what is in one chunk but in two tasks meets in the join's result, which may hold a gram twice
+    return in_arrow(texts.select("chunk", "lang", "text"), run, "chunk long, lang string, high long, key long")
+
+
+def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Slices of a batch with one chunk each."""
+    chunks = batch.column("chunk").to_numpy()
+    if len(chunks):
+        edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield int(chunks[a]), batch.slice(a, b - a)
+
+
+class Values:
+    """Log probabilities of the grams of one chunk and language, by the whole gram."""
+
+    def __init__(self, key: np.ndarray, high: np.ndarray, logs: np.ndarray):
+        order = sort_order(key, high)
+        self.key, self.high, self.logs = key[order], high[order], logs[order]
+
+    def find(self, key: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """A row for each gram, all of which are here."""
+        out = np.empty(len(key), np.int64)
+        for h in np.unique(high).tolist():
+            mine = high == h
+            low, top = np.searchsorted(self.high, [h, h + 1]).tolist()
+            at = low + np.searchsorted(self.key[low:top], key[mine])
+            if not (self.key[np.minimum(at, len(self.key) - 1)] == key[mine]).all():
+                raise RuntimeError("a gram of a text is not in the model")
+            out[mine] = at
+        return self.logs[out]
+
+
+def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, the base counts, base_failed, log_perplexity) of every row.
 
+    ``model`` is the highest of the ``orders``, counted over the same texts, and spread by its keys.
     A text without characters has no perplexity.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.slots, model.logs))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    texts = stored(chunked(docs), "chunks")
+    logs = model.select("lang", "high", "key", F.log("p0").cast("float").alias("l0"))
+    found = chunk_grams(texts).join(logs, ["lang", "high", "key"])
+    names = [c for c in texts.columns if c not in ("chunk", "doc_id", "lang", "text")]
+    parts = found.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
+    parts = parts.select("chunk", "is_text", "lang", "high", "key", "l0", "doc_id", "text", *names)
 
-    def run(c: dict):
-        local, texts, langs = HashArrays(*shared.value), texts_of(c["text"]), c["lang"].to_pylist()
-        perplexity: list[float | None] = [None] * len(texts)
-        for lang, chosen in by_language(langs, texts):
-            keys, sizes = grams([texts[i] for i in chosen])
-            sums = np.concatenate([[0], local.log_probability(lang, keys).cumsum()])
-            ends = np.cumsum(sizes)
-            for i, size, end in zip(chosen, sizes.tolist(), ends.tolist(), strict=True):
-                if size:
-                    perplexity[i] = float((sums[end - size] - sums[end]) / size)
-        counts = list(zip(*(base_counts(t) for t in texts), strict=True))
-        return {"doc_id": c["doc_id"], "lang": langs, "log_perplexity": perplexity} | dict(zip(names, counts, strict=True))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, parts, ready = None, {}, {}
+
+        def values(lang: str) -> Values:
+            if lang not in ready:
+                ready[lang] = Values(*(np.concatenate(p) for p in zip(*parts.pop(lang), strict=True)))
+            return ready[lang]
+
+        for batch in batches:
+            for number, part in runs(batch):
+                if number != chunk:
+                    chunk, parts, ready = number, {}, {}
+                is_text = part.column("is_text").to_numpy(zero_copy_only=False)
+                grams_end = len(is_text) - int(is_text.sum())
+                if grams_end:
+                    mine = part.slice(0, grams_end)
+                    langs = mine.column("lang").dictionary_encode()
+                    key, high, l0 = (mine.column(n).to_numpy() for n in ("key", "high", "l0"))
+                    codes = langs.indices.to_numpy()
+                    for i, lang in enumerate(langs.dictionary.to_pylist()):
+                        own = codes == i
+                        parts.setdefault(lang, []).append((key[own], high[own], l0[own]))
+                if grams_end == len(is_text):
+                    continue
+                mine = part.slice(grams_end)
+                texts, perplexity = texts_of(mine.column("text")), [None] * mine.num_rows
+                for lang, chosen in by_language(mine.column("lang").to_pylist(), texts):
+                    key, high, sizes = wide_grams([texts[i] for i in chosen])
+                    if not len(key):
+                        continue
+                    sums = np.concatenate([[0], values(lang).find(key, high).astype(np.float64).cumsum()])
+                    for i, size, end in zip(chosen, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
+                        if size:
+                            perplexity[i] = float((sums[end - size] - sums[end]) / size)
+                yield pa.RecordBatch.from_arrays([mine.column(n) for n in ("doc_id", "lang", *names)] + [pa.array(perplexity, pa.float64())], ["doc_id", "lang", *names, "log_perplexity"])
 
     kinds = ", ".join(f"{n} long" for n in names)
-    rows = map_rows(docs.select("doc_id", "lang", "text"), run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {kinds}, log_perplexity double")
+    # the grams of a chunk come before its texts
+    met = parts.repartition("chunk").sortWithinPartitions("chunk", "is_text")
+    rows = in_arrow(met, run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {kinds}, log_perplexity double")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
@@ -318,7 +486,7 @@ def rules(docs: DataFrame, width: float = BAND) -> DataFrame:
     have no words and fail; rows without a language form one of their own; a language with a spread
     of zero keeps exactly its median.  Other columns are not read.
     """
-    scored = stored(score(docs, arrays(smooth(count(docs)))), "scored")
+    scored = stored(score(docs, orders(count(docs))[-1]), "scored")
     b = stored(bands(scored, width).withColumnRenamed("lang", "_lang"), "bands")
     out = scored.join(b, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low") - 1e-9, F.col("high") + 1e-9), F.lit(False))

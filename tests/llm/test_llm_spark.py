@@ -295,6 +295,22 @@ def test_kneser_ney_equals_plain_model(spark):
     assert (model.log_probability("en", unseen) < 0).all() and (model.log_probability("xx", unseen) < 0).all()
 
 
+def test_scores_share_no_place(spark, monkeypatch):
+    """Every gram has its own probability: with few slots, and with code points alike in their low bits."""
+    rng = random.Random(14)
+    texts = [sentence(rng, 40) for _ in range(8)] + ["".join(chr(rng.choice((0x4E00, 0x5E00, 0x6E03, 0x61, 0x1F600)) + rng.randint(0, 2)) for _ in range(200)) for _ in range(8)]
+    with monkeypatch.context() as m:
+        m.setattr(perplexity, "characters", perplexity.points)
+        p = plain_kneser_ney(texts)
+    monkeypatch.setattr(perplexity, "SLOT_BITS", 6)
+    monkeypatch.setattr(perplexity, "CHUNK", 1000)
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    got = {r["doc_id"]: r["log_perplexity"] for r in collected(perplexity.score(df, perplexity.orders(perplexity.count(df))[-1]))}
+    for i, t in enumerate(texts):
+        codes = [0] * 4 + perplexity.points(t).tolist()
+        assert abs(got[i] + np.mean([math.log(p(tuple(codes[k - 4 : k + 1]))) for k in range(4, len(codes))])) < 1e-5
+
+
 def test_quality_rules(spark, docs, empty):
     got = collected(perplexity.rules(docs))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
