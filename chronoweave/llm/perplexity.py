@@ -4,8 +4,10 @@ Character 5-grams of all texts are counted by Spark, language by language.  Disc
 weights of modified Kneser-Ney smoothing come from those counts by aggregations and equi joins; no
 count is cut off and no gram shares its place with another.  For scoring, texts are gathered into
 chunks, and the distinct grams of each chunk meet their probabilities by an equi join, so the model
-stays spread over Spark's partitions and grows with the corpus.  Each language gets a lower and an
-upper bound on the log perplexity from the spread of its own documents.
+stays spread over Spark's partitions and grows with the corpus.  No text is scored by its own
+counts: texts are dealt into folds by their hash, so copies stay together, and each fold has a model
+of all the others.  Each language gets a lower and an upper bound on the log perplexity from the
+spread of its own documents.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, map_rows, stored, texts_of
+from .common import in_arrow, map_rows, row_key, stored, texts_of
 
 ORDER = 5
 CHAR_BITS = 12  # low bits of a character in a packed gram; five fit into a long
@@ -28,6 +30,7 @@ HIGH_BITS = 9  # the other bits of a code point, packed into a second long
 # Characters of the texts that are scored together; bounds a worker's memory, not the results.
 CHUNK = 1 << 23
 SLOT_BITS = 24  # of HashArrays
+FOLDS = 2
 # A language's bounds: its median plus and minus so many median absolute deviations.
 BAND = 8.0
 _CHUNK = 1 << 20
@@ -98,10 +101,10 @@ def distinct(key: np.ndarray, high: np.ndarray, counts: np.ndarray | None = None
     return key[first], high[first], counts
 
 
-def by_language(langs: list, texts: list[str]) -> Iterator[tuple[str, list[int]]]:
-    """Rows of one language in chunks of about a million characters."""
-    rows: dict[str, list[int]] = {}
-    held: dict[str, int] = {}
+def by_language(langs: list, texts: list[str]) -> Iterator[tuple]:
+    """Rows of one language (or other key) in chunks of about a million characters."""
+    rows: dict = {}
+    held: dict = {}
     for i, (lang, text) in enumerate(zip(langs, texts, strict=True)):
         lang = lang or ""
         rows.setdefault(lang, []).append(i)
@@ -112,24 +115,33 @@ def by_language(langs: list, texts: list[str]) -> Iterator[tuple[str, list[int]]
     yield from rows.items()
 
 
-def count(docs: DataFrame) -> DataFrame:
-    """(lang, high, key, c0): how often each 5-gram occurs in the texts of a language; no language is ''."""
+def fold(folds: int) -> Column:
+    """Fold of a row by its text."""
+    return F.pmod(row_key(F.col("text")), F.lit(folds)).cast("int")
+
+
+def count(docs: DataFrame, folds: int = 1) -> DataFrame:
+    """(lang, high, key, c0, c1 ...): how often each 5-gram occurs in the texts of a language that
+    are in another fold than 0, 1 ...; in all texts if there is one fold.  No language is ''.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        sums: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
 
-        def merged(lang: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def merged(lang: tuple[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             parts = sums.pop(lang)
             return parts[0] if len(parts) == 1 else distinct(*(np.concatenate(p) for p in zip(*parts, strict=True)))
 
-        def rows(lang: str, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(lang: tuple[str, int], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(columns[0]), 100_000):
                 key, high, c = (x[at : at + 100_000] for x in columns)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(key)), pa.array(high), pa.array(key), pa.array(c)], ["lang", "high", "key", "c"])
+                made = [pa.array([lang[0]] * len(key)), pa.array(np.full(len(key), lang[1], np.int32)), pa.array(high), pa.array(key), pa.array(c)]
+                yield pa.RecordBatch.from_arrays(made, ["lang", "fold", "high", "key", "c"])
 
         for batch in batches:
-            texts = texts_of(batch.column(1))
-            for lang, chosen in by_language(batch.column(0).to_pylist(), texts):
+            texts = texts_of(batch.column(2))
+            langs = [(lang or "", f) for lang, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            for lang, chosen in by_language(langs, texts):
                 found = distinct(*wide_grams([texts[i] for i in chosen])[:2])
                 if not len(found[0]):
                     continue
@@ -141,8 +153,9 @@ def count(docs: DataFrame) -> DataFrame:
         for lang in list(sums):
             yield from rows(lang, *merged(lang))
 
-    partial = in_arrow(docs.select("lang", "text"), run, "lang string, high long, key long, c long")
-    return partial.groupBy("lang", "high", "key").agg(F.sum("c").alias("c0"))
+    partial = in_arrow(docs.select("lang", fold(folds).alias("fold"), "text"), run, "lang string, fold int, high long, key long, c long")
+    other = [F.col("fold") != i if folds > 1 else F.lit(True) for i in range(folds)]
+    return partial.groupBy("lang", "high", "key").agg(*[F.sum(F.when(x, F.col("c")).otherwise(0)).alias(f"c{i}") for i, x in enumerate(other)])
 
 
 # -- modified Kneser-Ney ----------------------------------------------------------------------
@@ -202,7 +215,7 @@ def orders(counts: DataFrame, whole: bool = False) -> list[DataFrame]:
         for m in models:
             freed = sum(F.col(f"d{i}_{m}") * F.col(f"n{i}_{m}") for i in (1, 2, 3))
             # a context that a model hasn't seen leaves all to the shorter one
-            ctx = ctx.withColumn(f"gamma{m}", F.coalesce(F.try_divide(freed, F.col(f"total{m}")), F.lit(1.0)))
+            ctx = ctx.withColumn(f"gamma{m}", F.greatest(F.coalesce(F.try_divide(freed, F.col(f"total{m}")), F.lit(1.0)), F.lit(1e-12)))
         rows = mine.join(ctx, ["lang", "chigh", "ctx"])
         if n == 1:
             rows = rows.join(size, "lang").select("*", *[(1 / F.col("v")).alias(f"below{m}") for m in models])
@@ -332,8 +345,8 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), dup, repeat
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """(chunk, doc_id, lang, text, the base counts) of every row; a chunk has about CHUNK characters."""
+def chunked(docs: DataFrame, folds: int = 1) -> DataFrame:
+    """(chunk, fold, doc_id, lang, text, the base counts) of every row; a chunk has about CHUNK characters."""
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     held = {"chunk": -1, "task": -1, "size": 0}
 
@@ -349,10 +362,10 @@ def chunked(docs: DataFrame) -> DataFrame:
             held["size"] += len(t)
             chunks.append(held["chunk"])
         counts = list(zip(*(base_counts(t) for t in texts), strict=True))
-        return {"chunk": chunks, "doc_id": c["doc_id"], "lang": c["lang"], "text": c["text"]} | dict(zip(names, counts, strict=True))
+        return {"chunk": chunks, "fold": c["fold"], "doc_id": c["doc_id"], "lang": c["lang"], "text": c["text"]} | dict(zip(names, counts, strict=True))
 
     kinds = ", ".join(f"{n} long" for n in names)
-    return map_rows(docs.select("doc_id", "lang", "text"), run, f"chunk long, doc_id {dict(docs.dtypes)['doc_id']}, lang string, text string, {kinds}")
+    return map_rows(docs.select("doc_id", "lang", "text", fold(folds).alias("fold")), run, f"chunk long, fold int, doc_id {dict(docs.dtypes)['doc_id']}, lang string, text string, {kinds}")
 
 
 def chunk_grams(texts: DataFrame) -> DataFrame:
@@ -411,18 +424,20 @@ class Values:
         return self.logs[out]
 
 
-def score(docs: DataFrame, model: DataFrame) -> DataFrame:
+def score(docs: DataFrame, model: DataFrame, folds: int = 1) -> DataFrame:
     """(doc_id, lang, the base counts, base_failed, log_perplexity) of every row.
 
-    ``model`` is the highest of the ``orders``, counted over the same texts, and spread by its keys.
+    ``model`` is the highest of the ``orders``, counted over the same texts and folds, and spread by
+    its keys.
     A text without characters has no perplexity.
     """
-    texts = stored(chunked(docs), "chunks")
-    logs = model.select("lang", "high", "key", F.log("p0").cast("float").alias("l0"))
+    texts = stored(chunked(docs, folds), "chunks")
+    log_names = [f"l{i}" for i in range(folds)]
+    logs = model.select("lang", "high", "key", *[F.log(f"p{i}").cast("float").alias(n) for i, n in enumerate(log_names)])
     found = chunk_grams(texts).join(logs, ["lang", "high", "key"])
-    names = [c for c in texts.columns if c not in ("chunk", "doc_id", "lang", "text")]
+    names = [c for c in texts.columns if c not in ("chunk", "fold", "doc_id", "lang", "text")]
     parts = found.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
-    parts = parts.select("chunk", "is_text", "lang", "high", "key", "l0", "doc_id", "text", *names)
+    parts = parts.select("chunk", "is_text", "lang", "high", "key", *log_names, "fold", "doc_id", "text", *names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, parts, ready = None, {}, {}
@@ -441,20 +456,21 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
                 if grams_end:
                     mine = part.slice(0, grams_end)
                     langs = mine.column("lang").dictionary_encode()
-                    key, high, l0 = (mine.column(n).to_numpy() for n in ("key", "high", "l0"))
+                    key, high, *logs = (mine.column(n).to_numpy() for n in ("key", "high", *log_names))
                     codes = langs.indices.to_numpy()
                     for i, lang in enumerate(langs.dictionary.to_pylist()):
                         own = codes == i
-                        parts.setdefault(lang, []).append((key[own], high[own], l0[own]))
+                        parts.setdefault(lang, []).append((key[own], high[own], np.stack([x[own] for x in logs], axis=1)))
                 if grams_end == len(is_text):
                     continue
                 mine = part.slice(grams_end)
-                texts, perplexity = texts_of(mine.column("text")), [None] * mine.num_rows
+                texts, perplexity, own_fold = texts_of(mine.column("text")), [None] * mine.num_rows, mine.column("fold").to_numpy()
                 for lang, chosen in by_language(mine.column("lang").to_pylist(), texts):
                     key, high, sizes = wide_grams([texts[i] for i in chosen])
                     if not len(key):
                         continue
-                    sums = np.concatenate([[0], values(lang).find(key, high).astype(np.float64).cumsum()])
+                    found = values(lang).find(key, high)[np.arange(len(key)), np.repeat(own_fold[chosen], sizes)]
+                    sums = np.concatenate([[0], found.astype(np.float64).cumsum()])
                     for i, size, end in zip(chosen, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
                         if size:
                             perplexity[i] = float((sums[end - size] - sums[end]) / size)
@@ -479,14 +495,14 @@ def bands(scored: DataFrame, width: float = BAND) -> DataFrame:
     return away.select("lang", (F.col("middle") - width * F.col("spread")).alias("low"), (F.col("middle") + width * F.col("spread")).alias("high"))
 
 
-def rules(docs: DataFrame, width: float = BAND) -> DataFrame:
+def rules(docs: DataFrame, width: float = BAND, folds: int = FOLDS) -> DataFrame:
     """One row per row of ``docs``: the base counts, base_failed, kept, lang and log_perplexity.
 
     kept: not base_failed and log perplexity inside its language's bounds.  NULL and empty texts
     have no words and fail; rows without a language form one of their own; a language with a spread
     of zero keeps exactly its median.  Other columns are not read.
     """
-    scored = stored(score(docs, orders(count(docs))[-1]), "scored")
+    scored = stored(score(docs, orders(count(docs, folds))[-1], folds), "scored")
     b = stored(bands(scored, width).withColumnRenamed("lang", "_lang"), "bands")
     out = scored.join(b, F.coalesce("lang", F.lit("")) == F.col("_lang"), "left")
     inside = F.coalesce(F.col("log_perplexity").between(F.col("low") - 1e-9, F.col("high") + 1e-9), F.lit(False))

@@ -330,6 +330,29 @@ def test_perplexity_bands_reject_noise(spark):
     assert {r["doc_id"] for r in got if not r["kept"]} == {99}
 
 
+@pytest.mark.parametrize("amount", [1, 20, 25, 60])
+def test_perplexity_finds_any_amount_of_noise(spark, amount):
+    rng = random.Random(31)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(800)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.01)), 799)] for _ in range(250)), "en") for i in range(300)]
+    noise = [(1000 + i, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(1500)), "en") for i in range(amount)]
+    got = collected(perplexity.rules(spark.createDataFrame(rows + noise, "doc_id long, text string, lang string")))
+    assert not any(r["base_failed"] for r in got)
+    assert {r["doc_id"] for r in got if not r["kept"]} == {i for i, *_ in noise}
+
+
+def test_no_text_is_scored_by_its_own_counts(spark):
+    rng = random.Random(37)
+    texts = [sentence(rng, 40) for _ in range(12)]
+    df = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    dealt = {r["doc_id"]: r["fold"] for r in collected(df.select("doc_id", perplexity.fold(2).alias("fold")))}
+    assert {*dealt.values()} == {0, 1}
+    counted = {(r["high"], r["key"]): (r["c0"], r["c1"]) for r in collected(perplexity.count(df, 2))}
+    for f in (0, 1):
+        keys = perplexity.grams([t for i, t in enumerate(texts) if dealt[i] != f])[0]
+        assert Counter({k: c[f] for (_, k), c in counted.items() if c[f]}) == Counter(keys.tolist())
+
+
 def test_classifier_on_awkward_tables(spark, docs, empty):
     rng = random.Random(19)
     good = [(i, sentence(rng, 60), 1, 0) for i in range(0, 120)]
