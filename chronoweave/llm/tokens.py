@@ -1,7 +1,8 @@
 """Token ids of public tokenizers, encoded piece by piece with a cache.
 
-A text is cut where the tokenizer's own first step always cuts, so encoding the cuts one by one
-gives the ids of the whole text, and frequent cuts are encoded once.
+A text is cut at the literals of the tokenizer's added tokens, which have ids of their own, and then
+where the tokenizer's own first step always cuts, so encoding the cuts one by one gives the ids of
+the whole text, and frequent cuts are encoded once.
 """
 
 from __future__ import annotations
@@ -30,18 +31,36 @@ CACHE_CUTS = 400_000
 
 
 class Encoder:
-    """``small``: the tokenizer lower-cases, so ASCII capitals may be lowered before the lookup."""
+    """``small``: the tokenizer lower-cases, so ASCII capitals may be lowered before the lookup.
 
-    def __init__(self, path: str, cuts: re.Pattern, small: bool = False):
+    ``added``: literals of added tokens get their ids, as in the tokenizers library by default;
+    otherwise they are text like any other.
+    """
+
+    def __init__(self, path: str, cuts: re.Pattern, small: bool = False, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cuts, self.small, self.cache, self.older = cuts, small, {}, {}
+        self.literals, self.ids = None, {}
+        tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
+        if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
+            raise ValueError(f"{path}: added tokens that aren't plain literals")
+        if tokens:
+            self.ids = {t.content: np.array([i], dtype="<u4") for i, t in tokens.items()}
+            self.literals = re.compile("(" + "|".join(map(re.escape, sorted(self.ids, key=len, reverse=True))) + ")")
 
     def encode(self, text: str) -> np.ndarray:
         """Ids as little-endian unsigned 32-bit integers."""
+        if self.literals is None or not self.literals.search(text):
+            return self.plain(text)
+        parts = self.literals.split(text)  # every second one is a literal
+        return np.concatenate([self.ids[p] if i % 2 else self.plain(p) for i, p in enumerate(parts)])
+
+    def plain(self, text: str) -> np.ndarray:
+        """Ids of a text without added tokens."""
         if self.small and not _COMPOSING.search(text):
             text = text.encode().lower().decode()
         cuts, cache = self.cuts.findall(text), self.cache
@@ -63,5 +82,5 @@ def encoder(path: str, kind: str) -> Encoder:
     """The worker's encoder for a tokenizer file; ``kind`` is ``byte`` or ``word``."""
     encoders = worker_cache(f"tokens {path} {kind}")
     if not encoders:
-        encoders["encoder"] = Encoder(path, *{"byte": (BYTE_CUTS,), "word": (WORD_CUTS, True)}[kind])
+        encoders["encoder"] = Encoder(path, *{"byte": (BYTE_CUTS, False), "word": (WORD_CUTS, True)}[kind], added=True)
     return encoders["encoder"]

@@ -26,6 +26,19 @@ def test_cut_encoding_equals_whole_encoding(name, cuts, small):
         assert ours.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_encoder_equals_the_unaltered_tokenizer(name, kind):
+    from tokenizers import Tokenizer
+
+    from chronoweave.llm.tokens import encoder
+
+    whole, ours, rng = Tokenizer.from_file(P.path(name)), encoder(P.path(name), kind), random.Random(21)
+    fixed = ["end <|endoftext|> next", "<|endoftext|>", "<|startoftext|><|endoftext|>", "x<|EndOfText|>y", "<|endoftext|", "é\u0301<|startoftext|>\u0301 B"]
+    parts = ["a", "B", "é", " ", "  ", "\n", "'s", "12", "!", ",", "|", "<|", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "\u0301", "中", "İ", "word,"]
+    for text in fixed + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(1500)]:
+        assert ours.encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_encoder_cache_generations(monkeypatch):
     monkeypatch.setattr("chronoweave.llm.tokens.CACHE_CUTS", 3)
     e = Encoder(P.path("byte_bpe_50k.json"), BYTE_CUTS)
