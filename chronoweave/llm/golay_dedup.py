@@ -198,21 +198,23 @@ def links(prints: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def classes(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(doc_id, th, fp, component_id) for every row of ``docs``.
+    """(doc_id, th, fp, component_id, component) for every row of ``docs``.
 
     component_id is the smallest doc_id reachable over links of at most four bits, itself included.
     NULL and empty texts have fingerprint zero and are linked like any other; a NULL doc_id keeps
-    its row and never is the smallest.  Repeated rows come out as often as they came in.
+    its row and never is the smallest.  Components without an id, or with the same smallest one, are
+    told apart by ``component``, their least fingerprint.  Repeated rows come out as often as they
+    came in.
     """
     fps = stored(fingerprints(docs), "fps")
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct, bucket))
     member = distinct.join(roots, distinct["fp"] == roots["node"]).select("fp", "root", "least")
     merged = member.groupBy("root").agg(F.min("least").alias("joint"))
-    joint = member.join(merged, "root").select("fp", "joint")
-    named = distinct.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"))
+    joint = member.join(merged, "root").select("fp", "root", "joint")
+    named = distinct.join(joint, "fp", "left").select("fp", F.coalesce("joint", "least").alias("component_id"), F.coalesce("root", "fp").alias("component"))
     # stored, so that both sides of the join are plain shuffles and hot fingerprints can be split
-    return fps.join(stored(named, "classes"), "fp").select("doc_id", "th", "fp", "component_id")
+    return fps.join(stored(named, "classes"), "fp").select("doc_id", "th", "fp", "component_id", "component")
 
 
 def near_duplicates(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -226,7 +228,7 @@ def keep_one(docs: DataFrame, bucket: int = BUCKET) -> DataFrame:
     Rows without a doc_id stay behind all others of their component; a row repeated in full is kept
     once.
     """
-    best = classes(docs, bucket).groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("w"))
+    best = classes(docs, bucket).groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "th")).alias("w"))
     winners = best.select(F.col("w.doc_id").alias("_id"), F.col("w.th").alias("_th")).distinct()
     row, copy = unused(docs, "_row"), unused(docs, "_copy")
     keyed = docs.withColumn(row, row_key(F.col("text")))

@@ -83,6 +83,16 @@ def test_near_duplicates_equal_brute_force(spark, docs, empty):
     assert golay_dedup.near_duplicates(empty).count() == 0 and golay_dedup.keep_one(empty).count() == 0
 
 
+def test_one_row_of_each_component_whatever_its_ids(spark):
+    rng = random.Random(41)
+    texts = [sentence(rng, 90) for _ in range(6)]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (6, texts[3]), (7, texts[4])]
+    rows.append((5, texts[5]))
+    kept = golay_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[5]), (7, texts[4])]
+    assert Counter((r["doc_id"], r["text"]) for r in collected(kept)) == Counter(want)
+
+
 def test_components_of_chains_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(5, 5), (300, 200)]
