@@ -360,7 +360,10 @@ def spans(docs: DataFrame, group: int = GROUP) -> DataFrame:
 
     schema = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("th", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
     ddl = f"doc_id {kind}, th long, start int, end int"
-    near = contexts.where("NOT apart").select("anchor", "doc_id", "th", "pos", "before", "data")
+    # Surroundings that are equal as a whole are done, so one place of each is enough for the others:
+    # at most ``group`` rows of an anchor meet, however many copies there are.
+    near = contexts.where("NOT apart").dropDuplicates(["anchor", "th", "pos"]).join(open_classes, ["anchor", "th", "pos"], "left_semi")
+    near = near.select("anchor", "doc_id", "th", "pos", "before", "data")
     arranged = in_arrow(near.repartition("anchor").sortWithinPartitions("anchor", "th", "pos"), arrange, ddl)
 
     def window_hashes(c: dict):

@@ -251,6 +251,29 @@ def test_repeated_strings_equal_brute_force(spark, docs, empty, group):
     assert suffix_dedup.dedup(empty, group).count() == 0
 
 
+def test_copies_of_a_text_do_not_meet_in_one_task(spark, monkeypatch):
+    rng = random.Random(43)
+    base = sentence(rng, 400)
+    edited = base[:900] + "#" + base[901:]
+    rows = [(i, base) for i in range(60)] + [(100, edited), (101, sentence(rng, 20) + edited[200:1500])]
+    sizes = []
+
+    def in_arrow(df, fn, schema):
+        sizes.extend(r["count"] for r in df.groupBy("anchor").count().collect())
+        return common.in_arrow(df, fn, schema)
+
+    monkeypatch.setattr(suffix_dedup, "in_arrow", in_arrow)
+    got = {r["doc_id"]: r["n_removed"] for r in collected(suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)))}
+    assert sizes and max(sizes) <= 3
+    windows = Counter(t[i : i + 400] for _, t in rows for i in range(len(t) - 399))
+    for i, t in rows:
+        gone = set()
+        for w in range(len(t) - 399):
+            if windows[t[w : w + 400]] > 1:
+                gone.update(range(w, w + 400))
+        assert got[i] == len(gone)
+
+
 def plain_kneser_ney(texts):
     """Modified Kneser-Ney over character codes by dictionaries; returns P(last | rest) of 5-grams."""
     order, grams = perplexity.ORDER, [Counter()]
