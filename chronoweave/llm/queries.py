@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchor_pii, arrow_tokens, crf_secrets, golay_dedup, ordinal_quality, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
+from . import anchor_pii, arrow_tokens, crf_secrets, duck_bpe, golay_dedup, ordinal_quality, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -119,3 +119,10 @@ def vector_best_fit(spark, sf_dir):
 def ordinal(spark, sf_dir):
     made = ordinal_quality.select(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return made.select("doc_id", "score", "expected_grade", "p_grade_1", "p_grade_2", "kept")
+
+
+@query("op11_duckdb_bpe")
+def byte_pairs(spark, sf_dir):
+    import public_tokenizers
+
+    return duck_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
