@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchor_pii, arrow_tokens, crf_secrets, duck_bpe, golay_dedup, ordinal_quality, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
+from . import anchor_pii, arrow_tokens, crf_secrets, duck_bpe, golay_dedup, ordinal_quality, periodic_runs, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,9 @@ def byte_pairs(spark, sf_dir):
     import public_tokenizers
 
     return duck_bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op12_periodic_runs")
+def periodic(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return periodic_runs.report(periodic_runs.scan(docs, rewrite=periodic_runs.with_periodic_tail))

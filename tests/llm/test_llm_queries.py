@@ -21,12 +21,13 @@ COLUMNS = {
     9: "doc_id piece start length ids_crc32 sequence_id offset",
     10: "doc_id score expected_grade kept",
     11: "doc_id n_tokens ids_sha256 decoded_sha256",
+    12: "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
 }
 
 
 def test_each_operator_has_one_query():
     numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES]
-    assert sorted(numbers) == list(range(1, 12))
+    assert sorted(numbers) == list(range(1, 13))
     assert {*QUERIES, "pipeline"} <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
