@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import anchor_pii, arrow_tokens, crf_secrets, duck_bpe, golay_dedup, ordinal_quality, periodic_runs, perplexity, suffix_dedup, vector_packing, warc_index, winnowing
+from . import anchor_pii, arrow_tokens, crf_secrets, duck_bpe, golay_dedup, ordinal_quality, periodic_runs, perplexity, prefix_trie, suffix_dedup, vector_packing, warc_index, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -132,3 +132,43 @@ def byte_pairs(spark, sf_dir):
 def periodic(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return periodic_runs.report(periodic_runs.scan(docs, rewrite=periodic_runs.with_periodic_tail))
+
+
+# CRC-32 of the decimal id: its bytes, then eight steps of the polynomial each.
+TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, sha256(CAST(strlen(r) AS VARCHAR) || ':' || r || x) AS sha, CAST(strlen(x) AS VARCHAR) AS n_bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS place
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations
+        WHERE conv_id IS NOT NULL)),
+c AS (SELECT conv_id, list(sha || ':' || n_bytes ORDER BY place) AS l FROM t GROUP BY conv_id),
+h AS (
+  SELECT conv_id, l, xor(list_reduce(
+    flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: [ascii(s), -1, -1, -1, -1, -1, -1, -1, -1])),
+    lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, (a & 1) * 3988292384) END,
+    CAST(4294967295 AS BIGINT)), 4294967295) % 9 AS h
+  FROM c),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(c.l[1 : h.h], []), h.l[h.h + 1 :]) AS l
+  FROM h LEFT JOIN c ON c.conv_id = h.conv_id - h.conv_id % 5),
+x AS (SELECT conv_id, len(l) AS n, d AS depth, l[1 : d] AS k FROM r, LATERAL (SELECT unnest(range(0, len(l) + 1)) AS d)),
+n AS (
+  SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = depth), '')) AS ends_sha256
+  FROM x GROUP BY k, depth),
+ch AS (SELECT k[1 : depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+m AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * CAST(split_part(k[depth], ':', 2) AS BIGINT) ELSE 0 END AS own
+  FROM n LEFT JOIN ch USING (k)),
+s AS (
+  SELECT k[1 : d] AS k, CAST(sum(own) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves
+  FROM m, LATERAL (SELECT unnest(range(0, depth + 1)) AS d) GROUP BY 1)
+SELECT m.conv_id, m.depth, p.conv_id AS parent_conv_id, m.n_convs, m.n_children, n_leaves, saved_tokens, m.ends_sha256
+FROM m JOIN s USING (k) LEFT JOIN n p ON m.depth > 0 AND p.k = m.k[1 : m.depth - 1]
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def trie(spark, sf_dir):
+    return prefix_trie.regrouped_trie(table(spark, sf_dir, "conversations"))
