@@ -594,10 +594,13 @@ def dict_hits(d):
     return hits.select("episode_id", "name", "name_pos").distinct().groupBy("episode_id", "name").agg(F.count(F.lit(1)).alias("hits"))
 
 
-# Overlaps resolved by the rules of the fixed name list: the longest form at a position wins.
+# Overlaps resolved one hit after the other: longer forms first, then the name list's order.
 LOC_DUCK = f"""{HIT_DUCK},
-    loc AS (SELECT * FROM h a WHERE NOT EXISTS (SELECT 1 FROM h b WHERE b.episode_id = a.episode_id AND b.st < a.st + a.size AND a.st < b.st + b.size
-      AND (b.size > a.size OR (b.size = a.size AND b.entry_pos < a.entry_pos))))"""
+    hl AS (SELECT episode_id, list({{'neg': -size, 'np': np, 'st': st, 'en': st + size, 'name': name, 'kind': kind, 'country': country, 'lat': lat, 'lon': lon}}
+      ORDER BY -size, np, st) AS hs FROM h GROUP BY 1),
+    kl AS (SELECT episode_id, unnest(list_reduce(list_transform(hs, lambda x: [x]), lambda acc, x:
+      CASE WHEN list_bool_or(list_transform(acc, lambda k: x[1].en > k.st AND x[1].st < k.en)) THEN acc ELSE list_concat(acc, x) END)) AS k FROM hl),
+    loc AS (SELECT episode_id, k.name, k.kind, k.country, k.lat, k.lon, k.st, k.en - k.st AS size FROM kl)"""
 
 
 @query("dict_locations", f"""WITH {LOC_DUCK} SELECT episode_id, name, kind, country, lat, lon, st::int AS "start", (st + size)::int AS "end" FROM loc""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import find_all, let, running_offsets, stable_id
@@ -56,47 +56,81 @@ def place_dimension(places: DataFrame, order: list[str]) -> DataFrame:
     )
 
 
-def _chunks(text: Column) -> Column:
-    """Text cut into gap+word pieces, so that piece lengths give word positions."""
-    return find_all(text, r"(?U)\W*+(?:\w++|\z)")
+# Slots of the runtime filter of first words: 1,024 longs, whatever the dictionary's size.
+FILTER_SLOTS = 1 << 16
+
+
+def _slot(word: Column, n_words: Column) -> Column:
+    return F.pmod(F.xxhash64(word, n_words.cast("int")), F.lit(FILTER_SLOTS))
+
+
+def _first_words(forms: DataFrame) -> DataFrame:
+    """One row with a bitmap over the (first word, number of words) of all forms and the numbers.
+
+    A clear bit proves that no form starts like this; a set bit proves nothing, so a dictionary that
+    fills the bitmap costs time but no hits.
+    """
+    slots = forms.select(_slot(F.col("first"), F.col("n_words")).alias("slot"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("slot", F.lit(64)).cast("int"))
+    bits = slots.groupBy(F.floor(F.col("slot") / 64).alias("id")).agg(F.bit_or(mask).alias("bits"))
+    every = forms.sparkSession.range(FILTER_SLOTS // 64).join(bits, "id", "left")
+    entries = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))))
+    return every.agg(F.transform(entries, lambda e: e["bits"]).alias("bits"))
 
 
 def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "text") -> DataFrame:
     """All case-insensitive whole-word occurrences of dictionary names.
 
-    ``names(name_pos, surface, name, kind, country, lat, lon)``.  The text is cut into words once;
-    runs of as many words as surface forms have meet the forms in one equi join on the whole folded
-    run, so a frequent first word is no hot key.  Marks around a form's words are compared after it.
+    ``names(name_pos, surface, name, kind, country, lat, lon)``.  A text is cut into words and gaps
+    once.  Runs of words are formed only where the word may start a form of as many words, by a
+    bitmap of first words, and meet the forms in one equi join on the whole folded run, so a
+    frequent first word is no hot key.  Marks around a form's words are compared after it.
     """
     core = F.regexp_extract("surface", r"(?U)(?s)\w(?:.*\w)?", 0)
     lead = F.length(F.regexp_extract("surface", r"(?U)^\W*", 0))
     forms = names.withColumn("core", F.lower(core)).withColumn("lead", lead).filter("core <> ''")
     forms = forms.withColumn("tail", F.length("surface") - F.col("lead") - F.length(core))
-    n_words = F.size(find_all(F.col("surface"), r"(?U)\w+"))
-    counts = forms.agg(F.array_sort(F.collect_set(n_words))).scalar()  # a form's word counts: a short list
-
-    def runs(pieces: Column) -> Column:
-        def located(offsets: Column) -> Column:
-            def at(piece: Column, i: Column) -> Column:
-                word = F.regexp_replace(piece, r"(?U)^\W+", "")
-                ahead = F.concat(F.coalesce(F.get(pieces, i - 1), F.lit("")), F.regexp_extract(piece, r"(?U)^\W*", 0))
-                start = F.get(offsets, i) + F.length(piece) - F.length(word)
-
-                def run(m: Column) -> Column:
-                    rest = F.array_join(F.slice(pieces, i + 2, m - 1), "")
-                    behind = F.coalesce(F.get(pieces, i + m), F.lit(""))
-                    return F.struct(F.concat(word, rest).alias("run"), start.alias("at"), ahead.alias("ahead"), behind.alias("behind"))
-
-                return F.when(
-                    word != "", F.transform(F.filter("_counts", lambda m: i + m <= F.size(pieces)), run)
+    word_list = find_all(F.col("core"), r"(?U)\w+")
+    sized = forms.select(F.size(word_list).alias("n_words"), F.get(word_list, F.lit(0)).alias("first"))
+    counts = sized.agg(F.array_sort(F.collect_set("n_words"))).scalar()  # a form's word counts: a short list
+    bitmap = _first_words(sized).scalar()
+
+    def starts(word: Column, n_words: Column) -> Column:
+        def bit(slot: Column) -> Column:
+            long = F.get("_bits", F.floor(slot / 64).cast("int"))
+            return F.call_function("shiftrightunsigned", long, F.pmod(slot, F.lit(64)).cast("int")).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
+        return let(_slot(F.lower(word), n_words), bit)
+
+    def runs(words: Column, gaps: Column) -> Column:
+        def sizes_at(i: Column) -> Column:
+            word = F.get(words, i)
+            return F.filter("_counts", lambda m: (i + m <= F.size(words)) & starts(word, m))
+
+        def at(offsets: Column) -> Column:
+            def run(i: Column, m: Column) -> Column:
+                rest = F.zip_with(F.slice(gaps, i + 2, m - 1), F.slice(words, i + 2, m - 1), lambda g, w: F.concat(g, w))
+                before_gap = F.when(i > 0, F.get(words, i - 1)).otherwise("")
+                behind = F.concat(F.get(gaps, i + m), F.coalesce(F.get(words, i + m), F.lit("")))
+                return F.struct(
+                    F.concat(F.get(words, i), F.array_join(rest, "")).alias("run"),
+                    (F.get(offsets, i) + F.length(F.get(gaps, i))).alias("at"),
+                    F.concat(before_gap, F.get(gaps, i)).alias("ahead"),
+                    behind.alias("behind"),
                 )
 
-            return F.flatten(F.filter(F.transform(pieces, at), lambda r: r.isNotNull()))
+            places = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1)).otherwise(F.array().cast("array<int>"))
+            found = F.filter(F.transform(places, lambda i: F.struct(i.alias("i"), sizes_at(i).alias("ms"))), lambda c: F.size(c["ms"]) > 0)
+            return F.flatten(F.transform(found, lambda c: F.transform(c["ms"], lambda m: run(c["i"], m))))
 
-        return let(running_offsets(F.transform(pieces, F.length)), located)
+        lengths = F.transform(words, lambda w, i: F.length(F.get(gaps, i)) + F.length(w))
+        return let(running_offsets(lengths), at)
 
-    counted = docs.select(key, text).withColumn("_counts", F.coalesce(counts, F.array().cast("array<int>")))
-    tokens = counted.select(key, F.explode(let(_chunks(F.col(text)), runs)).alias("w")).select(key, "w.*")
+    none = F.array().cast("array<int>")
+    filled = docs.select(key, text).withColumn("_counts", F.coalesce(counts, none)).withColumn("_bits", bitmap)
+    body = F.coalesce(F.col(text), F.lit(""))
+    cut = let(find_all(body, r"(?U)\w+"), lambda words: let(F.split(body, r"(?U)\w+"), lambda gaps: runs(words, gaps)))
+    tokens = filled.select(key, F.explode(cut).alias("w")).select(key, "w.*")
     joined = tokens.withColumn("core", F.lower("run")).join(forms, "core").filter(F.length("ahead") >= F.col("lead"))
     before_form = F.substr("ahead", F.length("ahead") - F.col("lead") + 1, F.col("lead"))
     behind_form = F.substr("behind", F.lit(1), F.col("tail"))
@@ -123,26 +157,36 @@ def dictionary_hits(docs: DataFrame, key: str, names: DataFrame, text: str = "te
     )
 
 
-def dictionary_locations(docs: DataFrame, key: str, names: DataFrame, text: str = "text") -> DataFrame:
-    """Dictionary hits with overlaps resolved: longer surface forms first, then text order.
+def resolve_overlaps(hits: DataFrame, key: str, priority: list) -> DataFrame:
+    """Hits (``key``, start, end, ...) that no overlapping hit of an earlier ``priority`` was kept for.
 
-    Hits are gathered per document only (bounded by its length) and folded in the row.
+    One sweep by start cuts the hits of a key where none reaches over; most clusters have a single
+    hit.  Only the hits of one cluster are compared with each other, earliest priority first.
     """
-    hit_cols = ["start", "end", "name", "kind", "country", "lat", "lon"]
-    entry = F.struct(
-        (F.col("start") - F.col("end")).alias("neg_len"), "name_pos", *hit_cols
-    )
-    per_doc = dictionary_hits(docs, key, names, text).groupBy(key).agg(
-        F.array_sort(F.collect_list(entry)).alias("hits")
-    )
+    rest = [c for c in hits.columns if c != key]
+    by_start = Window.partitionBy(key).orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(reach > F.col("start"), 0).otherwise(1)
+    swept = hits.withColumn("_opens", opens).withColumn("_cluster", F.sum("_opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+    row = F.struct(*[p.alias(f"_p{i}") for i, p in enumerate(priority)], *rest)
+    clusters = swept.groupBy(key, "_cluster").agg(F.array_sort(F.collect_list(row)).alias("_hits"))
     kept = F.aggregate(
-        F.col("hits"),
-        F.filter(F.col("hits"), lambda _: F.lit(False)),
+        F.col("_hits"),
+        F.filter("_hits", lambda _: F.lit(False)),
         lambda acc, h: F.when(
             F.exists(acc, lambda k: (h["end"] > k["start"]) & (h["start"] < k["end"])), acc
         ).otherwise(F.concat(acc, F.array(h))),
     )
-    return per_doc.select(key, F.explode(kept).alias("h")).select(key, *[f"h.{c}" for c in hit_cols])
+    kept = F.when(F.size("_hits") == 1, F.col("_hits")).otherwise(kept)
+    return clusters.select(key, F.explode(kept).alias("_h")).select(key, *[F.col("_h")[c].alias(c) for c in rest])
+
+
+def dictionary_locations(docs: DataFrame, key: str, names: DataFrame, text: str = "text") -> DataFrame:
+    """Dictionary hits with overlaps resolved: longer surface forms first, then the name list's
+    order, then text order."""
+    hits = dictionary_hits(docs, key, names, text)
+    kept = resolve_overlaps(hits, key, [F.col("start") - F.col("end"), F.col("name_pos"), F.col("start")])
+    return kept.drop("name_pos")
 
 
 def primary_location(locations: DataFrame, key: str) -> DataFrame:

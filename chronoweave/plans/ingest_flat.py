@@ -30,22 +30,19 @@ def ingest_flat(items: DataFrame, gazetteer: DataFrame, overrides: DataFrame | N
     base = items.withColumn("text", text)
     places = primary_location(dictionary_locations(base.select("guid", "text"), "guid", surface_forms(gazetteer)), "guid")
     located = places.select("guid", *[F.col(c).alias(f"primary_location_{c}") for c in ("name", "country", "lat", "lon")])
-    rows = (
-        base.withColumn("_t", when)
-        .join(located, "guid", "left")
-        .select(
-            "podcast_id", "guid", "title", "published_at", "description", "audio_url", "audio_length",
-            duration_seconds(F.col("duration_raw")).alias("duration_seconds"),
-            incident_type(F.col("text")).alias("incident_type"),
-            F.col("_t.kind").alias("primary_time_kind"),
-            F.col("_t.year").alias("primary_time_year"),
-            F.col("_t.start_year").alias("primary_time_start_year"),
-            F.col("_t.end_year").alias("primary_time_end_year"),
-            "primary_location_name", "primary_location_country", "primary_location_lat", "primary_location_lon",
-            person_names(F.col("text")).alias("persons"),
-            plain_links(F.col("description")).alias("links"),
-        )
+    # the row's own fields first, so that the join carries no extraction input but the description
+    fields = base.withColumn("_t", when).select(
+        "podcast_id", "guid", "title", "published_at", "description", "audio_url", "audio_length",
+        duration_seconds(F.col("duration_raw")).alias("duration_seconds"),
+        incident_type(F.col("text")).alias("incident_type"),
+        F.col("_t.kind").alias("primary_time_kind"),
+        F.col("_t.year").alias("primary_time_year"),
+        F.col("_t.start_year").alias("primary_time_start_year"),
+        F.col("_t.end_year").alias("primary_time_end_year"),
+        person_names(F.col("text")).alias("persons"),
+        plain_links(F.col("description")).alias("links"),
     )
+    rows = fields.join(located, "guid", "left").select(*EPISODE_COLUMNS)
     if overrides is None:
         return rows
     return apply_overrides(rows, overrides, lower_dictionary(gazetteer))
