@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoweave.operators import clusters as km
-from chronoweave.operators import explore, metrics, relational
+from chronoweave.operators import explore, metrics, relational, similarity
 from chronoweave.operators.metrics import ClusterInputs
 from chronoweave.plans import build_all, export_dataset
 
@@ -398,8 +398,25 @@ def cluster_list(d):
 @query("cluster_neighbors", f"""WITH {JAC_DUCK}, b AS (SELECT cluster_a AS cluster_id, cluster_b AS other_id, round(j, 6)::double AS jaccard FROM jac UNION ALL SELECT cluster_b, cluster_a, round(j, 6)::double FROM jac)
     SELECT *, cast(row_number() OVER (PARTITION BY cluster_id ORDER BY jaccard DESC, other_id) AS int) AS rank FROM b QUALIFY rank <= 10""")
 def cluster_neighbors(d):
-    pairs = metrics.pair_jaccard(d.multi).withColumn("jaccard", F.round("jaccard", 6)).withColumn("cosine", F.lit(0.0))
-    return explore.cluster_neighbors(pairs).select("cluster_id", "other_id", "jaccard", "rank")
+    members = d.multi.select(F.col("cluster_id").alias("item"), F.col("episode_id").alias("feature"), F.lit(1).alias("weight"))
+    near = similarity.top_similar(members, 10, "jaccard")
+    return near.select(F.col("item").alias("cluster_id"), F.col("other").alias("other_id"), F.col("similarity").alias("jaccard"), "rank")
+
+
+@query("similar_clusters", f"""WITH {COS_DUCK}, b AS (SELECT cluster_a AS cluster_id, cluster_b AS other_id, round(c, 6)::double AS cosine FROM cosine UNION ALL SELECT cluster_b, cluster_a, round(c, 6)::double FROM cosine)
+    SELECT *, cast(row_number() OVER (PARTITION BY cluster_id ORDER BY cosine DESC, other_id) AS int) AS rank FROM b QUALIFY rank <= 5""")
+def similar_clusters(d):
+    terms = vectors_multi(d).select(F.col("cluster_id").alias("item"), F.col("term").alias("feature"), "weight")
+    near = similarity.top_similar(terms, 5, "cosine")
+    return near.select(F.col("item").alias("cluster_id"), F.col("other").alias("other_id"), F.col("similarity").alias("cosine"), "rank")
+
+
+@query("top_correlations", f"""WITH {JAC_DUCK}, {COS_DUCK}, {BRIDGE_DUCK}, b AS (SELECT cluster_a AS x, cluster_b AS y, * FROM jac UNION ALL SELECT cluster_b, cluster_a, * FROM jac),
+    r AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY round(j, 6) DESC, y) AS rank FROM b QUALIFY rank <= 3)
+    SELECT x AS cluster_id, y AS other_id, cast(rank AS int) AS rank, round(j, 6)::double AS jaccard_episode_overlap, round(coalesce(c, 0), 6)::double AS cosine_term_similarity,
+      coalesce(bridge_terms, '') AS bridge_terms FROM r LEFT JOIN cosine USING (cluster_a, cluster_b) LEFT JOIN br USING (cluster_a, cluster_b)""")
+def top_correlations(d):
+    return metrics.top_correlations(d.multi, vectors_multi(d), 3).withColumn("bridge_terms", F.array_join("bridge_terms", ","))
 
 
 @query("cluster_summary", """

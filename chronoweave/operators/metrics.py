@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import safe_div
+from ..session import cut_lineage
 from .relational import salted_pairs, top_n
+from .similarity import top_similar
 
 TOP_TERMS, TOP_NAMES, BRIDGE_TERMS = 25, 50, 5
 DIGITS = 6
@@ -240,16 +242,21 @@ def next_steps(metrics: DataFrame) -> DataFrame:
     )
 
 
-def pair_terms(vectors: DataFrame) -> DataFrame:
-    """(a, b, term) of clusters sharing a term, hot terms salted."""
+def pair_terms(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, term) of clusters sharing a term: of ``pairs`` (a, b) only, or of all, hot terms salted."""
+    if pairs is not None:
+        a = vectors.select(F.col("cluster_id").alias("cluster_a"), "term", F.col("weight").alias("weight_a"))
+        b = vectors.select(F.col("cluster_id").alias("cluster_b"), "term", F.col("weight").alias("weight_b"))
+        found = pairs.select("cluster_a", "cluster_b").join(a, "cluster_a").join(b, ["cluster_b", "term"])
+        return found.select("cluster_a", "cluster_b", "term", "weight_a", "weight_b")
     return salted_pairs(vectors, "term", "cluster_id", ["weight"]).select(
         F.col("cluster_id_a").alias("cluster_a"), F.col("cluster_id_b").alias("cluster_b"), "term", "weight_a", "weight_b"
     )
 
 
-def pair_cosine(vectors: DataFrame) -> DataFrame:
+def pair_cosine(vectors: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
     norms = vectors.groupBy("cluster_id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = pair_terms(vectors).groupBy("cluster_a", "cluster_b").agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("dot"))
+    dots = pair_terms(vectors, pairs).groupBy("cluster_a", "cluster_b").agg(F.sum(F.col("weight_a") * F.col("weight_b")).alias("dot"))
     na = norms.select(F.col("cluster_id").alias("cluster_a"), F.col("norm").alias("na"))
     nb = norms.select(F.col("cluster_id").alias("cluster_b"), F.col("norm").alias("nb"))
     rows = dots.join(na, "cluster_a").join(nb, "cluster_b")
@@ -272,9 +279,9 @@ def pair_jaccard(membership: DataFrame) -> DataFrame:
     return rows.select("cluster_a", "cluster_b", ratio.alias("jaccard"))
 
 
-def bridge_terms(vectors: DataFrame, n: int = BRIDGE_TERMS) -> DataFrame:
+def bridge_terms(vectors: DataFrame, n: int = BRIDGE_TERMS, pairs: DataFrame | None = None) -> DataFrame:
     """Heaviest shared terms per pair as an ordered array; ties in term order."""
-    shared = pair_terms(vectors).withColumn("w", F.round(F.col("weight_a") + F.col("weight_b"), DIGITS))
+    shared = pair_terms(vectors, pairs).withColumn("w", F.round(F.col("weight_a") + F.col("weight_b"), DIGITS))
     entry = F.struct((-F.col("w")).alias("neg"), "term")
     # a pair shares at most the 25 terms of a cluster vector
     return (
@@ -296,6 +303,25 @@ def cluster_correlations(membership: DataFrame, vectors: DataFrame) -> DataFrame
     ).filter("jaccard_episode_overlap > 0 OR cosine_term_similarity > 0")
 
 
+def top_correlations(membership: DataFrame, vectors: DataFrame, n: int = 10) -> DataFrame:
+    """The ``n`` clusters with the largest member overlap per cluster, with their term similarity and
+    bridge terms.  Only the pairs that are returned are looked up in the term vectors."""
+    members = membership.select(F.col("cluster_id").alias("item"), F.col("episode_id").alias("feature"), F.lit(1).alias("weight"))
+    near = cut_lineage(top_similar(members, n, "jaccard"))
+    pair = ["cluster_a", "cluster_b"]
+    near = near.withColumn("cluster_a", F.least("item", "other")).withColumn("cluster_b", F.greatest("item", "other"))
+    pairs = near.select(*pair).distinct()
+    rows = near.join(pair_cosine(vectors, pairs), pair, "left").join(bridge_terms(vectors, pairs=pairs), pair, "left")
+    return rows.select(
+        F.col("item").alias("cluster_id"),
+        F.col("other").alias("other_id"),
+        "rank",
+        F.col("similarity").alias("jaccard_episode_overlap"),
+        F.round(F.coalesce("cosine", F.lit(0.0)), DIGITS).alias("cosine_term_similarity"),
+        F.coalesce("bridge_terms", F.array().cast("array<string>")).alias("bridge_terms"),
+    )
+
+
 def cluster_metric_bundle(x: ClusterInputs, place_order: list[str]) -> dict[str, DataFrame]:
     """The seven metric sections over shared inputs."""
     vectors = term_vectors(x.membership, x.keywords)
