@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.mutations import new_by_guid
@@ -39,44 +39,100 @@ class MergeResult:
     episodes: DataFrame
 
 
-def assign_podcasts(feeds: DataFrame, podcasts: DataFrame) -> DataFrame:
-    """(feed_pos, podcast_id, leader): ``leader`` names the feed that opens a new podcast.
+def opening_feeds(keys: DataFrame, taken: DataFrame) -> DataFrame:
+    """(feed_pos) of the feeds that open a new podcast: none of their ``keys`` (feed_pos, key) is in
+    ``taken`` (key) or held by an earlier feed that opens one.
 
-    Feeds count in order, and a new podcast is known to the feeds after it.  Each round settles all
-    feeds that no earlier open feed can still influence; copies of one feed settle together, so
-    the number of rounds follows the longest chain of differing keys, not the number of feeds.
+    A feed whose only open question is one earlier feed, asked directly or by several keys, opens just
+    when that one doesn't.  Such feeds point to it and pointers are composed every round, so a chain
+    of n feeds takes about log2(n) rounds.  A key tells a feed all it needs by three places: its first
+    undecided holder, the first one with another answer than that, and the first with the opposite
+    answer; hence hot keys are aggregated and no pairs of holders are formed.
     """
-    keys = cut_lineage(feed_keys(feeds))
-    registered = podcast_keys(podcasts).select("key", "podcast_id", F.lit(None).cast("bigint").alias("leader"))
-    open_keys = keys
-    bare = feeds.join(keys.select("feed_pos").distinct(), "feed_pos", "left_anti").select("feed_pos")
-    settled = bare.select("feed_pos", F.lit(None).cast("bigint").alias("podcast_id"), F.col("feed_pos").cast("bigint").alias("leader"))
-    while not open_keys.isEmpty():
-        holders = open_keys.groupBy("key").agg(F.min("feed_pos").alias("first_holder"))
-        seen = open_keys.join(holders, "key").join(registered, "key", "left")
-        known = F.col("podcast_id").isNotNull() | F.col("leader").isNotNull()
-        blocked = ~known & (F.col("first_holder") < F.col("feed_pos"))
-        hit = F.struct("slot", "podcast_id", "leader")
-        verdict = seen.groupBy("feed_pos").agg(
-            F.min(F.when(known, hit)).alias("hit"), F.min(F.when(blocked, F.col("slot"))).alias("wait")
+    keys = cut_lineage(keys.select(F.col("feed_pos").cast("bigint").alias("feed_pos"), "key").distinct())
+    shut = keys.join(taken.select("key").distinct(), "key", "left_semi").select("feed_pos").distinct().withColumn("opens", F.lit(False))
+    state = keys.select("feed_pos").distinct().join(shut, "feed_pos", "left")
+    # opens(feed) = opens(root) XOR flip, once opens is known for the root
+    state = cut_lineage(state.select("feed_pos", "opens", F.col("feed_pos").alias("root"), F.lit(False).alias("flip")))
+    while not state.where("opens IS NULL").isEmpty():
+        rows = keys.join(state, "feed_pos").where("opens IS NULL OR opens")
+        undecided = F.col("opens").isNull()
+        # both values of ``opens`` here are true or unknown
+        place = F.when(undecided, F.col("feed_pos"))
+        first = rows.groupBy("key").agg(
+            F.min(F.when(~undecided, F.col("feed_pos"))).alias("opened"),
+            F.min(place).alias("asked"),
+            F.min_by("root", place).alias("asked_root"),
+            F.min_by("flip", place).alias("asked_flip"),
         )
-        # settled when the first known key comes before any key an earlier open feed may register
-        ready = verdict.filter("wait IS NULL OR hit.slot < wait")
-        ready = cut_lineage(
-            ready.select(
-                "feed_pos",
-                F.col("hit.podcast_id").alias("podcast_id"),
-                F.when(F.col("hit").isNull(), F.col("feed_pos").cast("bigint")).otherwise(F.col("hit.leader")).alias("leader"),
+        told = rows.where(undecided).join(first, "key")
+        same_root = F.col("root") == F.col("asked_root")
+        same_flip = F.col("flip") == F.col("asked_flip")
+        second = told.groupBy("key").agg(
+            F.min(F.when(~(same_root & same_flip), F.col("feed_pos"))).alias("other"),
+            F.min(F.when(same_root & ~same_flip, F.col("feed_pos"))).alias("opposite"),
+        )
+
+        def before(name: str) -> Column:
+            return F.coalesce(F.col(name) < F.col("feed_pos"), F.lit(False))
+
+        answer = F.when(before("asked"), F.struct("asked_root", "asked_flip"))
+        verdict = (
+            told.join(second, "key")
+            .groupBy("feed_pos")
+            .agg(
+                F.bool_or(before("opened") | before("opposite")).alias("blocked"),
+                F.bool_or(before("other")).alias("several"),
+                F.min(answer).alias("low"),
+                F.max(answer).alias("high"),
             )
         )
-        opened = ready.filter("podcast_id IS NULL AND leader = feed_pos")
-        added = open_keys.join(opened.select("feed_pos"), "feed_pos", "left_semi").select(
-            "key", F.lit(None).cast("bigint").alias("podcast_id"), F.col("feed_pos").cast("bigint").alias("leader")
+        one_root = F.col("low.asked_root") == F.col("high.asked_root")
+        opposed = one_root & (F.col("low.asked_flip") != F.col("high.asked_flip"))
+        single = one_root & (F.col("low.asked_flip") == F.col("high.asked_flip")) & ~F.col("several")
+        decided = F.when(F.col("blocked") | opposed, False).when(F.col("low").isNull(), True)
+        verdict = verdict.select("feed_pos", decided.alias("decided"), F.when(single, F.col("low.asked_root")).alias("to"), (~F.col("low.asked_flip")).alias("to_flip"))
+        # a pointer once set stays true and is only composed
+        fresh = (F.col("root") == F.col("feed_pos")) & F.col("to").isNotNull()
+        now = state.join(verdict, "feed_pos", "left").select(
+            "feed_pos",
+            F.coalesce("opens", "decided").alias("opens"),
+            F.when(fresh, F.col("to")).otherwise(F.col("root")).alias("root"),
+            F.when(fresh, F.col("to_flip")).otherwise(F.col("flip")).alias("flip"),
+        )
+        now = cut_lineage(now)
+        roots = now.select(F.col("feed_pos").alias("root"), F.col("opens").alias("root_opens"), F.col("root").alias("next"), F.col("flip").alias("next_flip"))
+        state = cut_lineage(
+            now.join(roots, "root").select(
+                "feed_pos",
+                F.coalesce("opens", F.col("root_opens") != F.col("flip")).alias("opens"),
+                F.col("next").alias("root"),
+                (F.col("flip") != F.col("next_flip")).alias("flip"),
+            )
         )
-        registered = cut_lineage(registered.unionByName(added.distinct()))
-        settled = cut_lineage(settled.unionByName(ready))
-        open_keys = cut_lineage(open_keys.join(ready.select("feed_pos"), "feed_pos", "left_anti"))
-    return settled
+    return state.where("opens").select("feed_pos")
+
+
+def assign_podcasts(feeds: DataFrame, podcasts: DataFrame) -> DataFrame:
+    """(feed_pos, podcast_id, leader): ``leader`` names the feed that opens a new podcast.
+
+    Feeds count in order, and a new podcast is known to the feeds after it by all its keys.  Only a
+    feed that opens one registers keys, so a key has one owner at most, and a feed belongs to the
+    owner of its first known key.  Feeds without keys open podcasts that no other feed finds.
+    """
+    keys = cut_lineage(feed_keys(feeds).withColumn("feed_pos", F.col("feed_pos").cast("bigint")))
+    stored = cut_lineage(podcast_keys(podcasts))
+    opened = opening_feeds(keys.select("feed_pos", "key"), stored)
+    owned = keys.join(opened, "feed_pos", "left_semi").select("key", F.col("feed_pos").alias("leader")).distinct()
+    owners = stored.select("key", "podcast_id", F.lit(None).cast("bigint").alias("leader")).unionByName(
+        owned.select("key", F.lit(None).cast("bigint").alias("podcast_id"), "leader")
+    )
+    hits = keys.join(owners, "key").where("leader IS NULL OR leader <= feed_pos")
+    best = hits.groupBy("feed_pos").agg(F.min_by(F.struct("podcast_id", "leader"), "slot").alias("best"))
+    known = best.select("feed_pos", F.col("best.podcast_id").alias("podcast_id"), F.col("best.leader").alias("leader"))
+    every = feeds.select("feed_pos", F.col("feed_pos").cast("bigint").alias("_at")).join(known.withColumnRenamed("feed_pos", "_at"), "_at", "left")
+    alone = F.when(F.col("podcast_id").isNull(), F.coalesce("leader", "_at"))
+    return every.select("feed_pos", "podcast_id", alone.alias("leader"))
 
 
 def merge_feeds(podcasts: DataFrame, episodes: DataFrame, feeds: DataFrame, items: DataFrame) -> MergeResult:
