@@ -1,8 +1,12 @@
 """Deterministic k-means of every group at once over (year, latitude, longitude).
 
-Points are scaled, numbered and materialised once.  An iteration joins them to one row of
-centroids per group, finds the nearest centroid inside the row and sends at most 16 partial means
-per group and task through the shuffle, so a group with a third of all points is no bottleneck.
+Points are scaled, numbered and materialised once.  One row of at most 16 centroids per group is
+joined to them, the nearest one is found inside the row, and only partial sums are shuffled, so a
+group with a third of all points is no bottleneck.
+
+A full round writes every point with its cluster and its gap, the distance to the second nearest
+centroid less that to the nearest.  While no centroid of its group has moved by half the gap since, a
+point can't change sides; later rounds read only the others and correct the sums of the full round.
 """
 
 from __future__ import annotations
@@ -20,6 +24,13 @@ MIN_POINTS = 4
 MAX_ITERATIONS = 25
 # Distances and means are rounded, so results do not depend on the order of floating sums.
 DIGITS = 12
+# Most clusters of a group by the cluster-count rule.
+MOST_CLUSTERS = 16
+# A gap this much wider than needed still counts as crossed.
+MARGIN = 1e-5
+# All points are written again when, this many rounds or more after the last time, more than this
+# share of them would have to be read.
+FULL_EVERY, FULL_SHARE = 3, 0.4
 AXES = ("mid_year", "lat", "lon")
 
 
@@ -77,23 +88,28 @@ def seed_centroids(numbered: DataFrame) -> DataFrame:
     )
 
 
-def nearest(centroids: Column) -> Column:
-    """Index of the nearest centroid, lowest index on ties."""
+def ranked(centroids: str) -> Column:
+    """The centroids' squared distances and indices, nearest first, lowest index on ties.
+
+    Written out for all places a group can have, so that it stays in generated code; as SQL text,
+    because building the expression column by column takes longer than a round.
+    """
+    # in units of the last kept digit, which is cheaper than decimal rounding
+    square = " + ".join(f"power(s_{a} - get({centroids}, {{i}}).{a}, 2)" for a in AXES)
+    entry = f"named_struct('d', coalesce(rint(({square}) * 1e{DIGITS}), double('Infinity')), 'j', {{i}})"
+    return F.expr(f"sort_array(array({', '.join(entry.format(i=i) for i in range(MOST_CLUSTERS))}))")
 
-    def distance(c: Column) -> Column:
-        gaps = [F.col(f"s_{a}") - c[a] for a in AXES]
-        # in units of the last kept digit, which is cheaper than decimal rounding
-        return F.rint((gaps[0] * gaps[0] + gaps[1] * gaps[1] + gaps[2] * gaps[2]) * F.lit(10.0**DIGITS))
 
-    best = F.array_min(F.transform(centroids, lambda c, i: F.struct(distance(c).alias("d"), i.alias("j"))))
-    return best["j"]
+def nearest(centroids: str) -> Column:
+    """Index of the nearest centroid, lowest index on ties."""
+    return ranked(centroids)[0]["j"]
 
 
 def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     """Next centroids and whether they moved; a centroid without points stays where it is."""
     means = (
         points.join(centroids.select("podcast_id", "centroids"), "podcast_id")
-        .select("podcast_id", "centroids", nearest(F.col("centroids")).alias("j"), *[f"s_{a}" for a in AXES])
+        .select("podcast_id", "centroids", nearest("centroids").alias("j"), *[f"s_{a}" for a in AXES])
         .groupBy("podcast_id", "j")
         .agg(
             *[F.round(F.avg(f"s_{a}"), DIGITS).alias(a) for a in AXES],
@@ -110,22 +126,86 @@ def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
     return out.select("podcast_id", "centroids", (F.col("centroids") != F.col("old")).alias("moved"))
 
 
+def _sums(rows: DataFrame, weight: str) -> DataFrame:
+    """(podcast_id, sums): number and exact coordinate sums by cluster, in units of the last digit."""
+    whole = [F.expr(f"sum({weight} * CAST(round(s_{a} * 1e{DIGITS}) AS DECIMAL(20, 0)))").alias(a) for a in AXES]
+    parts = rows.groupBy("podcast_id", "j").agg(F.expr(f"sum({weight})").alias("n"), *whole)
+    return parts.groupBy("podcast_id").agg(F.expr(f"map_from_entries(collect_list(struct(j, struct(n, {', '.join(AXES)}))))").alias("sums"))
+
+
+def _moved(state: DataFrame) -> DataFrame:
+    """Next centroids of ``state`` (podcast_id, base, sums, change, centroids), with ``drift``, the
+    farthest that one is from its base now, and ``moved``.  Without points a centroid stays."""
+
+    def total(x: str) -> str:
+        return f"(coalesce(try_element_at(sums, i).{x}, 0) + coalesce(try_element_at(change, i).{x}, 0))"
+
+    means = ", ".join(f"'{a}', round(double({total(a)}) / {total('n')} / 1e{DIGITS}, {DIGITS})" for a in AXES)
+    then = F.expr(f"transform(centroids, (c, i) -> IF({total('n')} > 0, named_struct({means}), c))")
+    square = " + ".join(f"power(x.{a} - y.{a}, 2)" for a in AXES)
+    drift = F.expr(f"sqrt(array_max(zip_with(next, base, (x, y) -> {square})))")
+    return state.withColumn("next", then).select(
+        "podcast_id", "base", "sums", F.col("next").alias("centroids"), drift.alias("drift"), F.expr("next <> centroids").alias("moved")
+    )
+
+
+def full_round(points: DataFrame, centroids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All points with their cluster and gap, and the groups' state after their centroids moved."""
+    near = points.join(centroids.select("podcast_id", "centroids"), "podcast_id").withColumn("_near", ranked("centroids"))
+    gap = (F.sqrt(F.col("_near")[1]["d"]) - F.sqrt(F.col("_near")[0]["d"])) / 10.0 ** (DIGITS // 2)
+    placed = cut_lineage(near.select(*points.columns, F.col("_near")[0]["j"].alias("j"), gap.alias("gap")))
+    state = centroids.select("podcast_id", F.col("centroids").alias("base"), "centroids").join(_sums(placed, "1"), "podcast_id")
+    return placed, _moved(state.withColumn("change", F.create_map().cast(state.schema["sums"].dataType)))
+
+
+def _restless(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """Points that may have changed sides since the full round, of groups that still move."""
+    moving = state.where("moved").select("podcast_id", "centroids", "drift")
+    # rounding of distances counts for less than the margin
+    return placed.join(moving, "podcast_id").where(F.col("gap") <= 2 * F.col("drift") + MARGIN)
+
+
+def next_round(placed: DataFrame, state: DataFrame) -> DataFrame:
+    """State after one more round, from the points that may have changed sides."""
+    near = _restless(placed, state).withColumn("to", nearest("centroids"))
+    sides = F.array(F.struct(F.col("to").alias("j"), F.lit(1).alias("w")), F.struct("j", F.lit(-1).alias("w")))
+    changed = near.where("to <> j").select("podcast_id", *[f"s_{a}" for a in AXES], F.explode(sides).alias("side"))
+    change = _sums(changed.select("podcast_id", *[f"s_{a}" for a in AXES], "side.j", "side.w"), "w")
+    going = _moved(state.where("moved").join(change.withColumnRenamed("sums", "change"), "podcast_id", "left"))
+    return going.unionByName(state.where("NOT moved"))
+
+
 def kmeans(points: DataFrame, iterations: int = MAX_ITERATIONS) -> DataFrame:
     """Points with their cluster index ``j`` and label ``C1..Ck``.
 
-    Unchanged centroids mean that no assignment can change any more, which ends the loop.  Each
-    round's centroids are a written table, so its size decides whether it is broadcast.
+    Unchanged centroids mean that no assignment can change any more, which ends the loop.  A round
+    writes one row a group; all points are written again only when most had to be read for a while.
     """
-    numbered = cut_lineage(number_rows(scale_points(points), ["podcast_id", "s_mid_year", "episode_id"]))
-    centroids = cut_lineage(seed_centroids(numbered))
+    numbered = number_rows(scale_points(points), ["podcast_id", "s_mid_year", "episode_id"])
+    # every round reads these rows, so they are spread over as many tasks as the cluster shuffles with
+    numbered = cut_lineage(numbered.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    placed, state = None, cut_lineage(seed_centroids(numbered))
+    total, since = 0, 0
     for _ in range(iterations - 1):
-        centroids = cut_lineage(kmeans_step(numbered, centroids))
-        if centroids.filter("moved").isEmpty():
+        if placed is None or (since >= FULL_EVERY and _restless(placed, state).count() > total * FULL_SHARE):
+            placed, state = full_round(numbered, state)
+            total, since = total or placed.count(), 0
+        else:
+            state, since = next_round(placed, state), since + 1
+        state = cut_lineage(state)
+        if state.where("moved").isEmpty():
             break
-    assigned = numbered.join(centroids.select("podcast_id", "centroids"), "podcast_id")
-    return assigned.select(*points.columns, "k", nearest(F.col("centroids")).alias("j")).withColumn(
-        "label", F.concat(F.lit("C"), (F.col("j") + 1).cast("string"))
-    )
+    if placed is None:  # a single iteration: the seeds decide
+        placed, _ = full_round(numbered, state)
+        return _labelled(placed.select(*points.columns, "k", "j"))
+    # the last centroids decide for all points whose gap they may have crossed
+    last = state.select("podcast_id", "centroids", "drift")
+    side = F.when(F.col("gap") <= 2 * F.col("drift") + MARGIN, nearest("centroids")).otherwise(F.col("j"))
+    return _labelled(placed.join(last, "podcast_id").select(*points.columns, "k", side.alias("j")))
+
+
+def _labelled(assigned: DataFrame) -> DataFrame:
+    return assigned.withColumn("label", F.concat(F.lit("C"), (F.col("j") + 1).cast("string")))
 
 
 def cluster_table(assigned: DataFrame) -> DataFrame:

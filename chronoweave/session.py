@@ -14,6 +14,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # call sites of columns cost more than building the columns
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 def build_session(app_name: str = "chronoweave", master: str | None = None, **conf: str) -> SparkSession:

@@ -13,6 +13,7 @@ from chronoweave.operators.filters import EpisodeFilter
 from chronoweave.plans import merge_feeds as mf
 from chronoweave.functions.columns import stable_id
 from chronoweave.functions.text import unescape_html
+from chronoweave.operators.relational import number_rows
 from chronoweave.session import cut_lineage
 
 
@@ -358,3 +359,32 @@ def test_fingerprints_escape_control_characters(spark):
     df = spark.createDataFrame([("a\r\u0001\"\\b", 1)], "name string, id int")
     text = df.select(quality.canonical_json("name", "id", types={"name": "string", "id": "int"}).alias("j")).first().j
     assert json.loads(text) == {"id": 1, "name": "a\r\u0001\"\\b"}
+
+
+def test_kmeans_rounds_read_only_restless_points(spark):
+    rng = random.Random(11)
+    rows = [(p, 1000 * p + i, rng.gauss(1900 + 40 * (i % 5), 9), rng.gauss(10 * (i % 3), 4), rng.uniform(0, 3)) for p in (1, 2) for i in range(90)]
+    points = spark.createDataFrame(rows, "podcast_id int, episode_id int, mid_year double, lat double, lon double")
+    numbered = cut_lineage(number_rows(clusters.scale_points(points), ["podcast_id", "s_mid_year", "episode_id"]))
+    plain, state = clusters.seed_centroids(numbered), clusters.seed_centroids(numbered)
+    placed, state = clusters.full_round(numbered, cut_lineage(state))
+    plain = clusters.kmeans_step(numbered, plain)
+
+    def same():
+        a, b = ({r.podcast_id: [tuple(round(x, 9) for x in c) for c in r.centroids] for r in t.collect()} for t in (state, plain))
+        return a == b
+
+    for _ in range(2):
+        assert same()
+        state = cut_lineage(clusters.next_round(placed, cut_lineage(state)))
+        plain = cut_lineage(clusters.kmeans_step(numbered, plain.select("podcast_id", "centroids")))
+    assert same()
+    for _ in range(3):
+        plain = cut_lineage(clusters.kmeans_step(numbered, plain.select("podcast_id", "centroids")))
+    placed, state = clusters.full_round(numbered, plain)
+    state = cut_lineage(state)
+    restless = clusters._restless(placed, state).count()
+    state = cut_lineage(clusters.next_round(placed, state))
+    for _ in range(2):
+        plain = cut_lineage(clusters.kmeans_step(numbered, plain.select("podcast_id", "centroids")))
+    assert same() and restless < len(rows)
