@@ -24,8 +24,6 @@ MIN_POINTS = 4
 MAX_ITERATIONS = 25
 # Distances and means are rounded, so results do not depend on the order of floating sums.
 DIGITS = 12
-# Most clusters of a group by the cluster-count rule.
-MOST_CLUSTERS = 16
 # A gap this much wider than needed still counts as crossed.
 MARGIN = 1e-5
 # All points are written again when, this many rounds or more after the last time, more than this
@@ -88,21 +86,21 @@ def seed_centroids(numbered: DataFrame) -> DataFrame:
     )
 
 
-def ranked(centroids: str) -> Column:
-    """The centroids' squared distances and indices, nearest first, lowest index on ties.
+def _distances(centroids: str) -> str:
+    """SQL text: (squared distance, index) of every centroid, in units of the last kept digit, which is
+    cheaper than decimal rounding."""
+    square = " + ".join(f"(s_{a} - c.{a}) * (s_{a} - c.{a})" for a in AXES)
+    return f"transform({centroids}, (c, i) -> named_struct('d', rint(({square}) * 1e{DIGITS}), 'j', i))"
 
-    Written out for all places a group can have, so that it stays in generated code; as SQL text,
-    because building the expression column by column takes longer than a round.
-    """
-    # in units of the last kept digit, which is cheaper than decimal rounding
-    square = " + ".join(f"power(s_{a} - get({centroids}, {{i}}).{a}, 2)" for a in AXES)
-    entry = f"named_struct('d', coalesce(rint(({square}) * 1e{DIGITS}), double('Infinity')), 'j', {{i}})"
-    return F.expr(f"sort_array(array({', '.join(entry.format(i=i) for i in range(MOST_CLUSTERS))}))")
+
+def ranked(centroids: str) -> Column:
+    """The centroids' squared distances and indices, nearest first, lowest index on ties."""
+    return F.expr(f"sort_array({_distances(centroids)})")
 
 
 def nearest(centroids: str) -> Column:
     """Index of the nearest centroid, lowest index on ties."""
-    return ranked(centroids)[0]["j"]
+    return F.expr(f"array_min({_distances(centroids)}).j")
 
 
 def kmeans_step(points: DataFrame, centroids: DataFrame) -> DataFrame:
