@@ -553,15 +553,18 @@ def page_links(d):
     return out.select("page_id", F.array_join("episode_urls", " ").alias("urls"), "next_page_url")
 
 
-@query("frontier_cap", """
-    WITH p AS (SELECT page_id % 10 AS archive, page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)href="(/[^\\s"''>]+)"', 1))) AS u,
-        row_number() OVER (PARTITION BY page_id % 10 ORDER BY page_id) AS pr FROM {pages} QUALIFY pr <= 10),
+HOST = "//([^/?#]+)"
+
+
+@query("frontier_cap", f"""
+    WITH p AS (SELECT regexp_extract(url, '{HOST}', 1) AS archive, page_id, list_sort(list_distinct(regexp_extract_all(html, '(?i)href="(/[^\\s"''>]+)"', 1))) AS u,
+        row_number() OVER (PARTITION BY regexp_extract(url, '{HOST}', 1) ORDER BY page_id) AS pr FROM {{pages}} QUALIFY pr <= 10),
     x AS (SELECT archive, pr, unnest(u) AS url, generate_subscripts(u, 1) AS pos FROM p),
     f AS (SELECT archive, url, min((pr, pos)) AS first_seen FROM x GROUP BY 1, 2)
-    SELECT archive, url, cast(row_number() OVER (PARTITION BY archive ORDER BY first_seen) AS int) AS rank FROM f QUALIFY rank <= 40""")
+    SELECT archive, url, cast(row_number() OVER (PARTITION BY archive ORDER BY first_seen) AS int) AS rank FROM f QUALIFY rank <= 500""")
 def frontier_cap(d):
-    links = pages.page_links(d.pages.withColumn("archive", F.col("page_id") % 10), ["archive", "page_id"], patterns=PAGE_PATTERNS, group=1)
-    return pages.frontier(links, "archive", "page_id", max_pages=10, max_episodes=40)
+    listed = d.pages.withColumn("archive", F.regexp_extract("url", HOST, 1))
+    return pages.frontier(pages.page_links(listed, ["archive", "page_id"], patterns=PAGE_PATTERNS, group=1), "archive", "page_id")
 
 
 @query("ordered_distinct", """
