@@ -604,8 +604,8 @@ def adaptive_select(d):
     return out.select("id", "podcast_id", "guid", "title", "pub_date", "kind", "description_pure", "page_url")
 
 
-@query("dataset_digest", """
-    WITH f AS (SELECT sha256('{"confidence":' || format('{:.6f}', confidence) || ',"episode_id":' || episode_id || ',"id":"' || entity_id || '","kind":' || coalesce('"' || kind || '"', 'null') || ',"name":"' || name || '"}') AS h FROM {ent})
+DIGEST_SQL = """
+    WITH f AS (SELECT sha256('{{"confidence":' || format('{{:.6f}}', confidence) || ',"episode_id":' || episode_id || ',"id":"' || entity_id || '","kind":' || coalesce('"' || {kind} || '"', 'null') || ',"name":"' || name || '"}}') AS h FROM {{ent}})
     SELECT count(*) AS row_count, concat_ws('-', cast(sum(cast('0x' || substr(h, 1, 16) AS ubigint)) AS varchar),
       cast(sum(cast('0x' || substr(h, 17, 16) AS ubigint)) AS varchar),
       cast(sum(cast('0x' || substr(h, 33, 16) AS ubigint)) AS varchar),
@@ -613,12 +613,27 @@ def adaptive_select(d):
       lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 1, 16) AS ubigint)))), 16, '0'),
       lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 17, 16) AS ubigint)))), 16, '0'),
       lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 33, 16) AS ubigint)))), 16, '0'),
-      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 49, 16) AS ubigint)))), 16, '0')) AS digest FROM f""")
+      lpad(lower(to_hex(bit_xor(cast('0x' || substr(h, 49, 16) AS ubigint)))), 16, '0')) AS digest FROM f"""
+
+
+@query("dataset_digest", DIGEST_SQL.format(kind="kind"))
 def dataset_digest(d):
     rows = d.ent.withColumnRenamed("entity_id", "id")
     return quality.dataset_digest(export_dataset.with_fingerprint(rows, "entities"))
 
 
+@query("digest_update", DIGEST_SQL.format(kind="CASE kind WHEN 'place' THEN 'location' ELSE kind END"))
+def digest_update(d):
+    """Digest after places are renamed, from the state before and the changed rows only."""
+    rows = d.ent.withColumnRenamed("entity_id", "id")
+    changed = rows.where("kind = 'place'")
+
+    def state(x):
+        return quality.digest_state(export_dataset.with_fingerprint(x, "entities"))
+
+    return quality.digest_of(quality.updated_state(state(rows), state(changed.withColumn("kind", F.lit("location"))), state(changed)))
+
+
 @query("export_sections", f"""WITH {VEC_DUCK}, e AS (SELECT episode_id, name, coalesce(kind, 'unknown') AS kind FROM {{ent}}),
     ec AS (SELECT cluster_id, name, kind, count(*) AS n FROM {{clu}} JOIN e USING (episode_id) GROUP BY 1, 2, 3), y AS (SELECT episode_id, year(start_date) AS y FROM {{span}} UNION ALL SELECT episode_id, year(end_date) FROM {{span}} WHERE end_date IS NOT NULL)
     SELECT 'podcasts' AS section, count(DISTINCT podcast_id) AS row_count FROM {{cep}} UNION ALL SELECT 'episodes', count(*) FROM {{cep}} UNION ALL SELECT 'spans', count(*) FROM {{span}} UNION ALL SELECT 'places', count(*) FROM {{place}}

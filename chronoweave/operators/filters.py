@@ -155,26 +155,21 @@ def cluster_scope(
     """
     a, b = F.year("start_date"), F.year("end_date")
     lo, hi = F.least(a, b), F.greatest(a, b)
-    by_span = spans.groupBy(F.col("episode_id").alias("id")).agg(
-        F.coalesce(F.max((hi >= min_year) & (lo <= max_year)), F.lit(False)).alias("span_hit")
-    )
-    pub = F.year("pub_date").between(min_year, max_year)
-    year_hit = F.coalesce(F.col("span_hit"), pub, F.lit(False))
-    out = members.join(by_span, "id", "left").filter(year_hit).drop("span_hit")
     needle = term.strip().lower()
-    if not needle:
-        return out
-    hits = (
-        keywords.filter(F.lower("phrase").contains(needle))
-        .select(F.col("episode_id").alias("id"))
-        .union(entities.filter(F.lower("name").contains(needle)).select(F.col("episode_id").alias("id")))
-        .distinct()
-        .withColumn("term_hit", F.lit(True))
-    )
-    in_text = F.lower("title").contains(needle) | F.lower(
-        F.coalesce("description", F.lit(""))
-    ).contains(needle)
-    return out.join(hits, "id", "left").filter(F.col("term_hit").isNotNull() | in_text).drop("term_hit")
+    no, yes = F.lit(None).cast("boolean"), F.lit(True)
+    inside = F.coalesce((hi >= min_year) & (lo <= max_year), F.lit(False))
+    facts = spans.select(F.col("episode_id").alias("id"), inside.alias("span_hit"), no.alias("term_hit"))
+    if needle:
+        for rows, name in ((keywords, "phrase"), (entities, "name")):
+            facts = facts.union(rows.where(F.lower(name).contains(needle)).select("episode_id", no, yes))
+    # all facts of an episode in two flags, so the members are joined once
+    flags = facts.groupBy("id").agg(F.bool_or("span_hit").alias("span_hit"), F.bool_or("term_hit").alias("term_hit"))
+    pub = F.year("pub_date").between(min_year, max_year)
+    flagged = members.join(flags, "id", "left").where(F.coalesce("span_hit", pub, F.lit(False)))
+    if needle:
+        in_text = F.lower("title").contains(needle) | F.lower(F.coalesce("description", F.lit(""))).contains(needle)
+        flagged = flagged.where(F.col("term_hit").isNotNull() | in_text)
+    return flagged.drop("span_hit", "term_hit")
 
 
 def valid_spans(spans: DataFrame, start: str = "start_iso", end: str = "end_iso") -> DataFrame:

@@ -164,12 +164,16 @@ def canonical_json(*fields: str, types: dict[str, str]) -> Column:
         c = F.col(name)
         kind = types[name]
         if kind in ("double", "float"):
-            value = F.format_string("%.6f", c)
+            # a decimal prints the same digits and costs less than a format call
+            plain = (F.abs(c) < 1e15) & (c != 0)
+            value = F.when(plain, c.cast("decimal(38,6)").cast("string")).otherwise(F.format_string("%.6f", c))
         elif kind in ("bigint", "int", "smallint", "tinyint", "boolean"):
             value = c.cast("string")
         else:
-            quoted = F.to_json(F.struct(c.cast("string").alias("x")))  # {"x":"..."}, control characters escaped
-            value = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
+            text = c.cast("string")
+            quoted = F.to_json(F.struct(text.alias("x")))  # {"x":"..."}, control characters escaped
+            escaped = F.substr(quoted, F.lit(6), F.length(quoted) - 6)
+            value = F.when(text.rlike(r'["\\\x00-\x1f]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
         parts.append(F.concat(F.lit(f'"{name}":'), F.when(c.isNull(), "null").otherwise(value)))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
@@ -178,11 +182,57 @@ def row_fingerprint(df: DataFrame, fields: tuple[str, ...]) -> Column:
     return F.sha2(canonical_json(*fields, types=dict(df.dtypes)), 256)
 
 
+# Words of 64 bits in a row fingerprint.
+WORDS = 4
+
+
+def digest_state(df: DataFrame, fingerprint: str = "row_fingerprint") -> DataFrame:
+    """One row that states of other rows can be added to or taken from: row count, and the sum and
+    exclusive or of each 64-bit word of the row fingerprints.
+
+    A word is read once, as a signed number.  Its halves are added as whole numbers within a task,
+    which can't overflow, and as decimals over the tasks.
+    """
+    words = df.select(*[F.conv(F.substring(fingerprint, 1 + 16 * i, 16), 16, -10).cast("bigint").alias(f"w{i}") for i in range(WORDS)])
+    halves = [(f"h{i}", F.shiftrightunsigned(f"w{i}", 32)) for i in range(WORDS)]
+    halves += [(f"l{i}", F.col(f"w{i}").bitwiseAND(F.lit(0xFFFFFFFF))) for i in range(WORDS)]
+    tasks = words.groupBy(F.spark_partition_id().alias("task")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(name) for name, c in halves], *[F.bit_xor(f"w{i}").alias(f"x{i}") for i in range(WORDS)]
+    )
+
+    def whole(name: str) -> Column:
+        return F.coalesce(F.sum(F.col(name).cast("decimal(19,0)")), F.lit(0))
+
+    sums = [(whole(f"h{i}") * F.lit(2**32).cast("decimal(10,0)") + whole(f"l{i}")).cast("decimal(38,0)").alias(f"sum{i}") for i in range(WORDS)]
+    ors = [F.coalesce(F.bit_xor(f"x{i}"), F.lit(0).cast("bigint")).alias(f"xor{i}") for i in range(WORDS)]
+    return tasks.agg(F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("row_count"), *sums, *ors)
+
+
+def updated_state(state: DataFrame, added: DataFrame | None = None, removed: DataFrame | None = None) -> DataFrame:
+    """``state`` after rows with the states ``added`` came and those of ``removed`` went.
+
+    A changed row is removed with its old fingerprint and added with its new one, so a batch of
+    changes updates the digest of a table without reading the table.
+    """
+    out = state.withColumn("sign", F.lit(1))
+    for other, sign in ((added, 1), (removed, -1)):
+        if other is not None:
+            out = out.unionByName(other.withColumn("sign", F.lit(sign)))
+    return out.agg(
+        F.sum(F.col("row_count") * F.col("sign")).alias("row_count"),
+        *[F.sum(F.col(f"sum{i}") * F.col("sign")).cast("decimal(38,0)").alias(f"sum{i}") for i in range(WORDS)],
+        *[F.bit_xor(f"xor{i}").alias(f"xor{i}") for i in range(WORDS)],
+    )
+
+
+def digest_of(state: DataFrame) -> DataFrame:
+    """(row_count, digest) of a state."""
+    sums = [F.col(f"sum{i}").cast("string") for i in range(WORDS)]
+    ors = [F.lpad(F.lower(F.hex(f"xor{i}")), 16, "0") for i in range(WORDS)]
+    return state.select("row_count", F.concat_ws("-", *sums, *ors).alias("digest"))
+
+
 def dataset_digest(df: DataFrame, fingerprint: str = "row_fingerprint") -> DataFrame:
     """Order-free digest: row count, and the sums and exclusive ors of the four 64-bit words of the
     row fingerprints."""
-    words = [F.substring(fingerprint, 1 + 16 * i, 16) for i in range(4)]
-    sums = [F.coalesce(F.sum(F.conv(w, 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for w in words]
-    # a negative base reads the word as a signed number
-    ors = [F.lpad(F.lower(F.hex(F.coalesce(F.bit_xor(F.conv(w, 16, -10).cast("bigint")), F.lit(0)))), 16, "0") for w in words]
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.concat_ws("-", *sums, *ors).alias("digest"))
+    return digest_of(digest_state(df, fingerprint))

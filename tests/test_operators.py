@@ -388,3 +388,35 @@ def test_kmeans_rounds_read_only_restless_points(spark):
     for _ in range(2):
         plain = cut_lineage(clusters.kmeans_step(numbered, plain.select("podcast_id", "centroids")))
     assert same() and restless < len(rows)
+
+
+def test_digest_state_adds_and_removes_rows(spark):
+    rng = random.Random(5)
+    made = ["".join(rng.choice("0123456789abcdef") for _ in range(64)) for _ in range(500)] + ["f" * 64, "0" * 64, "8" + "0" * 63]
+    rows = lambda x: spark.createDataFrame([(h,) for h in x], "row_fingerprint string")
+    old, gone, new = made[:400], made[50:120], made[400:] + made[:3]
+    state = quality.digest_state(rows(old))
+    after = quality.updated_state(state, quality.digest_state(rows(new)), quality.digest_state(rows(gone)))
+    left = old[:50] + old[120:] + new
+    assert quality.digest_of(after).first() == quality.dataset_digest(rows(left).repartition(3)).first()
+    words = [[int(h[16 * i : 16 * i + 16], 16) for h in left] for i in range(4)]
+    xors = [0] * 4
+    for i in range(4):
+        for w in words[i]:
+            xors[i] ^= w
+    assert quality.digest_of(after).first().digest == "-".join([*(str(sum(w)) for w in words), *(f"{x:016x}" for x in xors)])
+    nothing = quality.updated_state(state, removed=quality.digest_state(rows(old)))
+    assert quality.digest_of(nothing).first() == quality.dataset_digest(rows([])).first()
+
+
+def test_canonical_json_of_awkward_values(spark):
+    import hashlib
+
+    texts = ["plain", 'quo"te', "back\\slash", "tab\t", "bell\x07", "é ü / \x7f", "", None]
+    numbers = [0.0, -0.0, 1.5, -2.125, 1e20, 0.1234561, None, 123456789.25]
+    df = spark.createDataFrame(list(zip(texts, numbers)), "t string, v double")
+    got = [r.h for r in df.select(quality.row_fingerprint(df, ("t", "v")).alias("h")).collect()]
+    for t, v, h in zip(texts, numbers, got):
+        text = json.dumps(t, ensure_ascii=False)
+        number = "null" if v is None else f"{v:.6f}"
+        assert h == hashlib.sha256(f'{{"t":{text},"v":{number}}}'.encode()).hexdigest(), (t, v)
