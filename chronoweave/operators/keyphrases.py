@@ -1,12 +1,13 @@
 """Keyphrase scoring by word degree and frequency.
 
-Phrases are cut inside the row.  The text is placed by document key once, before it is split into
-words; word statistics, phrase sums and the top list then all reuse that one partitioning.
+Everything happens inside the row: the words of all phrases are sorted, so that equal ones stand
+together, summed, sorted back by phrase and summed again.  Only the top list leaves the row, and no
+text is moved.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import stable_id
@@ -33,32 +34,51 @@ def phrase_array(text: Column) -> Column:
     return F.filter(runs, lambda p: p != "")
 
 
+SPLIT = "split(p, ' ')"
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL text of ``body`` with ``value`` bound to ``name``."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _runs(rows: str, key: str, name: str, body: str) -> str:
+    """SQL text: an array of ``body`` for every run of equal ``key`` in the sorted array ``rows``;
+    the run is bound to ``name``."""
+    places = f"IF(size({rows}) > 0, sequence(0, size({rows}) - 1), array())"
+    starts = f"filter({places}, i -> i = 0 OR get({rows}, i).{key} <> get({rows}, i - 1).{key})"
+    run = f"slice({rows}, start + 1, coalesce(get(starts, k + 1), size({rows})) - start)"
+    return _let("starts", starts, f"transform(starts, (start, k) -> {_let(name, run, body)})")
+
+
+def scored_phrases(phrases: str) -> Column:
+    """(neg_score, at, phrase, n_words) of the distinct phrases of an array, best first.
+
+    Degree plus frequency of a word is the summed length of the phrases it occurs in; divided by its
+    number of occurrences and added up over a phrase's words it gives the phrase's score.
+    """
+    words = f"flatten(transform({phrases}, (p, at) -> {_let('ws', SPLIT, 'transform(ws, w -> struct(w AS word, at, size(ws) AS n))')}))"
+    weight = "aggregate(same, 0L, (a, x) -> a + x.n) / size(same)"
+    weighed = "flatten(" + _runs("by_word", "word", "same", _let("weight", weight, "transform(same, x -> struct(x.at, weight))")) + ")"
+    total = "round(aggregate(own, 0D, (a, x) -> a + x.weight), 9)"
+    scored = _runs("by_phrase", "at", "own", f"struct(get({phrases}, own[0].at) AS phrase, own[0].at AS at, {total} AS score, size(own) AS n_words)")
+    first = _runs("by_text", "phrase", "copies", "struct(-copies[0].score AS neg_score, copies[0].at AS at, copies[0].phrase AS phrase, copies[0].n_words AS n_words)")
+    best = _let("by_text", f"array_sort({scored})", f"array_sort({first})")
+    return F.expr(_let("by_word", f"array_sort({words})", _let("by_phrase", f"array_sort({weighed})", best)))
+
+
 def keyphrases(
     docs: DataFrame, key: str, text: str = "text", max_phrases: int | None = MAX_PHRASES, max_words: int | None = MAX_PHRASE_WORDS
 ) -> DataFrame:
-    """Top phrases per document with score and rank, None: all; ties go to the first occurrence."""
-    by_doc = docs.select(key, F.col(text).alias("_text")).repartition(key)
-    phrases = by_doc.select(key, F.posexplode(phrase_array(F.col("_text"))).alias("at", "phrase"))
-    words = phrases.withColumn("words", F.split("phrase", " ")).select(
-        key, "at", "phrase", F.size("words").alias("n_words"), F.explode("words").alias("word")
-    )
-    per_word = Window.partitionBy(key, "word")
-    # degree + frequency of a word is the summed length of the runs it occurs in
-    weighed = words.withColumn(
-        "w", F.sum("n_words").over(per_word) / F.count(F.lit(1)).over(per_word)
-    )
-    scored = (
-        weighed.filter(F.lit(True) if max_words is None else F.col("n_words") <= max_words)
-        .groupBy(key, "phrase", "at")
-        .agg(F.sum("w").alias("score"))
-        .groupBy(key, "phrase")
-        .agg(F.round(F.max("score"), 9).alias("score"), F.min("at").alias("at"))
-    )
-    order = Window.partitionBy(key).orderBy(F.desc("score"), "at")
-    return (
-        scored.withColumn("rank", F.row_number().over(order))
-        .filter(F.lit(True) if max_phrases is None else F.col("rank") <= max_phrases)
-        .select(key, "phrase", "score", "rank")
+    """Top phrases per row with score and rank, None: all; ties go to the first occurrence."""
+    cut = docs.select(key, phrase_array(F.col(text)).alias("_phrases")).where("_phrases IS NOT NULL")
+    found = scored_phrases("_phrases")
+    if max_words is not None:
+        found = F.filter(found, lambda p: p["n_words"] <= max_words)
+    if max_phrases is not None:
+        found = F.slice(found, 1, max_phrases)
+    return cut.select(key, F.posexplode(found).alias("_at", "_p")).select(
+        key, F.col("_p.phrase").alias("phrase"), (-F.col("_p.neg_score")).alias("score"), (F.col("_at") + 1).alias("rank")
     )
 
 
