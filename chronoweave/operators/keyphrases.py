@@ -63,8 +63,8 @@ def scored_phrases(phrases: str) -> Column:
     total = "round(aggregate(own, 0D, (a, x) -> a + x.weight), 9)"
     scored = _runs("by_phrase", "at", "own", f"struct(get({phrases}, own[0].at) AS phrase, own[0].at AS at, {total} AS score, size(own) AS n_words)")
     first = _runs("by_text", "phrase", "copies", "struct(-copies[0].score AS neg_score, copies[0].at AS at, copies[0].phrase AS phrase, copies[0].n_words AS n_words)")
-    best = _let("by_text", f"array_sort({scored})", f"array_sort({first})")
-    return F.expr(_let("by_word", f"array_sort({words})", _let("by_phrase", f"array_sort({weighed})", best)))
+    best = _let("by_text", f"sort_array({scored})", f"sort_array({first})")
+    return F.expr(_let("by_word", f"sort_array({words})", _let("by_phrase", f"sort_array({weighed})", best)))
 
 
 def keyphrases(

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import html
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -206,3 +207,34 @@ def test_spans_do_not_depend_on_partitioning(spark):
     a = spans.extract_spans(df.repartition(1), ["id"]).orderBy("id", "span_pos").collect()
     b = spans.extract_spans(df.repartition(7), ["id"]).orderBy("id", "span_pos").collect()
     assert a == b
+
+
+def test_keyphrases_equal_a_plain_count(spark):
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    words = ["krieg", "kaiser", "reich", "und", "der", "ab", "stadt", "könig", "1848", "Revolution"]
+    texts = [" ".join(rng.choice(words) + rng.choice(["", "", ",", "."]) for _ in range(rng.randint(0, 60))) for _ in range(40)] + ["", None, "ab der und"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = {}
+    for r in keyphrases.keyphrases(df, "id", max_phrases=5).orderBy("rank").collect():
+        got.setdefault(r.id, []).append((r.phrase, round(r.score, 6), r["rank"]))
+    for i, text in enumerate(texts):
+        runs, run = [], []
+        for w in [*re.split(r"[^A-Za-zÄÖÜäöüß0-9]+", (text or "").lower()), ""]:
+            if len(w) <= 2 or w in keyphrases.STOP_WORDS:
+                runs, run = runs + ([run] if run else []), []
+            else:
+                run.append(w)
+        degree, count = Counter(), Counter()
+        for r in runs:
+            for w in r:
+                degree[w] += len(r)
+                count[w] += 1
+        scored = {}
+        for at, r in enumerate(runs):
+            if len(r) <= keyphrases.MAX_PHRASE_WORDS:
+                scored.setdefault(" ".join(r), (-round(sum(degree[w] / count[w] for w in r), 9), at))
+        best = sorted(scored, key=scored.get)[:5]
+        assert got.get(i, []) == [(p, round(-scored[p][0], 6), k + 1) for k, p in enumerate(best)]
