@@ -634,9 +634,16 @@ def digest_update(d):
     return quality.digest_of(quality.updated_state(state(rows), state(changed.withColumn("kind", F.lit("location"))), state(changed)))
 
 
+@query("export_revision", f"""WITH g AS ({DIGEST_SQL.format(kind="kind")}) SELECT '{export_dataset.SCHEMA_VERSION}' AS schema_version, 'driver tables' AS source_db,
+    sha256(cast(row_count AS varchar) || ':' || digest) AS dataset_revision, false AS wiki_enriched, true AS wikidata_enriched FROM g""")
+def export_revision(d):
+    sections = {"entities": export_dataset.with_fingerprint(d.ent.withColumnRenamed("entity_id", "id"), "entities"), "podcasts": d.cep, "concept_claims": d.cep}
+    return export_dataset.export_meta(sections, "driver tables").drop("generated_at_iso")
+
+
 @query("export_sections", f"""WITH {VEC_DUCK}, e AS (SELECT episode_id, name, coalesce(kind, 'unknown') AS kind FROM {{ent}}),
     ec AS (SELECT cluster_id, name, kind, count(*) AS n FROM {{clu}} JOIN e USING (episode_id) GROUP BY 1, 2, 3), y AS (SELECT episode_id, year(start_date) AS y FROM {{span}} UNION ALL SELECT episode_id, year(end_date) FROM {{span}} WHERE end_date IS NOT NULL)
-    SELECT 'podcasts' AS section, count(DISTINCT podcast_id) AS row_count FROM {{cep}} UNION ALL SELECT 'episodes', count(*) FROM {{cep}} UNION ALL SELECT 'spans', count(*) FROM {{span}} UNION ALL SELECT 'places', count(*) FROM {{place}}
+    SELECT 'meta' AS section, 1 AS row_count UNION ALL SELECT 'podcasts', count(DISTINCT podcast_id) FROM {{cep}} UNION ALL SELECT 'episodes', count(*) FROM {{cep}} UNION ALL SELECT 'spans', count(*) FROM {{span}} UNION ALL SELECT 'places', count(*) FROM {{place}}
     UNION ALL SELECT 'entities', count(*) FROM {{ent}} UNION ALL SELECT 'episode_keywords', count(DISTINCT episode_id) FROM {{kw}} UNION ALL SELECT 'episode_clusters', count(*) FROM {{clu}}
     UNION ALL SELECT 'clusters', count(DISTINCT cluster_id) FROM {{clu}} UNION ALL SELECT 'cluster_stats', count(DISTINCT cluster_id) FROM {{clu}} UNION ALL SELECT 'cluster_term_metrics', count(*) FROM v
     UNION ALL SELECT 'cluster_correlations', count(DISTINCT (a.cluster_id, b.cluster_id)) FROM v a JOIN v b ON a.term = b.term AND a.cluster_id < b.cluster_id
@@ -657,4 +664,4 @@ def export_sections(d):
         "cluster_keywords": kw,
         "cluster_entities": en,
     }
-    return export_dataset.section_counts(export_dataset.export_sections(tables, x, PLACE_ORDER))
+    return export_dataset.section_counts(export_dataset.export_dataset(tables, x, PLACE_ORDER, d.sf_dir))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.metrics import ClusterInputs, cluster_metric_bundle, member_counts
-from ..operators.quality import FINGERPRINT_FIELDS, row_fingerprint
+from ..operators.quality import FINGERPRINT_FIELDS, digest_of, digest_state, row_fingerprint
 from ..operators.relational import last_per, top_n
 
 SCHEMA_VERSION = "2026-02-27"
@@ -87,17 +87,36 @@ def export_sections(tables: dict[str, DataFrame], x: ClusterInputs, place_order:
     return sections
 
 
-def export_meta(spark, source: str, has_concepts: bool, has_claims: bool, revision: str) -> DataFrame:
-    return spark.range(1).select(
+def dataset_revision(sections: dict[str, DataFrame]) -> DataFrame:
+    """(row_count, digest) over the fingerprinted rows of all sections; see ``quality.digest_state``."""
+    rows = None
+    for df in sections.values():
+        if "row_fingerprint" in df.columns:
+            one = df.select("row_fingerprint")
+            rows = one if rows is None else rows.unionByName(one)
+    return digest_of(digest_state(rows))
+
+
+def export_meta(sections: dict[str, DataFrame], source: str) -> DataFrame:
+    """One row that describes an export.  ``dataset_revision`` is the hash of the digest of its rows, so
+    it is the same for the same content, whatever the order, the files and the time of the export."""
+    revision = dataset_revision(sections)
+    return revision.select(
         F.lit(SCHEMA_VERSION).alias("schema_version"),
         F.current_timestamp().alias("generated_at_iso"),
         F.lit(source).alias("source_db"),
-        F.lit(revision).alias("dataset_revision"),
-        F.lit(has_concepts).alias("wiki_enriched"),
-        F.lit(has_claims).alias("wikidata_enriched"),
+        F.sha2(F.concat_ws(":", "row_count", "digest"), 256).alias("dataset_revision"),
+        F.lit("concepts" in sections).alias("wiki_enriched"),
+        F.lit("concept_claims" in sections).alias("wikidata_enriched"),
     )
 
 
+def export_dataset(tables: dict[str, DataFrame], x: ClusterInputs, place_order: list[str], source: str) -> dict[str, DataFrame]:
+    """The complete export: ``meta`` first, then all sections."""
+    sections = export_sections(tables, x, place_order)
+    return {"meta": export_meta(sections, source)} | sections
+
+
 def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
     out = None
     for name, df in sections.items():
@@ -106,4 +125,4 @@ def section_counts(sections: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-__all__ = ["export_meta", "export_sections", "join_keyword_phrases", "join_place_names", "nested_keywords", "section_counts"]
+__all__ = ["dataset_revision", "export_dataset", "export_meta", "export_sections", "join_keyword_phrases", "join_place_names", "nested_keywords", "section_counts"]
