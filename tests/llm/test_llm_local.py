@@ -136,6 +136,29 @@ def test_viterbi_equals_all_paths():
         assert crf_secrets.viterbi(field, rows).tolist() == list(best)
 
 
+def test_every_token_is_tagged():
+    rng = np.random.default_rng(6)
+    words = ["secret", "the", "auth:", "x", "Key=", "run", "=", "kilo-lima", "ab/cd", "7", "apple.", "\n", "\n\n", " ", "é"]
+    for spread in (0.1, 1, 3):
+        field = crf_secrets.Field(rng.normal(size=(1 << crf_secrets.HASH_BITS, 3)) * spread + [3 * (spread < 3), 0, 0], rng.normal(size=(3, 3)), rng.normal(size=3))
+        texts = [" ".join(rng.choice(words, rng.integers(0, 60))) for _ in range(60)] + [""]
+        owner, tags = crf_secrets.Tagger(field).tags(texts)
+        for i, t in enumerate(texts):
+            want = []
+            for line in t.split("\n"):
+                if tokens := crf_secrets._TOKEN.findall(line):
+                    want += crf_secrets.viterbi(field, crf_secrets.slots(tokens, crf_secrets.file_features(t))).tolist()
+            assert tags[owner == i].tolist() == want
+
+
+def test_secrets_far_from_telling_words_are_found():
+    emission = np.zeros((1 << crf_secrets.HASH_BITS, 3))
+    field = crf_secrets.Field(emission, np.zeros((3, 3)), np.array([1.0, 0, 0]))
+    text = "plain words\nand kilolimamik here"
+    emission[crf_secrets.slot("wkilolimamik"), crf_secrets.BEGIN] = 50
+    assert crf_secrets.hits(text) == [] and crf_secrets.find(text, field) == [("tagged", 16, 27)]
+
+
 # -- near and exact duplicates ----------------------------------------------------------------
 
 
