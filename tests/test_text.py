@@ -238,3 +238,11 @@ def test_keyphrases_equal_a_plain_count(spark):
                 scored.setdefault(" ".join(r), (-round(sum(degree[w] / count[w] for w in r), 9), at))
         best = sorted(scored, key=scored.get)[:5]
         assert got.get(i, []) == [(p, round(-scored[p][0], 6), k + 1) for k, p in enumerate(best)]
+
+
+def test_words_do_not_become_rows(spark):
+    docs = spark.createDataFrame([(1, "Kaiser Reich, Stadt"), (1, "Stadt"), (None, "König")], "id int, text string")
+    found = keyphrases.keyphrases(docs, "id")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "Window" not in plan and plan.count("RepartitionByExpression") == 1
+    assert {(r.id, r.phrase) for r in found.collect()} == {(1, "kaiser reich stadt"), (1, "stadt"), (None, "könig")}
