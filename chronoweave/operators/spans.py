@@ -164,16 +164,18 @@ def span_array(text: Column, section: Column) -> Column:
 
 
 def extract_spans(
-    segments: DataFrame, keys: list[str], text: str = "text", section: str = "section", context: int | None = CONTEXT_CHARS
+    segments: DataFrame, keys: list[str], text: str = "text", section: str = "section", context: int | None = CONTEXT_CHARS,
+    best_only: bool = False,
 ) -> DataFrame:
     """One row per distinct span of every segment with its rank ``span_pos`` (best first) and the first
-    ``context`` characters of the segment; None: all of it."""
+    ``context`` characters of the segment; None: all of it.  ``best_only``: the segment's best span alone."""
     c = F.col(text)
+    spans = span_array(c, F.col(section))
     found = segments.select(
         *keys,
         F.col(section).alias("source_section"),
         (c if context is None else F.substring(c, 1, context)).alias("source_context"),
-        F.posexplode(span_array(c, F.col(section))).alias("span_pos", "span"),
+        F.posexplode(F.slice(spans, 1, 1) if best_only else spans).alias("span_pos", "span"),
     )
     return found.select(*keys, "span_pos", "span.*", "source_section", "source_context")
 

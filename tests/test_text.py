@@ -246,3 +246,11 @@ def test_words_do_not_become_rows(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate") == 1 and "Window" not in plan and plan.count("RepartitionByExpression") == 1
     assert {(r.id, r.phrase) for r in found.collect()} == {(1, "kaiser reich stadt"), (1, "stadt"), (None, "könig")}
+
+
+def test_best_span_of_a_segment_alone(spark):
+    df = spark.createDataFrame([(1, "Im Jahr 1914, am 1.2.1915 und 1200-1300", "main"), (2, "Portrait 1900 im 3. Jahrhundert", "caption"), (3, "nie", "main")], "id int, text string, section string")
+    best = spans.extract_spans(df, ["id"], best_only=True)
+    every = spans.extract_spans(df, ["id"])
+    assert best.count() == 2
+    assert best.orderBy("id").collect() == every.where("span_pos = 0").orderBy("id").collect()
