@@ -77,10 +77,13 @@ def build_all(
     tables = extraction_tables(episodes, gazetteer)
     tables["time_spans"] = cut_lineage(tables["time_spans"])
     tables["places"] = cut_lineage(tables["places"])
-    best_s = best_span(tables["time_spans"], "episode_id", ["seg_pos", "span_pos"]).select(
+    # only what decides the best one is moved, not the segments' texts
+    rated = tables["time_spans"].select("episode_id", "seg_pos", "span_pos", "span_id", "score")
+    placed = tables["places"].select("episode_id", "seg_pos", "pos", "place_id")
+    best_s = best_span(rated, "episode_id", ["seg_pos", "span_pos"]).select(
         "episode_id", F.col("span_id").alias("best_span_id")
     )
-    best_p = first_place(tables["places"], "episode_id", ["seg_pos", "pos"]).select(
+    best_p = first_place(placed, "episode_id", ["seg_pos", "pos"]).select(
         "episode_id", F.col("place_id").alias("best_place_id")
     )
     tables["episodes"] = episodes.join(best_s, "episode_id", "left").join(best_p, "episode_id", "left")
