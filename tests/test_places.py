@@ -62,3 +62,20 @@ def test_a_long_text_of_words_that_start_no_form(spark):
     docs = spark.range(1).selectExpr("id", "repeat('word ', 5000) || 'Bad Berg' AS text")
     hits = places.dictionary_hits(docs, "id", spark.createDataFrame(name_rows(["Bad Berg"]), NAMES))
     assert [tuple(r)[1:3] for r in hits.collect()] == [(25000, 25008)]
+
+
+def test_word_runs_are_unicode_words(spark):
+    """ASCII first gives the same words as the Unicode class, for every code point."""
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343")
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32")
+    differ = points.where(c.rlike(r"(?U)^\w+$") != c.rlike(f"^{places.WORD_RUN}$"))
+    assert differ.count() == 0
+
+
+def test_first_words_are_marked_without_their_number_too(spark):
+    """A word is hashed once: the bitmap tells under number 0 whether any form starts with it."""
+    forms = spark.createDataFrame([("bad", 2), ("neu", 1)], "first string, n_words int")
+    bits = places._first_words(forms).first()["bits"]
+    slots = {r[0] for r in forms.select(places._slot(F.col("first"), F.lit(0))).collect()}
+    slots |= {r[0] for r in forms.select(places._slot(F.col("first"), F.col("n_words"))).collect()}
+    assert {64 * i + b for i, long in enumerate(bits) for b in range(64) if long >> b & 1} == slots
