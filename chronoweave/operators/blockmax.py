@@ -2,8 +2,8 @@
 
 Documents are numbered from the shortest to the longest and cut into blocks of ``size`` documents,
 the same ones for all terms.  Short documents have the high scores of a term, so the blocks' best
-scores differ a lot.  A (term, field, block) is one row with its best score and its postings; no row
-holds more than ``size`` of them, however frequent the term.
+scores differ a lot.  A (term, field, block) is one head row with its best score; its postings, never
+more than ``size`` of them however frequent the term, are rows that lie together in one file.
 
 A query first reads the best scores alone.  Blocks that miss a query term drop out, the others are
 bounded by the sum of their best scores.  The blocks with the highest bounds are scored; the k-th
@@ -28,8 +28,8 @@ MARGIN = 1e-5
 
 @dataclass
 class BlockIndex:
-    """``heads(term, field, block, top, n)`` and ``blocks(term, field, block, postings)``, beside the
-    index they were made of."""
+    """``heads(term, field, block, top, n)`` and the postings ``blocks(term, field, block, score, doc_id)``,
+    beside the index they were made of."""
 
     index: SearchIndex
     heads: DataFrame
@@ -37,7 +37,11 @@ class BlockIndex:
 
 
 def block_index(index: SearchIndex, size: int = BLOCK_DOCS) -> BlockIndex:
-    """Blocks of an index, written once and sorted by term, so a query's terms skip row groups."""
+    """Blocks of an index, written once.
+
+    Scored postings are moved once to the task of their term and block and sorted there, so a block's
+    rows lie together and its head is counted without moving them again.
+    """
     lengths = index.postings.groupBy("doc_id").agg(F.sum("tf").alias("_len"))
     numbered = number_rows(lengths, ["_len", "doc_id"], "_no", 0)
     block = F.floor(F.col("_no") / size).cast("bigint").alias("block")
@@ -45,18 +49,23 @@ def block_index(index: SearchIndex, size: int = BLOCK_DOCS) -> BlockIndex:
     placed = scored.select("doc_id", "term", "field", base_score().alias("score")).join(
         numbered.select("doc_id", block), "doc_id"
     )
-    grouped = placed.groupBy("term", "field", "block").agg(
-        F.max("score").alias("top"),
-        F.count(F.lit(1)).alias("n"),
-        F.sort_array(F.collect_list(F.struct("score", "doc_id")), asc=False).alias("postings"),
-    )
-    blocks = cut_lineage(grouped.repartitionByRange("term", "block").sortWithinPartitions("term", "block"))
-    return BlockIndex(index, blocks.drop("postings"), blocks.select("term", "field", "block", "postings"))
+    dealt = placed.repartition("term", "block").sortWithinPartitions("term", "block", "field", F.desc("score"), "doc_id")
+    blocks = cut_lineage(dealt.select("term", "field", "block", "score", "doc_id"))
+    heads = blocks.groupBy("term", "field", "block").agg(F.max("score").alias("top"), F.count(F.lit(1)).alias("n"))
+    return BlockIndex(index, heads, blocks)
+
+
+def asked_terms(expanded: DataFrame) -> DataFrame:
+    """The terms of all queries; as ``expanded`` is stored, Spark knows whether they are few."""
+    return expanded.select("term").distinct()
 
 
 def bounded_blocks(index: BlockIndex, expanded: DataFrame) -> DataFrame:
     """``(query_id, n_terms, block, bound)`` of the blocks that hold some form of every query term."""
-    met = index.heads.join(expanded, "term").groupBy("query_id", "n_terms", "block")
+    # only blocks of terms that are asked for get heads
+    own = index.blocks.join(asked_terms(expanded), "term", "left_semi")
+    heads = own.groupBy("term", "field", "block").agg(F.max("score").alias("top"))
+    met = heads.join(expanded, "term").groupBy("query_id", "n_terms", "block")
     sums = met.agg(F.sum(F.col("weight") * F.col("top")).alias("bound"), F.size(F.collect_set("term_no")).alias("held"))
     return sums.where("held = n_terms").drop("held")
 
@@ -64,13 +73,13 @@ def bounded_blocks(index: BlockIndex, expanded: DataFrame) -> DataFrame:
 def score_blocks(index: BlockIndex, expanded: DataFrame, chosen: DataFrame) -> DataFrame:
     """``(query_id, doc_id, score)`` of all matching documents in the chosen (query_id, block)."""
     asked = chosen.select("query_id", "block").join(expanded, "query_id")
-    hits = asked.join(index.blocks, ["term", "block"]).select(
-        "query_id", "n_terms", "term_no", "weight", F.explode("postings").alias("p")
-    )
+    # postings of other terms stay where they are
+    own = index.blocks.join(asked_terms(expanded), "term", "left_semi")
+    hits = asked.join(own, ["term", "block"]).select("query_id", "n_terms", "term_no", "weight", "score", "doc_id")
     return (
-        hits.groupBy("query_id", "n_terms", F.col("p.doc_id").alias("doc_id"))
+        hits.groupBy("query_id", "n_terms", "doc_id")
         .agg(
-            F.round(F.sum(F.col("weight") * F.col("p.score")), 6).alias("score"),
+            F.round(F.sum(F.col("weight") * F.col("score")), 6).alias("score"),
             F.size(F.collect_set("term_no")).alias("matched"),
         )
         .where("matched = n_terms")

@@ -82,3 +82,31 @@ def test_blocks_of_an_empty_index(spark):
     index = search.build_index(spark.createDataFrame([], "doc_id int, title string, text string")).materialised()
     asked = spark.createDataFrame([(1, "a")], "query_id int, query string")
     assert blockmax.search_blocks(blockmax.block_index(index), asked).count() == 0
+
+
+def stored_by(monkeypatch, module):
+    """The tables that a module stores from now on."""
+    seen, cut = [], module.cut_lineage
+    monkeypatch.setattr(module, "cut_lineage", lambda df: seen.append(df) or cut(df))
+    return seen
+
+
+def test_words_are_expanded_once_for_all_queries(made, monkeypatch):
+    index, queries = made
+    seen = stored_by(monkeypatch, search)
+    search.search(index, queries, 3)
+    assert seen and not any({"query_id", "term"} <= set(df.columns) for df in seen)
+
+
+def test_blocks_are_made_once_and_not_ranged(made, monkeypatch):
+    seen = stored_by(monkeypatch, blockmax)
+    blockmax.block_index(made[0], 7)
+    plans = [df._jdf.queryExecution().toString() for df in seen]
+    assert plans and not any("rangepartitioning(term" in p or "collect_list" in p for p in plans)
+
+
+def test_field_sizes_count_equal_rows_of_a_document(spark):
+    rows = [(1, "a b", "a b c"), (1, "a b", "a a c"), (2, None, "x"), (3, "", "...")]
+    sizes = search.build_index(spark.createDataFrame(rows, "doc_id int, title string, text string")).fields
+    assert "explode" not in sizes._jdf.queryExecution().optimizedPlan().toString().split("sum(tf")[0]
+    assert sorted(map(tuple, sizes.collect())) == [("text", 3, 7 / 3), ("title", 2, 2.0)]
