@@ -98,7 +98,8 @@ def span_overlap(d):
         OR lower(m.title) LIKE '%brand#1%' OR lower(m.description) LIKE '%brand#1%')""")
 def cluster_scope(d):
     members = d.cep.join(d.clu.filter("cluster_id = 3"), "episode_id").withColumnRenamed("episode_id", "id")
-    out = filters.cluster_scope(members, d.span, d.kw, d.ent, min_year=1200, max_year=1450, term=" Brand#1")
+    spans = d.dealt("lineitem", "l_orderkey").span
+    out = filters.cluster_scope(members, spans, d.kw, d.ent, min_year=1200, max_year=1450, term=" Brand#1")
     return out.select(F.col("id").alias("episode_id"), "title")
 
 

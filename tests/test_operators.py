@@ -420,3 +420,10 @@ def test_canonical_json_of_awkward_values(spark):
         text = json.dumps(t, ensure_ascii=False)
         number = "null" if v is None else f"{v:.6f}"
         assert h == hashlib.sha256(f'{{"t":{text},"v":{number}}}'.encode()).hexdigest(), (t, v)
+
+
+def test_spans_of_a_scope_are_joined_in_a_fixed_number_of_tasks(spark):
+    from bindings import QUERIES
+
+    plan = QUERIES["cluster_scope"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
