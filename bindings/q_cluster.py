@@ -39,7 +39,7 @@ def best_episodes(d):
 
 
 def best_rows(d):
-    return km.join_best(best_episodes(d), d.span.select("span_id", "start_date", "end_date"), d.place.select("place_id", "lat", "lon"))
+    return km.join_best(best_episodes(d), d.span.select("episode_id", "span_id", "start_date", "end_date"), d.place.select("episode_id", "place_id", "lat", "lon"))
 
 
 @query("join_best", f"WITH {BEST_DUCK} SELECT podcast_id, episode_id, cast(start_date AS varchar) AS s, cast(end_date AS varchar) AS e, lat, lon FROM best")
@@ -101,7 +101,7 @@ def kmeans_centroids(d):
     UNION ALL SELECT 'keyword', cluster_id, phrase, s FROM kc QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY s DESC, phrase) <= 25
     UNION ALL SELECT 'entity', cluster_id, name || '/' || coalesce(kind, '-'), n::double FROM ec QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, name, kind NULLS FIRST) <= 25""".replace("{{", "{").replace("}}", "}"))
 def recompute_clusters(d):
-    tables = {"episodes": best_episodes(d), "time_spans": d.span.select("span_id", "start_date", "end_date"), "places": d.place.select("place_id", "lat", "lon"), "episode_keywords": d.kw, "entities": d.ent}
+    tables = {"episodes": best_episodes(d), "time_spans": d.span.select("episode_id", "span_id", "start_date", "end_date"), "places": d.place.select("episode_id", "place_id", "lat", "lon"), "episode_keywords": d.kw, "entities": d.ent}
     made = build_all.recompute_clusters(tables)
     rows = (
         made["clusters"].select("cluster_id", F.lit("cluster").alias("section"), F.col("label").alias("item"), F.col("n_members").cast("double").alias("value")),
@@ -115,8 +115,8 @@ def recompute_clusters(d):
 
 @query("kmeans_step", f"""WITH {kmeans_duck(2)} SELECT podcast_id, j, round(sy, 9)::double AS sy, round(sa, 9)::double AS sa, round(so, 9)::double AS so FROM c1""")
 def kmeans_step(d):
-    numbered = relational.number_rows(km.scale_points(km.cluster_points(best_rows(d))), ["podcast_id", "s_mid_year", "episode_id"])
-    moved = km.kmeans_step(numbered, km.seed_centroids(numbered))
+    scaled = km.scale_points(km.cluster_points(best_rows(d)))
+    moved = km.kmeans_step(scaled, km.seed_spots(scaled, km.spots_of(scaled)))
     return moved.select("podcast_id", F.posexplode("centroids").alias("j", "c")).select(
         "podcast_id", "j", F.round("c.mid_year", 9).alias("sy"), F.round("c.lat", 9).alias("sa"), F.round("c.lon", 9).alias("so")
     )

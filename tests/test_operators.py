@@ -427,3 +427,47 @@ def test_spans_of_a_scope_are_joined_in_a_fixed_number_of_tasks(spark):
 
     plan = QUERIES["cluster_scope"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(l_orderkey" in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_kmeans_rounds_run_over_spots_not_points(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(p, 1000 * p + i, 1900.0 + rng.randrange(5), 10.0 * rng.randrange(3), 0.0) for p in (1, 2) for i in range(120)]
+    points = spark.createDataFrame(rows, "podcast_id int, episode_id int, mid_year double, lat double, lon double")
+    scaled = cut_lineage(clusters.scale_points(points))
+    numbered = number_rows(scaled, ["podcast_id", "s_mid_year", "episode_id"])
+    by_rank, by_year = (
+        {r.podcast_id: r.centroids for r in seeds.collect()}
+        for seeds in (clusters.seed_centroids(numbered), clusters.seed_spots(scaled, clusters.spots_of(scaled)))
+    )
+    assert by_rank == by_year
+    seen, full = [], clusters.full_round
+    monkeypatch.setattr(clusters, "full_round", lambda p, c: (seen.append(p.count()), full(p, c))[1])
+    got = {(r.podcast_id, r.episode_id): r.j for r in clusters.kmeans(points).collect()}
+    for p in (1, 2):
+        want = python_kmeans([r[1:] for r in rows if r[0] == p])
+        assert {e: j for (g, e), j in got.items() if g == p} == want
+    assert seen and max(seen) <= 2 * 15
+
+
+def test_best_rows_are_met_by_episode(spark):
+    d = dt.date(1900, 1, 1)
+    episodes = spark.createDataFrame([("p", 1, "a", "x"), ("p", 2, "b", "y"), ("p", 3, None, "z")], "podcast_id string, episode_id int, best_span_id string, best_place_id string")
+    spans = spark.createDataFrame([(1, "a", d, d), (1, "c", d, d), (2, "b", d, None), (3, "e", d, d)], "episode_id int, span_id string, start_date date, end_date date")
+    places = spark.createDataFrame([(1, "x", 1.0, 2.0), (1, "w", 3.0, 4.0), (2, "y", 1.0, 2.0), (3, "z", 1.0, 2.0)], "episode_id int, place_id string, lat double, lon double")
+    best = clusters.join_best(episodes, spans, places)
+    assert [(r.episode_id, r.lat) for r in best.collect()] == [(1, 1.0)]
+    by_id = clusters.join_best(episodes, spans.drop("episode_id"), places.drop("episode_id"))
+    assert sorted(best.columns) == sorted(by_id.columns) and [r.episode_id for r in by_id.collect()] == [1]
+    plan = best._jdf.queryExecution().sparkPlan().toString()
+    assert "[best_span_id" not in plan and "[best_place_id" not in plan  # no join by id
+
+
+def test_first_and_last_per_hold_each_column_once(spark):
+    rows = [(1, "b", 2.0, {"k": 1}), (1, "a", 2.0, {"k": 2}), (1, "c", 1.0, {"k": 3}), (2, "d", None, None)]
+    df = spark.createDataFrame(rows, "key int, id string, score double, m map<string,int>")
+    order = [-F.col("score"), "id"]
+    plain = relational.first_per(df.drop("m"), ["key"], order)
+    assert sorted(tuple(r) for r in plain.collect()) == [(1, "a", 2.0), (2, "d", None)]
+    assert sorted((r.key, r.id, r.m) for r in relational.first_per(df, ["key"], order).collect()) == [(1, "a", {"k": 2}), (2, "d", None)]
+    assert sorted((r.key, r.id) for r in relational.last_per(df.drop("m"), ["key"], ["score", "id"]).collect()) == [(1, "b"), (2, "d")]
+    assert "min_by" not in plain._jdf.queryExecution().optimizedPlan().toString()
