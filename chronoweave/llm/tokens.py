@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from struct import pack
 
 import numpy as np
 
@@ -43,7 +44,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cuts, self.small, self.cache, self.older = cuts, small, {}, {}
+        self.cuts, self.small, self.cache, self.older = cuts, small, _Cache(), {}
         self.literals, self.ids = None, {}
         tokens = self.tokenizer.get_added_tokens_decoder() if added else {}
         if any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in tokens.values()):
@@ -63,19 +64,43 @@ class Encoder:
         """Ids of a text without added tokens."""
         if self.small and not _COMPOSING.search(text):
             text = text.encode().lower().decode()
-        cuts, cache = self.cuts.findall(text), self.cache
-        new = [c for c in set(cuts) if c not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE_CUTS:
-                self.cache, self.older = {}, cache
-                cache, new = self.cache, list(set(cuts))
-            for c in new:
-                if c in self.older:
-                    cache[c] = self.older[c]
+        cuts = self.cuts.findall(text)
+        ids = b"".join(map(self.cache.__getitem__, cuts))
+        if self.cache.missed:
+            self._learn(cuts)
+            ids = b"".join(map(self.cache.__getitem__, cuts))
+        return np.frombuffer(ids, dtype="<u4")
+
+    def _learn(self, cuts: list[str]) -> None:
+        """Make all of ``cuts`` known to the cache."""
+        new = list(dict.fromkeys(self.cache.missed))
+        self.cache.missed.clear()
+        if len(self.cache) + len(new) > CACHE_CUTS:
+            self.cache, self.older = _Cache(), self.cache
+            new = list(set(cuts))
+        cache, older = self.cache, self.older
+        if older:
+            cache.update((c, older[c]) for c in new if c in older)
             new = [c for c in new if c not in cache]
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[c] = np.array(e.ids, dtype="<u4").tobytes()
-        return np.frombuffer(b"".join([cache[c] for c in cuts]), dtype="<u4")
+        for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            cache[c] = _ids(e.ids)
+
+
+def _ids(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
+
+
+class _Cache(dict):
+    """Ids by cut; a cut that isn't here counts as none and is noted."""
+
+    def __init__(self):
+        super().__init__()
+        self.missed: list[str] = []
+
+    def __missing__(self, cut: str) -> bytes:
+        self.missed.append(cut)
+        return b""
 
 
 def encoder(path: str, kind: str) -> Encoder:

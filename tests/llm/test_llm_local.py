@@ -305,3 +305,17 @@ def test_warc_record_round_trip_and_keys():
     assert (got["page_id"], got["payload_bytes"], got["record_type"], got["refers_to"]) == (-8, len(payload), "revisit", 7)
     assert warc_index.url_key("https://Blog.Example.com:443/en?q=1#x") == "com,example,blog)/en?q=1"
     assert warc_index.url_key("http://h:8080") == "h:8080)/" and warc_index.url_key(None) == ")" and warc_index.url_key("http://[x/") == ")http://[x/"
+
+
+def test_known_cuts_are_looked_up_once_and_new_ones_learnt_together(monkeypatch):
+    import public_tokenizers
+
+    from chronoweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_CUTS", 6)
+    enc = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"), tokens.BYTE_CUTS, added=True)
+    learnt, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda cuts: (learnt.append(1), learn(cuts)))
+    for text in ("one two two", "one two", "three four five, six seven", "one two", ""):
+        assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(learnt) == 3
