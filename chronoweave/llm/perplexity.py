@@ -2,12 +2,13 @@
 
 Character 5-grams of all texts are counted by Spark, language by language.  Discounts and backoff
 weights of modified Kneser-Ney smoothing come from those counts by aggregations and equi joins; no
-count is cut off and no gram shares its place with another.  For scoring, texts are gathered into
-chunks, and the distinct grams of each chunk meet their probabilities by an equi join, so the model
-stays spread over Spark's partitions and grows with the corpus.  No text is scored by its own
-counts: texts are dealt into folds by their hash, so copies stay together, and each fold has a model
-of all the others.  Each language gets a lower and an upper bound on the log perplexity from the
-spread of its own documents.
+count is cut off and no gram shares its place with another.  For scoring, every worker holds the
+probabilities of a bounded number of the most frequent grams and adds them up where the text is; the
+other grams of a text meet theirs by an equi join on the whole gram, so texts are neither stored nor
+moved, and the model stays spread over Spark's partitions and grows with the corpus.  No text is
+scored by its own counts: texts are dealt into folds by their hash, so copies stay together, and each
+fold has a model of all the others.  Each language gets a lower and an upper bound on the log
+perplexity from the spread of its own documents.
 """
 
 from __future__ import annotations
@@ -22,18 +23,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, map_rows, row_key, stored, texts_of
+from .common import in_arrow, map_rows, row_key, row_number_base, stored, texts_of
 
 ORDER = 5
 CHAR_BITS = 12  # low bits of a character in a packed gram; five fit into a long
 HIGH_BITS = 9  # the other bits of a code point, packed into a second long
-# Characters of the texts that are scored together; bounds a worker's memory, not the results.
-CHUNK = 1 << 23
+# Characters of the texts that are counted or scored together; bounds a worker's memory, not the results.
+CHUNK = 1 << 20
+# Most frequent grams that every worker holds; bounds what is broadcast, not the results.
+COMMON = 1 << 18
+# Logs are added as whole multiples of 1 / UNIT, so their sum is the same in any order.
+UNIT = 1 << 40
 SLOT_BITS = 24  # of HashArrays
 FOLDS = 2
 # A language's bounds: its median plus and minus so many median absolute deviations.
 BAND = 8.0
-_CHUNK = 1 << 20
 _MASK = (1 << CHAR_BITS) - 1
 _SYMBOLS = "#*$%&|<>"
 _GRAM, _CONTEXT = 1, 2
@@ -109,7 +113,7 @@ def by_language(langs: list, texts: list[str]) -> Iterator[tuple]:
         lang = lang or ""
         rows.setdefault(lang, []).append(i)
         held[lang] = held.get(lang, 0) + len(text)
-        if held[lang] >= _CHUNK:
+        if held[lang] >= CHUNK:
             yield lang, rows.pop(lang)
             held[lang] = 0
     yield from rows.items()
@@ -184,7 +188,8 @@ def discount(c: Column, m: int) -> Column:
 
 def orders(counts: DataFrame, whole: bool = False) -> list[DataFrame]:
     """For each order n (lang, high, key, p0, p1 ...): every n-gram's interpolated probability in each
-    model; ``whole`` adds n, the counts and the backoff weights of the first n - 1 characters.
+    model; ``whole`` adds n, the counts and the backoff weights of the first n - 1 characters, else the
+    highest order has ``seen``, the sum of the counts.
 
     ``counts`` has a column c0, c1 ... for each model.  A gram that a model hasn't seen counts 0
     there and gets what backing off gives.  Below the highest order a gram counts by how many
@@ -229,6 +234,8 @@ def orders(counts: DataFrame, whole: bool = False) -> list[DataFrame]:
             own = F.coalesce(F.try_divide(F.greatest(c - discount(c, m), F.lit(0.0)), F.col(f"total{m}")), F.lit(0.0))
             p.append((own + F.col(f"gamma{m}") * F.col(f"below{m}")).alias(f"p{m}"))
         extra = [F.lit(n).alias("n"), *[F.col(f"{x}{m}") for x in ("c", "gamma") for m in models]] if whole else []
+        if n == ORDER and not whole:
+            extra = [sum(F.col(f"c{m}") for m in models).alias("seen")]
         out.append(stored(rows.select("lang", "high", "key", *p, *extra), f"order{n}"))
     return out
 
@@ -345,83 +352,45 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, _SYMBOLS)), dup, repeat
 
 
-def chunked(docs: DataFrame, folds: int = 1) -> DataFrame:
-    """(chunk, fold, doc_id, lang, text, the base counts) of every row; a chunk has about CHUNK characters."""
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    held = {"chunk": -1, "task": -1, "size": 0}
-
-    def run(c: dict):
-        from pyspark import TaskContext
-
-        context, texts, chunks = TaskContext.get(), texts_of(c["text"]), []
-        if held["task"] != context.taskAttemptId():
-            held.update(task=context.taskAttemptId(), chunk=context.partitionId() << 36, size=0)
-        for t in texts:
-            if held["size"] >= CHUNK:
-                held.update(chunk=held["chunk"] + 1, size=0)
-            held["size"] += len(t)
-            chunks.append(held["chunk"])
-        counts = list(zip(*(base_counts(t) for t in texts), strict=True))
-        return {"chunk": chunks, "fold": c["fold"], "doc_id": c["doc_id"], "lang": c["lang"], "text": c["text"]} | dict(zip(names, counts, strict=True))
-
-    kinds = ", ".join(f"{n} long" for n in names)
-    return map_rows(docs.select("doc_id", "lang", "text", fold(folds).alias("fold")), run, f"chunk long, fold int, doc_id {dict(docs.dtypes)['doc_id']}, lang string, text string, {kinds}")
+class Frequent:
+    """Log values of one language's frequent grams, a column for each fold, by the whole gram."""
 
+    def __init__(self, key: np.ndarray, high: np.ndarray, logs: np.ndarray):
+        # of grams that mix alike only one stays; the others count as missing
+        self.mixed, kept = np.unique(mixed(key, high), return_index=True)
+        self.key, self.high, self.logs = key[kept], high[kept], logs[kept]
 
-def chunk_grams(texts: DataFrame) -> DataFrame:
-    """(chunk, lang, high, key): the different grams of the texts of each chunk and language."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, found = None, {}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for lang, parts in found.items():
-                key, high, _ = distinct(*(np.concatenate(p) for p in list(zip(*parts, strict=True))[:2])) if len(parts) > 1 else parts[0]
-                for at in range(0, len(key), 100_000):
-                    k, h = key[at : at + 100_000], high[at : at + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), chunk)), pa.array([lang] * len(k)), pa.array(h), pa.array(k)], ["chunk", "lang", "high", "key"])
-
-        for batch in batches:
-            for number, part in runs(batch):
-                if number != chunk:
-                    yield from rows()
-                    chunk, found = number, {}
-                texts = texts_of(part.column("text"))
-                for lang, chosen in by_language(part.column("lang").to_pylist(), texts):
-                    found.setdefault(lang, []).append(distinct(*wide_grams([texts[i] for i in chosen])[:2]))
-        yield from rows()
+    def find(self, key: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A row for each gram, and whether it is here."""
+        at = np.minimum(np.searchsorted(self.mixed, mixed(key, high)), len(self.key) - 1)
+        return at, (self.key[at] == key) & (self.high[at] == high)
 
-    # what is in one chunk but in two tasks meets in the join's result, which may hold a gram twice
-    return in_arrow(texts.select("chunk", "lang", "text"), run, "chunk long, lang string, high long, key long")
 
+def mixed(key: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return key ^ (high * np.int64(0x5E3779B97F4A7C15)) if high.any() else key
 
-def runs(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
-    """Slices of a batch with one chunk each."""
-    chunks = batch.column("chunk").to_numpy()
-    if len(chunks):
-        edges = [0, *(np.flatnonzero(chunks[1:] != chunks[:-1]) + 1).tolist(), len(chunks)]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            yield int(chunks[a]), batch.slice(a, b - a)
 
+def logs_of(model: DataFrame, folds: int, *more: str) -> DataFrame:
+    """(lang, high, key, l0, l1 ...): logs in whole units."""
+    return model.select("lang", "high", "key", *more, *[F.round(F.log(f"p{i}") * UNIT).cast("long").alias(f"l{i}") for i in range(folds)])
 
-class Values:
-    """Log probabilities of the grams of one chunk and language, by the whole gram."""
 
-    def __init__(self, key: np.ndarray, high: np.ndarray, logs: np.ndarray):
-        order = sort_order(key, high)
-        self.key, self.high, self.logs = key[order], high[order], logs[order]
-
-    def find(self, key: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """A row for each gram, all of which are here."""
-        out = np.empty(len(key), np.int64)
-        for h in np.unique(high).tolist():
-            mine = high == h
-            low, top = np.searchsorted(self.high, [h, h + 1]).tolist()
-            at = low + np.searchsorted(self.key[low:top], key[mine])
-            if not (self.key[np.minimum(at, len(self.key) - 1)] == key[mine]).all():
-                raise RuntimeError("a gram of a text is not in the model")
-            out[mine] = at
-        return self.logs[out]
+def frequent(model: DataFrame, folds: int) -> dict[str, Frequent]:
+    """The most frequent grams of each language: at most COMMON rows come back, whatever the model's size."""
+    level = F.floor(F.log2("seen") * 16)
+    sizes = {r["level"]: r["count"] for r in model.groupBy(level.alias("level")).count().collect()}
+    least, n = None, 0
+    for at in sorted(sizes, reverse=True):
+        n += sizes[at]
+        if n > COMMON:
+            break
+        least = at
+    if least is None:
+        return {}
+    got = logs_of(model.where(level >= least), folds).toArrow()
+    langs, key, high = got["lang"].to_pandas().to_numpy(), got["key"].to_numpy(), got["high"].to_numpy()
+    logs = np.stack([got[f"l{i}"].to_numpy() for i in range(folds)], axis=1)
+    return {lang: Frequent(*(x[langs == lang] for x in (key, high, logs))) for lang in {*langs.tolist()}}
 
 
 def score(docs: DataFrame, model: DataFrame, folds: int = 1) -> DataFrame:
@@ -431,57 +400,46 @@ def score(docs: DataFrame, model: DataFrame, folds: int = 1) -> DataFrame:
     its keys.
     A text without characters has no perplexity.
     """
-    texts = stored(chunked(docs, folds), "chunks")
-    log_names = [f"l{i}" for i in range(folds)]
-    logs = model.select("lang", "high", "key", *[F.log(f"p{i}").cast("float").alias(n) for i, n in enumerate(log_names)])
-    found = chunk_grams(texts).join(logs, ["lang", "high", "key"])
-    names = [c for c in texts.columns if c not in ("chunk", "fold", "doc_id", "lang", "text")]
-    parts = found.withColumn("is_text", F.lit(False)).unionByName(texts.withColumn("is_text", F.lit(True)), allowMissingColumns=True)
-    parts = parts.select("chunk", "is_text", "lang", "high", "key", *log_names, "fold", "doc_id", "text", *names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, parts, ready = None, {}, {}
-
-        def values(lang: str) -> Values:
-            if lang not in ready:
-                ready[lang] = Values(*(np.concatenate(p) for p in zip(*parts.pop(lang), strict=True)))
-            return ready[lang]
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    tables = frequent(model, folds)
 
-        for batch in batches:
-            for number, part in runs(batch):
-                if number != chunk:
-                    chunk, parts, ready = number, {}, {}
-                is_text = part.column("is_text").to_numpy(zero_copy_only=False)
-                grams_end = len(is_text) - int(is_text.sum())
-                if grams_end:
-                    mine = part.slice(0, grams_end)
-                    langs = mine.column("lang").dictionary_encode()
-                    key, high, *logs = (mine.column(n).to_numpy() for n in ("key", "high", *log_names))
-                    codes = langs.indices.to_numpy()
-                    for i, lang in enumerate(langs.dictionary.to_pylist()):
-                        own = codes == i
-                        parts.setdefault(lang, []).append((key[own], high[own], np.stack([x[own] for x in logs], axis=1)))
-                if grams_end == len(is_text):
-                    continue
-                mine = part.slice(grams_end)
-                texts, perplexity, own_fold = texts_of(mine.column("text")), [None] * mine.num_rows, mine.column("fold").to_numpy()
-                for lang, chosen in by_language(mine.column("lang").to_pylist(), texts):
-                    key, high, sizes = wide_grams([texts[i] for i in chosen])
-                    if not len(key):
-                        continue
-                    found = values(lang).find(key, high)[np.arange(len(key)), np.repeat(own_fold[chosen], sizes)]
-                    sums = np.concatenate([[0], found.astype(np.float64).cumsum()])
-                    for i, size, end in zip(chosen, sizes.tolist(), np.cumsum(sizes).tolist(), strict=True):
-                        if size:
-                            perplexity[i] = float((sums[end - size] - sums[end]) / size)
-                yield pa.RecordBatch.from_arrays([mine.column(n) for n in ("doc_id", "lang", *names)] + [pa.array(perplexity, pa.float64())], ["doc_id", "lang", *names, "log_perplexity"])
+    def run(c: dict):
+        texts, own_fold = texts_of(c["text"]), c["fold"].to_numpy()
+        chars, near = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        rest: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for lang, chosen in by_language(c["lang"].to_pylist(), texts):
+            key, high, sizes = wide_grams([texts[i] for i in chosen])
+            owner = np.repeat(np.array(chosen, np.int64), sizes)
+            chars[chosen] = sizes
+            missing = np.ones(len(key), dtype=bool)
+            if lang in tables:
+                at, here = tables[lang].find(key, high)
+                value = tables[lang].logs[at, own_fold[owner]]
+                sums = np.concatenate([[0], np.where(here, value, 0).cumsum()])
+                ends = np.cumsum(sizes)
+                near[chosen], missing = sums[ends] - sums[ends - sizes], ~here
+            rest.append((owner[missing], high[missing], key[missing]))
+        owner, high, key = (np.concatenate(x) for x in zip(*rest, strict=True))
+        order = np.argsort(owner, kind="stable")
+        ends = np.concatenate([[0], np.bincount(owner, minlength=len(texts)).cumsum()])
+        pairs = pa.StructArray.from_arrays([pa.array(high[order]), pa.array(key[order])], ["high", "key"])
+        counts = zip(*(base_counts(t) for t in texts), strict=True)
+        out = {"row": row_number_base(len(texts)), "fold": c["fold"], "doc_id": c["doc_id"], "lang": c["lang"], "chars": chars, "near": near}
+        return out | {"rest": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)} | dict(zip(names, map(list, counts), strict=True))
 
     kinds = ", ".join(f"{n} long" for n in names)
-    # the grams of a chunk come before its texts
-    met = parts.repartition("chunk").sortWithinPartitions("chunk", "is_text")
-    rows = in_arrow(met, run, f"doc_id {dict(docs.dtypes)['doc_id']}, lang string, {kinds}, log_perplexity double")
+    dealt = docs.select("doc_id", "lang", "text", fold(folds).alias("fold"))
+    schema = f"row long, fold int, doc_id {dict(docs.dtypes)['doc_id']}, lang string, chars long, near long, rest array<struct<high: long, key: long>>, {kinds}"
+    rows = stored(map_rows(dealt, run, schema), "rows")
+    far = rows.select("row", "fold", F.coalesce("lang", F.lit("")).alias("lang"), F.explode("rest").alias("g")).select("row", "fold", "lang", "g.high", "g.key")
+    own = reduce(lambda c, i: c.when(F.col("fold") == i, F.col(f"l{i}")), range(1, folds), F.when(F.col("fold") == 0, F.col("l0")))
+    met = far.join(logs_of(model, folds), ["lang", "high", "key"]).groupBy("row").agg(F.sum(own).alias("far"), F.count("*").alias("n_far"))
+    whole = F.when(F.size("rest") == F.coalesce("n_far", F.lit(0)), F.col("near") + F.coalesce("far", F.lit(0))).otherwise(
+        F.raise_error(F.lit("a gram of a text is not in the model")).cast("long")
+    )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return rows.withColumn("base_failed", failed)
+    per_char = F.when(F.col("chars") > 0, -whole / F.col("chars") / UNIT)
+    return rows.join(met, "row", "left").select("doc_id", "lang", *names, per_char.alias("log_perplexity"), failed.alias("base_failed"))
 
 
 def bands(scored: DataFrame, width: float = BAND) -> DataFrame:

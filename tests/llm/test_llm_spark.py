@@ -344,6 +344,24 @@ def test_scores_share_no_place(spark, monkeypatch):
         assert abs(got[i] + np.mean([math.log(p(tuple(codes[k - 4 : k + 1]))) for k in range(4, len(codes))])) < 1e-5
 
 
+def test_scoring_neither_stores_nor_moves_texts(spark, monkeypatch):
+    """Frequent grams are added up in the row, the others by a join; how many are frequent changes no bit."""
+    rng = random.Random(41)
+    texts = [sentence(rng, 60) for _ in range(20)] + ["", None, "".join(chr(rng.randint(0x4E00, 0x9E00)) for _ in range(300)), "aaaa " * 200]
+    df = spark.createDataFrame([(i % 20, t, "en" if i % 3 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    model = perplexity.orders(perplexity.count(df, 2))[-1]
+    kept, made = [], perplexity.stored
+    monkeypatch.setattr(perplexity, "stored", lambda d, name: kept.append((name, d.columns)) or made(d, name))
+    seen = []
+    for common in (0, 40, 1 << 18):
+        monkeypatch.setattr(perplexity, "COMMON", common)
+        held = sum(len(t.key) for t in perplexity.frequent(model, 2).values())
+        assert held <= common and (held > 0) == (common > 0)
+        seen.append(Counter(tuple(r) for r in collected(perplexity.score(df, model, 2))))
+    assert seen[0] == seen[1] == seen[2] and sum(seen[0].values()) == len(texts)
+    assert kept and not any("text" in columns for _, columns in kept)
+
+
 def test_quality_rules(spark, docs, empty):
     got = collected(perplexity.rules(docs))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
