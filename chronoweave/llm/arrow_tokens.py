@@ -145,8 +145,8 @@ def write(docs: DataFrame, path: str, kind: str = "word", end_id: int = 2, lengt
                 sink = open_to_write(folder, name)
                 writer = SequenceWriter(sink, length, wide, end_id)
             begins, sizes = [], []
-            for text in texts_of(b.column(1)):
-                ids = np.concatenate([enc.encode(text), end])
+            for found in enc.encode_all(texts_of(b.column(1))):
+                ids = np.concatenate([found, end])
                 writer.append(ids)
                 begins.append(at)
                 sizes.append(len(ids))

@@ -54,8 +54,8 @@ def pieces(docs: DataFrame, path: str, kind: str, end_id: int, capacity: Capacit
         enc = encoder(path, kind)
         out: dict[str, list] = {key: [], "piece": [], "start": [], "length": [], "ids_crc32": []}
         end = np.array([end_id], dtype="<u4")
-        for doc, text in zip(c[key].to_pylist(), texts_of(c["text"]), strict=True):
-            ids = np.concatenate([enc.encode(text), end])
+        for doc, found in zip(c[key].to_pylist(), enc.encode_all(texts_of(c["text"])), strict=True):
+            ids = np.concatenate([found, end])
             at = 0
             for n, length in enumerate(cut(len(ids), capacity.tokens)):
                 for k, v in zip(out, (doc, n, at, length, zlib.crc32(ids[at : at + length])), strict=True):

@@ -319,3 +319,24 @@ def test_known_cuts_are_looked_up_once_and_new_ones_learnt_together(monkeypatch)
     for text in ("one two two", "one two", "three four five, six seven", "one two", ""):
         assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
     assert len(learnt) == 3
+
+
+@pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
+def test_new_cuts_of_many_texts_are_learnt_in_one_call(name, kind, monkeypatch):
+    from tokenizers import Tokenizer
+
+    from chronoweave.llm import tokens
+
+    whole, rng = Tokenizer.from_file(P.path(name)), random.Random(43)
+    enc = tokens.Encoder(P.path(name), *{"byte": (BYTE_CUTS, False), "word": (WORD_CUTS, True)}[kind], added=True)
+    learnt, learn = [], enc._learn
+    monkeypatch.setattr(enc, "_learn", lambda cuts: (learnt.append(1), learn(cuts)))
+    parts = ["a", "bar", "É", " ", " ", "  ", "\n", "\u3000", "'s", "'", "12", "$$$", "&&&", "***", "%%%", "###", " $", "<|endoftext|>", "\u0301", "中", " 中", "\x1c", " \x1c", "don't", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(1200)] + ["", " ", " a", "word$$$ word&&& word"]
+    want = [whole.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in enc.encode_all(texts)] == want and len(learnt) == 1
+    for joined, group, held in ((2, 50, 7), (256, 1, 3)):
+        monkeypatch.setattr(tokens, "JOINED_CUTS", joined)
+        monkeypatch.setattr(tokens, "GROUP_CHARS", group)
+        monkeypatch.setattr(tokens, "CACHE_CUTS", held)
+        assert [x.tolist() for x in enc.encode_all(texts)] == want
