@@ -2,6 +2,7 @@
 
 import datetime as dt
 import html
+import random
 import re
 
 import pytest
@@ -254,3 +255,32 @@ def test_best_span_of_a_segment_alone(spark):
     every = spans.extract_spans(df, ["id"])
     assert best.count() == 2
     assert best.orderBy("id").collect() == every.where("span_pos = 0").orderBy("id").collect()
+
+
+def test_primary_time_is_the_first_mention_by_one_scan(spark):
+    rng = random.Random(47)
+    parts = ["1", "12", "480", "1914", "20000", "-", "–", " - ", " ", ".", " v. Chr.", "BC", " bce", "x", "_", "ä", "\n", "1914-18", "708-19", "44 BC"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(4000)]
+    texts += [None, "", "480 v. Chr.", "480v.Chr.", "100-2000 BC", "100-20000 BC", "1914-18, 44 BC, 1920", "12345-50 und 1990", "1914-18 und 1939-45"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = df.select("id", mentions.primary_time(F.col("text")).alias("t"), mentions.time_mention_array(F.col("text")).alias("m"))
+    for r in got.collect():
+        years, ranges = ([m for m in r["m"] or [] if m["kind"] == kind] for kind in ("year", "range_year"))
+        want = ("point", years[0]["year"], None, None) if years else ("range", None, ranges[0]["start_year"], ranges[0]["end_year"]) if ranges else ("unknown", None, None, None)
+        assert tuple(r["t"]) == want, repr(texts[r["id"]])
+    plan = df.select(mentions.primary_time(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and plan.count("split(text") == 0
+
+
+def test_mentions_of_one_scan_are_those_of_a_scan_for_each_kind(spark):
+    rng = random.Random(53)
+    parts = ["1", "12", "480", "1914", "20000", "-", "—", " - ", " ", ".", " v. Chr.", "v Chr", "BC", " bce", "x", "_", "ä", "\n", "1914-18", "708-19", "44 BC", "😀"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 16))) for _ in range(4000)]
+    range_, bc, plain = (re.compile(p, re.IGNORECASE) for p in (mentions.RANGE, mentions.BC_YEAR, mentions.PLAIN_YEAR))
+    for t, got in zip(texts, many(spark, mentions.time_mention_array, texts), strict=True):
+        ranges = [m.span() for m in range_.finditer(t)]
+        years = [(*m.span(), sign * int(re.match(r"\d+", m[0])[0])) for p, sign in ((bc, -1), (plain, 1)) for m in p.finditer(t)]
+        want = [(*r, None) for r in ranges] + [y for y in years if not any(a <= y[0] < b for a, b in ranges)]
+        assert [(m["start"], m["end"], m["year"]) for m in got] == sorted(want, key=lambda w: w[:2]), repr(t)
+    plan = spark.createDataFrame([("",)], "text string").select(mentions.time_mention_array(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
