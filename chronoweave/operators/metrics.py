@@ -1,7 +1,8 @@
 """Cluster analytics: statistics, histograms, lifts, similarities and suggestions.
 
-Facts are reduced per episode (or per episode and term) before they meet the membership table, so
-the wide side of every join is already aggregated on the join key.
+Facts are reduced per episode before they meet the membership table where that makes them fewer.
+Facts that are counted by name or year meet it as they are and are counted in the join's own tasks: a
+count per episode and name hardly has fewer rows, and would be moved once more to the join.
 """
 
 from __future__ import annotations
@@ -64,12 +65,7 @@ def member_facts(membership: DataFrame, facts: DataFrame, *names: str) -> DataFr
 
 
 def _counts(membership: DataFrame, facts: DataFrame, names: list[str]) -> DataFrame:
-    per_episode = facts.groupBy("episode_id", *names).agg(F.count(F.lit(1)).alias("n"))
-    return (
-        membership.join(per_episode, "episode_id")
-        .groupBy("cluster_id", *names)
-        .agg(F.sum("n").cast("bigint").alias("count"))
-    )
+    return member_facts(membership, facts.select("episode_id", *names), *names).withColumnRenamed("n", "count")
 
 
 def term_vectors(membership: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -142,16 +138,14 @@ def cluster_stats(x: ClusterInputs, vectors: DataFrame) -> DataFrame:
 def timeline_histogram(membership: DataFrame, spans: DataFrame) -> DataFrame:
     """Ten-year bins over all start and end years; negative years round down."""
     years = F.explode(F.array(F.year("start_date"), F.year("end_date"))).alias("year")
-    bins = (
-        spans.select("episode_id", years)
-        .filter("year IS NOT NULL")
-        .groupBy("episode_id", (F.floor(F.col("year") / 10) * 10).cast("int").alias("start_year"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    # the join moves a span once, with both of its dates
     return (
-        membership.join(bins, "episode_id")
-        .groupBy("cluster_id", "start_year")
-        .agg(F.sum("n").cast("bigint").alias("count"))
+        spans.select("episode_id", "start_date", "end_date")
+        .join(membership, "episode_id")
+        .select("cluster_id", years)
+        .filter("year IS NOT NULL")
+        .groupBy("cluster_id", (F.floor(F.col("year") / 10) * 10).cast("int").alias("start_year"))
+        .agg(F.count(F.lit(1)).alias("count"))
         .select("cluster_id", "start_year", (F.col("start_year") + 9).alias("end_year"), "count")
     )
 
