@@ -16,3 +16,15 @@ def test_best_rows_are_found_without_the_texts(spark):
     row = tables["episodes"].first()
     assert tables["time_spans"].where(tables["time_spans"].span_id == row.best_span_id).first().source_text == "1.2.1915"
     assert tables["places"].where(tables["places"].place_id == row.best_place_id).first().canonical_name == "Verdun"
+
+
+def test_a_place_behind_thirty_candidates_is_found(spark):
+    words = " ".join(f"Wort{a}{b}" for a in "abcdefg" for b in "abcdefg")
+    items = spark.createDataFrame(
+        [("p", 1, "g", "T", "https://a.b/c", "2020-01-01", None, f"{words} Verdun.")],
+        "podcast_id string, item_pos long, guid string, title string, page_url string, pub_date string, author string, description_raw string",
+    )
+    raw = spark.createDataFrame([(1, "Verdun", "city", "49", "5", "", "")], "entry_pos long, name string, kind string, lat string, lon string, radius_km string, aliases string")
+    tables = build.build_all(items, gazetteers.pipe_gazetteer(raw), items.select("guid").where("false"), clusters=False)
+    assert [(r.canonical_name, r.pos) for r in tables["places"].collect()] == [("Verdun", 49)]
+    assert [r.canonical_name for r in tables["places_norm"].collect()] == ["Verdun"]
