@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import find_all, first_match, strip
 from ..functions.dates import make_day
-from ..functions.text import strip_tags, unescape_html
+from ..functions.text import UNCLOSED, strip_tags, unescape_html
 
 
 @dataclass(frozen=True)
@@ -32,10 +33,15 @@ FALLBACK_CHARS = 2000
 
 
 def page_fields(
-    pages: DataFrame, keys: list[str], html: str = "html", patterns: PagePatterns = PagePatterns(), fallback: int | None = FALLBACK_CHARS
+    pages: DataFrame,
+    keys: list[str],
+    html: str = "html",
+    patterns: PagePatterns = PagePatterns(),
+    fallback: int | None = FALLBACK_CHARS,
+    unclosed: Iterable[str] = UNCLOSED,
 ) -> DataFrame:
     """Title, description, audio link, duration and date with their fallbacks; the page text stands in
-    for a description up to ``fallback`` characters, None: whole."""
+    for a description up to ``fallback`` characters, None: whole.  ``unclosed``: see ``unescape_html``."""
     h = F.col(html)
     audio = first_match(h, patterns.audio, 0)
     day = F.split(first_match(h, patterns.day, 0), r"\.")
@@ -49,12 +55,12 @@ def page_fields(
     return pages.select(
         *keys,
         F.coalesce(
-            strip(first_match(h, patterns.og_title)), strip_tags(first_match(h, patterns.headline)), F.lit("(unknown)")
+            strip(first_match(h, patterns.og_title)), strip_tags(first_match(h, patterns.headline), unclosed), F.lit("(unknown)")
         ).alias("title"),
         F.coalesce(
-            strip_tags(first_match(h, patterns.block)),
+            strip_tags(first_match(h, patterns.block), unclosed),
             strip(first_match(h, patterns.og_description)),
-            strip_tags(h) if fallback is None else F.substring(strip_tags(h), 1, fallback),
+            strip_tags(h, unclosed) if fallback is None else F.substring(strip_tags(h, unclosed), 1, fallback),
         ).alias("description"),
         audio.alias("audio_url"),
         (first_match(h, patterns.minutes).cast("int") * 60).alias("duration_seconds"),

@@ -13,7 +13,7 @@ PAGES = [
 ]
 
 
-@pytest.mark.parametrize("name", ["strip_tags", "sanitize_html", "html_to_text"])
+@pytest.mark.parametrize("name", ["strip_tags", "sanitize_html", "html_to_text", "page_fields"])
 def test_unclosed_references_as_in_the_statement(spark, tmp_path, name):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
     got = entry.queries()[name](spark, str(tmp_path))
