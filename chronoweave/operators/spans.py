@@ -165,19 +165,20 @@ def span_array(text: Column, section: Column) -> Column:
 
 def extract_spans(
     segments: DataFrame, keys: list[str], text: str = "text", section: str = "section", context: int | None = CONTEXT_CHARS,
-    best_only: bool = False,
+    best_only: bool = False, found: str | None = None,
 ) -> DataFrame:
     """One row per distinct span of every segment with its rank ``span_pos`` (best first) and the first
-    ``context`` characters of the segment; None: all of it.  ``best_only``: the segment's best span alone."""
+    ``context`` characters of the segment; None: all of it.  ``best_only``: the segment's best span alone.
+    ``found``: the column that holds the result of :func:`span_array` already."""
     c = F.col(text)
-    spans = span_array(c, F.col(section))
-    found = segments.select(
+    spans = span_array(c, F.col(section)) if found is None else F.col(found)
+    rows = segments.select(
         *keys,
         F.col(section).alias("source_section"),
         (c if context is None else F.substring(c, 1, context)).alias("source_context"),
         F.posexplode(F.slice(spans, 1, 1) if best_only else spans).alias("span_pos", "span"),
     )
-    return found.select(*keys, "span_pos", "span.*", "source_section", "source_context")
+    return rows.select(*keys, "span_pos", "span.*", "source_section", "source_context")
 
 
 def best_span(spans: DataFrame, key: str, order: list[str], score: str = "score") -> DataFrame:

@@ -15,7 +15,7 @@ from ..operators.mutations import new_by_guid
 from ..operators.people import extract_entities
 from ..operators.places import first_place, geocode, place_dimension
 from ..operators.relational import top_n
-from ..operators.spans import best_span, extract_spans
+from ..operators.spans import best_span, extract_spans, span_array
 from ..session import cut_lineage
 from ..sources.gazetteers import alias_dictionary
 
@@ -44,23 +44,30 @@ def episode_links(episodes: DataFrame) -> DataFrame:
 
 
 def extraction_tables(episodes: DataFrame, gazetteer: DataFrame) -> dict[str, DataFrame]:
-    """Segments, spans, places, entities and keywords of cleaned episodes."""
+    """Segments, spans, places, entities and keywords of cleaned episodes.
+
+    Segments are cut once and written with their spans in the row, so a segment's text is stored once
+    and not beside each of its spans; places are looked up once.
+    """
     keys = ["episode_id", "seg_pos"]
-    segs = episodes.select(
+    cut = episodes.select(
         "episode_id", F.posexplode(segments(F.col("description_pure"))).alias("seg_pos", "s")
     ).select("episode_id", "seg_pos", "s.section", "s.text")
-    spans = extract_spans(segs, keys).withColumn("span_id", stable_id("episode_id", "seg_pos", "span_pos"))
+    segs = cut_lineage(cut.withColumn("spans", span_array(F.col("text"), F.col("section"))))
+    span_id = stable_id("episode_id", "seg_pos", "span_pos")
     places = geocode(segs, keys, alias_dictionary(gazetteer)).withColumn(
         "place_id", stable_id("episode_id", "seg_pos", "canonical_name")
     )
+    places = cut_lineage(places)
     main = segs.filter("section = 'main'").withColumn("segment", F.struct("episode_id", "seg_pos"))
     scored = keyphrases(main.select("segment", "text"), "segment").select(
         "segment.episode_id", "segment.seg_pos", "phrase", "score"
     )
     bridge = keyword_bridge(scored, "episode_id", "seg_pos")
     return {
-        "segments": segs,
-        "time_spans": spans,
+        "segments": segs.drop("spans"),
+        "time_spans": extract_spans(segs, keys, found="spans").withColumn("span_id", span_id),
+        "best_spans": extract_spans(segs, keys, best_only=True, found="spans").withColumn("span_id", span_id),
         "places": places,
         "places_norm": place_dimension(places, ["episode_id", "seg_pos", "pos"]),
         "entities": extract_entities(segs, keys),
@@ -75,10 +82,8 @@ def build_all(
     """All tables of a feed build.  Episodes are materialised once and feed every branch."""
     episodes = cut_lineage(new_episodes(items, known, limit))
     tables = extraction_tables(episodes, gazetteer)
-    tables["time_spans"] = cut_lineage(tables["time_spans"])
-    tables["places"] = cut_lineage(tables["places"])
-    # only what decides the best one is moved, not the segments' texts
-    rated = tables["time_spans"].select("episode_id", "seg_pos", "span_pos", "span_id", "score")
+    # only what decides the best one is moved, not the segments' texts or their other spans
+    rated = tables.pop("best_spans").select("episode_id", "seg_pos", "span_pos", "span_id", "score")
     placed = tables["places"].select("episode_id", "seg_pos", "pos", "place_id")
     best_s = best_span(rated, "episode_id", ["seg_pos", "span_pos"]).select(
         "episode_id", F.col("span_id").alias("best_span_id")

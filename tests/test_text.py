@@ -284,3 +284,18 @@ def test_mentions_of_one_scan_are_those_of_a_scan_for_each_kind(spark):
         assert [(m["start"], m["end"], m["year"]) for m in got] == sorted(want, key=lambda w: w[:2]), repr(t)
     plan = spark.createDataFrame([("",)], "text string").select(mentions.time_mention_array(F.col("text")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_strip_and_norm_key_equal_their_patterns_for_every_code_point(spark):
+    points = spark.range(1, 0x110000).where("id NOT BETWEEN 55296 AND 57343")
+    c = F.concat(F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32"), F.lit(" a "))
+    c = F.concat(c, F.reverse(c))
+    assert points.where(text.strip(c) != F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).count() == 0
+    t = F.regexp_replace(F.lower(text.strip(c)), r"(?U)[\s\-_/]+", " ")
+    t = F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9äöüß ]+", ""), r"\s{2,}", " ")
+    assert points.where(text.norm_key(c) != t).count() == 0
+
+
+def test_strip_looks_at_the_ends_only(spark):
+    plan = spark.range(1).select(text.strip(F.col("id").cast("string")))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_replace" not in plan
