@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.operators import blockmax, search, vocabulary
 
@@ -110,3 +111,27 @@ def test_field_sizes_count_equal_rows_of_a_document(spark):
     sizes = search.build_index(spark.createDataFrame(rows, "doc_id int, title string, text string")).fields
     assert "explode" not in sizes._jdf.queryExecution().optimizedPlan().toString().split("sum(tf")[0]
     assert sorted(map(tuple, sizes.collect())) == [("text", 3, 7 / 3), ("title", 2, 2.0)]
+
+
+def test_postings_of_placed_documents_are_neither_moved_nor_stored_again(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    seen = stored_by(monkeypatch, blockmax)
+    entry.queries()["search_words"](spark, "/root/testdata/sf0.001")
+    assert seen and not any({"term", "doc_id"} <= set(df.columns) for df in seen)
+
+
+def test_placed_documents_give_the_plain_ranking(spark):
+    rng = random.Random(8)
+    words = ["kat", "kater", "hund", "maus", "see"]
+    rows = [(i, rng.choice(words), " ".join(rng.choices(words, k=rng.choice([1, 3, 9, 40])))) for i in range(90)]
+    rows += [(5, "kat", "hund"), (5, "kat", "hund maus see"), (6, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id int, title string, text string")
+    queries = spark.createDataFrame([(0, "kat"), (1, "hund maus"), (2, "see kater kat"), (3, "nichts")], "query_id int, query string")
+    blocks = blockmax.block_index(search.build_index(blockmax.placed(docs, 4)).materialised())
+    assert blocks.index.postings.groupBy("block").agg(F.count_distinct(F.coalesce("doc_id", F.lit(-1))).alias("n")).where("n > 4").isEmpty()
+    plain = search.build_index(docs).materialised()
+    for limit in (3, 60):
+        want = sorted(map(str, search.search(plain, queries, limit, False, False).collect()))
+        got = blockmax.search_blocks(blocks, queries, limit, False, False)
+        assert sorted(map(str, got.select("query_id", "doc_id", "score", "rank").collect())) == want and want
