@@ -135,3 +135,13 @@ def test_placed_documents_give_the_plain_ranking(spark):
         want = sorted(map(str, search.search(plain, queries, limit, False, False).collect()))
         got = blockmax.search_blocks(blocks, queries, limit, False, False)
         assert sorted(map(str, got.select("query_id", "doc_id", "score", "rank").collect())) == want and want
+
+
+def test_forms_of_leading_words_are_stored_before_they_meet_the_postings(made, monkeypatch):
+    index, queries = made
+    seen = stored_by(monkeypatch, search)
+    search.search(index, queries, 3)
+    forms = [df for df in seen if {"q", "term", "df"} <= set(df.columns)]
+    assert len(forms) == 2
+    every, leading = ({r.q for r in df.select("q").distinct().collect()} for df in forms)
+    assert leading < every
